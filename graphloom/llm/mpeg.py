@@ -151,12 +151,16 @@ def read(data: bytes) -> Audio:
     """Never fails on damaged bytes: what is no frame is skipped and counted."""
     out = Audio()
     out.tags, at = _tags(data)
-    stop = len(data) - 128 if len(data) >= 128 and data[-128:-125] == b"TAG" else len(data)
+    stop = len(data)
     locked = False
     while at + 4 <= stop:
+        if stop - at == 128 and data[at : at + 3] == b"TAG":  # ID3v1 stands where a frame would start, not within one
+            out.tags["ID3v1"], stop = data[at:], at
+            break
         h = header(int.from_bytes(data[at : at + 4]))
         if h and at + h.size <= stop and not locked and at + h.size + 4 <= stop:
-            if not header(int.from_bytes(data[at + h.size : at + h.size + 4])):  # a chance pattern: the next header must follow
+            after = data[at + h.size : at + h.size + 4]
+            if not header(int.from_bytes(after)) and after[:3] != b"TAG":  # a chance pattern: the next header must follow
                 h = None
         if not h or at + h.size > stop:
             out.resyncs += locked

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, mixing, mpeg, pii, urls, vafile
+from graphloom.llm import bpe, mixing, mpeg, neardup, pii, urls, vafile
 from graphloom.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -33,10 +33,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.rank_file(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4).drop("th")
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mpeg.features(mpeg.store(table(spark, sf_dir, "documents")))
     return found.drop("seek_offsets")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_pii, op4_top_k, op6_url_filter, op7_bpe, op10_mpeg_audio)}
+    return {f.__name__: f for f in (op2_mixing, op3_pii, op4_top_k, op6_url_filter, op7_bpe, op9_near_duplicates, op10_mpeg_audio)}
