@@ -97,13 +97,20 @@ class Words:
     row: np.ndarray
     hash: np.ndarray
     lower: np.ndarray  # the bytes, A-Z lower-cased
+    sums: np.ndarray  # prefix sums of the polynomial
+
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have more bytes than `size`, and hashes of their first `size`."""
+        long = np.flatnonzero(self.end - self.start > size)
+        at = self.start[long]
+        return long, _splitmix((self.sums[at + size] - self.sums[at]) * _power_tables(len(self.sums))[1][at] ^ np.uint64(size << 32))
 
     def per_row(self, rows: int) -> np.ndarray:
         return np.bincount(self.row, minlength=rows).astype(np.int64)
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of texts laid end to end, with a 64-bit hash of each.
+def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> Words:
+    """Words `[^\\x20\\x09-\\x0D]+` of texts laid end to end, with a 64-bit hash of each; `space` marks other separators.
 
     The hash is a polynomial in the word's bytes modulo 2^64, taken from prefix sums so that no
     Python loop runs over words, then mixed. Words never span two texts.
@@ -112,8 +119,8 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> Words:
     n = len(raw)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Words(none, none, none, np.zeros(0, np.uint64), lower)
-    ink = ~_SPACE[raw]
+        return Words(none, none, none, np.zeros(0, np.uint64), lower, np.zeros(1, np.uint64))
+    ink = ~space[raw]
     first = np.empty(n, bool)
     first[0] = True
     np.logical_not(ink[:-1], out=first[1:])
@@ -133,7 +140,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> Words:
     h = (sums[end] - sums[start]) * down[start]
     h = _splitmix(h ^ (end - start).astype(np.uint64))
     row = np.searchsorted(offsets, start, side="right") - 1
-    return Words(start, end, row, h, lower)
+    return Words(start, end, row, h, lower, sums)
 
 
 def batches(data: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
         total = len(w.hash) - size + 1
         out = np.zeros(total, np.uint64)
         for k in range(size):
-            out += _splitmix(w.hash[k : k + total] + _STEPS[k % len(_STEPS)] * np.uint64(k + 1))
+            out += _splitmix(w.hash[k : k + total] + _STEPS[k % len(_STEPS)] + np.uint64(k))
         inside = w.row[:total] == w.row[size - 1 :]
         out, row = _splitmix(out[inside]), w.row[:total][inside]
     short = np.flatnonzero((counts > 0) & (counts < size))
