@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,9 +37,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder, so that a lost executor costs no recomputation of what stands before."""
+    """Cuts the lineage in the shared folder, so that a lost executor costs no recomputation of what stands before.
+
+    What was shuffled for it isn't needed any more then; Spark deletes that once the driver's garbage is collected.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -45,6 +45,7 @@ SMALL = 16
 BLOCK = 512
 SIGMAS = 7
 COLUMNS = 4096
+BUCKETS = 1 << 20
 
 
 def least_shared(k: int, percent: int) -> int:
@@ -197,7 +198,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     """doc_id, th (a hash of the text), n_shingles, component_id and kept of every document."""
     tune(docs.sparkSession)
     rows = docs.select(F.col(id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
-    done = checkpointed(_sketches(rows, size, k))
+    done = _sketches(rows, size, k)  # made again for the result, which takes less than keeping all sketches
     id_last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     classes = done.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min(id_last).alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     # numbers are those of a table that is written, so they stay when a task runs again
@@ -227,8 +228,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
 
     unsure = pairs.where(~F.col("sure")).select("a", "b")
     wanted = unsure.select(F.col("a").alias("nid")).unionByName(unsure.select(F.col("b").alias("nid"))).unionByName(large.select("nid")).distinct()
-    wanted = wanted.join(classes.select("nid", "sig", "doc_id", "th"), "nid")
+    wanted = checkpointed(wanted.join(classes.select("nid", "sig", "doc_id", "th"), "nid"))
     texts = rows.withColumnsRenamed({"doc_id": "d", "th": "h"})
+    # texts that none of the wanted can be stay where they are: a set of at most BUCKETS numbers tells most of them
+    bucket = F.pmod(F.xxhash64("th", F.lit(1)), F.lit(BUCKETS)).alias("bucket")
+    texts = texts.join(F.broadcast(wanted.select(bucket).distinct()), F.pmod(F.xxhash64("h", F.lit(1)), F.lit(BUCKETS)) == F.col("bucket"), "left_semi")
     found = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("nid", "sig", "text")
     whole = checkpointed(_full_sets(found, size).dropDuplicates(["nid"]))
     both = unsure.join(whole.select(F.col("nid").alias("a"), F.col("whole").alias("x")), "a").join(whole.select(F.col("nid").alias("b"), F.col("whole").alias("y")), "b")
