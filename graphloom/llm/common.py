@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,6 +49,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like `checkpointed`, as compressed Parquet in the shared folder; the reader's partitions may differ from the writer's."""
+    at = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its row offsets (rows + 1); null rows are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -5,135 +5,238 @@ found too. A rolling hash over the hashes of a piece and the one before it ends
 piece in two of three cases; as the choice depends on the content near by only, the same passage is
 cut alike wherever it stands. A piece of LONG words or more stands alone.
 
-Chunks are counted over all documents by their bytes (that is the byte comparison: a chunk's text is
-the key that is grouped, after a partial count in each task), so a chunk that a third of all documents
-share costs one row a task. The first document, by id, keeps a repeated chunk, at its first place; all
-other places lose it where consecutive repeated chunks have at least LEAST words together, so short
-stock lines stay. What is removed goes with the white space after it.
-
-Defined cases: a null text stays null and an empty one empty; a document that loses all its pieces has
-an empty text, and `dedup` drops it; rows that repeat an id and text count as one document and keep
-or lose the same; a null id counts as larger than any other; an empty table gives an empty one;
-further columns are kept.
+1. Chunk hashes are counted over all documents, with the least id that has one.
+2. A bitmap of fixed size tells nearly all chunks that stand once; the others send their bytes to
+   where their hash is, and are compared with those of the document of the least id.
+3. That document keeps a repeated chunk at its first place. All other places lose it where
+   consecutive repeated chunks have at least LEAST words together, so short stock lines stay. What is
+   removed goes with the white space after it. Only documents that lose something are shuffled.
+
+A hash that two different repeated chunks share (64 bits) is resolved for the bytes of the least id;
+the other stays. The bitmap only saves shuffling: where it is full, all chunks are compared.
+
+Defined cases: a null text stays null, an empty one empty; a document that loses all its pieces has an
+empty text, and `dedup` drops it; rows of one id are one document: what it keeps, each row of it keeps;
+a document without an id gives way to any that has one, and keeps what only such share; an empty table
+gives an empty one; further columns are kept.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import batches, checkpointed, tune
+from graphloom.llm.common import _BYTE, _SPACE, _power_tables, _splitmix, batches, text_buffer, tune, written
 
-#: A piece with the white space after it: up to a line's end, or a sentence's.
-PIECE = re.compile(r"[^\n]*?(?:[.!?](?=[ \t\n]|$)[ \t]*\n*|\n+|$)")
 LONG = 25
 LEAST = 18
+#: Bits of the bitmaps of repeated chunks and of documents that lose some (8 MB each).
+FILTER = 1 << 26
+_END = np.zeros(256, bool)
+_END[[33, 46, 63]] = True
+
+
+@dataclass
+class Chunks:
+    """Chunks of texts laid end to end, in order; bytes from start to end are the chunk, `after` is where the next one starts."""
+
+    row: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    after: np.ndarray
+    words: np.ndarray
+    pieces: np.ndarray
+    hash: np.ndarray
+
+
+def chunks(raw: np.ndarray, offsets: np.ndarray) -> Chunks:
+    n = len(raw)
+    none = np.zeros(0, np.int64)
+    if n == 0:
+        return Chunks(none, none, none, none, none, none, np.zeros(0, np.int64))
+    ink = ~_SPACE[raw]
+    cut = np.zeros(n, bool)
+    cut[offsets[1:-1][offsets[1:-1] < n]] = True
+    first = ink.copy()
+    first[1:] &= ~ink[:-1] | cut[1:]
+    last = ink.copy()
+    last[:-1] &= ~ink[1:] | cut[1:]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1  # of words
+    if not len(start):
+        return Chunks(none, none, none, none, none, none, np.zeros(0, np.int64))
+    row = np.searchsorted(offsets, start, side="right") - 1
+    lines = np.zeros(n + 1, np.int64)
+    np.cumsum(raw == 10, out=lines[1:])
+    begins = np.ones(len(start), bool)
+    begins[1:] = (row[1:] != row[:-1]) | (lines[start[1:]] > lines[end[:-1]]) | _END[raw[end[:-1] - 1]]
+    p = np.flatnonzero(begins)  # the first word of each piece
+    p_words = np.diff(np.append(p, len(start)))
+    p_start, p_end, p_row = start[p], end[np.append(p[1:], len(start)) - 1], row[p]
+    up, down = _power_tables(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
+    hashed = lambda a, b: _splitmix((sums[b] - sums[a]) * down[a] ^ (b - a).astype(np.uint64))
+    h = hashed(p_start, p_end)
+    before = np.zeros(len(h), np.uint64)
+    same = p_row[1:] == p_row[:-1]
+    before[1:][same] = h[:-1][same]
+    rolled = _splitmix(h * np.uint64(0x9E3779B97F4A7C15) + before)
+    close = (rolled >> np.uint64(48)) < np.uint64(43690)
+    long = p_words >= LONG
+    close |= long
+    close[:-1] |= long[1:] | ~same
+    close[-1] = True
+    tail = np.flatnonzero(close)
+    head = np.append(0, tail[:-1] + 1)
+    total = np.append(0, np.cumsum(p_words))
+    c_row, c_start, c_end = p_row[head], p_start[head], p_end[tail]
+    after = offsets[1:][c_row].copy()
+    again = c_row[1:] == c_row[:-1]
+    after[:-1][again] = c_start[1:][again]
+    return Chunks(c_row, c_start, c_end, after, total[tail + 1] - total[head], tail - head + 1, hashed(c_start, c_end).view(np.int64))
+
+
+def _numbers(c: Chunks) -> np.ndarray:
+    """Each chunk's number in its text."""
+    if not len(c.row):
+        return np.zeros(0, np.int64)
+    new = np.flatnonzero(np.append(True, c.row[1:] != c.row[:-1]))
+    return np.arange(len(c.row)) - np.repeat(new, np.diff(np.append(new, len(c.row))))
+
+
+def _bits(df: DataFrame, h: Column) -> np.ndarray:
+    """A bitmap of FILTER bits of the hashes h, made of partial bitmaps of the tasks."""
+    at = F.pmod(h, F.lit(FILTER))
+    parts = df.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(FILTER // 8 + 4096, np.uint8)
+    for r in parts.toLocalIterator():  # FILTER / 32768 rows of 4 kB at most
+        # bucket b holds positions (b - 1) * 32768 + 1 to b * 32768, at bits 0 to 32767
+        out[(r.b) * 4096 : (r.b + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
 
 
-def pieces(text: str) -> list[str]:
-    return [p for p in PIECE.findall(text) if p]
-
-
-def chunks(text: str | None) -> list[tuple[str, int, int]]:
-    """(text without white space around, words, pieces) of each chunk; pieces add up to those of the text."""
-    out: list[tuple[str, int, int]] = []
-    open_, n_words, before = [], 0, 0
-
-    def close() -> None:
-        nonlocal open_, n_words
-        if open_:
-            out.append(("".join(open_).strip(), n_words, len(open_)))
-        open_, n_words = [], 0
-
-    for p in pieces(text or ""):
-        bare = p.strip()
-        n = len(bare.split())
-        h = xxhash.xxh3_64_intdigest(bare)
-        if n >= LONG:
-            close()
-            open_, n_words = [p], n
-            close()
-        else:
-            open_.append(p)
-            n_words += n
-            if (h * 0x9E3779B97F4A7C15 + before & (1 << 64) - 1) >> 32 & 0xFFFF < 43690 or len(open_) >= 64:
-                close()
-        before = h * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1
-    close()
-    return out
+def _within(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = np.mod(h, FILTER)
+    bucket = np.where(at > 0, 1 + (at - 1) // 32768, at // 32768)
+    bit = np.where(at > 0, (at - 1) % 32768, (-at) % 32768)
+    return bits[bucket * 4096 + bit // 8] >> (bit % 8).astype(np.uint8) & 1 > 0
+
 
+def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.select(F.col(id).alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
 
-def without(text: str, removed: list[int], least: int = LEAST) -> tuple[str, int]:
-    """The text without runs of removed chunks of at least `least` words, and how many pieces that were."""
-    cut, gone = set(), set(removed)
-    found, all_pieces = chunks(text), pieces(text)
-    at, run = 0, []
-    for i, (_, n, size) in enumerate([*found, ("", 0, 0)]):
-        if i in gone:
-            run.append((at, size, n))
-        else:
-            if sum(r[2] for r in run) >= least:
-                cut.update(k for start, length, _ in run for k in range(start, start + length))
-            run = []
-        at += size
-    return "".join(p for k, p in enumerate(all_pieces) if k not in cut), len(cut)
+
+def _key(d: Column, th: Column) -> Column:
+    return F.xxhash64(d, th)
 
 
 def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """d, th (a hash of the text) and the numbers of a document's chunks that an earlier place repeats."""
-    tune(docs.sparkSession)
-    rows = docs.select(F.col(id).alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
+    """d, th (a hash of the text) and the numbers of chunks that a document has to lose, if they are many words together."""
+    spark = docs.sparkSession
+    tune(spark)
+    rows = _keyed(docs, id, text)
     kind = rows.schema["d"].dataType.simpleString()
 
-    def texts(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(data):
-            d, th, at, body = [], [], [], []
-            for x, y, t in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                for i, (chunk, n, _) in enumerate(chunks(t.as_py())):
-                    if n:
-                        d.append(x), th.append(y), at.append(i), body.append(chunk)
-            d, th = (pa.array([v.as_py() for v in c], batch.column(k).type) for k, c in enumerate((d, th)))
-            yield pa.RecordBatch.from_arrays([d, th, pa.array(at, pa.int32()), pa.array([xxhash.xxh3_64_intdigest(b) - (1 << 63) for b in body], pa.int64()), pa.array(body, pa.string())], names=["d", "th", "i", "h", "body"])
-
-    found = rows.mapInArrow(texts, f"d {kind}, th bigint, i int, h bigint, body string")
-    place = F.struct(F.col("d").isNull().alias("none"), "d", "th", "i")
-    bodies = found.groupBy("h", "body").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-    repeated = bodies.where("n > 1").select("h", F.crc32("body").alias("c"), F.length("body").alias("size"), "first")
-    repeated = checkpointed(repeated)
-    # a chunk's hash, CRC and length name it from here; those few that several texts share are left alone
-    single = repeated.groupBy("h", "c", "size").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")).where("texts = 1").drop("texts")
-
-    places = found.select("d", "th", "i", "h", F.crc32("body").alias("c"), F.length("body").alias("size"))
-    again = places.join(single, ["h", "c", "size"]).where(F.struct(F.col("d").isNull().alias("none"), "d", "th", "i") > F.col("first"))
-    return again.groupBy("d", "th").agg(F.sort_array(F.collect_set("i")).alias("again"))
+            c = chunks(*text_buffer(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c.row)), pa.array(c.hash)], names=["d", "h"])
+
+    counted = rows.select("d", "text").mapInArrow(hashes, f"d {kind}, h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first"))
+    repeated = written(counted.where("n > 1").select("h", "first"))
+    bits = spark.sparkContext.broadcast(_bits(repeated, F.col("h")))
+
+    def bodies(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(data):
+            raw, at = text_buffer(batch.column(2))
+            c = chunks(raw, at)
+            keep = np.flatnonzero(_within(bits.value, c.hash))
+            own, number = c.row[keep], _numbers(c)[keep]
+            pair = np.stack([own, c.hash[keep]], axis=1)
+            first = np.zeros(len(keep), bool)
+            first[np.unique(pair, axis=0, return_index=True)[1]] = True
+            data_ = raw.tobytes()
+            body = [data_[a:b] for a, b in zip(c.start[keep].tolist(), c.end[keep].tolist(), strict=True)]
+            own = pa.array(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(number.astype(np.int32)), pa.array(~first), pa.array(c.hash[keep]), pa.array(body, pa.binary())], names=["d", "th", "i", "again", "h", "body"])
+
+    places = rows.mapInArrow(bodies, f"d {kind}, th bigint, i int, again boolean, h bigint, body binary").join(repeated, "h")
+    places = written(places)
+    kept = places.where(F.col("d").eqNullSafe(F.col("first")) & ~F.col("again")).select("h", "body").groupBy("h").agg(F.min("body").alias("kept"))
+    lost = places.join(kept, "h").where((F.col("body") == F.col("kept")) & (~F.col("d").eqNullSafe(F.col("first")) | F.col("again")))
+    return lost.groupBy("d", "th").agg(F.collect_set("i").alias("lost"))
+
+
+def _cleaned_batch(batch: pa.RecordBatch, where: int, lost: pa.Array | None, least: int) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """New texts, pieces, removed pieces, and whether a text lost all that it had."""
+    column = batch.column(where)
+    raw, at = text_buffer(column)
+    c = chunks(raw, at)
+    n = batch.num_rows
+    total = np.bincount(c.row, c.pieces, minlength=n).astype(np.int64)
+    gone = np.zeros(n, np.int64)
+    if lost is None:
+        return column, pa.array(total), pa.array(gone), pa.array(np.zeros(n, bool))
+    texts = column.to_pylist()
+    first = np.searchsorted(c.row, np.arange(n + 1))
+    out, empty = [], np.zeros(n, bool)
+    for r in range(n):
+        a, b = first[r], first[r + 1]
+        numbers = lost[r].as_py() if lost[r].is_valid else None
+        if not numbers or texts[r] is None:
+            out.append(texts[r])
+            continue
+        flag = np.zeros(b - a + 2, bool)
+        flag[np.array(numbers) + 1] = True
+        edge = np.flatnonzero(flag[1:] != flag[:-1])  # runs are [edge 0, edge 1), [edge 2, edge 3), ...
+        parts, done = [], at[r]
+        for lo, hi in zip(edge[::2], edge[1::2], strict=True):
+            if c.words[a + lo : a + hi].sum() >= least:
+                parts.append(raw[done : c.start[a + lo]])
+                done = c.after[a + hi - 1]
+                gone[r] += c.pieces[a + lo : a + hi].sum()
+        parts.append(raw[done : at[r + 1]])
+        new = b"".join(x.tobytes() for x in parts).decode() if gone[r] else texts[r]
+        empty[r] = gone[r] > 0 and not new.strip()
+        out.append("" if empty[r] else new)
+    return pa.array(out, column.type), pa.array(total), pa.array(gone), pa.array(empty)
 
 
 def cleaned(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """`docs` with their cleaned text, n_pieces, n_removed, and emptied (it had pieces and has none left)."""
     names = [c for c in docs.columns if c not in ("n_pieces", "n_removed", "emptied")]
     docs = docs.select(names)
-    again = removals(docs, id, text).withColumnsRenamed({"d": "__d", "th": "__h"})
+    lost = written(removals(docs, id, text)).withColumnsRenamed({"d": "__d", "th": "__h"})
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(lost, _key(F.col("__d"), F.col("__h"))))
     own = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = own.join(again, own[id].eqNullSafe(again["__d"]) & (own["__th"] == again["__h"]), "left").select(*names, "again")
+    own = own.withColumn("__key", _key(F.col(id), F.col("__th")))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "n_pieces bigint", "n_removed bigint", "emptied boolean"])
-    where = names.index(text)
+    where, key = names.index(text), len(names)
+
+    def chosen(may: bool):
+        def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in data:
+                hit = _within(bits.value, batch.column(key + 1).to_numpy(zero_copy_only=False))
+                if (some := batch.filter(pa.array(hit == may))).num_rows:
+                    yield some
+
+        return run
 
-    def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(data):
-            made, counts, gone = [], [], []
-            for t, r in zip(batch.column(where), batch.column(len(names)), strict=True):
-                t, r = t.as_py(), r.as_py()
-                new, n = without(t, r, least) if t and r else (t, 0)
-                made.append(new), counts.append(len(pieces(t or ""))), gone.append(n)
-            columns = [pa.array(made, batch.column(i).type) if i == where else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array([n > 0 and not (m or "").strip() for n, m in zip(gone, made, strict=True)])], names=[*names, "n_pieces", "n_removed", "emptied"])
-
-    return joined.mapInArrow(run, schema)
+            given = batch.column(key) if batch.num_columns == key + 1 else None
+            new, *counts = _cleaned_batch(batch, where, given, least)
+            yield pa.RecordBatch.from_arrays([*(new if i == where else batch.column(i) for i in range(len(names))), *counts], names=[*names, "n_pieces", "n_removed", "emptied"])
+
+    whole = own.mapInArrow(chosen(False), own.schema).mapInArrow(make, schema)
+    some = own.mapInArrow(chosen(True), own.schema).drop("__key")
+    joined = some.join(lost, some[id].eqNullSafe(lost["__d"]) & (some["__th"] == lost["__h"]), "left").select(*names, "lost")
+    return whole.unionByName(joined.mapInArrow(make, schema))
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
