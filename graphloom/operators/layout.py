@@ -1,0 +1,89 @@
+"""Squarified treemaps: sequential within a parent, parallel across parents."""
+
+from __future__ import annotations
+
+import math
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+STRIP = {"package": 14.0, "file": 12.0}
+
+
+def _worst(areas: list[float], side: float) -> float:
+    total = sum(areas)
+    return max(max(side * side * a / (total * total), total * total / (side * side * a)) for a in areas)
+
+
+def squarify(items: list[tuple[str, float]], x: float, y: float, w: float, h: float) -> list[tuple[str, float, float, float, float]]:
+    """(id, x, y, w, h) with areas in proportion to weights; weights that aren't finite or positive are left out.
+
+    Bruls, Huizing and van Wijk (2000): items by weight, then id, join a row along the shorter side as
+    long as its worst aspect does not get worse.
+    """
+    live = sorted(((i, v) for i, v in items if math.isfinite(v) and v > 0), key=lambda t: (-t[1], t[0]))
+    total = sum(v for _, v in live)
+    if not live or w <= 0 or h <= 0:
+        return []
+    scale = w * h / total
+    out: list[tuple[str, float, float, float, float]] = []
+    at = 0
+    while at < len(live):
+        side = min(w, h)
+        row = [live[at][1] * scale]
+        while at + len(row) < len(live):
+            more = [*row, live[at + len(row)][1] * scale]
+            if _worst(more, side) > _worst(row, side):
+                break
+            row = more
+        last = at + len(row) == len(live)
+        depth = (h if w >= h else w) and sum(row) / side
+        offset = 0.0
+        for k, area in enumerate(row):
+            length = area / depth if depth else 0.0
+            if w >= h:
+                out.append((live[at + k][0], x, y + offset, w if last else depth, length))
+            else:
+                out.append((live[at + k][0], x + offset, y, length, h if last else depth))
+            offset += length
+        if w >= h:
+            x, w = x + depth, w - depth
+        else:
+            y, h = y + depth, h - depth
+        at += len(row)
+    return out
+
+
+def place(items: DataFrame) -> DataFrame:
+    """parent, id, x, y, w, h of rows (parent, id, weight, px, py, pw, ph): the last four are the parent's rectangle."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        px, py, pw, ph = (float(t[c].iloc[0]) for c in ("px", "py", "pw", "ph"))
+        rows = squarify(list(zip(t["id"], t["weight"].astype(float), strict=True)), px, py, pw, ph)
+        return pd.DataFrame([(t["parent"].iloc[0], *r) for r in rows], columns=["parent", "id", "x", "y", "w", "h"])
+
+    return items.groupBy("parent").applyInPandas(run, "parent string, id string, x double, y double, w double, h double")
+
+
+def atlas(decls: DataFrame, width: float = 1000.0, height: float = 600.0) -> DataFrame:
+    """Tiles of packages, their files and their declarations, rounded to a tenth.
+
+    Test lines weigh nothing unless a package holds nothing else; a declaration weighs one line at least.
+    """
+    d = decls.select("pkg", "path", "id", "test", F.greatest("lines", F.lit(1)).alias("lines"))
+    only = d.groupBy("pkg").agg(F.min(F.col("test").cast("int")).alias("tests_only"))
+    d = d.join(only, "pkg").withColumn("weight", F.when(F.col("test") & (F.col("tests_only") == 0), 0).otherwise(F.col("lines")).cast("double"))
+    d = d.withColumn("file", F.concat_ws("|", "pkg", "path"))
+
+    def inner(t: DataFrame, level: str) -> DataFrame:
+        strip = F.when(F.col("h") >= 3 * STRIP[level], STRIP[level]).otherwise(0.0)
+        return t.select(F.col("id").alias("parent"), F.col("x").alias("px"), (F.col("y") + strip).alias("py"), F.col("w").alias("pw"), (F.col("h") - strip).alias("ph"))
+
+    root = d.groupBy(F.col("pkg").alias("id")).agg(F.sum("weight").alias("weight")).select(F.lit("").alias("parent"), "id", "weight", F.lit(0.0).alias("px"), F.lit(0.0).alias("py"), F.lit(width).alias("pw"), F.lit(height).alias("ph"))
+    packages = place(root)
+    files = place(d.groupBy(F.col("pkg").alias("parent"), F.col("file").alias("id")).agg(F.sum("weight").alias("weight")).join(inner(packages, "package"), "parent"))
+    leaves = place(d.select(F.col("file").alias("parent"), "id", "weight").join(inner(files, "file"), "parent"))
+    levels = (("package", packages), ("file", files), ("decl", leaves))
+    out = [t.select(F.lit(n).alias("level"), "parent", "id", *(F.round(c, 1).alias(c) for c in "xywh")) for n, t in levels]
+    return out[0].unionByName(out[1]).unionByName(out[2])
