@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, contextmix, linededup, mixing, mpeg, neardup, pii, toxicity, urls, vafile
+from graphloom.llm import bpe, contextmix, linededup, mixing, mpeg, neardup, oracles, pii, toxicity, urls, vafile
 from graphloom.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -22,7 +22,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(table(spark, sf_dir, "documents")).drop("scores")
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

@@ -18,6 +18,7 @@ gives an empty one; further columns are kept by `keep_clean` and ignored by `sco
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,9 +32,12 @@ from graphloom.llm.common import batches, text_buffer, tune, words
 BOUND = 4000
 FEATURES = 2048
 PREFIXES = (4, 5, 6, 8)
-#: Standard errors by which a feature's share in toxic documents must differ from that in others.
-ASSOCIATED = 4.0
-REJECT = 0.5
+#: Standard errors by which a feature's share in toxic documents must exceed that in others, and times as much as it must be.
+ASSOCIATED, TIMES = 4.0, 8.0
+#: Share of toxic documents that must have a feature, so that what a few copies share is no sign.
+RARE = 0.02
+#: A document is rejected from the least probability of a grade above 0, within these bounds, that at most this share of clean labelled ones reach.
+REJECT, ALLOWED = (0.2, 0.5), 0.002
 
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -55,6 +59,7 @@ class Model:
     ids: np.ndarray  # sorted
     weights: np.ndarray
     thetas: np.ndarray
+    reject: float = 1.0
 
     def severity(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade and the probability of a grade above 0."""
@@ -77,7 +82,7 @@ class Model:
 NONE = Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros(0))
 
 
-def fit(found: list[np.ndarray], toxic: np.ndarray, rounds: int = 400, decay: float = 2e-4) -> Model:
+def fit(found: list[np.ndarray], toxic: np.ndarray, rounds: int = 600, decay: float = 2e-5) -> Model:
     """Fits on the distinct features of each document, by Adam on the penalised likelihood."""
     if not toxic.any() or toxic.all():
         return NONE
@@ -88,15 +93,16 @@ def fit(found: list[np.ndarray], toxic: np.ndarray, rounds: int = 400, decay: fl
     b = np.bincount(cols, ~toxic[rows], minlength=len(ids))
     p = (a + b + 1) / (n1 + n0 + 2)
     z = (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    best = np.sort(np.argsort(-np.abs(z), kind="stable")[:FEATURES])
-    best = best[(np.abs(z[best]) >= ASSOCIATED) & (a[best] + b[best] >= 3)]
+    # what merely goes with a language or a kind of page is no evidence, so only clear signs count
+    clear = np.flatnonzero((z >= ASSOCIATED) & (a >= np.maximum(3, n1 * RARE)) & ((a + 0.5) / n1 >= TIMES * (b + 0.5) / n0))
+    best = np.sort(clear[np.argsort(-z[clear], kind="stable")[:FEATURES]])
     if not len(best):
         return NONE
     place = np.full(len(ids), -1)
     place[best] = np.arange(len(best))
     keep = place[cols] >= 0
     r, c = rows[keep], place[cols[keep]]
-    share = np.bincount(r, z[best][c] > 0, minlength=len(found)) / np.maximum(1, [len(f) for f in found])
+    share = np.bincount(r, minlength=len(found)) / np.maximum(1, [len(f) for f in found])
     grade = np.where(toxic, 1 + (share > np.median(share[toxic])), 0)
     w, theta = np.zeros(len(best)), np.array([0.0, 1.0])
     weight = np.where(toxic, 0.5 / n1, 0.5 / n0)
@@ -117,7 +123,9 @@ def fit(found: list[np.ndarray], toxic: np.ndarray, rounds: int = 400, decay: fl
         w = w - move[:-2]
         theta = theta - move[-2:]
         theta[1] = max(theta[1], theta[0] + 1e-3)
-    return Model(ids[best].astype(np.uint32), w, theta)
+    clean = np.sort(1 - sig(theta[0] - np.bincount(r, w[c], minlength=len(found))[~toxic]))
+    over = clean[min(len(clean) - 1, math.ceil(len(clean) * (1 - ALLOWED)))]
+    return Model(ids[best].astype(np.uint32), w, theta, float(np.clip(over + 1e-6, *REJECT)))
 
 
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", bound: int = BOUND) -> Model:
@@ -139,11 +147,11 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     def once(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending")])
         m = fit([x.values.to_numpy().view(np.uint32) for x in t["found"]], t["toxic"].to_numpy() > 0)
-        return pa.table({"ids": pa.array([m.ids.tolist()], pa.list_(pa.int64())), "weights": pa.array([m.weights.tolist()], pa.list_(pa.float64())), "thetas": pa.array([m.thetas.tolist()], pa.list_(pa.float64()))})
+        return pa.table({"ids": pa.array([m.ids.tolist()], pa.list_(pa.int64())), "weights": pa.array([m.weights.tolist()], pa.list_(pa.float64())), "thetas": pa.array([m.thetas.tolist()], pa.list_(pa.float64())), "reject": pa.array([m.reject])})
 
     found = rows.mapInArrow(distinct, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, found array<int>")
-    fitted = found.groupBy(F.lit(1).alias("all")).applyInArrow(once, "ids array<bigint>, weights array<double>, thetas array<double>").first()
-    return Model(np.array(fitted.ids, np.uint32), np.array(fitted.weights, float), np.array(fitted.thetas, float)) if fitted else NONE
+    fitted = found.groupBy(F.lit(1).alias("all")).applyInArrow(once, "ids array<bigint>, weights array<double>, thetas array<double>, reject double").first()
+    return Model(np.array(fitted.ids, np.uint32), np.array(fitted.weights, float), np.array(fitted.thetas, float), fitted.reject) if fitted else NONE
 
 
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,7 +161,7 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
     def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(data):
             severity, p = model.severity(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(severity), pa.array(p), pa.array(p >= REJECT)], names=["doc_id", "severity", "p_toxic", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(severity), pa.array(p), pa.array(p >= model.reject)], names=["doc_id", "severity", "p_toxic", "rejected"])
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, severity double, p_toxic double, rejected boolean")
@@ -165,6 +173,6 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(data):
-            yield batch.filter(pa.array(model.severity(batch.column(text))[1] < REJECT))
+            yield batch.filter(pa.array(model.severity(batch.column(text))[1] < model.reject))
 
     return docs.mapInArrow(run, docs.schema)

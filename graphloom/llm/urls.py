@@ -50,7 +50,7 @@ def apply_rules(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
 
 def masked(path: Column) -> Column:
     """The path with hexadecimal runs of 8 or more and runs of digits as wildcards."""
-    return F.regexp_replace(F.regexp_replace(path, "(?<![0-9a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{8,}+(?![0-9a-z])", "<h>"), "[0-9]+", "<n>")
+    return F.regexp_replace(F.regexp_replace(path, r"\b[0-9a-f]{8,}\b", "<h>"), "[0-9]+", "<n>")
 
 
 def templates(labelled: DataFrame) -> DataFrame:
