@@ -45,7 +45,8 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {"set04_findings": _all(smells.union), "win03_prognoses": _all(prognoses.find)}
     out |= {SMELL_IDS[r.__name__]: _one(r) for r in smells.RULES}
     out |= {PROGNOSIS_IDS[k.__name__.rstrip("_")]: _one(k) for k in prognoses.KINDS}
-    out |= {DIFF_IDS[n]: _two(getattr(graphdiff, n)) for n in DIFF_IDS}
+    out |= {DIFF_IDS[n]: _two(getattr(graphdiff, n)) for n in DIFF_IDS if n != "findings_delta"}
+    out |= {DIFF_IDS["findings_delta"]: _two(lambda b, h: graphdiff.findings_delta(b.kept(), h.kept()))}
     out |= {
         "pg12_heats": _one(prognoses.heats),
         "snk09_cli_lines": _all(lambda g: prognoses.lines(prognoses.union(g))),
