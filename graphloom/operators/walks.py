@@ -52,19 +52,23 @@ def ring(g: Graph, starts: DataFrame, hops: int = 3) -> DataFrame:
     return seen.where("hop > 0")
 
 
-def layers(g: Graph, most: int = 64) -> DataFrame:
+def layers(g: Graph) -> DataFrame:
     """pkg and its layer: 0 without imports, else one more than the highest that it imports.
 
-    Rounds raise layers until none changes; a package on a cycle, or one that imports such a one, would
-    rise for ever and is cut at the number of packages, which marks it as layer 0.
+    A round settles packages whose imports are all settled, so there are as many as layers. Packages on
+    a cycle, or above one, never settle; they stand one above the highest settled one that they import.
     """
-    imports = g.imports
-    known = g.packages.select("pkg", F.lit(0).cast("bigint").alias("layer"))
-    n = known.count()
-    for _ in range(min(n, most)):
-        up = imports.join(known.select(F.col("pkg").alias("dst"), "layer"), "dst").groupBy(F.col("src").alias("pkg")).agg((F.max("layer") + 1).alias("up"))
-        after = cut(known.join(up, "pkg", "left").select("pkg", F.coalesce("up", F.lit(0)).cast("bigint").alias("layer")))
-        if after.subtract(known).isEmpty():
-            return after
-        known = after
-    return known.withColumn("layer", F.when(F.col("layer") >= min(n, most), F.lit(0)).otherwise(F.col("layer")))
+    imports = cut(g.imports.join(g.packages.select(F.col("pkg").alias("dst")), "dst", "left_semi"))
+    open_ = g.packages.select("pkg")
+    settled = cut(open_.join(imports.select(F.col("src").alias("pkg")), "pkg", "left_anti").withColumn("layer", F.lit(0).cast("bigint")))
+    layer = 0
+    while True:
+        layer += 1
+        left = imports.join(settled.select(F.col("pkg").alias("src")), "src", "left_anti")
+        ready = left.join(settled.select(F.col("pkg").alias("dst"), F.lit(True).alias("done")), "dst", "left").groupBy(F.col("src").alias("pkg")).agg(F.bool_and(F.coalesce("done", F.lit(False))).alias("all")).where("all")
+        more = cut(ready.select("pkg", F.lit(layer).cast("bigint").alias("layer")))
+        if more.isEmpty():
+            break
+        settled = settled.unionByName(more)
+    above = left.join(settled.withColumnRenamed("pkg", "dst"), "dst", "left").groupBy(F.col("src").alias("pkg")).agg((F.coalesce(F.max("layer"), F.lit(-1)) + 1).alias("layer"))
+    return settled.unionByName(above)

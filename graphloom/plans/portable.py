@@ -97,6 +97,7 @@ SQL: dict[str, str] = {
     "gr01_next": "select e.dst, e.src, min(e.kind) as via from {edges} e where e.dst in (select id from {decls} where k < 5) and e.src not in (select id from {decls} where k < 5) group by e.dst, e.src",
     "gr02_follow": "select a.dst as first_id, a.src as second_id, b.src as third_id from {edges} a join {edges} b on b.dst = a.src where a.kind = 'caller' and b.kind = 'caller' and b.src <> a.dst and a.dst in (select id from {decls} where k < 2)",
     "gr03_resolve": "select b.id, case when h.id is not null then 'current' when m.to_id is not null then 'moved' else 'gone' end as status, coalesce(h.id, m.to_id, '') as now_id from {base_decls} b left join {head_decls} h on b.id = h.id left join {moved} m on b.id = m.from_id",
+    "gr06_closure": "with i as (select src, dst from {imports}), two as (select a.src, b.dst from i a join i b on a.dst = b.src) select src, dst from i union select src, dst from two where src <> dst union select t.src, c.dst from two t join i c on t.dst = c.src where t.src <> c.dst",
     "gr07_owner": "select d.id, max(f.prefix) as owner from {decls} d join (select distinct substr(path, 1, 2) as prefix from {files} union select distinct split_part(path, '/', 1) from {files}) f on d.path like f.prefix || '%' group by d.id",
     "sc01_tier": "select id, case when lines > 120 then 2 when lines > 60 then 1 else 0 end as severity, case when lines > 120 then 'high limit' else 'limit' end as word from {decls}",
     "sc02_percent": "select pkg, cast(round(i * 100) as bigint) as pct from {instability}",
@@ -104,6 +105,7 @@ SQL: dict[str, str] = {
     "sc04_band": "select id, least(case when complexity >= 3 then 1 else 0 end + case when complexity >= 6 then 1 else 0 end + case when complexity >= 10 then 1 else 0 end + case when complexity >= 20 then 1 else 0 end, 5) as band from {decls}",
     "sc06_lens_value": "select f.pkg, f.path, cast(100 * coalesce(sum(case s.severity when 0 then 1 when 1 then 3 else 9 end), 0) as double) / greatest(max(f.lines), 1) as smells from {files} f left join {findings} s on s.package = f.pkg and s.file = f.path group by f.pkg, f.path",
     "sc07_heat": "select id, case when v <= 0 then 0 else least(5, 1 + cast(floor(cast(4.999 as double) * v / top) as bigint)) end as heat from (select d.id, d.complexity * f.churn as v, max(d.complexity * f.churn) over () as top from {decls} d join {files} f on d.pkg = f.pkg and d.path = f.path) x",
+    "sc08_complexity_reason": "select h.id, case when b.id is not null and h.complexity <> b.complexity then 'complexity ' || cast(h.complexity as string) || ' (' || case when h.complexity > b.complexity then '+' else '' end || cast(h.complexity - b.complexity as string) || ')' when h.complexity > 10 then 'complexity ' || cast(h.complexity as string) else '' end as reason from {head_decls} h left join {base_decls} b on h.id = b.id",
     "sc15_plural": "select pkg, cast(count(*) as string) || case when count(*) = 1 then ' file' else ' files' end as text from {files} group by pkg",
     "sc16_keys": "select rule || '|' || package || '|' || file || '|' || decl || '|' || subject || '|' || target as key, severity from {findings}",
     "sc17_path_codec": "select id, replace(replace(id, '%', '%25'), '~', '%7E') || '~' || replace(name, '~', '%7E') as joined from {decls} where k < 500",
@@ -111,11 +113,14 @@ SQL: dict[str, str] = {
     "ui01_finding_items": "select rule || ': ' || subject as title, case when line = 0 then file else file || ':' || cast(line as string) end as place, detail as body, 'smell|' || rule || '|' || decl || '|' || file as key, package, target from {findings}",
     "ui04_notes_by_line": "select file, side, line, count(*) as n from {notes} where not resolved group by file, side, line",
     "ui05_first_line": "select path, coalesce(min(case when test then null else start_line end), min(start_line)) as first_line from {decls} group by path",
+    "ui06_change_lines": "select id, case when added + deleted > 0 then added else 0 end as added, case when added + deleted > 0 then deleted else 0 end as deleted from {units}",
     "ui07_accept_noise": "select id from {units} where lane = 4 union select id from {reviewed}",
     "ui08_related_refs": "select p.key, q.key as own_key from {prognoses} p join {prognoses} q on p.file = q.target and q.lens = 'tests' where p.lens = 'health'",
     "ui09_inbox_split": "select repo, case when sum(case when lane <= 1 and not reviewed then 1 else 0 end) > 0 then 'Needs reading' else 'Skim' end as part from {repo_units} group by repo",
     "ui10_unit_cards": "select id, lane, risk, change || ' ' || kind as label from {units}",
     "ui11_atlas_base": "select id from {units} where change <> 'added'",
+    "rv01_routes": "select path, case when path not like '%.go' and path not like '%.py' and path not like '%.ts' then 'file' when path like '%gen%' then 'file' else 'decls' end as route from {tree}",
+    "rv11_merged_moves": "select m.from_id, m.to_id, case when o.lines = n.lines and o.signature = n.signature then 'moved' else 'modified' end as change, 'moved from ' || m.from_path as reason from {moved} m join {base_decls} o on o.id = m.from_id join {head_decls} n on n.id = m.to_id",
     "rv04_loose_units": "select h.path || '#file' as id, cast(sum(h.n) as bigint) as n, 4 as lane from {base_hunks} h where not exists (select 1 from {head_decls} d where d.path = h.path) group by h.path",
     "rv05_file_units": "select path as id, cast(floor(least(sum(n), 40) / 4) as bigint) as risk from {head_hunks} group by path",
     "rv06_file_lanes": "select path, case when path like '%go.sum' then 4 when path in ('go.mod', 'Project.toml') then 0 when path like '%Manifest.toml' then 4 when path like 'testdata/%' or path like '%/testdata/%' then 2 when path like '%/go.mod' then 3 when path like '%_test.go' then 2 when path like '%.go' then 1 else 3 end as lane from {tree}",

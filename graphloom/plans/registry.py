@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import graphdiff, prognoses, review, smells, walks
-from graphloom.plans import oracle, portable
+from graphloom.plans import oracle, portable, texts
 from graphloom.sources.binding import Graph, bound, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +63,7 @@ def queries() -> dict[str, Query]:
         "gr04_ring": _one(lambda g: walks.ring(g, g.decls.where("k < 5"))),
         "gr05_layers": _one(walks.layers),
     }
-    return out | portable.queries()
+    return out | portable.queries() | texts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
@@ -87,7 +87,7 @@ def oracle_sql() -> dict[str, str]:
         "rv02_units": sql(oracle.UNITS),
         "gr04_ring": sql("select start, id, cast(min(hop) as bigint) as hop from (with recursive r as (select id as start, id, 0 as hop from {decls} where k < 5 union select r.start, e.src, r.hop + 1 from r join {edges} e on e.dst = r.id and e.kind = 'caller' where r.hop < 3) select * from r) where id <> start group by start, id"),
     }
-    return out | portable.oracle_sql()
+    return out | portable.oracle_sql() | texts.oracle_sql()
 
 
 def entry(spark: SparkSession) -> DataFrame:
