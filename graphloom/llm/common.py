@@ -160,7 +160,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> W
     return Words(start, end, row, h, lower, sums)
 
 
-def batches(data: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches(data: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that one holds about `limit` bytes at most, but one row at least."""
     for batch in data:
         if batch.nbytes <= limit or batch.num_rows <= 1:
@@ -170,3 +170,16 @@ def batches(data: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa
         rows = max(1, int(batch.num_rows * limit / batch.nbytes))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def merged(data: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Joins small batches of short rows, so that work for each batch is done less often."""
+    held: list[pa.RecordBatch] = []
+    for batch in data:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
