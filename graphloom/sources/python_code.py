@@ -20,9 +20,11 @@ BRANCH = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp
 NEST = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.TryStar, ast.Match)
 DECLS = (
     "path string, pkg string, name string, short string, kind string, test boolean, exported boolean, start_line bigint, end_line bigint, lines bigint, complexity bigint, nesting bigint, "
-    "params bigint, signature string, shape string, deprecated boolean, ord bigint, refs array<struct<name:string,kind:string>>, imports array<string>, error string"
+    "params bigint, signature string, shape string, deprecated boolean, ord bigint, refs array<struct<name:string,kind:string>>, imports array<string>, mods array<string>, error string"
 )
 
+NAMES = [x.split(" ")[0] for x in re.split(r", (?=\w+ (?:string|boolean|bigint|array))", DECLS)]
+
 
 def is_test(path: str) -> bool:
     *dirs, base = path.split("/")
@@ -123,9 +125,10 @@ def _rows(path: str, text: str, module: str) -> Iterator[tuple]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError) as e:
-        yield path, package(path, module), "", "", "", is_test(path), False, 0, 0, 0, 0, 0, 0, "", "", False, 0, [], [], str(e)
+        yield path, package(path, module), "", "", "", is_test(path), False, 0, 0, 0, 0, 0, 0, "", "", False, 0, [], [], [], str(e)
         return
     lines, imports = text.splitlines(), imports_of(tree, path)
+    mods = [package(path, module), re.sub(r"(^src/|\.py$)", "", path).replace("/", ".")]
     for k, d in enumerate(declarations(tree)):
         node, decorators = d.node, getattr(d.node, "decorator_list", [])
         start = min([node.lineno, *(x.lineno for x in decorators)])
@@ -140,7 +143,7 @@ def _rows(path: str, text: str, module: str) -> Iterator[tuple]:
         old = any("deprecated" in ast.unparse(x).lower() for x in decorators)
         yield (
             path, package(path, module), d.name, short, d.kind, is_test(path), d.exported, start, node.end_lineno, code_lines(lines, start, node.end_lineno), complexity(node) if fn else 0, nesting(node) if fn else 0,
-            n, signature, shape, old, k, [{"name": a, "kind": b} for a, b in refs], imports, "",
+            n, signature, shape, old, k, [{"name": a, "kind": b} for a, b in refs], imports, mods, "",
         )
 
 
@@ -148,10 +151,8 @@ def extract(files: DataFrame, module: str) -> DataFrame:
     """Declarations with raw references of rows (path, text)."""
 
     def run(data: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split(" ")[0] for x in re.split(r", (?=\w+ (?:string|boolean|bigint|array))", DECLS)]
         for t in data:
-            rows = [r for p, x in zip(t["path"], t["text"], strict=True) for r in _rows(p, x or "", module)]
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame([r for p, x in zip(t["path"], t["text"], strict=True) for r in _rows(p, x or "", module)], columns=NAMES)
 
     return files.select("path", "text").mapInPandas(run, DECLS)
 
@@ -161,8 +162,7 @@ def link(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     same = Window.partitionBy("pkg", "name").orderBy("path", "ord")
     d = found.where("error = ''").withColumn("n", F.row_number().over(same))
     d = d.withColumn("id", F.concat("pkg", F.lit("."), "name", F.when(F.col("n") > 1, F.concat(F.lit("#"), "n")).otherwise("")))
-    module = F.regexp_replace("path", r"(^src/|\.py$)", "")
-    modules = d.select("pkg", F.regexp_replace(module, "/", ".").alias("mod")).union(d.select("pkg", F.col("pkg").alias("mod"))).distinct()
+    modules = d.select("pkg", F.explode("mods").alias("mod")).distinct()
     seen = d.select("path", "pkg", F.explode("imports").alias("mod")).distinct().join(modules.withColumnRenamed("pkg", "to"), "mod").select("path", "pkg", "to").distinct()
     visible = seen.select("path", "to").union(d.select("path", F.col("pkg").alias("to"))).distinct()
     refs = d.select(F.col("id").alias("src"), "path", "pkg", F.explode("refs").alias("r")).select("src", "path", "pkg", F.col("r.name").alias("short"), F.col("r.kind").alias("kind"))
@@ -177,8 +177,8 @@ def link(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return d, edges, imports
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path (below the root) and text of every .py file under a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
+def read_tree(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
+    """path (below the root) and text of every file of a pattern under a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     at = F.instr("path", root.rstrip("/") + "/") + len(root.rstrip("/")) + 1
     return files.select(F.substr("path", at).alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"))

@@ -6,31 +6,65 @@ from graphloom.plans.engine import Engine
 from graphloom.sources import diffs, python_code, store
 from graphloom.streaming.live import Epochs, fingerprint, watch
 
-CART = 'from app.core.price import price\nfrom .item import Item\n\n\ndef total(items):\n    """Sum a cart."""\n    s = 0\n    for it in items:\n        if it.qty > 0 and it.live:\n            s += price(it)\n    return s\n\n\ndef _unused():\n    pass\n\n\nclass Cart:\n    def add(self, i: Item) -> None:\n        total([i])\n'
+DESK = """import math
+from lib.fees.late import late
+from .loan import Loan, DAYS
+
+
+class Desk(Base):
+    limit = 3
+
+    @property
+    def full(self) -> bool:
+        return self.count >= self.limit
+
+    def lend(self, x: Loan, *more: Loan):
+        # a comment
+        settle([x], today=DAYS)
+
+
+async def settle(loans, *, today=0):
+    "What a reader owes."
+    owed = 0
+    while loans:
+        x = loans.pop()
+        try:
+            if x and x.due < today or today < 0:
+                owed += late(x)
+        except KeyError:
+            owed = max(o for o in [owed] if o)
+    return owed
+
+
+def _hidden():
+    return math.pi
+"""
 FILES = {
-    "app/cart.py": CART,
-    "app/item.py": "LIMIT = 10\n\n\nclass Item:\n    qty = 0\n",
-    "app/test_cart.py": "from app.cart import total\n\n\ndef test_total():\n    assert total([]) == 0\n",
-    "app/core/price.py": "from x import deprecated\n\n\n@deprecated\ndef price(i):\n    return 1 if i else 2\n",
-    "app/broken.py": "def (:\n",
+    "lib/desk.py": DESK,
+    "lib/loan.py": "DAYS = 30\n_INNER: int = 1\nlower = 2\n\n\nclass Loan:\n    due = 0\n",
+    "lib/tests/check.py": "from lib.desk import settle\n\n\ndef check():\n    return settle([])\n",
+    "lib/fees/late.py": "from x import deprecated\n\n\n@deprecated(\"x\")\ndef late(x, rate=1):\n    return rate if x.due else 0\n",
+    "lib/broken.py": "def (:\n",
 }
 
 
 def test_python_frontend(spark):
     files = spark.createDataFrame(list(FILES.items()), "path string, text string")
-    found = python_code.extract(files, "shop").persist()
+    found = python_code.extract(files, "app").persist()
     decls, edges, imports = python_code.link(found)
     d = {r.id: r for r in decls.collect()}
-    total = d["app.total"]
-    assert (total.kind, total.exported, total.start_line, total.end_line, total.lines, total.complexity, total.nesting, total.params) == ("func", True, 5, 11, 7, 4, 2, 1)
-    assert not d["app._unused"].exported and d["app.Cart.add"].kind == "method" and d["app.Cart.add"].params == 1 and d["app.LIMIT"].kind == "const"
-    price = d["app.core.price"]
-    assert price.deprecated and price.start_line == 4 and price.complexity == 2
+    s = d["lib.settle"]
+    assert (s.kind, s.exported, s.test, s.start_line, s.end_line, s.complexity, s.nesting, s.params) == ("func", True, False, 18, 28, 8, 3, 2)
+    assert s.lines == 11 and not d["lib._hidden"].exported and d["lib.Desk.lend"].kind == "method" and d["lib.Desk.lend"].params == 2 and d["lib.Desk.full"].params == 0
+    assert d["lib.Desk.lend"].lines == 2 and d["lib.Desk.full"].start_line == 9
+    assert d["lib.DAYS"].kind == "const" and not d["lib._INNER"].exported and "lib.lower" not in d and d["lib.tests.check"].test
+    late = d["lib.fees.late"]
+    assert (late.deprecated, late.start_line, late.complexity, late.params) == (True, 4, 2, 2)
     e = {(r.src, r.dst, r.kind) for r in edges.collect()}
-    assert {s for s, t, k in e if t == "app.total" and k == "caller"} == {"app.Cart.add", "app.test_total"}
-    assert {s for s, t, k in e if t == "app.core.price"} == {"app.total"} and ("app.Cart.add", "app.Item", "user") in e
-    assert {tuple(r) for r in imports.collect()} == {("app", "app.core")}
-    assert found.where("error <> ''").select("path").collect()[0].path == "app/broken.py"
+    assert {s for s, t, k in e if t == "lib.settle" and k == "caller"} == {"lib.Desk.lend", "lib.tests.check"}
+    assert {s for s, t, k in e if t == "lib.fees.late"} == {"lib.settle"} and ("lib.Desk.lend", "lib.Loan", "user") in e and ("lib.Desk.lend", "lib.DAYS", "caller") in e
+    assert {tuple(r) for r in imports.collect()} == {("lib", "lib.fees")}
+    assert found.where("error <> ''").select("path").collect()[0].path == "lib/broken.py"
 
 
 DIFF = """diff --git a/x.go b/x.go
