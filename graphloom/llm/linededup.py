@@ -70,7 +70,7 @@ def chunks(raw: np.ndarray, offsets: np.ndarray) -> Chunks:
     if not len(start):
         return Chunks(none, none, none, none, none, none, np.zeros(0, np.int64))
     row = np.searchsorted(offsets, start, side="right") - 1
-    lines = np.zeros(n + 1, np.int64)
+    lines = np.zeros(n + 1, np.int32)
     np.cumsum(raw == 10, out=lines[1:])
     begins = np.ones(len(start), bool)
     begins[1:] = (row[1:] != row[:-1]) | (lines[start[1:]] > lines[end[:-1]]) | _END[raw[end[:-1] - 1]]
@@ -211,32 +211,38 @@ def cleaned(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int
     """`docs` with their cleaned text, n_pieces, n_removed, and emptied (it had pieces and has none left)."""
     names = [c for c in docs.columns if c not in ("n_pieces", "n_removed", "emptied")]
     docs = docs.select(names)
-    lost = written(removals(docs, id, text)).withColumnsRenamed({"d": "__d", "th": "__h"})
+    lost = written(removals(docs, id, text)).withColumnsRenamed({"d": "__d", "th": "__h", "lost": "__lost"})
     bits = docs.sparkSession.sparkContext.broadcast(_bits(lost, _key(F.col("__d"), F.col("__h"))))
     own = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     own = own.withColumn("__key", _key(F.col(id), F.col("__th")))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "n_pieces bigint", "n_removed bigint", "emptied boolean"])
     where, key = names.index(text), len(names)
 
-    def chosen(may: bool):
-        def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in data:
-                hit = _within(bits.value, batch.column(key + 1).to_numpy(zero_copy_only=False))
-                if (some := batch.filter(pa.array(hit == may))).num_rows:
-                    yield some
+    def chosen(batch: pa.RecordBatch, may: bool) -> pa.RecordBatch:
+        """Rows that may lose something, or those that can't."""
+        return batch.filter(pa.array(_within(bits.value, batch.column(key + 1).to_numpy(zero_copy_only=False)) == may))
 
-        return run
+    def out(batch: pa.RecordBatch, given: pa.Array | None) -> pa.RecordBatch:
+        new, *counts = _cleaned_batch(batch, where, given, least)
+        return pa.RecordBatch.from_arrays([*(new if i == where else batch.column(i) for i in range(len(names))), *counts], names=[*names, "n_pieces", "n_removed", "emptied"])
 
-    def make(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def untouched(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(data):
-            given = batch.column(key) if batch.num_columns == key + 1 else None
-            new, *counts = _cleaned_batch(batch, where, given, least)
-            yield pa.RecordBatch.from_arrays([*(new if i == where else batch.column(i) for i in range(len(names))), *counts], names=[*names, "n_pieces", "n_removed", "emptied"])
-
-    whole = own.mapInArrow(chosen(False), own.schema).mapInArrow(make, schema)
-    some = own.mapInArrow(chosen(True), own.schema).drop("__key")
-    joined = some.join(lost, some[id].eqNullSafe(lost["__d"]) & (some["__th"] == lost["__h"]), "left").select(*names, "lost")
-    return whole.unionByName(joined.mapInArrow(make, schema))
+            if (some := chosen(batch, False)).num_rows:
+                yield out(some, None)
+
+    def touched(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in data:
+            if (some := chosen(batch, True)).num_rows:
+                yield some
+
+    def cut(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(data):
+            yield out(batch, batch.column(key))
+
+    some = own.mapInArrow(touched, own.schema).drop("__key")
+    joined = some.join(lost, some[id].eqNullSafe(lost["__d"]) & (some["__th"] == lost["__h"]), "left").select(*names, "__lost")
+    return own.mapInArrow(untouched, schema).unionByName(joined.mapInArrow(cut, schema))
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
