@@ -104,8 +104,8 @@ class Graph:
         return self.spark.sql(text, **known, **more)
 
     def kept(self) -> Graph:
-        """The same graph with declarations, edges and files persisted: for plans that read them many times."""
-        for name in ("decls", "edges", "files"):
+        """The same graph with its tables persisted: for plans that read them many times."""
+        for name in ("decls", "edges", "files", "imports", "refs"):
             self.given.setdefault(name, self._table(name).persist())
             self.__dict__.pop(name, None)
         return self
