@@ -35,8 +35,8 @@ from graphloom.llm.common import _BYTE, _SPACE, _power_tables, _splitmix, batche
 
 LONG = 25
 LEAST = 18
-#: Bits of the bitmaps of repeated chunks and of documents that lose some (8 MB each).
-FILTER = 1 << 26
+#: Bits of the bitmap of repeated chunks (8 MB), and buckets that tell which documents may lose some.
+FILTER, BUCKETS = 1 << 26, 1 << 20
 _END = np.zeros(256, bool)
 _END[[33, 46, 63]] = True
 
@@ -131,10 +131,6 @@ def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
 
 
-def _key(d: Column, th: Column) -> Column:
-    return F.xxhash64(d, th)
-
-
 def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """d, th (a hash of the text) and the numbers of chunks that a document has to lose, if they are many words together."""
     spark = docs.sparkSession
@@ -212,37 +208,30 @@ def cleaned(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int
     names = [c for c in docs.columns if c not in ("n_pieces", "n_removed", "emptied")]
     docs = docs.select(names)
     lost = written(removals(docs, id, text)).withColumnsRenamed({"d": "__d", "th": "__h", "lost": "__lost"})
-    bits = docs.sparkSession.sparkContext.broadcast(_bits(lost, _key(F.col("__d"), F.col("__h"))))
+    # documents of no such bucket lose nothing and are not shuffled; at most BUCKETS numbers are broadcast
+    bucket = lambda d, th: F.pmod(F.xxhash64(d, th), F.lit(BUCKETS))
+    some = F.broadcast(lost.select(bucket(F.col("__d"), F.col("__h")).alias("__bucket")).distinct())
     own = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    own = own.withColumn("__key", _key(F.col(id), F.col("__th")))
+    own = own.withColumn("__bucket", bucket(F.col(id), F.col("__th")))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "n_pieces bigint", "n_removed bigint", "emptied boolean"])
     where, key = names.index(text), len(names)
 
-    def chosen(batch: pa.RecordBatch, may: bool) -> pa.RecordBatch:
-        """Rows that may lose something, or those that can't."""
-        return batch.filter(pa.array(_within(bits.value, batch.column(key + 1).to_numpy(zero_copy_only=False)) == may))
-
     def out(batch: pa.RecordBatch, given: pa.Array | None) -> pa.RecordBatch:
         new, *counts = _cleaned_batch(batch, where, given, least)
         return pa.RecordBatch.from_arrays([*(new if i == where else batch.column(i) for i in range(len(names))), *counts], names=[*names, "n_pieces", "n_removed", "emptied"])
 
     def untouched(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(data):
-            if (some := chosen(batch, False)).num_rows:
-                yield out(some, None)
-
-    def touched(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in data:
-            if (some := chosen(batch, True)).num_rows:
-                yield some
+            yield out(batch, None)
 
     def cut(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(data):
             yield out(batch, batch.column(key))
 
-    some = own.mapInArrow(touched, own.schema).drop("__key")
-    joined = some.join(lost, some[id].eqNullSafe(lost["__d"]) & (some["__th"] == lost["__h"]), "left").select(*names, "__lost")
-    return own.mapInArrow(untouched, schema).unionByName(joined.mapInArrow(cut, schema))
+    rest = own.join(some, "__bucket", "left_anti").select(names).mapInArrow(untouched, schema)
+    own = own.join(some, "__bucket", "left_semi")
+    joined = own.join(lost, own[id].eqNullSafe(lost["__d"]) & (own["__th"] == lost["__h"]), "left").select(*names, "__lost")
+    return rest.unionByName(joined.mapInArrow(cut, schema))
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
