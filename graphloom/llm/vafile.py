@@ -5,8 +5,8 @@ blocks is one task of bounded size. In a task every component is quantised to on
 of the cells gives an upper bound of each inner product, and exact vectors are read in order of that
 bound until the k-th score is above every bound that is left. A query's best of each block meet then.
 
-Rows are hashed to blocks by vec_id and vector, so no block grows with a frequent key; rows that
-repeat exactly share a block, which then holds them all, but a block's memory is bounded by slices.
+Rows are hashed to blocks by vec_id and vector, so no block grows with a frequent vector; only rows of
+one vec_id that repeat exactly share a block. What a block computes is bounded by slices of it.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and rows without
 vec_id, take no part; vectors of different lengths are not compared; a query given by several equal
