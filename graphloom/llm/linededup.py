@@ -1,21 +1,26 @@
 """Line dedup by content-defined chunks of lines.
 
-A text is cut into pieces: lines, and within a line sentences, so that a passage inside a long line is
-found too. A rolling hash over the hashes of a piece and the one before it ends a chunk after the
-piece in two of three cases; as the choice depends on the content near by only, the same passage is
-cut alike wherever it stands. A piece of LONG words or more stands alone.
+A text is cut into chunks at each newline, and within a line before a word where the hash of the bytes
+of the word before it and its own says so (one place in eight). A cut depends on two words only, so a
+passage is cut alike wherever it stands, whatever its punctuation and whatever stands beside it.
 
 1. Chunk hashes are counted over all documents, with the least id that has one.
-2. A bitmap of fixed size tells nearly all chunks that stand once; the others send their bytes to
-   where their hash is, and are compared with those of the document of the least id.
+2. A bitmap of fixed size tells nearly all chunks that stand once; the others, and those beside them,
+   send their bytes to where their hash is, and are compared with those of the document of the least id.
 3. That document keeps a repeated chunk at its first place. All other places lose it where
    consecutive repeated chunks have at least LEAST words together, so short stock lines stay. What is
    removed goes with the white space after it. Only documents that lose something are shuffled.
+4. A run of such chunks goes on at both ends, word by word, as far as the next chunk and the one that
+   stands there in the document that keeps it are the same; a passage has no cut beyond its last one, so
+   that is all of it. A next chunk that is repeated itself, and kept here, stays whole.
+
+A passage in the midst of lines is found if it has two cuts, as 99.6 % of those of 60 words have
+(98.8 % of those of 50, 99.96 % of those of 80). Whole lines have a cut at both ends and are always found.
 
 A hash that two different repeated chunks share (64 bits) is resolved for the bytes of the least id;
 the other stays. The bitmap only saves shuffling: where it is full, all chunks are compared.
 
-Defined cases: a null text stays null, an empty one empty; a document that loses all its pieces has an
+Defined cases: a null text stays null, an empty one empty; a document that loses all its chunks has an
 empty text, and `dedup` drops it; rows of one id are one document: what it keeps, each row of it keeps;
 a document without an id gives way to any that has one, and keeps what only such share; an empty table
 gives an empty one; further columns are kept.
@@ -23,6 +28,7 @@ gives an empty one; further columns are kept.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,12 +39,11 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import _BYTE, _SPACE, _power_tables, _splitmix, batches, text_buffer, tune, written
 
-LONG = 25
 LEAST = 18
+#: Of 256 places between words, so many are cuts.
+CUTS = 32
 #: Bits of the bitmap of repeated chunks (8 MB), and buckets that tell which documents may lose some.
 FILTER, BUCKETS = 1 << 26, 1 << 20
-_END = np.zeros(256, bool)
-_END[[33, 46, 63]] = True
 
 
 @dataclass
@@ -50,7 +55,6 @@ class Chunks:
     end: np.ndarray
     after: np.ndarray
     words: np.ndarray
-    pieces: np.ndarray
     hash: np.ndarray
 
 
@@ -58,7 +62,7 @@ def chunks(raw: np.ndarray, offsets: np.ndarray) -> Chunks:
     n = len(raw)
     none = np.zeros(0, np.int64)
     if n == 0:
-        return Chunks(none, none, none, none, none, none, np.zeros(0, np.int64))
+        return Chunks(none, none, none, none, none, none)
     ink = ~_SPACE[raw]
     cut = np.zeros(n, bool)
     cut[offsets[1:-1][offsets[1:-1] < n]] = True
@@ -68,37 +72,23 @@ def chunks(raw: np.ndarray, offsets: np.ndarray) -> Chunks:
     last[:-1] &= ~ink[1:] | cut[1:]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1  # of words
     if not len(start):
-        return Chunks(none, none, none, none, none, none, np.zeros(0, np.int64))
+        return Chunks(none, none, none, none, none, none)
     row = np.searchsorted(offsets, start, side="right") - 1
     lines = np.zeros(n + 1, np.int32)
     np.cumsum(raw == 10, out=lines[1:])
-    begins = np.ones(len(start), bool)
-    begins[1:] = (row[1:] != row[:-1]) | (lines[start[1:]] > lines[end[:-1]]) | _END[raw[end[:-1] - 1]]
-    p = np.flatnonzero(begins)  # the first word of each piece
-    p_words = np.diff(np.append(p, len(start)))
-    p_start, p_end, p_row = start[p], end[np.append(p[1:], len(start)) - 1], row[p]
     up, down = _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
     hashed = lambda a, b: _splitmix((sums[b] - sums[a]) * down[a] ^ (b - a).astype(np.uint64))
-    h = hashed(p_start, p_end)
-    before = np.zeros(len(h), np.uint64)
-    same = p_row[1:] == p_row[:-1]
-    before[1:][same] = h[:-1][same]
-    rolled = _splitmix(h * np.uint64(0x9E3779B97F4A7C15) + before)
-    close = (rolled >> np.uint64(48)) < np.uint64(43690)
-    long = p_words >= LONG
-    close |= long
-    close[:-1] |= long[1:] | ~same
-    close[-1] = True
-    tail = np.flatnonzero(close)
-    head = np.append(0, tail[:-1] + 1)
-    total = np.append(0, np.cumsum(p_words))
-    c_row, c_start, c_end = p_row[head], p_start[head], p_end[tail]
+    begins = np.ones(len(start), bool)
+    begins[1:] = (row[1:] != row[:-1]) | (lines[start[1:]] > lines[end[:-1]]) | ((hashed(start[:-1], end[1:]) >> np.uint64(56)) < CUTS)
+    head = np.flatnonzero(begins)  # the first word of each chunk
+    tail = np.append(head[1:], len(start))
+    c_row, c_start, c_end = row[head], start[head], end[tail - 1]
     after = offsets[1:][c_row].copy()
     again = c_row[1:] == c_row[:-1]
     after[:-1][again] = c_start[1:][again]
-    return Chunks(c_row, c_start, c_end, after, total[tail + 1] - total[head], tail - head + 1, hashed(c_start, c_end).view(np.int64))
+    return Chunks(c_row, c_start, c_end, after, tail - head, hashed(c_start, c_end).view(np.int64))
 
 
 def _numbers(c: Chunks) -> np.ndarray:
@@ -132,7 +122,8 @@ def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """d, th (a hash of the text) and the numbers of chunks that a document has to lose, if they are many words together."""
+    """d, th (a hash of the text), the numbers of chunks that a document has to lose, if they are many words together, and
+    ends: beside chunk i on this side (1: after, -1: before) the keeping document has the chunk `body`."""
     spark = docs.sparkSession
     tune(spark)
     rows = _keyed(docs, id, text)
@@ -151,30 +142,62 @@ def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
         for batch in batches(data):
             raw, at = text_buffer(batch.column(2))
             c = chunks(raw, at)
-            keep = np.flatnonzero(_within(bits.value, c.hash))
+            found, same = _within(bits.value, c.hash), c.row[1:] == c.row[:-1]
+            sent = found.copy()
+            sent[1:] |= found[:-1] & same
+            sent[:-1] |= found[1:] & same
+            keep = np.flatnonzero(sent)
             own, number = c.row[keep], _numbers(c)[keep]
-            pair = np.stack([own, c.hash[keep]], axis=1)
-            first = np.zeros(len(keep), bool)
-            first[np.unique(pair, axis=0, return_index=True)[1]] = True
+            order = np.lexsort((c.hash[keep], own))
+            one, two = own[order], c.hash[keep][order]
+            first = np.ones(len(keep), bool)
+            first[order[1:]] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
             data_ = raw.tobytes()
             body = [data_[a:b] for a, b in zip(c.start[keep].tolist(), c.end[keep].tolist(), strict=True)]
             own = pa.array(own)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(number.astype(np.int32)), pa.array(~first), pa.array(c.hash[keep]), pa.array(body, pa.binary())], names=["d", "th", "i", "again", "h", "body"])
 
-    places = rows.mapInArrow(bodies, f"d {kind}, th bigint, i int, again boolean, h bigint, body binary").join(repeated, "h")
-    places = written(places)
-    kept = places.where(F.col("d").eqNullSafe(F.col("first")) & ~F.col("again")).select("h", "body").groupBy("h").agg(F.min("body").alias("kept"))
-    lost = places.join(kept, "h").where((F.col("body") == F.col("kept")) & (~F.col("d").eqNullSafe(F.col("first")) | F.col("again")))
-    return lost.groupBy("d", "th").agg(F.collect_set("i").alias("lost"))
-
-
-def _cleaned_batch(batch: pa.RecordBatch, where: int, lost: pa.Array | None, least: int) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
-    """New texts, pieces, removed pieces, and whether a text lost all that it had."""
+    places = rows.mapInArrow(bodies, f"d {kind}, th bigint, i int, again boolean, h bigint, body binary")
+    places = written(places.join(repeated.withColumn("many", F.lit(True)), "h", "left"))
+    many = places.where("many")
+    kept = many.where(F.col("d").eqNullSafe(F.col("first")) & ~F.col("again")).groupBy("h").agg(F.min(F.struct("body", "th", "i")).alias("kept"))
+    gone = (F.col("body") == F.col("kept.body")) & (~F.col("d").eqNullSafe(F.col("first")) | F.col("again"))
+    each = many.join(kept, "h").select("d", "th", F.struct("i", gone.alias("gone"), F.col("first").alias("f"), F.col("kept.th").alias("fth"), F.col("kept.i").alias("j")).alias("x"))
+    each = written(each)  # frees what was shuffled for it
+    runs = each.groupBy("d", "th").agg(F.sort_array(F.collect_set("x")).alias("x")).where(F.exists("x", lambda x: x["gone"]))
+    runs = written(runs)
+
+    def ends(side: int) -> Column:
+        alone = lambda x, k: x["gone"] & F.coalesce(F.get("x", k + side)["i"] != x["i"] + side, F.lit(True))
+        return F.transform(F.filter("x", alone), lambda x: F.struct(x["i"].alias("i"), F.lit(side).alias("side"), x["f"].alias("f"), x["fth"].alias("fth"), (x["j"] + side).alias("j")))
+
+    edges = runs.select("d", "th", F.explode(F.concat(ends(1), ends(-1))).alias("e")).select("d", "th", "e.*")
+    edges = written(edges)
+    # only documents of such buckets are shuffled; at most BUCKETS numbers are broadcast
+    wanted = F.broadcast(edges.select(F.pmod("fth", F.lit(BUCKETS)).alias("bucket")).distinct())
+    beside = places.withColumn("bucket", F.pmod("th", F.lit(BUCKETS))).join(wanted, "bucket", "left_semi")
+    beside = beside.select(F.col("d").alias("pd"), F.col("th").alias("fth"), F.col("i").alias("j"), "body")
+    beside = edges.join(beside, ["fth", "j"]).where(F.col("f").eqNullSafe(F.col("pd"))).groupBy("d", "th").agg(F.collect_set(F.struct("i", "side", "body")).alias("ends"))
+    beside = beside.withColumnsRenamed({"d": "bd", "th": "bth"})
+    lost = F.transform(F.filter("x", lambda x: x["gone"]), lambda x: x["i"])
+    return runs.select("d", "th", lost.alias("lost")).join(beside, F.col("d").eqNullSafe(F.col("bd")) & (F.col("th") == F.col("bth")), "left").select("d", "th", "lost", "ends")
+
+
+def _common(own: bytes, other: bytes) -> int:
+    """Bytes of the whole words that both begin with."""
+    n = len(os.path.commonprefix([own, other]))
+    while n and ((n < len(own) and not _SPACE[own[n]]) or (n < len(other) and not _SPACE[other[n]])):
+        n -= 1
+    return len(own[:n].rstrip())
+
+
+def _cleaned_batch(batch: pa.RecordBatch, where: int, lost: pa.Array | None, ends: pa.Array | None, least: int) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """New texts, chunks, chunks removed whole, and whether a text lost all that it had."""
     column = batch.column(where)
     raw, at = text_buffer(column)
     c = chunks(raw, at)
     n = batch.num_rows
-    total = np.bincount(c.row, c.pieces, minlength=n).astype(np.int64)
+    total = np.bincount(c.row, minlength=n).astype(np.int64)
     gone = np.zeros(n, np.int64)
     if lost is None:
         return column, pa.array(total), pa.array(gone), pa.array(np.zeros(n, bool))
@@ -190,12 +213,25 @@ def _cleaned_batch(batch: pa.RecordBatch, where: int, lost: pa.Array | None, lea
         flag = np.zeros(b - a + 2, bool)
         flag[np.array(numbers) + 1] = True
         edge = np.flatnonzero(flag[1:] != flag[:-1])  # runs are [edge 0, edge 1), [edge 2, edge 3), ...
+        beside = {(e["i"], e["side"]): e["body"] for e in ends[r].as_py() or ()}
+        text = lambda k: raw[c.start[k] : c.end[k]].tobytes()  # noqa: B023, E731
         parts, done = [], at[r]
         for lo, hi in zip(edge[::2], edge[1::2], strict=True):
-            if c.words[a + lo : a + hi].sum() >= least:
-                parts.append(raw[done : c.start[a + lo]])
-                done = c.after[a + hi - 1]
-                gone[r] += c.pieces[a + lo : a + hi].sum()
+            words, begin, to = c.words[a + lo : a + hi].sum(), c.start[a + lo], c.after[a + hi - 1]
+            if lo and (other := beside.get((lo, -1))):
+                own = text(a + lo - 1)
+                k = _common(own[::-1], other[::-1])
+                if k:
+                    words, begin = words + len(own[len(own) - k :].split()), c.end[a + lo - 1] - k
+            if a + hi < b and (other := beside.get((hi - 1, 1))):
+                own = text(a + hi)
+                k = _common(own, other)
+                if k:
+                    words, to = words + len(own[:k].split()), c.after[a + hi] if k == len(own) else c.end[a + hi] - len(own[k:].lstrip())
+            if words >= least:
+                parts.append(raw[done : max(begin, done)])
+                done = to
+                gone[r] += hi - lo
         parts.append(raw[done : at[r + 1]])
         new = b"".join(x.tobytes() for x in parts).decode() if gone[r] else texts[r]
         empty[r] = gone[r] > 0 and not new.strip()
@@ -207,7 +243,7 @@ def cleaned(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int
     """`docs` with their cleaned text, n_pieces, n_removed, and emptied (it had pieces and has none left)."""
     names = [c for c in docs.columns if c not in ("n_pieces", "n_removed", "emptied")]
     docs = docs.select(names)
-    lost = written(removals(docs, id, text)).withColumnsRenamed({"d": "__d", "th": "__h", "lost": "__lost"})
+    lost = written(removals(docs, id, text)).withColumnsRenamed({"d": "__d", "th": "__h", "lost": "__lost", "ends": "__ends"})
     # documents of no such bucket lose nothing and are not shuffled; at most BUCKETS numbers are broadcast
     bucket = lambda d, th: F.pmod(F.xxhash64(d, th), F.lit(BUCKETS))
     some = F.broadcast(lost.select(bucket(F.col("__d"), F.col("__h")).alias("__bucket")).distinct())
@@ -216,21 +252,21 @@ def cleaned(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "n_pieces bigint", "n_removed bigint", "emptied boolean"])
     where, key = names.index(text), len(names)
 
-    def out(batch: pa.RecordBatch, given: pa.Array | None) -> pa.RecordBatch:
-        new, *counts = _cleaned_batch(batch, where, given, least)
+    def out(batch: pa.RecordBatch, *given: pa.Array | None) -> pa.RecordBatch:
+        new, *counts = _cleaned_batch(batch, where, *given, least)
         return pa.RecordBatch.from_arrays([*(new if i == where else batch.column(i) for i in range(len(names))), *counts], names=[*names, "n_pieces", "n_removed", "emptied"])
 
     def untouched(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(data):
-            yield out(batch, None)
+            yield out(batch, None, None)
 
     def cut(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(data):
-            yield out(batch, batch.column(key))
+            yield out(batch, batch.column(key), batch.column(key + 1))
 
     rest = own.join(some, "__bucket", "left_anti").select(names).mapInArrow(untouched, schema)
     own = own.join(some, "__bucket", "left_semi")
-    joined = own.join(lost, own[id].eqNullSafe(lost["__d"]) & (own["__th"] == lost["__h"]), "left").select(*names, "__lost")
+    joined = own.join(lost, own[id].eqNullSafe(lost["__d"]) & (own["__th"] == lost["__h"]), "left").select(*names, "__lost", "__ends")
     return rest.unionByName(joined.mapInArrow(cut, schema))
 
 

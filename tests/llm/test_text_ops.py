@@ -165,6 +165,30 @@ def test_line_dedup_removes_planted_passages_and_leaves_the_rest(spark):
     assert linededup.cleaned(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_line_dedup_finds_passages_inside_lines_whole(spark):
+    import random
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("klmnopqrst", k=6))
+    say = lambda n: " ".join(word() for _ in range(n))
+    danda = lambda n: " ".join(say(15) + "\u0964" for _ in range(n))
+    passages = [say(70) for _ in range(6)] + [f"{say(35)}. {say(35)}." for _ in range(6)] + [danda(5) for _ in range(6)] + [" ".join(f"({say(12)}.)" for _ in range(6)) for _ in range(6)]
+    docs, planted = [], []
+    for i in range(240):
+        before, after, p = say(9), say(9), passages[i % len(passages)]
+        docs.append((i, f"{before} {p} {after}"))
+        planted.append((before, p, after))
+    got = {x.doc_id: x.text for x in linededup.cleaned(spark.createDataFrame(docs, DOCS)).collect()}
+    left = 0
+    for i, (before, p, after) in enumerate(planted):
+        if i < len(passages):
+            assert got[i] == docs[i][1]
+        else:
+            assert got[i].startswith(before + " ") and got[i].endswith(after)
+            left += len(got[i].split()) - 18
+    assert left <= 0.01 * sum(len(p.split()) for _, p, _ in planted[len(passages) :])
+
+
 def test_chunks_cover_texts():
     texts = ["A b c. D e!\nF", " \n", "", "x", "One two. Three\n\nfour " * 50, "é. ü"]
     from graphloom.llm.common import text_buffer
