@@ -3,7 +3,8 @@
 Templates: digits and long hexadecimal runs of a path's segments become wildcards. Level by level,
 under one parent (a host and the template so far), a segment with a small share of a parent with many
 segments is variable and becomes `*`; labelled branches whose rejection rate is close to their
-parent's are statistically alike and merge to `~`. Below DEPTH levels the rest is `**`. A template is
+parent's are statistically alike and merge to `~`. From DEPTH levels on, the rest of a template whose
+labelled URLs are all rejected or none is `**`; the others go on as deep as their paths. A template is
 rejected where its purity, the share of rejected URLs among its labelled ones with one more of either
 kind, is at least LEAST: three labelled URLs, all rejected, are the least evidence that can do so.
 
@@ -23,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import checkpointed
+
 #: (action, host, path): a rule fits the host, its subdomains, and paths that start with its own.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,8 +60,17 @@ def templates(labelled: DataFrame) -> DataFrame:
     """host, masked, template, labelled, blocked, purity of rows (host, masked, blocked 1, 0 or null)."""
     paths = labelled.groupBy("host", "masked").agg(F.count(F.lit(1)).alias("n"), F.count("blocked").alias("seen"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("bad"))
     parts = F.filter(F.split("masked", "/"), lambda s: s != "")
-    tree = paths.withColumn("parts", parts).withColumn("prefix", F.lit(""))
-    for level in range(DEPTH):
+    tree = paths.withColumn("parts", parts).withColumn("prefix", F.lit("")).withColumn("rest", F.lit(False))
+    closed, level = None, 0
+    while True:
+        if level >= DEPTH:
+            of = tree.groupBy("host", "prefix").agg((F.coalesce((F.sum("bad") > 0) & (F.sum("bad") < F.sum("seen")), F.lit(False)) & (F.max(F.size("parts")) > level)).alias("mixed"))
+            tree = checkpointed(tree.join(of, ["host", "prefix"]))
+            done = tree.where("not mixed").drop("mixed").withColumn("rest", F.size("parts") > level)
+            closed = done if closed is None else closed.unionByName(done)
+            tree = tree.where("mixed").drop("mixed")
+            if tree.isEmpty():
+                break
         tree = tree.withColumn("part", F.get("parts", F.lit(level)))
         branch = tree.where(F.col("part").isNotNull()).groupBy("host", "prefix", "part").agg(*(F.sum(c).alias(c) for c in ("n", "seen", "bad")))
         parent = branch.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("p_parts"), *(F.sum(c).alias(f"p_{c}") for c in ("n", "seen", "bad")))
@@ -69,7 +81,8 @@ def templates(labelled: DataFrame) -> DataFrame:
         named = F.when(variable, F.lit("*")).when((F.col("p_parts") > 1) & alike, F.lit("~")).otherwise(F.col("part"))
         tree = tree.join(both.select("host", "prefix", "part", named.alias("named")), ["host", "prefix", "part"], "left")
         tree = tree.withColumn("prefix", F.concat("prefix", F.coalesce(F.concat(F.lit("/"), "named"), F.lit("")))).drop("part", "named")
-    tree = tree.withColumn("template", F.concat("prefix", F.when(F.size("parts") > DEPTH, F.lit("/**")).otherwise(F.lit(""))))
+        level += 1
+    tree = closed.withColumn("template", F.concat("prefix", F.when(F.col("rest"), F.lit("/**")).otherwise(F.lit(""))))
     of = tree.groupBy("host", "template").agg(F.sum("seen").alias("labelled"), F.sum("bad").alias("blocked"))
     of = of.withColumn("purity", (F.col("blocked") + 1.0) / (F.col("labelled") + 2.0))
     return tree.select("host", "masked", "template").join(of, ["host", "template"])

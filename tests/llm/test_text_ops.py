@@ -216,6 +216,15 @@ def brute_rule(url):
     return host, path, max(fits, key=len, default=None)
 
 
+def test_url_templates_go_on_where_deep_branches_differ(spark):
+    rows = [("h", f"/a/b/c/d/{kind}/{i}x{j}", int(kind == "bad")) for kind in ("good", "bad") for i in "pqr" for j in "stu"] + [("h", "/a/b/c/d/bad/y", None), ("h", "/a/b/c/d/good/y", None), ("h", "/a/b/c/d", None)]
+    rows += [("k", f"/a/b/c/{i}/{j}", 1) for i in "pq" for j in "st"]
+    got = {(r.host, r.masked): (r.template, r.purity) for r in urls.templates(spark.createDataFrame(rows, "host string, masked string, blocked int")).collect()}
+    assert len(got) == len(rows)
+    assert got["h", "/a/b/c/d/bad/y"] == ("/a/b/c/d/bad/**", 10 / 11) and got["h", "/a/b/c/d/good/y"] == ("/a/b/c/d/good/**", 1 / 11)
+    assert got["h", "/a/b/c/d"] == ("/a/b/c/d", 0.5) and got["k", "/a/b/c/p/s"] == ("/a/b/c/**", 5 / 6)
+
+
 def test_url_rules_and_templates(spark):
     some = ["http://EXAMPLE.com/en/1", "http://www.example.com/en/2?x", "https://a.b.net/es/3#y", "http://net/fr/", "http://x.org", "http://com", "http://example.com?q=/en/", None, "", "no url", "http://ünï.COM/é/1", "ftp://h.net/de/1"]
     some += [f"http://spam.net/es/{i}" for i in range(9)] + [f"http://spam.net/fr/{i}" for i in range(9)] + [f"http://spam.net/es/p{i}q/x" for i in range(40)]
