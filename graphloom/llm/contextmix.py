@@ -1,8 +1,7 @@
 """Language-model scores by logistic context mixing over hashed-context bit predictors.
 
 A text is a sequence of tokens: its words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, then one end. Texts
-fall in CLASSES classes by their byte pairs (centres are those of a bounded sample of training texts,
-classes of all texts follow from them). Under class g a token has the probability
+fall in CLASSES classes by their byte pairs (centres are found by Lloyd's rounds over all training texts). Under class g a token has the probability
 (1 - f u_g) * c_g / N_g + f (u_g - v) * c / N + f v * S, where c of N training tokens are it, u_g is the
 share of the class's training tokens seen once (Good-Turing's estimate of how often a new word comes),
 v the smaller of that share over all tokens and 0.95 u_g, S the spelling model's probability of its
@@ -40,7 +39,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import _BYTE, _power_tables, _splitmix, merged, text_buffer, tune, words, written
+from graphloom.llm.common import _BYTE, _power_tables, _splitmix, batches, merged, text_buffer, tune, words, written
 
 BITS = 18
 SLOTS = 1 << BITS
@@ -48,8 +47,6 @@ ORDERS = 4
 BLOCK = 12 << 20
 CLASSES = 6
 NOVELTY = (1.0, 0.25, 0.03)
-#: Training texts (those of the least hashes) that centres of classes are found on.
-SAMPLE = 2000
 #: Words of a mini-batch, over which weights stay.
 STEP = 4096
 RATE = 0.5
@@ -237,40 +234,60 @@ def profiles(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.sqrt(h / np.maximum(h.sum(axis=1, keepdims=True), 1))
 
 
-def centres(x: np.ndarray, k: int = CLASSES, rounds: int = 12) -> np.ndarray:
-    """Lloyd's algorithm from centres far from each other; the same for the same rows."""
-    if not len(x):
-        return np.zeros((k, 256))
-    c = [x.mean(axis=0)]
-    near = np.full(len(x), np.inf)
-    for _ in range(k):
-        c.append(x[int(np.argmax(near))] if np.isfinite(near).all() else x[int(np.argmax(((x - c[0]) ** 2).sum(axis=1)))])
-        near = np.minimum(near, ((x - c[-1]) ** 2).sum(axis=1))
-    c = np.array(c[1:])
-    for _ in range(rounds):
-        of = nearest(x, c)
-        c = np.array([x[of == g].mean(axis=0) if (of == g).any() else c[g] for g in range(k)])
-    return c
-
-
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmin((c * c).sum(axis=1)[None, :] - 2 * x @ c.T, axis=1)
 
 
-def _centres(rows: DataFrame) -> np.ndarray:
-    def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in data:
-            if batch.num_rows:
-                p = profiles(*text_buffer(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.float32).tobytes() for x in p], pa.binary())], names=["order", "p"])
-
-    order = F.xxhash64("doc_id", "text")
-    some = rows.where("training").select(order.alias("order")).orderBy("order").limit(SAMPLE).agg(F.max("order")).first()[0]
-    if some is None:
-        return centres(np.zeros((0, 256)))
-    sample = rows.where("training").select(order.alias("order"), "text").where(F.col("order") <= some).orderBy("order").limit(SAMPLE)
-    found = sorted((r.order, r.p) for r in sample.mapInArrow(run, "order bigint, p binary").collect())
-    return centres(np.array([np.frombuffer(p, np.float32) for _, p in found], float))
+def _centres(rows: DataFrame, k: int = CLASSES, rounds: int = 12) -> np.ndarray:
+    """Lloyd's algorithm over all training texts from centres far from each other; the same for the same rows.
+
+    Profiles are written once, in steps of 1/255. Tasks send sums of the texts nearest to each centre, and the one farthest from all.
+    """
+
+    def profile(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(data, 1 << 18):
+            p = np.round(255 * profiles(*text_buffer(batch.column(1)))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in p], pa.binary())], names=["order", "p"])
+
+    seen = written(rows.where("training").select(F.xxhash64("doc_id", "text").alias("order"), "text").mapInArrow(profile, "order bigint, p binary"))
+
+    def passed(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts of each centre, their sums, and the text farthest from its centre."""
+
+        def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, sums, far = np.zeros(len(c), np.int64), np.zeros((len(c), 256)), (-1.0, 0, b"")
+            for batch in data:
+                if not batch.num_rows:
+                    continue
+                x = text_buffer(batch.column(1))[0].reshape(-1, 256) / 255
+                of = nearest(x, c)
+                n += np.bincount(of, minlength=len(c))
+                for g in np.unique(of):
+                    sums[g] += x[of == g].sum(axis=0)
+                away, order = np.round(((x - c[of]) ** 2).sum(axis=1), 9), batch.column(0).to_numpy()
+                i = np.lexsort((order, -away))[0]
+                far = max(far, (float(away[i]), -int(order[i]), batch.column(1)[i].as_py()))
+            if n.sum():
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (n.tobytes(), sums.tobytes(), *far)], names=["n", "sums", "away", "order", "p"])
+
+        found = sorted(seen.mapInArrow(run, "n binary, sums binary, away double, order bigint, p binary").collect(), key=lambda r: (r.away, r.order))
+        n = sum((np.frombuffer(r.n, np.int64) for r in found), np.zeros(len(c), np.int64))
+        sums = sum((np.frombuffer(r.sums).reshape(-1, 256) for r in found), np.zeros((len(c), 256)))
+        return n, sums, np.frombuffer(found[-1].p, np.uint8) / 255 if found else np.zeros(256)
+
+    n, sums, far = passed(np.zeros((1, 256)))
+    if not n[0]:
+        return np.zeros((k, 256))
+    c = passed(sums / n[0])[2][None, :]  # the text farthest from the mean
+    while len(c) < k:
+        c = np.vstack([c, passed(c)[2]])
+    for _ in range(rounds):
+        n, sums, _ = passed(c)
+        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+        if np.abs(new - c).max() < 1e-9:
+            break
+        c = new
+    return c
 
 
 def _slices(at: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:

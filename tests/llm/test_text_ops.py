@@ -395,3 +395,20 @@ def test_scores_prefer_text_like_the_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = contextmix.scores(docs).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("total_bits").alias("bits"), F.sum("n_bytes").alias("n")).first()
     assert got.s > got.b and got.bits / got.n < 3
+
+
+def test_rare_texts_get_a_class_of_their_own(spark):
+    import random
+
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(20)) for _ in range(2600)] + ["\u0436\u0449 \u044e\u0444 \u044d\u0446 " * 20] * 400
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("training", F.lit(True)).withColumn("order", F.xxhash64("doc_id", "text"))
+    order = rows.orderBy("order")
+    rare = order.where("doc_id >= 2600").orderBy(F.desc("order")).limit(3)
+    rows = rows.where("doc_id < 2600").unionByName(rare).drop("order").localCheckpoint()
+    assert rows.select(F.xxhash64("doc_id", "text").alias("o"), "doc_id").orderBy("o").limit(2000).where("doc_id >= 2600").isEmpty()
+    c = contextmix._centres(rows)
+    of = lambda t: int(contextmix.nearest(contextmix.profiles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])), c)[0])
+    assert of(texts[-1]) not in {of(t) for t in texts[:2600]}
+    own = contextmix.profiles(np.frombuffer(texts[-1].encode(), np.uint8), np.array([0, len(texts[-1].encode())]))[0]
+    assert np.abs(c[of(texts[-1])] - own).max() < 0.01
