@@ -52,6 +52,17 @@ def ring(g: Graph, starts: DataFrame, hops: int = 3) -> DataFrame:
     return seen.where("hop > 0")
 
 
+def closure(g: Graph) -> DataFrame:
+    """src and each dst that it imports, itself or through others; a round joins one more import until nothing new comes."""
+    imports = cut(g.imports.select("src", "dst").distinct())
+    seen = front = imports
+    while not front.isEmpty():
+        far = front.join(imports.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
+        front = cut(far.where("src <> dst").distinct().join(seen, ["src", "dst"], "left_anti"))
+        seen = seen.unionByName(front)
+    return seen
+
+
 def layers(g: Graph) -> DataFrame:
     """pkg and its layer: 0 without imports, else one more than the highest that it imports.
 

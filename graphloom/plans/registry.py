@@ -63,7 +63,8 @@ def queries() -> dict[str, Query]:
         "gr04_ring": _one(lambda g: walks.ring(g, g.decls.where("k < 5"))),
         "gr05_layers": _one(walks.layers),
     }
-    return out | portable.queries() | texts.QUERIES
+    # the text of gr06 stops at three imports
+    return out | portable.queries() | texts.QUERIES | {"gr06_closure": _one(walks.closure)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -155,6 +155,15 @@ def test_walks(spark):
     assert [r.pos for r in walks.replay(steps, g).orderBy("pos").collect()] == [1, 2]
 
 
+def test_closure_follows_imports_to_the_end(spark):
+    g = Graph(spark, None)
+    chain = [(f"p{i}", f"p{i + 1}") for i in range(7)] + [("p7", "p5"), ("p0", "p1")]
+    g.given["imports"] = spark.createDataFrame(chain, "src string, dst string")
+    got = sorted(tuple(r) for r in walks.closure(g).collect())
+    want = {(f"p{i}", f"p{j}") for i in range(8) for j in range(i + 1, 8)} | {("p6", "p5"), ("p7", "p5"), ("p7", "p6")}
+    assert got == sorted(want)
+
+
 QUICK = ("sm01_long_func", "sm08_envious_func", "pg01_hotspot", "gd02_moved", "gd04_edges_added", "jn02_touched", "agg03_package_refs", "tm05_dsm", "win12_fold_rows", "src03_roots", "snk06_basket_move", "gr04_ring")
 
 
