@@ -36,6 +36,12 @@ def fingerprints(spark, sf_dir):
     return f.groupBy("pkg").agg(F.sha2(F.array_join(rows, "\n"), 256).alias("fingerprint"))
 
 
+def generated_header(spark, sf_dir):
+    """Whether the first five lines of the first 512 bytes say that a tool wrote the text."""
+    head = F.substring_index(F.substring(F.col("text").cast("binary"), 1, 512).cast("string"), "\n", 5)
+    return _documents(spark, sf_dir).select("doc_id", head.rlike("(?i)@generated|code generated|do not edit|auto-?generated").alias("generated"))
+
+
 def call_sites(spark, sf_dir):
     """The first line of each text that names a word."""
     return _lines(spark, sf_dir).where(F.col("text").rlike(r"(^|[^A-Za-z])the($|[^A-Za-z])")).groupBy("doc_id").agg(F.min("line").alias("line"))
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sc09_unit_keys": unit_keys,
     "sc14_norm": normalised,
     "sc18_fingerprints": fingerprints,
+    "flt16_generated_header": generated_header,
     "sc19_call_sites": call_sites,
     "ui02_excerpts": excerpts,
     "ui03_thread_text": thread_text,

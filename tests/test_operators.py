@@ -164,6 +164,16 @@ def test_closure_follows_imports_to_the_end(spark):
     assert got == sorted(want)
 
 
+def test_generated_header(spark, tmp_path):
+    says = {
+        "// Code Generated by x": True, "# DO NOT EDIT": True, "// AUTO-GENERATED": True, "autogenerated": True, "/* @Generated */": True, "a generated text": False, "": False, "1\n2\n3\n4\n@generated": True,
+        "1\n2\n3\n4\n5\n@generated": False, "x" * 502 + "@generated": True, "x" * 503 + "@generated": False, "é" * 251 + "@generated": True, "é" * 252 + "@generated": False,
+    }
+    spark.createDataFrame(list(enumerate(says)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.generated for r in entry.queries()["flt16_generated_header"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(says))] == list(says.values())
+
+
 QUICK = ("sm01_long_func", "sm08_envious_func", "pg01_hotspot", "gd02_moved", "gd04_edges_added", "jn02_touched", "agg03_package_refs", "tm05_dsm", "win12_fold_rows", "src03_roots", "snk06_basket_move", "gr04_ring")
 
 
