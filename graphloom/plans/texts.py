@@ -56,9 +56,9 @@ def excerpts(spark, sf_dir):
 
 
 def thread_text(spark, sf_dir):
-    """Each hub's callers in order, as one text."""
+    """Each declaration's callers and users in order, as one text."""
     g = bound(spark, sf_dir)
-    e = g.edges.join(g.decls.where("k < 5").select(F.col("id").alias("dst")), "dst", "left_semi").select("dst", "src").distinct()
+    e = g.edges.select("dst", "src").distinct()
     e = e.join(g.decls.select(F.col("id").alias("src"), "path", "start_line"), "src")
     row = F.format_string("%s · %s:%d", "src", "path", "start_line")
     return e.groupBy("dst").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("src", row.alias("t")))), lambda x: x["t"]), " ← ").alias("text"))

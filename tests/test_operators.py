@@ -5,7 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from graphloom.operators import graphdiff, prognoses, review, smells, walks
-from graphloom.sources.binding import Graph
+from graphloom.plans import oracle, portable
+from graphloom.sources.binding import Graph, bound
 
 DECL = (
     "k bigint, b bigint, id string, name string, kind string, pkg string, pkg_name string, path string, test boolean, generated boolean, exported boolean, data boolean, start_line bigint, end_line bigint, lines bigint, complexity bigint, nesting bigint, "
@@ -188,6 +189,26 @@ def test_queries_equal_duckdb(spark, sf, name):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
 
 
+def test_queries_run_over_all_declarations(spark):
+    sf, con, got = "/root/testdata/sf0.01", duckdb.connect(), {}
+    for t in ("part", "lineitem", "events", "documents"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name in portable.KEYS:
+        assert portable.whole(name) != portable.SQL[name]
+        want = con.execute(oracle.ctes(portable.whole(name), **oracle.SHARED, **portable.EXTRA))
+        columns = [c[0] for c in want.description]
+        got[name] = [tuple(r) for r in entry.queries()[name](spark, sf).select(*columns).collect()]
+        assert sorted(map(repr, got[name])) == sorted(map(repr, want.fetchall()))
+        assert len(got[name]) > len(con.execute(entry.oracle_sql()[name]).fetchall())
+    g = bound(spark, sf)
+    ids, edges = {r.id for r in g.decls.select("id").collect()}, {(r.dst, r.src) for r in g.edges.select("dst", "src").collect()}
+    for name in ("flt11_map_scope", "sc17_path_codec"):
+        assert {r[0] for r in got[name]} == ids
+    assert {r[2] for r in got["win11_basket_groups"]} == ids
+    assert {r[:2] for r in got["gr01_next"]} == {r[:2] for r in got["win05_candidates"]} == edges
+    assert {r.dst for r in entry.queries()["ui03_thread_text"](spark, sf).collect()} == {d for d, _ in edges}
+
+
 def test_entry_point(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
