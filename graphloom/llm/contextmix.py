@@ -452,6 +452,7 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", training: Co
         own = words(alone, edges)
         order = np.argsort(own.hash)
         keys, of = own.hash[order], own.row[order]
+        del own, alone, order
         by_class = np.stack([right[x].to_numpy() for x in COUNTS]).astype(float)
         c = by_class.sum(axis=0)
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
@@ -461,6 +462,7 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", training: Co
             first, rest = by_class[g] / max(size[g + 1], 1), c / max(n, 1)
             v_g = min(new[0], 0.95 * new[g + 1]) if n else 1.0
             lm += [np.log2((1 - f * new[g + 1]) * first + f * (new[g + 1] - v_g) * rest + f * v_g * spelled) for f in (NOVELTY if n else (1.0,) * len(NOVELTY))]
+        del by_class, spelled, first, rest
         raw, at = text_buffer(left["text"])
         end = int(np.flatnonzero(np.diff(edges) == 0)[0]) if n_rows else 0
         tokens, known = np.ones(n_rows, np.int64), np.full(n_rows, int(n_rows and c[end] > 0), np.int64)
