@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch handed to a Python worker; texts are long, so the default of 10,000 rows would be hundreds of MB.
@@ -90,9 +91,12 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: A random 64-bit value for each byte, so that a word's polynomial doesn't depend on how close byte values are.
+#: A random 64-bit value for each byte, so that a polynomial doesn't depend on how close byte values are.
 _BYTE = _splitmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _powers: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+#: A random 64-bit value for each byte at each place of a word of up to LONG bytes: two such words share a sum with a chance of 2^-64.
+LONG = 64
+_PLACED = _splitmix(np.arange(1, LONG * 256 + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).reshape(LONG, 256)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +109,25 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: sums of random values by place and byte, XXH3 for spans over LONG bytes."""
+    out = np.zeros(len(start), np.uint64)
+    short = np.where(length > LONG, 0, length).astype(np.uint8)
+    order = np.argsort(LONG - short, kind="stable")  # longest first, so that those with a k-th byte stand in front
+    left = np.searchsorted((LONG - short)[order], LONG - np.arange(LONG), side="left")  # spans of more than k bytes
+    at, sums = start[order], np.zeros(len(start), np.uint64)
+    for k in range(LONG):
+        m = left[k]
+        if not m:
+            break
+        sums[:m] += _PLACED[k][data[at[:m] + k]]
+    out[order] = sums
+    out = _splitmix(out ^ length.astype(np.uint64) << np.uint64(48))
+    for i in np.flatnonzero(length > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + length[i]].tobytes())
+    return out
+
+
 @dataclass
 class Words:
     """Words of a batch of texts, in order."""
@@ -114,13 +137,11 @@ class Words:
     row: np.ndarray
     hash: np.ndarray
     lower: np.ndarray  # the bytes, A-Z lower-cased
-    sums: np.ndarray  # prefix sums of the polynomial
 
     def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Which words have more bytes than `size`, and hashes of their first `size`."""
         long = np.flatnonzero(self.end - self.start > size)
-        at = self.start[long]
-        return long, _splitmix((self.sums[at + size] - self.sums[at]) * _power_tables(len(self.sums))[1][at] ^ np.uint64(size << 32))
+        return long, _splitmix(span_hashes(self.lower, self.start[long], np.full(len(long), size)) + np.uint64(size))
 
     def per_row(self, rows: int) -> np.ndarray:
         return np.bincount(self.row, minlength=rows).astype(np.int64)
@@ -129,14 +150,13 @@ class Words:
 def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> Words:
     """Words `[^\\x20\\x09-\\x0D]+` of texts laid end to end, with a 64-bit hash of each; `space` marks other separators.
 
-    The hash is a polynomial in the word's bytes modulo 2^64, taken from prefix sums so that no
-    Python loop runs over words, then mixed. Words never span two texts.
+    Words never span two texts. No Python loop runs over words, but over those of more than LONG bytes.
     """
     lower = _LOWER[raw]
     n = len(raw)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Words(none, none, none, np.zeros(0, np.uint64), lower, np.zeros(1, np.uint64))
+        return Words(none, none, none, np.zeros(0, np.uint64), lower)
     ink = ~space[raw]
     first = np.empty(n, bool)
     first[0] = True
@@ -150,14 +170,8 @@ def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> W
     last[:-1] = ~ink[1:] | cut[1:]
     last &= ink
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _power_tables(n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[lower] * up[:n], out=sums[1:])
-    h = (sums[end] - sums[start]) * down[start]
-    h = _splitmix(h ^ (end - start).astype(np.uint64))
     row = np.searchsorted(offsets, start, side="right") - 1
-    return Words(start, end, row, h, lower, sums)
+    return Words(start, end, row, span_hashes(lower, start, end - start), lower)
 
 
 def batches(data: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:

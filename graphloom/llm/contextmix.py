@@ -1,60 +1,71 @@
-"""Language-model scores by logistic context mixing over hashed-context bit predictors.
-
-A text is a sequence of tokens: its words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, then one end. Texts
-fall in CLASSES classes by their byte pairs (centres are found by Lloyd's rounds over all training texts). Under class g a token has the probability
-(1 - f u_g) * c_g / N_g + f (u_g - v) * c / N + f v * S, where c of N training tokens are it, u_g is the
-share of the class's training tokens seen once (Good-Turing's estimate of how often a new word comes),
-v the smaller of that share over all tokens and 0.95 u_g, S the spelling model's probability of its
-bytes and a terminator, and f one of NOVELTY, as copies have fewer new words. The text's probability is
-that of online Bayesian mixing over classes and f: each token is predicted by all of them, weighted by
-the prior and by how well each predicted the tokens before; the product has a closed form.
-
-The spelling model predicts bit by bit, bytes being in a prefix code by how often they stand. Four predictors keep counts of both bits in SLOTS slots each,
-named by a hash of a context (the last one, two and three bytes, and all of the word so far) and the
-bits of the byte so far. Their log odds are mixed by a weight vector that is gated by how much two of
-them have seen; weights are learned online, each step predicting before it learns, and a prediction
-leaves out what the word itself added to the counts. An adaptive map refines the mix by the bits so
-far, and the mean of both log odds is the prediction. Total bits per byte follow from the sum.
-
-Scale: counts of distinct words are gathered over the whole corpus and grow with it. Slot counts are
-sums, so tasks count alone and their tables (SLOTS * 4 * 2 numbers, whatever the corpus) are added;
-weights of tasks are averaged. Each distinct word is spelled once, however often it stands. Documents
-are dealt to blocks by a hash of id and text, blocks of about BLOCK bytes; a block sends its distinct
-words and gets their scores back, so no vocabulary is ever held whole by a task or the driver.
+"""Language-model scores by online logistic context mixing over hashed-context bit predictors.
+
+A text is a sequence of tokens: its words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, then one end. A token is
+told by a chain of bits, each "does this order have it": the two words before (order 0 below), the word
+before, the text so far, the last word of up to three bytes, and the vocabulary. What no order has is
+spelled, bit by bit of its bytes. Within an order the token has its relative frequency there, so with a_k
+the probability of the chain's stop at k, the token has sum(a_k * p_k) + a_spelled * S.
+
+The chain's bits are each predicted by PREDICTORS adaptive probabilities, named by hashed contexts: how
+often the order's context has been seen, which orders had the last three tokens, the word before, how
+long the longest order has gone on having them, and how well it does in this text. Their log odds
+are mixed by weights that a gate selects, the mix is refined by an adaptive map, and the mean of
+both is the prediction. All of it learns online, from training texts, in the order of a hash of their ids
+and texts: a batch of STEP tokens is predicted before it is learned from, and a bit's target is the
+posterior share of its order. A block's first PRIME training tokens are read once before, so that no text
+meets an untrained mix. Orders leave out what a training text itself added to the counts.
+
+The spelling model predicts bits of bytes, in a prefix code by how often they stand. Its predictors keep
+counts of both bits in slots named by hashes of a context (the last one to four bytes, and all of the word
+so far) and the bits of the byte so far; their mix is gated and refined likewise. It learns from the words
+that stand once in the training texts, as those are what new words are like. Words that other texts
+have more than SPELLED times aren't spelled; their share of S is left unused.
+
+Scale: counts of words, pairs, triples and words after short ones are exact up to their hashes, and grow
+with the corpus. Texts are dealt to blocks of about BLOCK bytes; a block sends the sorted hashes of what it has,
+cut to so many bits that a chance match has odds of 2^-16, as differences of a few bytes, to partitions by
+range of hash, and gets the sums back in the same order. So no vocabulary is held whole by a task
+or the driver, and a frequent word is one number a block. Counts of the spelling model are sums: tasks add
+theirs in two rounds; slots grow with the words that stand once, up to 2^MOST_BITS for each context.
+
+Total bits are those of the tokens; bits per byte divide them by the bytes of words and one a token.
 
 Defined cases: null and empty texts are one end token; a null id hashes like an empty string; rows
 that repeat are scored and counted each; an empty table gives an empty one; without training words
-all come from the untrained spelling model (and N is 0); further columns are ignored.
+all is spelled by an untrained model (and N is 0); further columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import _BYTE, _power_tables, _splitmix, batches, merged, text_buffer, tune, words, written
-
-BITS = 18
-SLOTS = 1 << BITS
-ORDERS = 4
-BLOCK = 12 << 20
-CLASSES = 6
-NOVELTY = (1.0, 0.25, 0.03)
-#: Words of a mini-batch, over which weights stay.
-STEP = 4096
+from graphloom.llm.common import _BYTE, _power_tables, _splitmix, merged, text_buffer, tune, words, written
+
+#: Contexts of the spelling model, and bits of its slots' numbers, by how many words it learns from.
+CONTEXTS = 5
+LEAST_BITS, MOST_BITS = 18, 20
+#: Bytes of text in a block, and of text whose hashes meet in a partition.
+BLOCK, PART = 6 << 20, 4 << 20
+#: Words that other texts have more often aren't spelled.
+SPELLED = 3
+#: Tokens of a batch of the chain, and words of one of the spelling model, over which weights stay.
+STEP, WORDS = 8192, 4096
+#: Training tokens of a block that are read once before.
+PRIME = 1 << 16
 RATE = 0.5
 BUCKETS = 5
 GATES = BUCKETS * BUCKETS
 APM = 24
 _NODE = (_splitmix(np.arange(256, dtype=np.uint64) + np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)).astype(np.uint32)
-_SALT = [np.uint64(0x100000001B3 * (k + 1)) for k in range(ORDERS)]
+_SALT = [np.uint64(0x100000001B3 * (k + 1)) for k in range(CONTEXTS)]
 _F = np.float32
 
 
@@ -114,7 +125,7 @@ def spell(raw: np.ndarray, offsets: np.ndarray) -> Spelled:
     byte[place] = raw
     at = np.arange(len(byte)) - start[word]
     mixed, context = [], np.zeros(len(byte), np.uint64)
-    for k in range(ORDERS - 1):
+    for k in range(CONTEXTS - 1):
         last = np.zeros(len(byte), np.uint64)
         last[k + 1 :] = byte[: len(byte) - k - 1]
         last[at <= k] = 0
@@ -123,13 +134,14 @@ def spell(raw: np.ndarray, offsets: np.ndarray) -> Spelled:
     up, down = _power_tables(len(byte) + 1)
     sums = np.zeros(len(byte) + 1, np.uint64)
     np.cumsum(_BYTE[byte] * up[: len(byte)], out=sums[1:])
-    mixed.append(_splitmix((sums[:-1] - sums[start[word]]) * down[start[word]] + _SALT[ORDERS - 1]))
+    mixed.append(_splitmix((sums[:-1] - sums[start[word]]) * down[start[word]] + _SALT[CONTEXTS - 1]))
     return Spelled(byte, word, [(c >> np.uint64(32)).astype(np.uint32) for c in mixed])
 
 
-def bits_of(s: Spelled, code: Code) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+def bits_of(s: Spelled, code: Code, slots: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
     """For each depth of the code: the bytes that have a bit there, the node before it, the bit, and each predictor's slot."""
     at, byte, contexts = np.arange(len(s.byte)), s.byte, s.contexts
+    down = np.uint32(33 - slots.bit_length())
     for d in range(len(code.bit)):
         if d:
             go = np.flatnonzero(code.length[byte] > d)
@@ -138,10 +150,10 @@ def bits_of(s: Spelled, code: Code) -> Iterator[tuple[np.ndarray, np.ndarray, np
             at, byte, contexts = at[go], byte[go], [c[go] for c in contexts]
         node = code.node[d, byte]
         salt = _NODE[node]
-        yield at, node, code.bit[d, byte], [((c ^ salt) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)).astype(np.int64) for c in contexts]
+        yield at, node, code.bit[d, byte], [((c ^ salt) * np.uint32(0x9E3779B1) >> down).astype(np.int64) for c in contexts]
 
 
-def _parts(raw: np.ndarray, offsets: np.ndarray, step: int = STEP) -> Iterator[tuple[int, int, Spelled]]:
+def _parts(raw: np.ndarray, offsets: np.ndarray, step: int = WORDS) -> Iterator[tuple[int, int, Spelled]]:
     for at in range(0, len(offsets) - 1, step):
         to = min(at + step, len(offsets) - 1)
         yield at, to, spell(raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
@@ -150,12 +162,12 @@ def _parts(raw: np.ndarray, offsets: np.ndarray, step: int = STEP) -> Iterator[t
 def count(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, code: Code) -> None:
     """Adds the bits of words to the counts, [order, slot, bit]."""
     for _, _, s in _parts(raw, offsets, 1 << 15):
-        found: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
-        for _, _, bit, slots in bits_of(s, code):
+        found: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
+        for _, _, bit, slots in bits_of(s, code, table.shape[1]):
             for k, slot in enumerate(slots):
                 found[k].append(slot * 2 + bit)
-        for k in range(ORDERS):
-            table[k] += np.bincount(np.concatenate(found[k]), minlength=2 * SLOTS).reshape(SLOTS, 2).astype(table.dtype)
+        for k in range(CONTEXTS):
+            table[k] += np.bincount(np.concatenate(found[k]), minlength=table[k].size).reshape(-1, 2).astype(table.dtype)
 
 
 @dataclass
@@ -165,7 +177,7 @@ class Mixer:
 
     @staticmethod
     def fresh() -> Mixer:
-        return Mixer(np.full((GATES, ORDERS + 1), 0.4), np.zeros((256, APM, 2)))
+        return Mixer(np.full((GATES, CONTEXTS + 1), 0.4), np.zeros((256, APM, 2)))
 
 
 def _gate(seen: list[np.ndarray]) -> np.ndarray:
@@ -179,24 +191,24 @@ def _bucket(mix: np.ndarray) -> np.ndarray:
 def learn(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, code: Code, m: Mixer) -> None:
     """One pass over words, in order: predict from counts without the word's own, then move the gate's weights against the error."""
     for _, _, s in _parts(raw, offsets):
-        for _, node, bit, slots in bits_of(s, code):
+        for _, node, bit, slots in bits_of(s, code, table.shape[1]):
             x, seen = [], []
             for k, slot in enumerate(slots):
                 zero, one = table[k, slot, 0].astype(_F), table[k, slot, 1].astype(_F)
                 one, zero = np.maximum(one - bit.astype(_F), 0), np.maximum(zero - (1 - bit).astype(_F), 0)
                 x.append(np.log((one + _F(0.3)) / (zero + _F(0.3))))
-                if k >= ORDERS - 2:
+                if k >= CONTEXTS - 2:
                     seen.append(one + zero)
             x.append(np.full(len(bit), 0.3, _F))
             gate = _gate(seen)
             w = m.weights.astype(_F)[gate]
-            mix = sum(w[:, k] * x[k] for k in range(ORDERS + 1))
+            mix = sum(w[:, k] * x[k] for k in range(CONTEXTS + 1))
             error = bit - _squash(mix)
             cell = node * APM + _bucket(mix)
             m.apm[:, :, 0] += np.bincount(cell, bit, minlength=256 * APM).reshape(256, APM)
             m.apm[:, :, 1] += np.bincount(cell, minlength=256 * APM).reshape(256, APM)
             many = np.maximum(np.bincount(gate, minlength=GATES), 32.0)
-            for k in range(ORDERS + 1):
+            for k in range(CONTEXTS + 1):
                 m.weights[:, k] += RATE * np.bincount(gate, error * x[k], minlength=GATES) / many / 4
 
 
@@ -208,13 +220,13 @@ def log2_spelled(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, code:
     odds = np.log((m.apm[:, :, 0] + 20 * prior) / (m.apm[:, :, 1] - m.apm[:, :, 0] + 20 * (1 - prior))).astype(_F)
     known = np.log((table[:, :, 1] + _F(0.3)) / (table[:, :, 0] + _F(0.3)), dtype=_F)
     seen = table.sum(axis=2, dtype=np.int64)
-    level = [np.minimum(np.log2(seen[k] + 1).astype(np.int64), 2 * BUCKETS - 1) // 2 for k in (ORDERS - 2, ORDERS - 1)]
+    level = [np.minimum(np.log2(seen[k] + 1).astype(np.int64), 2 * BUCKETS - 1) // 2 for k in (CONTEXTS - 2, CONTEXTS - 1)]
     weights = m.weights.astype(_F)
     for at, to, s in _parts(raw, offsets):
         total = np.zeros(len(s.byte))
-        for where, node, bit, slots in bits_of(s, code):
+        for where, node, bit, slots in bits_of(s, code, table.shape[1]):
             w = weights[level[0][slots[-2]] * BUCKETS + level[1][slots[-1]]]
-            mix = w[:, ORDERS] * _F(0.3)
+            mix = w[:, CONTEXTS] * _F(0.3)
             for k, slot in enumerate(slots):
                 mix += w[:, k] * known[k, slot]
             refined = (mix + odds[node, _bucket(mix)]) / 2
@@ -223,125 +235,12 @@ def log2_spelled(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, code:
     return out
 
 
-def profiles(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Square roots of the shares of hashed byte pairs, 256 for each text."""
-    n = len(offsets) - 1
-    if len(raw) < 2:
-        return np.zeros((n, 256))
-    row = np.repeat(np.arange(n), np.diff(offsets))[:-1]
-    pair = (raw[:-1].astype(np.uint32) * 40503 + raw[1:].astype(np.uint32) * 30011) >> 4 & 255
-    h = np.bincount(row * 256 + pair, minlength=n * 256).reshape(n, 256)
-    return np.sqrt(h / np.maximum(h.sum(axis=1, keepdims=True), 1))
-
-
-def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.argmin((c * c).sum(axis=1)[None, :] - 2 * x @ c.T, axis=1)
-
-
-def _centres(rows: DataFrame, k: int = CLASSES, rounds: int = 12) -> np.ndarray:
-    """Lloyd's algorithm over all training texts from centres far from each other; the same for the same rows.
-
-    Profiles are written once, in steps of 1/255. Tasks send sums of the texts nearest to each centre, and the one farthest from all.
-    """
-
-    def profile(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(data, 1 << 18):
-            p = np.round(255 * profiles(*text_buffer(batch.column(1)))).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in p], pa.binary())], names=["order", "p"])
-
-    seen = written(rows.where("training").select(F.xxhash64("doc_id", "text").alias("order"), "text").mapInArrow(profile, "order bigint, p binary"))
-
-    def passed(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Texts of each centre, their sums, and the text farthest from its centre."""
-
-        def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, sums, far = np.zeros(len(c), np.int64), np.zeros((len(c), 256)), (-1.0, 0, b"")
-            for batch in data:
-                if not batch.num_rows:
-                    continue
-                x = text_buffer(batch.column(1))[0].reshape(-1, 256) / 255
-                of = nearest(x, c)
-                n += np.bincount(of, minlength=len(c))
-                for g in np.unique(of):
-                    sums[g] += x[of == g].sum(axis=0)
-                away, order = np.round(((x - c[of]) ** 2).sum(axis=1), 9), batch.column(0).to_numpy()
-                i = np.lexsort((order, -away))[0]
-                far = max(far, (float(away[i]), -int(order[i]), batch.column(1)[i].as_py()))
-            if n.sum():
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (n.tobytes(), sums.tobytes(), *far)], names=["n", "sums", "away", "order", "p"])
-
-        found = sorted(seen.mapInArrow(run, "n binary, sums binary, away double, order bigint, p binary").collect(), key=lambda r: (r.away, r.order))
-        n = sum((np.frombuffer(r.n, np.int64) for r in found), np.zeros(len(c), np.int64))
-        sums = sum((np.frombuffer(r.sums).reshape(-1, 256) for r in found), np.zeros((len(c), 256)))
-        return n, sums, np.frombuffer(found[-1].p, np.uint8) / 255 if found else np.zeros(256)
-
-    n, sums, far = passed(np.zeros((1, 256)))
-    if not n[0]:
-        return np.zeros((k, 256))
-    c = passed(sums / n[0])[2][None, :]  # the text farthest from the mean
-    while len(c) < k:
-        c = np.vstack([c, passed(c)[2]])
-    for _ in range(rounds):
-        n, sums, _ = passed(c)
-        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
-        if np.abs(new - c).max() < 1e-9:
-            break
-        c = new
-    return c
-
-
-def _slices(at: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about `limit` bytes together, one row at least."""
-    lo = 0
-    while lo < len(at) - 1:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, side="right")) - 1)
-        yield lo, hi
-        lo = hi
-
-
-COUNTS = [f"c{g}" for g in range(CLASSES)]
-
-
-def _block_words(docs: DataFrame, c: np.ndarray) -> DataFrame:
-    """block, word (binary; empty: the end), times in training documents of each class: the distinct words of each block."""
-
-    def run(t: pa.Table) -> pa.Table:
-        raw, at = text_buffer(t["text"])
-        training = t["training"].to_numpy()
-        hashes, counts, found = [], [], []
-        ends = np.zeros(CLASSES + 1, np.int64)
-        for lo, hi in _slices(at):
-            part, edges = raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-            w = words(part, edges)
-            kind = np.where(training[lo:hi], nearest(profiles(part, edges), c), CLASSES)
-            ends += np.bincount(kind, minlength=CLASSES + 1)
-            if not len(w.hash):
-                continue
-            h, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-            n = np.bincount(which * (CLASSES + 1) + kind[w.row], minlength=len(h) * (CLASSES + 1)).reshape(-1, CLASSES + 1)[:, :CLASSES]
-            lower = w.lower.tobytes()
-            hashes.append(h)
-            counts.append(n.astype(np.int32))
-            found.append(pa.array([lower[x:y] for x, y in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)], pa.binary()))
-        n, word = ends[None, :CLASSES], pa.array([b""], pa.binary())
-        if hashes:
-            _, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-            each = np.concatenate(counts)
-            n = np.vstack([n, np.stack([np.bincount(which, each[:, g], minlength=len(first)).astype(np.int64) for g in range(CLASSES)], axis=1)])
-            word = pa.concat_arrays([word, pa.concat_arrays(found).take(pa.array(first))])
-        columns = {name: pa.array(n[:, g], pa.int64()) for g, name in enumerate(COUNTS)}
-        return pa.table({"block": pa.array(np.full(len(word), t["block"][0].as_py()), pa.int32()), "word": word, **columns})
-
-    return docs.select("block", "training", "text").groupBy("block").applyInArrow(run, "block int, word binary, " + ", ".join(f"{x} bigint" for x in COUNTS))
-
-
-def _word_buffer(batch: pa.RecordBatch, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    column = batch.column(0)
-    return text_buffer(column.filter(pa.array(keep)) if keep is not None else column)
+def _word_buffer(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return text_buffer(batch.column(0))
 
 
 def _code(vocabulary: DataFrame) -> Code:
-    """The code by how often bytes stand in distinct words."""
+    """The code by how often bytes stand in the words."""
 
     def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(256, np.int64)
@@ -352,138 +251,488 @@ def _code(vocabulary: DataFrame) -> Code:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(n)], names=["byte", "n"])
 
     counts = np.zeros(256, np.int64)
-    for r in vocabulary.select("word").mapInArrow(run, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+    for r in vocabulary.mapInArrow(run, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         counts[r.byte] = r.n
     return Code.of(counts)
 
 
-def _counts(vocabulary: DataFrame, code: Code) -> np.ndarray:
-    """Slot counts over all training words, by sums of the tasks' tables."""
+def _counts(vocabulary: DataFrame, code: Code, slots: int) -> np.ndarray:
+    """Slot counts over all the words, by sums of the tasks' tables, first within groups of tasks."""
     slices = 32
 
     def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((ORDERS, SLOTS, 2), np.uint32)
-        some = False
+        table, some = np.zeros((CONTEXTS, slots, 2), np.uint32), False
         for batch in merged(data):
-            if batch.num_rows:
-                some = True
-                count(*_word_buffer(batch), table, code)
+            some = True
+            count(*_word_buffer(batch), table, code)
         if some:
             for i, part in enumerate(np.split(table.reshape(-1), slices)):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["i", "part"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(2 * SLOTS * ORDERS // slices, np.uint32)
+        total = np.zeros(2 * slots * CONTEXTS // slices, np.uint32)
         for x in t["part"]:
             total += np.frombuffer(x.as_buffer(), np.uint32)
         return pa.table({"i": t["i"][:1], "part": pa.array([total.tobytes()], pa.binary())})
 
-    # first within groups of tasks, then over groups, so that no task adds more than some tables
-    parts = vocabulary.select("word").mapInArrow(run, "i int, part binary")
-    table = np.zeros(2 * SLOTS * ORDERS, np.uint32)
+    parts = vocabulary.mapInArrow(run, "i int, part binary").withColumn("task", F.spark_partition_id())
+    groups = max(1, int(vocabulary.rdd.getNumPartitions() ** 0.5))
+    parts = parts.groupBy("i", F.pmod("task", F.lit(groups)).alias("group")).applyInArrow(lambda t: add(t.select(["i", "part"])), "i int, part binary")
+    table = np.zeros(2 * slots * CONTEXTS, np.uint32)
     for r in parts.groupBy("i").applyInArrow(add, "i int, part binary").toLocalIterator():
         size = len(table) // slices
         table[r.i * size : (r.i + 1) * size] = np.frombuffer(r.part, np.uint32)
-    return table.reshape(ORDERS, SLOTS, 2)
+    return table.reshape(CONTEXTS, slots, 2)
 
 
 def _mixer(vocabulary: DataFrame, shared, code: Code) -> Mixer:
     """Weights averaged over tasks by their words, and the sum of their adaptive maps."""
-    size = GATES * (ORDERS + 1)
+    size = GATES * (CONTEXTS + 1)
 
     def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, n = Mixer.fresh(), 0
         for batch in merged(data):
-            if batch.num_rows:
-                learn(*_word_buffer(batch), shared.value, code, m)
-                n += batch.num_rows
+            learn(*_word_buffer(batch), shared.value, code, m)
+            n += batch.num_rows
         if n:
             flat = np.concatenate([m.weights.reshape(-1) * n, m.apm.reshape(-1)])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat), pa.array(np.full(len(flat), n), pa.int64())], names=["i", "x", "n"])
 
     m = Mixer.fresh()
-    rows = vocabulary.select("word").mapInArrow(run, "i int, x double, n bigint").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toPandas()
+    rows = vocabulary.mapInArrow(run, "i int, x double, n bigint").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toPandas()  # GATES * (CONTEXTS + 1) + 512 * APM rows
     if len(rows):
         rows = rows.sort_values("i")
         x, n = rows["x"].to_numpy(), rows["n"].to_numpy()
-        m = Mixer((x[:size] / n[:size]).reshape(GATES, ORDERS + 1), x[size:].reshape(256, APM, 2))
+        m = Mixer((x[:size] / n[:size]).reshape(GATES, CONTEXTS + 1), x[size:].reshape(256, APM, 2))
     return m
 
 
+#: Orders of the chain, and of the keys that are counted: words, pairs, triples, words after a short one, short ones.
+TRIPLE, PAIR, TEXT, SHORT, WORD = range(5)
+ORDERS, KEYS = 5, 5
+PREDICTORS = 5
+#: Slots of each predictor of each bit.
+SLOTS = 1 << 13
+SHORT_BYTES = 3
+_START, _END = _splitmix(np.array([1, 2], np.uint64))
+_KIND = _splitmix(np.arange(11, 11 + KEYS, dtype=np.uint64))
+
+
+@dataclass
+class Tokens:
+    """Tokens of texts, in order; `word` numbers the words of all texts, -1 for ends."""
+
+    row: np.ndarray
+    first: np.ndarray  # of each row
+    hash: np.ndarray
+    word: np.ndarray
+    keys: list[np.ndarray]
+
+
+def tokens(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens with the keys of what is counted, and the words' bytes (all bytes, start, end)."""
+    n = len(offsets) - 1
+    w = words(raw, offsets)
+    size = w.per_row(n) + 1
+    stop = np.cumsum(size)
+    first = stop - size
+    h = np.full(stop[-1] if n else 0, _END, np.uint64)
+    word = np.full(len(h), -1, np.int64)
+    at = np.arange(len(w.hash)) + w.row
+    h[at], word[at] = w.hash, np.arange(len(w.hash))
+    row = np.repeat(np.arange(n, dtype=np.int32), size)
+    one, two = np.empty_like(h), np.empty_like(h)
+    one[1:], two[2:] = h[:-1], h[:-2]
+    one[first] = two[first] = _START
+    second = first[size > 1] + 1
+    two[second] = _START
+    last = np.full(len(h), -1, np.int64)
+    brief = at[w.end - w.start <= SHORT_BYTES]
+    last[brief] = brief
+    last = np.maximum.accumulate(last)
+    last[1:] = last[:-1].copy()
+    if len(last):
+        last[0] = -1
+    short = np.where(last >= first[row], h[np.maximum(last, 0)], _START)
+    cut = np.uint64(64 - bits)
+    pair = _splitmix(_splitmix(one + _KIND[1]) + h) >> cut
+    triple = _splitmix(_splitmix(_splitmix(two + _KIND[2]) + one) + h) >> cut
+    after = _splitmix(_splitmix(short + _KIND[3]) + h) >> cut
+    short = _splitmix(short + _KIND[4]) >> cut
+    return Tokens(row, first, h, word, [h, pair, triple, after, short]), w.lower, w.start, w.end
+
+
+@dataclass
+class Distinct:
+    """Sorted distinct keys; `of` tells each token's, `own` how often its text has it, `before` how often earlier."""
+
+    keys: np.ndarray
+    of: np.ndarray
+    own: np.ndarray
+    before: np.ndarray
+    first: np.ndarray  # a token that has the key
+
+
+def distinct(keys: np.ndarray, row: np.ndarray) -> Distinct:
+    n = len(keys)
+    order = np.argsort(keys, kind="stable")
+    k, r = keys[order], row[order]
+    new = np.ones(n, bool)
+    new[1:] = k[1:] != k[:-1]
+    fresh = new.copy()
+    fresh[1:] |= r[1:] != r[:-1]
+    of, own, before = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n, np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    runs = np.flatnonzero(fresh)
+    size = np.diff(np.append(runs, n))
+    own[order] = np.repeat(size, size)
+    before[order] = np.arange(n) - np.repeat(runs, size)
+    heads = np.flatnonzero(new)
+    return Distinct(k[heads], of, own, before, order[heads])
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """How many bytes a number takes, and the numbers."""
+    top = int(x.max(initial=0))
+    width = max(1, -(-top.bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _wide(data: memoryview, n: int) -> tuple[np.ndarray, int]:
+    width = data[0]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width, 1).reshape(n, width)
+    return out.view("<u8").reshape(n), 1 + n * width
+
+
+def _pack(keys: np.ndarray, counts: np.ndarray, once: list[bytes] | None) -> bytes:
+    """Sorted keys as differences, counts, and the words that stand once."""
+    steps = keys.copy()
+    steps[1:] -= keys[:-1]
+    body = struct.pack("<Q", len(keys)) + _narrow(steps) + _narrow(counts)
+    return body if once is None else body + _narrow(np.array([len(x) for x in once], np.uint64)) + b"".join(once)
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, memoryview]:
+    view = memoryview(data)
+    n = struct.unpack("<Q", view[:8])[0]
+    steps, used = _wide(view[8:], n)
+    view = view[8 + used :]
+    counts, used = _wide(view, n)
+    return np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64), view[used:]
+
+
+def _bounds(kind: int, parts: int, bits: int) -> np.ndarray:
+    """The least key of each partition but the first."""
+    whole = 1 << (64 if kind == 0 else bits)
+    return np.array([whole * p // parts for p in range(1, parts)], np.uint64)
+
+
+def _sent(rows: DataFrame, parts: int, bits: int) -> DataFrame:
+    """block, part, kind, data: the sorted distinct keys of each block, with their counts in training texts."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("h")
+        raw, at = text_buffer(t["text"])
+        known, lower, start, end = tokens(raw, at, bits)
+        train = t["training"].to_numpy()[known.row]
+        out = []
+        for kind, keys in enumerate(known.keys):
+            d = distinct(keys, known.row)
+            counts = np.bincount(d.of, train, minlength=len(d.keys)).astype(np.uint64)
+            edges = [0, *np.searchsorted(d.keys, _bounds(kind, parts, bits)).tolist(), len(d.keys)]
+            for p in range(parts):
+                lo, hi = edges[p], edges[p + 1]
+                if lo < hi:
+                    once = None
+                    if kind == 0:
+                        w = known.word[d.first[lo:hi][counts[lo:hi] == 1]]
+                        once = [lower[start[i] : end[i]].tobytes() if i >= 0 else b"" for i in w.tolist()]
+                    out.append((p, kind, _pack(d.keys[lo:hi], counts[lo:hi], once)))
+        p, k, data = zip(*out, strict=True)
+        return pa.table({"block": pa.array(np.full(len(p), t["block"][0].as_py()), pa.int32()), "part": pa.array(p, pa.int32()), "kind": pa.array(k, pa.int32()), "data": pa.array(data, pa.binary())})
+
+    return rows.select("block", "h", "training", "text").groupBy("block").applyInArrow(run, "block int, part int, kind int, data binary")
+
+
+#: In the place of a block: rows with how many words and tokens there are, and rows with the words that stand once.
+TOTALS, ONCE = -1, -2
+
+
+def _summed(sent: DataFrame) -> DataFrame:
+    """block, part, kind, data: the sums of what was sent, in its order; rows of TOTALS and ONCE."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("kind", "ascending"), ("block", "ascending")])
+        kinds, blocks, part = t["kind"].to_numpy(), t["block"].to_pylist(), t["part"][0].as_py()
+        out = []
+        for kind in np.unique(kinds).tolist():
+            mine = np.flatnonzero(kinds == kind)
+            got = [_unpack(t["data"][int(i)].as_py()) for i in mine]
+            every = np.concatenate([k for k, _, _ in got])
+            order = np.argsort(every, kind="stable")
+            new = np.ones(len(every), bool)
+            new[1:] = every[order[1:]] != every[order[:-1]]
+            of = np.empty(len(every), np.int64)
+            of[order] = np.cumsum(new) - 1
+            counts = np.concatenate([c for _, c, _ in got])
+            total = np.bincount(of, counts).astype(np.int64)
+            lo = 0
+            for i, (k, _, _) in zip(mine.tolist(), got, strict=True):
+                out.append((blocks[i], kind, _narrow(total[of[lo : lo + len(k)]].astype(np.uint64))))
+                lo += len(k)
+            if kind == 0:
+                out.append((TOTALS, kind, struct.pack("<QQ", int((total > 0).sum()), int(total.sum()))))
+                alone, lo = [], 0
+                for k, c, rest in got:
+                    here = np.flatnonzero(c == 1)
+                    sizes, used = _wide(rest, len(here))
+                    ends = np.cumsum(sizes.astype(np.int64)) + used
+                    for j in np.flatnonzero(total[of[lo + here]] == 1).tolist():
+                        alone.append(bytes(rest[ends[j] - int(sizes[j]) : ends[j]]))
+                    lo += len(k)
+                out.append((ONCE, kind, _narrow(np.array([len(x) for x in alone], np.uint64)) + b"".join(alone) + struct.pack("<Q", len(alone))))
+        b, k, data = zip(*out, strict=True)
+        return pa.table({"block": pa.array(b, pa.int32()), "part": pa.array([part] * len(b), pa.int32()), "kind": pa.array(k, pa.int32()), "data": pa.array(data, pa.binary())})
+
+    return sent.groupBy("part").applyInArrow(run, "block int, part int, kind int, data binary")
+
+
+def _once(summed: DataFrame) -> DataFrame:
+    """word (binary): the words that stand once in training texts; ends aren't among them."""
+
+    def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in data:
+            for x in batch.column(0):
+                body = x.as_py()
+                n = struct.unpack("<Q", body[-8:])[0]
+                sizes, used = _wide(memoryview(body), n)
+                at = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(body[used:-8])]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([column.filter(pa.array(sizes > 0))], names=["word"])
+
+    return summed.where(F.col("block") == ONCE).orderBy("part").select("data").mapInArrow(run, "word binary")
+
+
+@dataclass
+class Chain:
+    """Adaptive probabilities [bit, predictor, slot, (ones, all)], weights [bit, gate, predictor] and maps [bit, run, bucket, (ones, all)]."""
+
+    seen: np.ndarray
+    weights: np.ndarray
+    maps: np.ndarray
+
+    @staticmethod
+    def fresh() -> Chain:
+        return Chain(np.zeros((ORDERS, PREDICTORS, SLOTS, 2)), np.full((ORDERS, 7 * 16, PREDICTORS + 1), 1 / PREDICTORS), np.zeros((ORDERS, 8, APM, 2)))
+
+    def step(self, p: np.ndarray, contexts: list[list[np.ndarray]], gates: list[np.ndarray], runs: np.ndarray, may: np.ndarray, spelled: np.ndarray, learns: np.ndarray) -> np.ndarray:
+        """log2 of the probability of each token of a batch; learns from those of `learns` after all are predicted.
+
+        p: the tokens' relative frequencies by order; may: orders whose context has been seen; spelled: log2 of S.
+        """
+        n = p.shape[1]
+        left, total = np.ones(n), np.zeros(n)
+        kept = []
+        shares = np.zeros((ORDERS, n))
+        for k in range(ORDERS):
+            on = np.flatnonzero(may[k])
+            if not len(on):
+                kept.append(None)
+                continue
+            slots = [c[on] for c in contexts[k]]
+            x = np.empty((PREDICTORS + 1, len(on)))
+            for i, slot in enumerate(slots):
+                ones, every = self.seen[k, i, slot, 0], self.seen[k, i, slot, 1]
+                x[i] = np.log((ones + 0.2) / (every - ones + 0.2))
+            x[PREDICTORS] = 0.3
+            gate = gates[k][on]
+            mix = np.einsum("ij,ji->j", x, self.weights[k][gate])
+            cell = (runs[on] >> 1) * APM + _bucket(mix)
+            at = self.maps[k].reshape(-1, 2)[cell]
+            middle = (_bucket(mix) + 0.5) * (16 / APM) - 8
+            prior = _squash(middle)
+            refined = (at[:, 0] + 20 * prior) / (at[:, 1] + 20)
+            own = np.clip((_squash(mix) + refined) / 2, 1e-6, 1 - 1e-6)
+            shares[k, on] = left[on] * own
+            left[on] *= 1 - own
+            kept.append((on, slots, x, gate, mix, cell, own))
+        shares_p = shares * p
+        known = shares_p.sum(axis=0)
+        out = np.logaddexp2(np.log2(np.maximum(known, 1e-300)), np.log2(left) + spelled)
+        if learns.any():
+            post = shares_p * np.exp2(-out)
+            reach = np.ones(n)
+            for k, made in enumerate(kept):
+                if made is not None:
+                    on, slots, x, gate, mix, cell, own = made
+                    use = np.flatnonzero(learns[on])
+                    on, gate = on[use], gate[use]
+                    weight, target = reach[on], np.minimum(post[k, on], reach[on])
+                    for i, slot in enumerate(slots):
+                        slot = slot[use]
+                        self.seen[k, i, :, 0] += np.bincount(slot, target, minlength=SLOTS)
+                        self.seen[k, i, :, 1] += np.bincount(slot, weight, minlength=SLOTS)
+                    flat = self.maps[k].reshape(-1, 2)
+                    flat[:, 0] += np.bincount(cell[use], target, minlength=len(flat))
+                    flat[:, 1] += np.bincount(cell[use], weight, minlength=len(flat))
+                    error = target - weight * _squash(mix[use])
+                    many = np.maximum(np.bincount(gate, weight, minlength=7 * 16), 32.0)
+                    for i in range(PREDICTORS + 1):
+                        self.weights[k, :, i] += RATE * np.bincount(gate, error * x[i, use], minlength=7 * 16) / many / 4
+                reach = np.maximum(reach - post[k], 0)
+        return out
+
+
+def _level(x: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(x, 0) + 1), 15).astype(np.int64)
+
+
+def _chained(known: Tokens, p: np.ndarray, n: np.ndarray, spelled: np.ndarray, training: np.ndarray) -> np.ndarray:
+    """log2 of each token's probability; p: relative frequencies by order, n: how often their contexts have been seen."""
+    size = len(known.row)
+    at = np.arange(size) - known.first[known.row]
+    hit = np.where((p > 0).any(axis=0), np.argmax(p > 0, axis=0), ORDERS)
+
+    def back(k: int) -> np.ndarray:
+        out = np.full(size, 6, np.int64)
+        out[k:] = np.where(at[k:] >= k, hit[:-k], 6) if size > k else 6
+        return out
+
+    h1, h2, h3 = back(1), back(2), back(3)
+    long = hit == TRIPLE
+    broken = np.maximum.accumulate(np.where(~long | (at == 0), np.arange(size), -1))
+    run = np.zeros(size, np.int64)
+    run[1:] = np.minimum(np.arange(size - 1) - broken[:-1], 15)
+    run[at == 0] = 0
+    sums = np.concatenate([[0], np.cumsum(long)])
+    share = (8 * (sums[:-1] - sums[known.first[known.row]]) / np.maximum(at, 1)).astype(np.int64)
+    before = np.full(size, _START, np.uint64)
+    before[1:] = known.hash[:-1]
+    before[at == 0] = _START
+    levels = [_level(n[k]) for k in range(ORDERS)]
+    place = lambda x: (_splitmix(x.astype(np.uint64) + np.uint64(77)) >> np.uint64(64 - 13)).astype(np.int64)  # noqa: E731  a slot of 2^13
+    past = (h1 * 7 + h2) * 7 + h3
+    contexts, gates = [], []
+    for k in range(ORDERS):
+        lower = levels[min(k + 1, ORDERS - 1)]
+        contexts.append([levels[k] * 16 + lower, place(past * 16 + levels[k]), place(before + levels[k].astype(np.uint64)), (run * 16 + levels[k]) * 7 + h1, (share * 16 + np.minimum(levels[k], 15)) * 16 + _level(at)])
+        gates.append(levels[k] * 7 + h1)
+    may = n > 0
+    chain = Chain.fresh()
+    learns = training[known.row]
+    out = np.empty(size)
+
+    def go(part: np.ndarray | slice) -> np.ndarray:
+        return chain.step(p[:, part], [[c[part] for c in of] for of in contexts], [g[part] for g in gates], run[part], may[:, part], spelled[part], learns[part])
+
+    first = np.flatnonzero(learns)[:PRIME]
+    for lo in range(0, len(first), STEP):
+        go(first[lo : lo + STEP])
+    for lo in range(0, size, STEP):
+        out[lo : lo + STEP] = go(slice(lo, lo + STEP))
+    return out
+
+
+def _counted(given: pa.Table) -> list[np.ndarray]:
+    """Sums of each kind, in the order of a block's sorted distinct keys."""
+    given = given.sort_by([("kind", "ascending"), ("part", "ascending")])
+    kinds, out = given["kind"].to_numpy(), []
+    for kind in range(KEYS):
+        each = []
+        for i in np.flatnonzero(kinds == kind).tolist():
+            data = memoryview(given["data"][i].as_buffer())
+            each.append(_wide(data, (len(data) - 1) // data[0])[0])
+        out.append(np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64))
+    return out
+
+
+@dataclass
+class Frequencies:
+    """Relative frequencies [order, token], how often the contexts have been seen, and of the words: counts with and without the token's own text, their number, and a token that is each."""
+
+    p: np.ndarray
+    context: np.ndarray
+    total: np.ndarray
+    rest: np.ndarray
+    of: np.ndarray
+    first: np.ndarray
+
+
+def frequencies(known: Tokens, given: list[np.ndarray], training: np.ndarray, n: int) -> Frequencies:
+    """`given` has the training texts' counts of each kind's distinct keys, n their tokens; a training text's own are left out."""
+    size = len(known.row)
+    learns = training[known.row]
+    rest = []
+    for kind in range(KEYS):
+        d = distinct(known.keys[kind], known.row)
+        known.keys[kind] = None  # frees it
+        every = given[kind][d.of]
+        rest.append(np.maximum(every - np.where(learns, d.own, 0), 0))
+        if kind == 0:
+            total, before, of, first = every, d.before, d.of, d.first
+        del d, every
+    per = np.bincount(known.row, minlength=len(training))
+    context = np.empty((ORDERS, size))
+    context[TRIPLE, 1:], context[PAIR, 1:] = rest[1][:-1], rest[0][:-1]
+    context[TRIPLE, known.first], context[PAIR, known.first] = 0, rest[0][np.flatnonzero(known.word < 0)]  # as many starts as ends
+    context[TEXT], context[SHORT], context[WORD] = np.arange(size) - known.first[known.row], rest[4], n - np.where(learns, per[known.row], 0)
+    p = np.stack([rest[2], rest[1], before, rest[3], rest[0]]) / np.maximum(context, 1)
+    return Frequencies(np.where(context > 0, np.minimum(p, 1), 0), context, total, rest[0], of, first)
+
+
 def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", training: Column | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), n_bytes, total_bits, bits_per_byte."""
     spark = docs.sparkSession
     tune(spark)
     training = ~held_out(F.col(id)) if training is None else training
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), training.alias("training"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    middle = _centres(rows)
-    in_blocks = written(_block_words(rows, middle))
-    vocabulary = in_blocks.groupBy("word").agg(*(F.sum(x).alias(x) for x in COUNTS))
-    vocabulary = written(vocabulary.withColumn("c", sum((F.col(x) for x in COUNTS), F.lit(0).cast("bigint"))))
-    named = ["c", *COUNTS]
-    totals = vocabulary.agg(F.count(F.when(F.col("c") > 0, 1)), *(F.coalesce(F.sum(x), F.lit(0)) for x in named), *(F.count(F.when(F.col(x) == 1, 1)) for x in named)).first()
-    v, size, once = totals[0], np.array(totals[1 : CLASSES + 2], float), np.array(totals[CLASSES + 2 :], float)
-    n = int(size[0])
-    new = np.where(size > 0, np.minimum(np.maximum(once, 1) / np.maximum(size, 1), 0.5), 1.0)
-    ends = vocabulary.where(F.length("word") == 0).first()  # training texts by class
-    prior = np.array([(ends[x] if ends else 0) + 1.0 for x in COUNTS])
-    prior = np.log2(prior / prior.sum())
-    trained = vocabulary.where("c > 0")
-    code = _code(trained)
-    table = spark.sparkContext.broadcast(_counts(trained, code))  # 8 MB, a parameter
-    mixer = spark.sparkContext.broadcast(_mixer(trained, table, code))
-
-    def value(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in merged(data):
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log2_spelled(*_word_buffer(batch), table.value, code, mixer.value).astype(_F))], names=[*batch.schema.names, "spelled"])
-
-    counts = ", ".join(f"{x} bigint" for x in COUNTS)
-    valued = vocabulary.select("word", *COUNTS).mapInArrow(value, f"word binary, {counts}, spelled float")
-    given = in_blocks.select("block", "word").join(valued, "word")
+    size = rows.agg(F.sum(F.octet_length("text") + 4)).first()[0] or 0
+    blocks, parts = max(1, -(-size // BLOCK)), max(1, -(-size // PART))
+    bits = min(64, max(40, size.bit_length() + 16))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
+    summed = written(_summed(_sent(rows, parts, bits)))
+    v = n = 0
+    for r in summed.where(F.col("block") == TOTALS).select("data").toLocalIterator():  # 16 bytes a partition
+        x = struct.unpack("<QQ", r.data)
+        v, n = v + x[0], n + x[1]
+    once = written(_once(summed))
+    code = _code(once)
+    slots = 1 << min(MOST_BITS, max(LEAST_BITS, (16 * once.count()).bit_length()))
+    table = spark.sparkContext.broadcast(_counts(once, code, slots))  # CONTEXTS * slots * 8 bytes, 40 MB at most
+    mixer = _mixer(once, table, code)
 
     def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        n_rows = left.num_rows
-        # a word by itself has the hash that it has in a text
-        alone, edges = text_buffer(right["word"])
-        own = words(alone, edges)
-        order = np.argsort(own.hash)
-        keys, of = own.hash[order], own.row[order]
-        del own, alone, order
-        by_class = np.stack([right[x].to_numpy() for x in COUNTS]).astype(float)
-        c = by_class.sum(axis=0)
-        base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        spelled = np.exp2(np.maximum(right["spelled"].to_numpy().astype(float), -1000))
-        lm = []
-        for g in range(CLASSES):
-            first, rest = by_class[g] / max(size[g + 1], 1), c / max(n, 1)
-            v_g = min(new[0], 0.95 * new[g + 1]) if n else 1.0
-            lm += [np.log2((1 - f * new[g + 1]) * first + f * (new[g + 1] - v_g) * rest + f * v_g * spelled) for f in (NOVELTY if n else (1.0,) * len(NOVELTY))]
-        del by_class, spelled, first, rest
+        left = left.sort_by("h")
+        rows, train = left.num_rows, left["training"].to_numpy()
         raw, at = text_buffer(left["text"])
-        end = int(np.flatnonzero(np.diff(edges) == 0)[0]) if n_rows else 0
-        tokens, known = np.ones(n_rows, np.int64), np.full(n_rows, int(n_rows and c[end] > 0), np.int64)
-        based, bits = np.full(n_rows, base[end] if n_rows else 0.0), np.zeros(n_rows)
-        for lo, hi in _slices(at):
-            rows_, w = hi - lo, words(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-            which = of[np.searchsorted(keys, w.hash)] if len(w.hash) else np.zeros(0, np.int64)
-            total = lambda x: np.bincount(w.row, x[which], minlength=rows_)  # noqa: B023, E731
-            tokens[lo:hi] += w.per_row(rows_)
-            known[lo:hi] += total((c > 0).astype(float)).astype(np.int64)
-            based[lo:hi] += total(base)
-            bits[lo:hi] = -np.logaddexp2.reduce([prior[i // len(NOVELTY)] - np.log2(len(NOVELTY)) + total(x) + x[end] for i, x in enumerate(lm)])
-        n_bytes = np.diff(at)
+        known, lower, start, end = tokens(raw, at, bits)
+        size = len(known.row)
+        learns = train[known.row]
+        given = _counted(right)
+        f = frequencies(known, _counted(right), train, n)
+        per = np.bincount(known.row, minlength=rows)
+        base = np.log10((f.total + 0.1) / (n + 0.1 * (v + 1)))
+        n_known = np.bincount(known.row, f.total > 0, minlength=rows).astype(np.int64)
+        need = np.unique(f.of[f.rest <= SPELLED])
+        spelled = np.full(len(f.first), -np.inf)
+        if len(need):
+            w = known.word[f.first[need]]
+            pieces = [lower[start[i] : end[i]].tobytes() if i >= 0 else b"" for i in w.tolist()]
+            spelled[need] = log2_spelled(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int64), table.value, code, mixer)
+        spelled = np.where(f.rest <= SPELLED, spelled[f.of], -np.inf)
+        p, context = f.p, f.context
+        del f
+        bits_ = -np.bincount(known.row, _chained(known, p, context, spelled, train), minlength=rows)
+        n_bytes = per + np.bincount(known.row[known.word >= 0], (end - start)[known.word[known.word >= 0]], minlength=rows).astype(np.int64)
         return pa.table(
             {
-                "doc_id": left["doc_id"], "held_out": pa.compute.invert(left["training"]), "n_tokens": pa.array(tokens), "n_known": pa.array(known, pa.int64()),
-                "train_tokens": pa.array(np.full(n_rows, n), pa.int64()), "base_score": pa.array(based), "score": pa.array(-bits * np.log10(2.0)),
-                "n_bytes": pa.array(n_bytes, pa.int64()), "total_bits": pa.array(bits), "bits_per_byte": pa.array(bits / np.maximum(n_bytes, 1)),
+                "doc_id": left["doc_id"], "held_out": pa.array(~train), "n_tokens": pa.array(per.astype(np.int64)), "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(rows, n), pa.int64()),
+                "base_score": pa.array(np.bincount(known.row, base, minlength=rows)), "score": pa.array(-bits_ * np.log10(2.0)), "n_bytes": pa.array(n_bytes, pa.int64()), "total_bits": pa.array(bits_), "bits_per_byte": pa.array(bits_ / n_bytes),
             }
         )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, total_bits double, bits_per_byte double"
+    given = summed.where("block >= 0").select("block", "part", "kind", "data")
     return rows.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(sum_up, schema)

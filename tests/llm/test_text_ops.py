@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, contextmix, linededup, mixing, mpeg, pii, toxicity, urls, vafile
+from graphloom.llm.common import text_buffer, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string"
@@ -378,8 +379,9 @@ def test_spelling_model_is_a_distribution_and_learns():
     at = np.concatenate([[0], np.cumsum([len(w) for w in words])])
     code = contextmix.Code.of(np.bincount(raw, minlength=256))
     assert sum(2.0 ** -int(n) for n in code.length) == pytest.approx(1)
-    table = np.zeros((contextmix.ORDERS, contextmix.SLOTS, 2), np.uint32)
+    table = np.zeros((contextmix.CONTEXTS, 1 << contextmix.LEAST_BITS, 2), np.uint32)
     contextmix.count(raw, at, table, code)
+    assert table.sum() == contextmix.CONTEXTS * sum(int(code.length[b]) for w in words for b in w + b"\0")
     m = contextmix.Mixer.fresh()
     for _ in range(5):
         contextmix.learn(raw, at, table, code, m)
@@ -391,24 +393,106 @@ def test_spelling_model_is_a_distribution_and_learns():
     assert good > bad + 10
 
 
-def test_scores_prefer_text_like_the_corpus(spark):
+def test_frequencies_equal_plain_counts():
+    r = __import__("random").Random(4)
+    vocab = ["a", "of", "é", *(f"Word{i}" for i in range(12))]
+    texts = ["", "one", *(" ".join(r.choices(vocab, k=r.randint(1, 30))) for _ in range(30))]
+    training = np.array([i % 4 > 0 for i in range(len(texts))])
+    raw, at = text_buffer(pa.array(texts))
+    known = contextmix.tokens(raw, at, 64)[0]
+    given = []
+    for keys in known.keys:
+        d = contextmix.distinct(keys, known.row)
+        given.append(np.bincount(d.of, training[known.row], minlength=len(d.keys)).astype(np.int64))
+    n = int(training[known.row].sum())
+    f = contextmix.frequencies(known, given, training, n)
+    lines = [["<", "<", *WORD.findall(lower(t)), None] for t in texts]
+
+    def seen(own):
+        c = [__import__("collections").Counter() for _ in range(5)]
+        for i, w in enumerate(lines):
+            if training[i] and i != own:
+                short = "<"
+                for j in range(2, len(w)):
+                    for k, key in enumerate([(w[j],), (w[j - 1], w[j]), tuple(w[j - 2 : j + 1]), (short, w[j]), (short,)]):
+                        c[k][key] += 1
+                    if w[j] and len(w[j].encode()) <= contextmix.SHORT_BYTES:
+                        short = w[j]
+        return c
+
+    x = 0
+    for i, w in enumerate(lines):
+        c, short = seen(i), "<"
+        starts = sum(training) - bool(training[i])
+        for j in range(2, len(w)):
+            pair = starts if j == 2 else c[0][(w[j - 1],)]
+            triple = 0 if j == 2 else c[1][(w[j - 2], w[j - 1])]
+            want = [(c[2][tuple(w[j - 2 : j + 1])], triple), (c[1][(w[j - 1], w[j])], pair), (w[2:j].count(w[j]), j - 2), (c[3][(short, w[j])], c[4][(short,)]), (c[0][(w[j],)], sum(c[0].values()))]
+            assert [(round(float(a * b), 6), b) for a, b in zip(f.p[:, x], f.context[:, x], strict=True)] == [(min(a, b), b) for a, b in want], (i, j)
+            assert f.rest[x] == c[0][(w[j],)] and f.total[x] == f.rest[x] + training[i] * w.count(w[j])
+            x += 1
+            if w[j] and len(w[j].encode()) <= contextmix.SHORT_BYTES:
+                short = w[j]
+    assert x == len(f.rest)
+
+
+def test_chain_is_a_distribution_and_learns_online():
+    r = np.random.default_rng(5)
+    chain = contextmix.Chain.fresh()
+    n = 300
+    slots = lambda m: [[np.full(m, 3 * k + i) for i in range(contextmix.PREDICTORS)] for k in range(contextmix.ORDERS)]
+    p = np.array([r.dirichlet(np.full(n - 50, 0.1)).tolist() + [0.0] * 50 for _ in range(contextmix.ORDERS)])  # the last 50 are told by no order
+    s = np.concatenate([np.full(n - 50, -np.inf), np.full(50, np.log2(1 / 50))])
+    one = lambda k: (slots(k), [np.zeros(k, int)] * contextmix.ORDERS, np.zeros(k, int))
+    for _ in range(20):
+        assert np.exp2(chain.step(p, *one(n), np.ones((contextmix.ORDERS, n), bool), s, np.zeros(n, bool))).sum() == pytest.approx(1)
+        drawn = r.choice(n, 500, p=0.9 * np.append(p[1, :-50], [0] * 50) + 0.1 * np.append(np.zeros(n - 50), np.full(50, 1 / 50)))
+        last = chain.step(p[:, drawn], *one(500), np.ones((contextmix.ORDERS, 500), bool), s[drawn], np.ones(500, bool)).mean()
+    fresh = contextmix.Chain.fresh().step(p[:, drawn], *one(500), np.ones((contextmix.ORDERS, 500), bool), s[drawn], np.zeros(500, bool)).mean()
+    assert last > fresh + 0.3
+
+
+@pytest.mark.parametrize("most", [3, 2**40])
+def test_packed_counts_come_back(most):
+    r = np.random.default_rng(6)
+    keys = np.unique(r.integers(0, 1 << 63, 1000, np.uint64))
+    counts = r.integers(0, most, len(keys)).astype(np.uint64)
+    once = [b"x" * int(i % 7) for i in range(int((counts == 1).sum()))]
+    k, c, _ = contextmix._unpack(contextmix._pack(keys, counts, once))
+    assert (k == keys).all() and (c == counts.astype(np.int64)).all()
+    assert contextmix._unpack(contextmix._pack(keys[:0], counts[:0], None))[0].size == 0
+
+
+def test_scores_of_held_out_texts_beat_the_base(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    got = contextmix.scores(docs).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("total_bits").alias("bits"), F.sum("n_bytes").alias("n")).first()
-    assert got.s > got.b and got.bits / got.n < 3
-
-
-def test_rare_texts_get_a_class_of_their_own(spark):
-    import random
-
-    r = random.Random(3)
-    texts = [" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(20)) for _ in range(2600)] + ["\u0436\u0449 \u044e\u0444 \u044d\u0446 " * 20] * 400
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("training", F.lit(True)).withColumn("order", F.xxhash64("doc_id", "text"))
-    order = rows.orderBy("order")
-    rare = order.where("doc_id >= 2600").orderBy(F.desc("order")).limit(3)
-    rows = rows.where("doc_id < 2600").unionByName(rare).drop("order").localCheckpoint()
-    assert rows.select(F.xxhash64("doc_id", "text").alias("o"), "doc_id").orderBy("o").limit(2000).where("doc_id >= 2600").isEmpty()
-    c = contextmix._centres(rows)
-    of = lambda t: int(contextmix.nearest(contextmix.profiles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])), c)[0])
-    assert of(texts[-1]) not in {of(t) for t in texts[:2600]}
-    own = contextmix.profiles(np.frombuffer(texts[-1].encode(), np.uint8), np.array([0, len(texts[-1].encode())]))[0]
-    assert np.abs(c[of(texts[-1])] - own).max() < 0.01
+    sums = lambda: docs.sparkSession.createDataFrame(contextmix.scores(docs).collect()).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("total_bits").alias("bits"), F.sum("n_bytes").alias("n"), F.count("*").alias("rows")).first()
+    got = sums()
+    assert got.s > 0.9 * got.b and got.bits / got.n < 2.5 and got.s == pytest.approx(-got.bits * np.log10(2))
+    assert sums() == got
+    monkeypatch.setattr(contextmix, "BLOCK", 1 << 17)
+    monkeypatch.setattr(contextmix, "PART", 1 << 16)
+    many = sums()
+    assert many.b == pytest.approx(got.b) and many.rows == got.rows and many.s > 0.95 * many.b
+
+
+def test_scores_tell_copies_and_order_apart(spark):
+    r = __import__("random").Random(9)
+    vocab = [f"{a}{b}" for a in "bcdfghjklm" for b in ("ab", "ek", "op", "ul")]
+    rows = [(i, " ".join(r.choices(vocab, k=60))) for i in range(300)]
+    copy = rows[17][1].split()
+    rows += [(400 + i, rows[i][1]) for i in range(100, 160)]
+    rows += [(1000, " ".join(copy)), (1001, " ".join(sorted(copy)))]
+    got = {x.doc_id: x for x in contextmix.scores(spark.createDataFrame(rows, DOCS), training=F.col("doc_id") < 1000).collect()}
+    assert got[1000].bits_per_byte < 0.6 * got[1001].bits_per_byte and got[1000].held_out
+
+
+def test_words_have_hashes_of_their_own():
+    one = lambda n: bytes(97 + bin(i).count("1") % 2 for i in range(n))
+    for n in (16, 64, 65, 1024, 4096):
+        t = one(n).decode()
+        raw, at = text_buffer(pa.array([t, t.translate(str.maketrans("ab", "ba")), t]))
+        h = words(raw, at).hash
+        assert h[0] != h[1] and h[0] == h[2]
+    many = ["".join(x) for x in __import__("itertools").product("abc", repeat=7)]
+    raw, at = text_buffer(pa.array([" ".join(many), "a" * 70 + " " + "a" * 71]))
+    assert len(set(words(raw, at).hash.tolist())) == len(many) + 2
