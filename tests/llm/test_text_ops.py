@@ -477,7 +477,7 @@ def test_scores_of_held_out_texts_beat_the_base(spark, monkeypatch):
 
 def test_scores_tell_copies_and_order_apart(spark):
     r = __import__("random").Random(9)
-    vocab = [f"{a}{b}" for a in "bcdfghjklm" for b in ("ab", "ek", "op", "ul")]
+    vocab = [f"{a}{b}{c}" for a in "bcdfghjklm" for b in ("ab", "ek", "op", "ul") for c in "nrstvwxz"]
     rows = [(i, " ".join(r.choices(vocab, k=60))) for i in range(300)]
     copy = rows[17][1].split()
     rows += [(400 + i, rows[i][1]) for i in range(100, 160)]
