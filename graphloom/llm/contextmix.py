@@ -1,9 +1,8 @@
 """Language-model scores by online logistic context mixing over hashed-context bit predictors.
 
 A text is a sequence of tokens: its words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, then one end. A token is
-told by a chain of bits, each "does this order have it": the two words before (order 0 below), the word
-before, the text so far, the last word of up to three bytes, and the vocabulary. What no order has is
-spelled, bit by bit of its bytes. Within an order the token has its relative frequency there, so with a_k
+told by a chain of bits, each "does this order have it": the two words before, the word before, the text
+so far, and the vocabulary. What no order has is spelled, bit by bit of its bytes. Within an order the token has its relative frequency there, so with a_k
 the probability of the chain's stop at k, the token has sum(a_k * p_k) + a_spelled * S.
 
 The chain's bits are each predicted by PREDICTORS adaptive probabilities, named by hashed contexts: how
@@ -21,9 +20,9 @@ so far) and the bits of the byte so far; their mix is gated and refined likewise
 that stand once in the training texts, as those are what new words are like. Words that other texts
 have more than SPELLED times aren't spelled; their share of S is left unused.
 
-Scale: counts of words, pairs, triples and words after short ones are exact up to their hashes, and grow
+Scale: counts of words, pairs and triples are exact up to their hashes, and grow
 with the corpus. Texts are dealt to blocks of about BLOCK bytes; a block sends the sorted hashes of what it has,
-cut to so many bits that a chance match has odds of 2^-16, as differences of a few bytes, to partitions by
+cut to so many bits that a chance match has odds of 2^-10, as differences of a few bytes, to partitions by
 range of hash, and gets the sums back in the same order. So no vocabulary is held whole by a task
 or the driver, and a frequent word is one number a block. Counts of the spelling model are sums: tasks add
 theirs in two rounds; slots grow with the words that stand once, up to 2^MOST_BITS for each context.
@@ -51,7 +50,7 @@ from graphloom.llm.common import _BYTE, _power_tables, _splitmix, merged, text_b
 
 #: Contexts of the spelling model, and bits of its slots' numbers, by how many words it learns from.
 CONTEXTS = 5
-LEAST_BITS, MOST_BITS = 18, 20
+LEAST_BITS, MOST_BITS = 18, 19
 #: Bytes of text in a block, and of text whose hashes meet in a partition.
 BLOCK, PART = 6 << 20, 4 << 20
 #: Words that other texts have more often aren't spelled.
@@ -185,7 +184,11 @@ def _gate(seen: list[np.ndarray]) -> np.ndarray:
 
 
 def _bucket(mix: np.ndarray) -> np.ndarray:
-    return np.clip((mix + 8) * (APM / 16), 0, APM - 1).astype(np.int64)
+    return np.clip((mix + _F(8)) * _F(APM / 16), 0, APM - 1).astype(np.int64)
+
+
+#: The probability in the middle of each bucket.
+_MIDDLE = _squash(((np.arange(APM) + 0.5) * (16 / APM) - 8).astype(_F))
 
 
 def learn(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, code: Code, m: Mixer) -> None:
@@ -217,19 +220,18 @@ def log2_spelled(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, code:
     out = np.zeros(len(offsets) - 1)
     middle = (np.arange(APM) + 0.5) * (16 / APM) - 8
     prior = _squash(middle)[None, :]
-    odds = np.log((m.apm[:, :, 0] + 20 * prior) / (m.apm[:, :, 1] - m.apm[:, :, 0] + 20 * (1 - prior))).astype(_F)
+    odds = np.log((m.apm[:, :, 0] + 20 * prior) / (m.apm[:, :, 1] - m.apm[:, :, 0] + 20 * (1 - prior))).astype(_F).reshape(-1)
     known = np.log((table[:, :, 1] + _F(0.3)) / (table[:, :, 0] + _F(0.3)), dtype=_F)
-    seen = table.sum(axis=2, dtype=np.int64)
-    level = [np.minimum(np.log2(seen[k] + 1).astype(np.int64), 2 * BUCKETS - 1) // 2 for k in (CONTEXTS - 2, CONTEXTS - 1)]
-    weights = m.weights.astype(_F)
+    level = [(np.minimum(np.log2(table[k].sum(axis=1).astype(_F) + 1), 2 * BUCKETS - 1).astype(np.uint8) // 2) for k in (CONTEXTS - 2, CONTEXTS - 1)]
+    weights = np.ascontiguousarray(m.weights.T.astype(_F))
     for at, to, s in _parts(raw, offsets):
         total = np.zeros(len(s.byte))
         for where, node, bit, slots in bits_of(s, code, table.shape[1]):
-            w = weights[level[0][slots[-2]] * BUCKETS + level[1][slots[-1]]]
-            mix = w[:, CONTEXTS] * _F(0.3)
+            gate = (level[0][slots[-2]] * np.uint8(BUCKETS) + level[1][slots[-1]]).astype(np.int64)
+            mix = weights[CONTEXTS][gate] * _F(0.3)
             for k, slot in enumerate(slots):
-                mix += w[:, k] * known[k, slot]
-            refined = (mix + odds[node, _bucket(mix)]) / 2
+                mix += weights[k][gate] * known[k][slot]
+            refined = (mix + odds[node * APM + _bucket(mix)]) / 2
             total[where] -= np.logaddexp(_F(0), np.where(bit == 1, -refined, refined))
         out[at:to] = np.bincount(s.word, total, minlength=to - at) / np.log(2)
     return out
@@ -307,13 +309,12 @@ def _mixer(vocabulary: DataFrame, shared, code: Code) -> Mixer:
     return m
 
 
-#: Orders of the chain, and of the keys that are counted: words, pairs, triples, words after a short one, short ones.
-TRIPLE, PAIR, TEXT, SHORT, WORD = range(5)
-ORDERS, KEYS = 5, 5
+#: Orders of the chain, and kinds of keys that are counted: words, pairs, triples.
+TRIPLE, PAIR, TEXT, WORD = range(4)
+ORDERS, KEYS = 4, 3
 PREDICTORS = 5
-#: Slots of each predictor of each bit.
-SLOTS = 1 << 13
-SHORT_BYTES = 3
+#: Slots of each predictor of each bit, and gates: how often the context has been seen by which order had the last token.
+SLOTS, CHAIN_GATES = 1 << 13, 16 * 7
 _START, _END = _splitmix(np.array([1, 2], np.uint64))
 _KIND = _splitmix(np.arange(11, 11 + KEYS, dtype=np.uint64))
 
@@ -346,20 +347,10 @@ def tokens(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[Tokens, np.
     one[first] = two[first] = _START
     second = first[size > 1] + 1
     two[second] = _START
-    last = np.full(len(h), -1, np.int64)
-    brief = at[w.end - w.start <= SHORT_BYTES]
-    last[brief] = brief
-    last = np.maximum.accumulate(last)
-    last[1:] = last[:-1].copy()
-    if len(last):
-        last[0] = -1
-    short = np.where(last >= first[row], h[np.maximum(last, 0)], _START)
     cut = np.uint64(64 - bits)
     pair = _splitmix(_splitmix(one + _KIND[1]) + h) >> cut
     triple = _splitmix(_splitmix(_splitmix(two + _KIND[2]) + one) + h) >> cut
-    after = _splitmix(_splitmix(short + _KIND[3]) + h) >> cut
-    short = _splitmix(short + _KIND[4]) >> cut
-    return Tokens(row, first, h, word, [h, pair, triple, after, short]), w.lower, w.start, w.end
+    return Tokens(row, first, h, word, [h, pair, triple]), w.lower, w.start, w.end
 
 
 @dataclass
@@ -375,8 +366,17 @@ class Distinct:
 
 def distinct(keys: np.ndarray, row: np.ndarray) -> Distinct:
     n = len(keys)
-    order = np.argsort(keys, kind="stable")
-    k, r = keys[order], row[order]
+    places = np.uint64(max(1, n.bit_length()))
+    if n and int(keys.max()).bit_length() + int(places) <= 64:  # sorting numbers is much faster than sorting places by them
+        both = keys << places
+        both |= np.arange(n, dtype=np.uint64)
+        both.sort()
+        order = (both & np.uint64((1 << int(places)) - 1)).astype(np.int64)
+        k = both >> places
+    else:
+        order = np.argsort(keys, kind="stable")
+        k = keys[order]
+    r = row[order]
     new = np.ones(n, bool)
     new[1:] = k[1:] != k[:-1]
     fresh = new.copy()
@@ -392,34 +392,36 @@ def distinct(keys: np.ndarray, row: np.ndarray) -> Distinct:
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """How many bytes a number takes, and the numbers."""
-    top = int(x.max(initial=0))
-    width = max(1, -(-top.bit_length() // 8))
-    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    """How many bytes a number takes, and the numbers: first bytes of all, then second ones, so that few large ones cost little once compressed."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _wide(data: memoryview, n: int) -> tuple[np.ndarray, int]:
     width = data[0]
     out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8, n * width, 1).reshape(n, width)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width, 1).reshape(width, n).T
     return out.view("<u8").reshape(n), 1 + n * width
 
 
+_CODEC = pa.Codec("zstd", 1)
+
+
 def _pack(keys: np.ndarray, counts: np.ndarray, once: list[bytes] | None) -> bytes:
-    """Sorted keys as differences, counts, and the words that stand once."""
-    steps = keys.copy()
-    steps[1:] -= keys[:-1]
-    body = struct.pack("<Q", len(keys)) + _narrow(steps) + _narrow(counts)
-    return body if once is None else body + _narrow(np.array([len(x) for x in once], np.uint64)) + b"".join(once)
+    """Sorted keys, one at least, as differences, counts, and the words that stand once."""
+    body = struct.pack("<QQ", len(keys), int(keys[0])) + _narrow(np.diff(keys)) + _narrow(counts)
+    if once is not None:
+        body += _narrow(np.array([len(x) for x in once], np.uint64)) + b"".join(once)
+    return struct.pack("<Q", len(body)) + _CODEC.compress(body, asbytes=True)
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, memoryview]:
-    view = memoryview(data)
-    n = struct.unpack("<Q", view[:8])[0]
-    steps, used = _wide(view[8:], n)
-    view = view[8 + used :]
+    view = memoryview(_CODEC.decompress(data[8:], struct.unpack("<Q", data[:8])[0], asbytes=True))
+    n, first = struct.unpack("<QQ", view[:16])
+    steps, used = _wide(view[16:], n - 1)
+    view = view[16 + used :]
     counts, used = _wide(view, n)
-    return np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64), view[used:]
+    return np.concatenate([[np.uint64(first)], np.uint64(first) + np.cumsum(steps, dtype=np.uint64)]), counts.astype(np.int64), view[used:]
 
 
 def _bounds(kind: int, parts: int, bits: int) -> np.ndarray:
@@ -516,7 +518,7 @@ def _once(summed: DataFrame) -> DataFrame:
 
 @dataclass
 class Chain:
-    """Adaptive probabilities [bit, predictor, slot, (ones, all)], weights [bit, gate, predictor] and maps [bit, run, bucket, (ones, all)]."""
+    """Adaptive probabilities [bit, predictor, (ones, all), slot], weights [bit, predictor, gate] and maps [bit, (ones, all), run and bucket]."""
 
     seen: np.ndarray
     weights: np.ndarray
@@ -524,7 +526,7 @@ class Chain:
 
     @staticmethod
     def fresh() -> Chain:
-        return Chain(np.zeros((ORDERS, PREDICTORS, SLOTS, 2)), np.full((ORDERS, 7 * 16, PREDICTORS + 1), 1 / PREDICTORS), np.zeros((ORDERS, 8, APM, 2)))
+        return Chain(np.zeros((ORDERS, PREDICTORS, 2, SLOTS), _F), np.full((ORDERS, PREDICTORS + 1, CHAIN_GATES), 1 / PREDICTORS, _F), np.zeros((ORDERS, 2, 8 * APM), _F))
 
     def step(self, p: np.ndarray, contexts: list[list[np.ndarray]], gates: list[np.ndarray], runs: np.ndarray, may: np.ndarray, spelled: np.ndarray, learns: np.ndarray) -> np.ndarray:
         """log2 of the probability of each token of a batch; learns from those of `learns` after all are predicted.
@@ -532,7 +534,7 @@ class Chain:
         p: the tokens' relative frequencies by order; may: orders whose context has been seen; spelled: log2 of S.
         """
         n = p.shape[1]
-        left, total = np.ones(n), np.zeros(n)
+        left = np.ones(n)
         kept = []
         shares = np.zeros((ORDERS, n))
         for k in range(ORDERS):
@@ -541,90 +543,87 @@ class Chain:
                 kept.append(None)
                 continue
             slots = [c[on] for c in contexts[k]]
-            x = np.empty((PREDICTORS + 1, len(on)))
-            for i, slot in enumerate(slots):
-                ones, every = self.seen[k, i, slot, 0], self.seen[k, i, slot, 1]
-                x[i] = np.log((ones + 0.2) / (every - ones + 0.2))
-            x[PREDICTORS] = 0.3
             gate = gates[k][on]
-            mix = np.einsum("ij,ji->j", x, self.weights[k][gate])
-            cell = (runs[on] >> 1) * APM + _bucket(mix)
-            at = self.maps[k].reshape(-1, 2)[cell]
-            middle = (_bucket(mix) + 0.5) * (16 / APM) - 8
-            prior = _squash(middle)
-            refined = (at[:, 0] + 20 * prior) / (at[:, 1] + 20)
-            own = np.clip((_squash(mix) + refined) / 2, 1e-6, 1 - 1e-6)
+            x, mix = [], _F(0.3) * self.weights[k, PREDICTORS][gate]
+            for i, slot in enumerate(slots):
+                ones, every = self.seen[k, i, 0][slot], self.seen[k, i, 1][slot]
+                x.append(np.log((ones + _F(0.2)) / (np.maximum(every - ones, _F(0)) + _F(0.2))))
+                mix += self.weights[k, i][gate] * x[i]
+            bucket = _bucket(mix)
+            cell = (runs[on] >> 1) * APM + bucket
+            plain = _squash(mix)
+            refined = (self.maps[k, 0][cell] + _F(20) * _MIDDLE[bucket]) / (self.maps[k, 1][cell] + _F(20))
+            own = np.clip((plain + refined) / 2, 1e-6, 1 - 1e-6).astype(float)
             shares[k, on] = left[on] * own
             left[on] *= 1 - own
-            kept.append((on, slots, x, gate, mix, cell, own))
-        shares_p = shares * p
-        known = shares_p.sum(axis=0)
-        out = np.logaddexp2(np.log2(np.maximum(known, 1e-300)), np.log2(left) + spelled)
+            kept.append((on, slots, x, gate, cell, plain))
+        shares *= p
+        out = np.logaddexp2(np.log2(np.maximum(shares.sum(axis=0), 1e-300)), np.log2(left) + spelled)
         if learns.any():
-            post = shares_p * np.exp2(-out)
+            shares *= np.exp2(-out)
             reach = np.ones(n)
             for k, made in enumerate(kept):
                 if made is not None:
-                    on, slots, x, gate, mix, cell, own = made
-                    use = np.flatnonzero(learns[on])
-                    on, gate = on[use], gate[use]
-                    weight, target = reach[on], np.minimum(post[k, on], reach[on])
+                    on, slots, x, gate, cell, plain = made
+                    use = slice(None) if learns.all() else np.flatnonzero(learns[on])
+                    on, gate, cell, plain = on[use], gate[use], cell[use], plain[use]
+                    weight = reach[on]
+                    target = np.minimum(shares[k, on], weight)
                     for i, slot in enumerate(slots):
-                        slot = slot[use]
-                        self.seen[k, i, :, 0] += np.bincount(slot, target, minlength=SLOTS)
-                        self.seen[k, i, :, 1] += np.bincount(slot, weight, minlength=SLOTS)
-                    flat = self.maps[k].reshape(-1, 2)
-                    flat[:, 0] += np.bincount(cell[use], target, minlength=len(flat))
-                    flat[:, 1] += np.bincount(cell[use], weight, minlength=len(flat))
-                    error = target - weight * _squash(mix[use])
-                    many = np.maximum(np.bincount(gate, weight, minlength=7 * 16), 32.0)
-                    for i in range(PREDICTORS + 1):
-                        self.weights[k, :, i] += RATE * np.bincount(gate, error * x[i, use], minlength=7 * 16) / many / 4
-                reach = np.maximum(reach - post[k], 0)
+                        self.seen[k, i, 0] += np.bincount(slot[use], target, minlength=SLOTS)
+                        self.seen[k, i, 1] += np.bincount(slot[use], weight, minlength=SLOTS)
+                    self.maps[k, 0] += np.bincount(cell, target, minlength=8 * APM)
+                    self.maps[k, 1] += np.bincount(cell, weight, minlength=8 * APM)
+                    error = target - weight * plain
+                    rate = RATE / 4 / np.maximum(np.bincount(gate, weight, minlength=CHAIN_GATES), 32.0)
+                    for i in range(PREDICTORS):
+                        self.weights[k, i] += rate * np.bincount(gate, error * x[i][use], minlength=CHAIN_GATES)
+                    self.weights[k, PREDICTORS] += rate * 0.3 * np.bincount(gate, error, minlength=CHAIN_GATES)
+                reach = np.maximum(reach - shares[k], 0)
         return out
 
 
 def _level(x: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(x, 0) + 1), 15).astype(np.int64)
+    return np.minimum(np.log2(np.maximum(x, 0).astype(_F) + _F(1)), _F(15)).astype(np.uint8)
 
 
 def _chained(known: Tokens, p: np.ndarray, n: np.ndarray, spelled: np.ndarray, training: np.ndarray) -> np.ndarray:
     """log2 of each token's probability; p: relative frequencies by order, n: how often their contexts have been seen."""
     size = len(known.row)
     at = np.arange(size) - known.first[known.row]
-    hit = np.where((p > 0).any(axis=0), np.argmax(p > 0, axis=0), ORDERS)
+    hit = np.where((p > 0).any(axis=0), np.argmax(p > 0, axis=0), ORDERS).astype(np.int16)
 
     def back(k: int) -> np.ndarray:
-        out = np.full(size, 6, np.int64)
-        out[k:] = np.where(at[k:] >= k, hit[:-k], 6) if size > k else 6
+        out = np.full(size, ORDERS + 1, np.int16)
+        out[k:] = np.where(at[k:] >= k, hit[:-k], ORDERS + 1) if size > k else ORDERS + 1
         return out
 
-    h1, h2, h3 = back(1), back(2), back(3)
+    last = back(1)
+    past = (last * 7 + back(2)) * 7 + back(3)
     long = hit == TRIPLE
     broken = np.maximum.accumulate(np.where(~long | (at == 0), np.arange(size), -1))
-    run = np.zeros(size, np.int64)
+    run = np.zeros(size, np.uint8)
     run[1:] = np.minimum(np.arange(size - 1) - broken[:-1], 15)
     run[at == 0] = 0
     sums = np.concatenate([[0], np.cumsum(long)])
-    share = (8 * (sums[:-1] - sums[known.first[known.row]]) / np.maximum(at, 1)).astype(np.int64)
+    share = (8 * (sums[:-1] - sums[known.first[known.row]]) / np.maximum(at, 1)).astype(np.uint8)
     before = np.full(size, _START, np.uint64)
     before[1:] = known.hash[:-1]
     before[at == 0] = _START
-    levels = [_level(n[k]) for k in range(ORDERS)]
-    place = lambda x: (_splitmix(x.astype(np.uint64) + np.uint64(77)) >> np.uint64(64 - 13)).astype(np.int64)  # noqa: E731  a slot of 2^13
-    past = (h1 * 7 + h2) * 7 + h3
-    contexts, gates = [], []
-    for k in range(ORDERS):
-        lower = levels[min(k + 1, ORDERS - 1)]
-        contexts.append([levels[k] * 16 + lower, place(past * 16 + levels[k]), place(before + levels[k].astype(np.uint64)), (run * 16 + levels[k]) * 7 + h1, (share * 16 + np.minimum(levels[k], 15)) * 16 + _level(at)])
-        gates.append(levels[k] * 7 + h1)
-    may = n > 0
-    chain = Chain.fresh()
+    levels, place = np.stack([_level(n[k]) for k in range(ORDERS)]), _level(at)
     learns = training[known.row]
     out = np.empty(size)
+    chain = Chain.fresh()
+    slot = lambda x: (_splitmix(x.astype(np.uint64) + np.uint64(77)) >> np.uint64(64 - 13)).astype(np.int64)  # noqa: E731  of 2^13
 
     def go(part: np.ndarray | slice) -> np.ndarray:
-        return chain.step(p[:, part], [[c[part] for c in of] for of in contexts], [g[part] for g in gates], run[part], may[:, part], spelled[part], learns[part])
+        ls = levels[:, part].astype(np.int64)
+        h, r, s, w, of, i = last[part].astype(np.int64), run[part].astype(np.int64), share[part].astype(np.int64), before[part], past[part].astype(np.int64), place[part].astype(np.int64)
+        contexts, gates = [], []
+        for k in range(ORDERS):
+            contexts.append([ls[k] * 16 + ls[min(k + 1, ORDERS - 1)], slot(of * 16 + ls[k]), slot(w + ls[k].astype(np.uint64)), (r * 16 + ls[k]) * 7 + h, (s * 16 + ls[k]) * 16 + i])
+            gates.append(ls[k] * 7 + h)
+        return chain.step(p[:, part], contexts, gates, r, n[:, part] > 0, spelled[part], learns[part])
 
     first = np.flatnonzero(learns)[:PRIME]
     for lo in range(0, len(first), STEP):
@@ -676,8 +675,8 @@ def frequencies(known: Tokens, given: list[np.ndarray], training: np.ndarray, n:
     context = np.empty((ORDERS, size))
     context[TRIPLE, 1:], context[PAIR, 1:] = rest[1][:-1], rest[0][:-1]
     context[TRIPLE, known.first], context[PAIR, known.first] = 0, rest[0][np.flatnonzero(known.word < 0)]  # as many starts as ends
-    context[TEXT], context[SHORT], context[WORD] = np.arange(size) - known.first[known.row], rest[4], n - np.where(learns, per[known.row], 0)
-    p = np.stack([rest[2], rest[1], before, rest[3], rest[0]]) / np.maximum(context, 1)
+    context[TEXT], context[WORD] = np.arange(size) - known.first[known.row], n - np.where(learns, per[known.row], 0)
+    p = np.stack([rest[2], rest[1], before, rest[0]]) / np.maximum(context, 1)
     return Frequencies(np.where(context > 0, np.minimum(p, 1), 0), context, total, rest[0], of, first)
 
 
@@ -689,7 +688,7 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", training: Co
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), training.alias("training"))
     size = rows.agg(F.sum(F.octet_length("text") + 4)).first()[0] or 0
     blocks, parts = max(1, -(-size // BLOCK)), max(1, -(-size // PART))
-    bits = min(64, max(40, size.bit_length() + 16))
+    bits = min(64, size.bit_length() + 10)
     rows = rows.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
     summed = written(_summed(_sent(rows, parts, bits)))
     v = n = 0
@@ -699,7 +698,7 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", training: Co
     once = written(_once(summed))
     code = _code(once)
     slots = 1 << min(MOST_BITS, max(LEAST_BITS, (16 * once.count()).bit_length()))
-    table = spark.sparkContext.broadcast(_counts(once, code, slots))  # CONTEXTS * slots * 8 bytes, 40 MB at most
+    table = spark.sparkContext.broadcast(_counts(once, code, slots))  # CONTEXTS * slots * 8 bytes, 20 MB at most
     mixer = _mixer(once, table, code)
 
     def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
