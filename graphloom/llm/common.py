@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(names: Iterable[str], name: str) -> str:
+    """`name`, with as many underscores behind it as it takes to differ from all `names` (letter case aside)."""
+    taken = {x.lower() for x in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (spark.checkpoint.dir); one of our own only where none is set."""
     ctx = spark.sparkContext

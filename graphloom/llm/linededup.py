@@ -1,34 +1,35 @@
 """Line dedup by content-defined chunks of lines.
 
 A text is cut into chunks at each newline, and within a line before a word where the hash of the bytes
-of the word before it and its own says so (one place in eight). A cut depends on two words only, so a
-passage is cut alike wherever it stands, whatever its punctuation and whatever stands beside it.
-
-1. Chunk hashes are counted over all documents, with the least id that has one.
-2. A bitmap of fixed size tells nearly all chunks that stand once; the others, and those beside them,
-   send their bytes to where their hash is, and are compared with those of the document of the least id.
-3. That document keeps a repeated chunk at its first place. All other places lose it where
-   consecutive repeated chunks have at least LEAST words together, so short stock lines stay. What is
-   removed goes with the white space after it. Only documents that lose something are shuffled.
-4. A run of such chunks goes on at both ends, word by word, as far as the next chunk and the one that
-   stands there in the document that keeps it are the same; a passage has no cut beyond its last one, so
-   that is all of it. A next chunk that is repeated itself, and kept here, stays whole.
-
-A passage in the midst of lines is found if it has two cuts, as 99.6 % of those of 60 words have
-(98.8 % of those of 50, 99.96 % of those of 80). Whole lines have a cut at both ends and are always found.
-
-A hash that two different repeated chunks share (64 bits) is resolved for the bytes of the least id;
-the other stays. The bitmap only saves shuffling: where it is full, all chunks are compared.
+of the word before it and its own is less than those of the AROUND places on either side. A cut depends on
+few words, so a passage is cut alike wherever it stands, whatever its punctuation and whatever stands
+beside it, but for AROUND words at its edges.
+
+1. Chunk hashes are counted over all documents; a bitmap tells nearly all chunks that stand once.
+2. Consecutive chunks that stand more than once and have at least RUN words together, and the chunks beside them,
+   send their bytes to where their hash is. The least document among those keeps a chunk, at its first place;
+   it is compared, byte by byte, with all others.
+3. All other places lose it where consecutive repeated chunks have at least LEAST words together, so short
+   stock lines stay. What is removed goes with the white space after it. Only documents that lose
+   something are shuffled.
+4. A run of such chunks goes on at both ends, word by word, as far as the next two chunks and those that
+   stand there in the document that keeps it are the same; a passage has no cut beyond its last one, so
+   that is all of it. What goes so is kept by a lesser document (or stands earlier in the same one), which
+   gives it up to a still lesser one only.
+
+A hash that two different repeated chunks share (64 bits) is resolved for the bytes that are kept; the
+other stays. The bitmap, of a bit for eight bytes of text and 2^MOST_FILTER bits at most, and the BUCKETS that
+tell which documents may lose something only save shuffling: where they are full, all chunks or texts go.
 
 Defined cases: a null text stays null, an empty one empty; a document that loses all its chunks has an
 empty text, and `dedup` drops it; rows of one id are one document: what it keeps, each row of it keeps;
 a document without an id gives way to any that has one, and keeps what only such share; an empty table
-gives an empty one; further columns are kept.
+gives an empty one; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,14 +37,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from graphloom.llm.common import _BYTE, _SPACE, _power_tables, _splitmix, batches, text_buffer, tune, written
+from graphloom.llm.common import _BYTE, _SPACE, _power_tables, _splitmix, batches, text_buffer, tune, unused, written
 
-LEAST = 18
-#: Of 256 places between words, so many are cuts.
-CUTS = 32
-#: Bits of the bitmap of repeated chunks (8 MB), and buckets that tell which documents may lose some.
-FILTER, BUCKETS = 1 << 26, 1 << 20
+LEAST, RUN = 18, 10
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Places between words on either side of which a cut has the least hash; of 2 * AROUND + 1, one is a cut.
+AROUND = 4
+#: Bits of the bitmap of repeated chunks (64 MB at most), and buckets that tell which documents may lose some.
+LEAST_FILTER, MOST_FILTER, BUCKETS = 22, 29, 1 << 20
 
 
 @dataclass
@@ -81,7 +84,16 @@ def chunks(raw: np.ndarray, offsets: np.ndarray) -> Chunks:
     np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
     hashed = lambda a, b: _splitmix((sums[b] - sums[a]) * down[a] ^ (b - a).astype(np.uint64))
     begins = np.ones(len(start), bool)
-    begins[1:] = (row[1:] != row[:-1]) | (lines[start[1:]] > lines[end[:-1]]) | ((hashed(start[:-1], end[1:]) >> np.uint64(56)) < CUTS)
+    begins[1:] = (row[1:] != row[:-1]) | (lines[start[1:]] > lines[end[:-1]])
+    line = np.cumsum(begins, dtype=np.int32)
+    place = np.full(len(start), ~np.uint64(0))  # before each word that doesn't begin a line
+    place[1:] = np.where(begins[1:], place[1:], hashed(start[:-1], end[1:]))
+    least = ~begins
+    for k in range(1, AROUND + 1):
+        same = line[k:] == line[:-k]
+        least[k:] &= ~same | (place[k:] < place[:-k])
+        least[:-k] &= ~same | (place[:-k] <= place[k:])
+    begins |= least
     head = np.flatnonzero(begins)  # the first word of each chunk
     tail = np.append(head[1:], len(start))
     c_row, c_start, c_end = row[head], start[head], end[tail - 1]
@@ -99,31 +111,39 @@ def _numbers(c: Chunks) -> np.ndarray:
     return np.arange(len(c.row)) - np.repeat(new, np.diff(np.append(new, len(c.row))))
 
 
-def _bits(df: DataFrame, h: Column) -> np.ndarray:
-    """A bitmap of FILTER bits of the hashes h, made of partial bitmaps of the tasks."""
-    at = F.pmod(h, F.lit(FILTER))
+def _bits(df: DataFrame, h: Column, size: int) -> np.ndarray:
+    """A bitmap of `size` bits of the hashes h, made of partial bitmaps of the tasks."""
+    at = F.pmod(h, F.lit(size))
     parts = df.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    out = np.zeros(FILTER // 8 + 4096, np.uint8)
-    for r in parts.toLocalIterator():  # FILTER / 32768 rows of 4 kB at most
+    out = np.zeros(size // 8 + 4096, np.uint8)
+    for r in parts.toLocalIterator():  # size / 32768 rows of 4 kB at most
         # bucket b holds positions (b - 1) * 32768 + 1 to b * 32768, at bits 0 to 32767
         out[(r.b) * 4096 : (r.b + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
-def _within(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = np.mod(h, FILTER)
+def _within(bits: np.ndarray, size: int, h: np.ndarray) -> np.ndarray:
+    at = np.mod(h, size)
     bucket = np.where(at > 0, 1 + (at - 1) // 32768, at // 32768)
     bit = np.where(at > 0, (at - 1) % 32768, (-at) % 32768)
     return bits[bucket * 4096 + bit // 8] >> (bit % 8).astype(np.uint8) & 1 > 0
 
 
+def _in_runs(found: np.ndarray, c: Chunks) -> np.ndarray:
+    """Which of the found chunks stand in runs of at least RUN words."""
+    begins = np.ones(len(found), bool)
+    begins[1:] = (found[1:] != found[:-1]) | (c.row[1:] != c.row[:-1])
+    run = np.cumsum(begins) - 1
+    return found & (np.bincount(run, c.words)[run] >= RUN)
+
+
 def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
 
 
 def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """d, th (a hash of the text), the numbers of chunks that a document has to lose, if they are many words together, and
-    ends: beside chunk i on this side (1: after, -1: before) the keeping document has the chunk `body`."""
+    ends: beside chunk i on this side (1: after, -1: before), `step` chunks away, the keeping document has the chunk `body`."""
     spark = docs.sparkSession
     tune(spark)
     rows = _keyed(docs, id, text)
@@ -131,21 +151,25 @@ def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
 
     def hashes(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(data):
-            c = chunks(*text_buffer(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c.row)), pa.array(c.hash)], names=["d", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunks(*text_buffer(batch.column(0))).hash)], names=["h"])
 
-    counted = rows.select("d", "text").mapInArrow(hashes, f"d {kind}, h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first"))
-    repeated = written(counted.where("n > 1").select("h", "first"))
-    bits = spark.sparkContext.broadcast(_bits(repeated, F.col("h")))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = 1 << min(MOST_FILTER, max(LEAST_FILTER, (total // 8).bit_length()))
+    counted = rows.select("text").mapInArrow(hashes, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    bits = spark.sparkContext.broadcast(_bits(counted.where("n > 1"), F.col("h"), size))
 
     def bodies(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(data):
             raw, at = text_buffer(batch.column(2))
             c = chunks(raw, at)
-            found, same = _within(bits.value, c.hash), c.row[1:] == c.row[:-1]
+            if not len(c.row):
+                continue
+            found, same = _in_runs(_within(bits.value, size, c.hash), c), c.row[1:] == c.row[:-1]
             sent = found.copy()
-            sent[1:] |= found[:-1] & same
-            sent[:-1] |= found[1:] & same
+            for _ in range(2):  # a run goes on into two chunks at most: cuts are more than AROUND words apart
+                before = sent.copy()
+                sent[1:] |= before[:-1] & same
+                sent[:-1] |= before[1:] & same
             keep = np.flatnonzero(sent)
             own, number = c.row[keep], _numbers(c)[keep]
             order = np.lexsort((c.hash[keep], own))
@@ -155,21 +179,23 @@ def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
             data_ = raw.tobytes()
             body = [data_[a:b] for a, b in zip(c.start[keep].tolist(), c.end[keep].tolist(), strict=True)]
             own = pa.array(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(number.astype(np.int32)), pa.array(~first), pa.array(c.hash[keep]), pa.array(body, pa.binary())], names=["d", "th", "i", "again", "h", "body"])
-
-    places = rows.mapInArrow(bodies, f"d {kind}, th bigint, i int, again boolean, h bigint, body binary")
-    places = written(places.join(repeated.withColumn("many", F.lit(True)), "h", "left"))
-    many = places.where("many")
-    kept = many.where(F.col("d").eqNullSafe(F.col("first")) & ~F.col("again")).groupBy("h").agg(F.min(F.struct("body", "th", "i")).alias("kept"))
-    gone = (F.col("body") == F.col("kept.body")) & (~F.col("d").eqNullSafe(F.col("first")) | F.col("again"))
-    each = many.join(kept, "h").select("d", "th", F.struct("i", gone.alias("gone"), F.col("first").alias("f"), F.col("kept.th").alias("fth"), F.col("kept.i").alias("j")).alias("x"))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(number.astype(np.int32)), pa.array(~first), pa.array(found[keep]), pa.array(c.hash[keep]), pa.array(body, pa.binary())], names=["d", "th", "i", "again", "run", "h", "body"])
+
+    places = written(rows.mapInArrow(bodies, f"d {kind}, th bigint, i int, again boolean, run boolean, h bigint, body binary"))
+    many = places.where("run")
+    least = F.min(F.struct(F.col("d").isNull().alias("none"), "d", "again", "th", "i", "body"))  # an id is better than none
+    kept = many.groupBy("h").agg(F.count(F.lit(1)).alias("n"), least.alias("kept")).where("n > 1").select("h", "kept")
+    gone = (F.col("body") == F.col("kept.body")) & (~F.col("d").eqNullSafe(F.col("kept.d")) | F.col("again"))
+    each = many.join(kept, "h").select("d", "th", F.struct("i", gone.alias("gone"), F.col("kept.d").alias("f"), F.col("kept.th").alias("fth"), F.col("kept.i").alias("j")).alias("x"))
     each = written(each)  # frees what was shuffled for it
     runs = each.groupBy("d", "th").agg(F.sort_array(F.collect_set("x")).alias("x")).where(F.exists("x", lambda x: x["gone"]))
     runs = written(runs)
 
     def ends(side: int) -> Column:
-        alone = lambda x, k: x["gone"] & F.coalesce(F.get("x", k + side)["i"] != x["i"] + side, F.lit(True))
-        return F.transform(F.filter("x", alone), lambda x: F.struct(x["i"].alias("i"), F.lit(side).alias("side"), x["f"].alias("f"), x["fth"].alias("fth"), (x["j"] + side).alias("j")))
+        on = lambda y, x: (y["i"] == x["i"] + side) & y["gone"]
+        alone = lambda x, k: x["gone"] & ~F.coalesce(on(F.get("x", k + side), x), F.lit(False))
+        ahead = lambda x, step: F.struct(x["i"].alias("i"), F.lit(side).alias("side"), F.lit(step).alias("step"), x["f"].alias("f"), x["fth"].alias("fth"), (x["j"] + side * step).alias("j"))
+        return F.flatten(F.transform(F.filter("x", alone), lambda x: F.array(ahead(x, 1), ahead(x, 2))))
 
     edges = runs.select("d", "th", F.explode(F.concat(ends(1), ends(-1))).alias("e")).select("d", "th", "e.*")
     edges = written(edges)
@@ -177,30 +203,27 @@ def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     wanted = F.broadcast(edges.select(F.pmod("fth", F.lit(BUCKETS)).alias("bucket")).distinct())
     beside = places.withColumn("bucket", F.pmod("th", F.lit(BUCKETS))).join(wanted, "bucket", "left_semi")
     beside = beside.select(F.col("d").alias("pd"), F.col("th").alias("fth"), F.col("i").alias("j"), "body")
-    beside = edges.join(beside, ["fth", "j"]).where(F.col("f").eqNullSafe(F.col("pd"))).groupBy("d", "th").agg(F.collect_set(F.struct("i", "side", "body")).alias("ends"))
+    beside = edges.join(beside, ["fth", "j"]).where(F.col("f").eqNullSafe(F.col("pd"))).groupBy("d", "th").agg(F.collect_set(F.struct("i", "side", "step", "body")).alias("ends"))
     beside = beside.withColumnsRenamed({"d": "bd", "th": "bth"})
     lost = F.transform(F.filter("x", lambda x: x["gone"]), lambda x: x["i"])
     return runs.select("d", "th", lost.alias("lost")).join(beside, F.col("d").eqNullSafe(F.col("bd")) & (F.col("th") == F.col("bth")), "left").select("d", "th", "lost", "ends")
 
 
-def _common(own: bytes, other: bytes) -> int:
-    """Bytes of the whole words that both begin with."""
-    n = len(os.path.commonprefix([own, other]))
-    while n and ((n < len(own) and not _SPACE[own[n]]) or (n < len(other) and not _SPACE[other[n]])):
-        n -= 1
-    return len(own[:n].rstrip())
+def _alike(own: list[re.Match], other: list[bytes]) -> int:
+    """How many words both begin with."""
+    n = 0
+    while n < min(len(own), len(other)) and own[n].group() == other[n]:
+        n += 1
+    return n
 
 
-def _cleaned_batch(batch: pa.RecordBatch, where: int, lost: pa.Array | None, ends: pa.Array | None, least: int) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
-    """New texts, chunks, chunks removed whole, and whether a text lost all that it had."""
+def _cleaned_batch(batch: pa.RecordBatch, where: int, lost: pa.Array, ends: pa.Array, least: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """New texts, chunks removed whole, and whether a text lost all that it had."""
     column = batch.column(where)
     raw, at = text_buffer(column)
     c = chunks(raw, at)
     n = batch.num_rows
-    total = np.bincount(c.row, minlength=n).astype(np.int64)
     gone = np.zeros(n, np.int64)
-    if lost is None:
-        return column, pa.array(total), pa.array(gone), pa.array(np.zeros(n, bool))
     texts = column.to_pylist()
     first = np.searchsorted(c.row, np.arange(n + 1))
     out, empty = [], np.zeros(n, bool)
@@ -213,21 +236,23 @@ def _cleaned_batch(batch: pa.RecordBatch, where: int, lost: pa.Array | None, end
         flag = np.zeros(b - a + 2, bool)
         flag[np.array(numbers) + 1] = True
         edge = np.flatnonzero(flag[1:] != flag[:-1])  # runs are [edge 0, edge 1), [edge 2, edge 3), ...
-        beside = {(e["i"], e["side"]): e["body"] for e in ends[r].as_py() or ()}
-        text = lambda k: raw[c.start[k] : c.end[k]].tobytes()  # noqa: B023, E731
+        beside = {(e["i"], e["side"], e["step"]): e["body"] for e in ends[r].as_py() or ()}
+        inside = lambda lo, hi: list(_WORD.finditer(raw[c.start[lo] : c.end[hi - 1]].tobytes()))  # noqa: B023, E731
         parts, done = [], at[r]
         for lo, hi in zip(edge[::2], edge[1::2], strict=True):
             words, begin, to = c.words[a + lo : a + hi].sum(), c.start[a + lo], c.after[a + hi - 1]
-            if lo and (other := beside.get((lo, -1))):
-                own = text(a + lo - 1)
-                k = _common(own[::-1], other[::-1])
+            low = lo - 2 if lo > 1 and not flag[lo - 1] else lo - 1  # flag[k + 1] is chunk k's
+            if lo and (lo, -1, 1) in beside:
+                own = inside(a + low, a + lo)[::-1]
+                k = _alike(own, (beside.get((lo, -1, 2), b"").split() + beside[lo, -1, 1].split())[::-1])
                 if k:
-                    words, begin = words + len(own[len(own) - k :].split()), c.end[a + lo - 1] - k
-            if a + hi < b and (other := beside.get((hi - 1, 1))):
-                own = text(a + hi)
-                k = _common(own, other)
+                    words, begin = words + k, c.start[a + low] + own[k - 1].start()
+            high = hi + 2 if a + hi + 1 < b and not flag[hi + 2] else hi + 1
+            if a + hi < b and (hi - 1, 1, 1) in beside:
+                own = inside(a + hi, a + high)
+                k = _alike(own, beside[hi - 1, 1, 1].split() + beside.get((hi - 1, 1, 2), b"").split())
                 if k:
-                    words, to = words + len(own[:k].split()), c.after[a + hi] if k == len(own) else c.end[a + hi] - len(own[k:].lstrip())
+                    words, to = words + k, c.after[a + high - 1] if k == len(own) else c.start[a + hi] + own[k].start()
             if words >= least:
                 parts.append(raw[done : max(begin, done)])
                 done = to
@@ -236,40 +261,43 @@ def _cleaned_batch(batch: pa.RecordBatch, where: int, lost: pa.Array | None, end
         new = b"".join(x.tobytes() for x in parts).decode() if gone[r] else texts[r]
         empty[r] = gone[r] > 0 and not new.strip()
         out.append("" if empty[r] else new)
-    return pa.array(out, column.type), pa.array(total), pa.array(gone), pa.array(empty)
+    return pa.array(out, column.type), pa.array(gone), pa.array(empty)
 
 
-def cleaned(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """`docs` with their cleaned text, n_pieces, n_removed, and emptied (it had pieces and has none left)."""
-    names = [c for c in docs.columns if c not in ("n_pieces", "n_removed", "emptied")]
-    docs = docs.select(names)
-    lost = written(removals(docs, id, text)).withColumnsRenamed({"d": "__d", "th": "__h", "lost": "__lost", "ends": "__ends"})
+def _cut(docs: DataFrame, id: str, text: str, least: int) -> tuple[DataFrame, str, str]:
+    """`docs` with their cleaned text and two more columns, n_removed and emptied, under names that `docs` doesn't have."""
+    names = docs.columns
+    removed, emptied, d, h, lost_, ends_, th, bucket_ = (unused(names, x) for x in ("n_removed", "emptied", "d", "h", "lost", "ends", "th", "bucket"))
+    lost = written(removals(docs, id, text)).withColumnsRenamed({"d": d, "th": h, "lost": lost_, "ends": ends_})
     # documents of no such bucket lose nothing and are not shuffled; at most BUCKETS numbers are broadcast
-    bucket = lambda d, th: F.pmod(F.xxhash64(d, th), F.lit(BUCKETS))
-    some = F.broadcast(lost.select(bucket(F.col("__d"), F.col("__h")).alias("__bucket")).distinct())
-    own = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    own = own.withColumn("__bucket", bucket(F.col(id), F.col("__th")))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "n_pieces bigint", "n_removed bigint", "emptied boolean"])
+    bucket = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS))
+    some = F.broadcast(lost.select(bucket(F.col(d), F.col(h)).alias(bucket_)).distinct())
+    own = docs.withColumn(th, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    own = own.withColumn(bucket_, bucket(F.col(id), F.col(th)))
+    kept = [F.col(f"`{c}`") for c in names]
+    schema = StructType([*docs.schema.fields, StructField(removed, LongType()), StructField(emptied, BooleanType())])
     where, key = names.index(text), len(names)
 
-    def out(batch: pa.RecordBatch, *given: pa.Array | None) -> pa.RecordBatch:
-        new, *counts = _cleaned_batch(batch, where, *given, least)
-        return pa.RecordBatch.from_arrays([*(new if i == where else batch.column(i) for i in range(len(names))), *counts], names=[*names, "n_pieces", "n_removed", "emptied"])
-
-    def untouched(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(data):
-            yield out(batch, None, None)
-
     def cut(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(data):
-            yield out(batch, batch.column(key), batch.column(key + 1))
+            new, *more = _cleaned_batch(batch, where, batch.column(key), batch.column(key + 1), least)
+            yield pa.RecordBatch.from_arrays([*(new if i == where else batch.column(i) for i in range(key)), *more], names=[*names, removed, emptied])
+
+    rest = own.join(some, bucket_, "left_anti").select(*kept, F.lit(0).cast("bigint").alias(removed), F.lit(False).alias(emptied))
+    own = own.join(some, bucket_, "left_semi")
+    joined = own.join(lost, own[id].eqNullSafe(lost[d]) & (own[th] == lost[h]), "left").select(*kept, lost_, ends_)
+    return rest.unionByName(joined.mapInArrow(cut, schema)), removed, emptied
+
+
+def cleaned(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """`docs` with their cleaned text, n_removed (chunks removed whole), and emptied (it had chunks and has none left).
 
-    rest = own.join(some, "__bucket", "left_anti").select(names).mapInArrow(untouched, schema)
-    own = own.join(some, "__bucket", "left_semi")
-    joined = own.join(lost, own[id].eqNullSafe(lost["__d"]) & (own["__th"] == lost["__h"]), "left").select(*names, "__lost", "__ends")
-    return rest.unionByName(joined.mapInArrow(cut, schema))
+    Where `docs` has a column of such a name, it stays, and the new one has underscores behind its name.
+    """
+    return _cut(docs, id, text, least)[0]
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with their cleaned texts; a document of which nothing is left goes."""
-    return cleaned(docs, id, text).where("not emptied").select(docs.columns)
+    out, _, emptied = _cut(docs, id, text, LEAST)
+    return out.where(~F.col(emptied)).select([F.col(f"`{c}`") for c in docs.columns])
