@@ -73,7 +73,8 @@ PII = (
 
 
 def url_filter() -> str:
-    """The levels of the template tree, one after another."""
+    """The levels of the template tree, one after another; paths of `pages` have no more than DEPTH levels that differ."""
+    above = lambda bad, seen, rate: f"({bad} + {urls.PRIOR}::double * {rate}) / ({seen} + {urls.PRIOR}::double)"
     fits = [(f"(host = '{h}' or host like '%.{h}') and starts_with(path, '{p}')", h + p, act) for act, h, p in sorted(urls.RULES, key=lambda r: (-len(r[1] + r[2]), r))]
     rule = "case " + " ".join(f"when {c} then '{r}'" for c, r, _ in fits) + " end"
     action = "case " + " ".join(f"when {c} then '{a}'" for c, _, a in fits) + " end"
@@ -81,18 +82,26 @@ def url_filter() -> str:
         "u as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) end as rest from pages)",
         rf"h as (select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from u)",
         rf"m as (select *, {rule} as rule, {action} as action, regexp_replace(regexp_replace(path, '\b[0-9a-f]{{8,}}\b', '<h>', 'g'), '[0-9]+', '<n>', 'g') as masked from h)",
-        "t0 as (select host, masked, count(*) as n, count(action) as seen, count(*) filter (action = 'block') as bad, list_filter(string_split(masked, '/'), lambda s: s <> '') as parts, '' as prefix from m group by host, masked)",
+        "c as (select host, masked, count(*) as n, count(action) as seen, count(*) filter (action = 'block') as bad, list_filter(string_split(masked, '/'), lambda s: s <> '') as parts from m group by host, masked)",
+        "hs as (select host, array_to_string(string_split(host, '.')[-2:], '.') as domain, sum(seen) as seen, sum(bad) as bad from c group by host)",
+        "ds as (select domain, string_split(domain, '.')[-1] as top, sum(seen) as seen, sum(bad) as bad from hs group by domain)",
+        "ts as (select top, sum(seen) as seen, sum(bad) as bad from ds group by top)",
+        f"tr as (select top, {above('bad', 'seen', '0.5::double')} as rate from ts)",
+        f"dr as (select domain, {above('ds.bad', 'ds.seen', 'tr.rate')} as rate from ds join tr on ds.top = tr.top)",
+        f"hr as (select host, dr.rate as prior, {above('hs.bad', 'hs.seen', 'dr.rate')} as rate from hs join dr on hs.domain = dr.domain)",
+        "t0 as (select c.*, '' as prefix, hr.prior, hr.rate from c join hr on c.host = hr.host)",
     ]
     for k in range(urls.DEPTH):
         ctes += [
             f"b{k} as (select host, prefix, parts[{k + 1}] as part, sum(n) as n, sum(seen) as seen, sum(bad) as bad from t{k} where len(parts) > {k} group by all)",
-            f"q{k} as (select *, count(*) over w as p_parts, sum(n) over w as p_n, sum(bad) over w / sum(seen) over w as rate from b{k} window w as (partition by host, prefix))",
-            f"g{k} as (select host, prefix, part, case when p_parts >= {urls.MANY} and n < {urls.SMALL}::double * p_n then '*' when p_parts > 1 and seen > 0 and abs(bad / seen - rate) <= {urls.NEAR} * sqrt(rate * (1 - rate) / seen) then '~' else part end as named from q{k})",
-            f"t{k + 1} as (select t.host, t.masked, t.n, t.seen, t.bad, t.parts, t.prefix || coalesce('/' || g.named, '') as prefix from t{k} t left join g{k} g on t.host = g.host and t.prefix = g.prefix and t.parts[{k + 1}] = g.part)",
+            f"q{k} as (select *, count(*) over w as p_parts, sum(n) over w as p_n, sum(seen) over w as p_seen, sum(bad) over w / sum(seen) over w as rate from b{k} window w as (partition by host, prefix))",
+            f"g{k} as (select host, prefix, part, seen, bad, case when p_parts >= {urls.MANY} and n < {urls.SMALL}::double * p_n then '*' when p_parts > 1 and p_seen > 0 and (seen = 0 or abs(bad / seen - rate) <= {urls.NEAR} * sqrt(rate * (1 - rate) / seen)) then '~' else part end as named from q{k})",
+            f"n{k} as (select *, sum(seen) over w as node_seen, sum(bad) over w as node_bad from g{k} window w as (partition by host, prefix, named))",
+            f"t{k + 1} as (select t.host, t.masked, t.n, t.seen, t.bad, t.parts, t.prefix || coalesce('/' || g.named, '') as prefix, case when g.named is null then t.prior else t.rate end as prior, case when g.named is null then t.rate else {above('g.node_bad', 'g.node_seen', 't.rate')} end as rate from t{k} t left join n{k} g on t.host = g.host and t.prefix = g.prefix and t.parts[{k + 1}] = g.part)",
         ]
     ctes += [
         f"e as (select *, prefix || case when len(parts) > {urls.DEPTH} then '/**' else '' end as template from t{urls.DEPTH})",
-        "f as (select host, template, (sum(bad) + 1) / (sum(seen) + 2.0::double) as purity from e group by all)",
+        f"f as (select host, template, {above('sum(bad)', 'sum(seen)', 'any_value(prior)')} as purity from e group by all)",
     ]
     last = f"select m.page_id, m.host, m.path, m.rule, coalesce(m.action, case when f.purity >= {urls.LEAST}::double then 'block' else 'allow' end) as verdict, e.template, f.purity from m join e on m.host = e.host and m.masked = e.masked join f on e.host = f.host and e.template = f.template"
     return "with " + ",\n".join(ctes) + "\n" + last

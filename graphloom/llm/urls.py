@@ -2,15 +2,20 @@
 
 Templates: digits and long hexadecimal runs of a path's segments become wildcards. Level by level,
 under one parent (a host and the template so far), a segment with a small share of a parent with many
-segments is variable and becomes `*`; labelled branches whose rejection rate is close to their
-parent's are statistically alike and merge to `~`. From DEPTH levels on, the rest of a template whose
-labelled URLs are all rejected or none is `**`; the others go on as deep as their paths. A template is
-rejected where its purity, the share of rejected URLs among its labelled ones with one more of either
-kind, is at least LEAST: three labelled URLs, all rejected, are the least evidence that can do so.
+segments is variable and becomes `*`; branches whose rejection rate is close to their parent's, or of which
+nothing is known while something is of their parent, are statistically alike and merge to `~`. From DEPTH
+levels on, the rest of a template whose labelled URLs are all rejected or none is `**`; the others go on as
+deep as their paths.
+
+A template's purity is the share of rejected URLs among its labelled ones, smoothed by the rate of what
+stands above it: the template without its last segment, the host, the host's last two labels, its last one, and
+1/2, each of them smoothed by the next with the weight of PRIOR URLs. A template is rejected where
+its purity is at least LEAST. So one of which nothing is known goes where its host goes, and a host of
+which nothing is known where its domain does.
 
 Labels are what rules say of the URLs that they fit. All of it is DataFrame operations: rows are first
-counted by host and masked path, and each level is a count and a join, so a host with a third of all
-rows is pre-aggregated before it is shuffled.
+counted by host and masked path, which is written once, and each level is a count and a join, so a host with a
+third of all rows is pre-aggregated before it is shuffled; joins with domains are salted.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path, which share one template;
 rows that repeat are judged alike and count each; an empty table gives an empty one; further columns
@@ -32,8 +37,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEPTH = 3
 #: A parent with at least so many segments has variable ones: those of less than this share.
 MANY, SMALL = 16, 0.1
-#: The purity that rejects, and standard errors within which rates are alike.
-LEAST, NEAR = 0.8, 1.0
+#: The purity that rejects, standard errors within which rates are alike, and URLs that the rate above counts as much as.
+LEAST, NEAR, PRIOR = 0.8, 1.0, 2.0
+#: Parts into which the hosts of a domain are dealt.
+SALTS = 32
 
 
 def parse(url: Column) -> tuple[Column, Column]:
@@ -56,11 +63,30 @@ def masked(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"\b[0-9a-f]{8,}\b", "<h>"), "[0-9]+", "<n>")
 
 
+def smoothed(bad: Column, seen: Column, above: Column) -> Column:
+    return (bad + PRIOR * above) / (seen + PRIOR)
+
+
+def host_rates(paths: DataFrame) -> DataFrame:
+    """host, prior (its domain's rate) and rate of every host of rows (host, seen, bad)."""
+    both = [F.sum(c).alias(c) for c in ("seen", "bad")]
+    hosts = paths.groupBy("host").agg(*both)
+    domain = F.substring_index("host", ".", -2)
+    hosts = hosts.withColumns({"domain": domain, "salt": F.pmod(F.xxhash64("host"), F.lit(SALTS))})
+    domains = hosts.groupBy("domain").agg(*both).withColumns({"top": F.substring_index("domain", ".", -1), "salt": F.pmod(F.xxhash64("domain"), F.lit(SALTS))})
+    tops = domains.groupBy("top").agg(*both)
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt")
+    tops = tops.select("top", smoothed(F.col("bad"), F.col("seen"), F.lit(0.5)).alias("top_rate"), salts)
+    domains = domains.join(tops, ["top", "salt"]).select("domain", smoothed(F.col("bad"), F.col("seen"), F.col("top_rate")).alias("prior"), salts)
+    return hosts.join(domains, ["domain", "salt"]).select("host", "prior", smoothed(F.col("bad"), F.col("seen"), F.col("prior")).alias("rate"))
+
+
 def templates(labelled: DataFrame) -> DataFrame:
     """host, masked, template, labelled, blocked, purity of rows (host, masked, blocked 1, 0 or null)."""
     paths = labelled.groupBy("host", "masked").agg(F.count(F.lit(1)).alias("n"), F.count("blocked").alias("seen"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("bad"))
     parts = F.filter(F.split("masked", "/"), lambda s: s != "")
-    tree = paths.withColumn("parts", parts).withColumn("prefix", F.lit("")).withColumn("rest", F.lit(False))
+    paths = checkpointed(paths.withColumn("parts", parts))
+    tree = paths.join(host_rates(paths), "host").withColumn("prefix", F.lit("")).withColumn("rest", F.lit(False))
     closed, level = None, 0
     while True:
         if level >= DEPTH:
@@ -71,21 +97,31 @@ def templates(labelled: DataFrame) -> DataFrame:
             tree = tree.where("mixed").drop("mixed")
             if tree.isEmpty():
                 break
-        tree = tree.withColumn("part", F.get("parts", F.lit(level)))
+        tree = checkpointed(tree.withColumn("part", F.get("parts", F.lit(level))))
         branch = tree.where(F.col("part").isNotNull()).groupBy("host", "prefix", "part").agg(*(F.sum(c).alias(c) for c in ("n", "seen", "bad")))
         parent = branch.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("p_parts"), *(F.sum(c).alias(f"p_{c}") for c in ("n", "seen", "bad")))
         both = branch.join(parent, ["host", "prefix"])
-        rate = F.col("p_bad") / F.col("p_seen")
-        alike = (F.col("seen") > 0) & (F.abs(F.col("bad") / F.col("seen") - rate) <= NEAR * F.sqrt(rate * (1 - rate) / F.col("seen")))
+        rate = F.try_divide("p_bad", "p_seen")
+        near = F.abs(F.try_divide("bad", "seen") - rate) <= NEAR * F.sqrt(F.try_divide(rate * (1 - rate), F.col("seen")))
+        alike = (F.col("p_seen") > 0) & ((F.col("seen") == 0) | near)
         variable = (F.col("p_parts") >= MANY) & (F.col("n") < SMALL * F.col("p_n"))
-        named = F.when(variable, F.lit("*")).when((F.col("p_parts") > 1) & alike, F.lit("~")).otherwise(F.col("part"))
-        tree = tree.join(both.select("host", "prefix", "part", named.alias("named")), ["host", "prefix", "part"], "left")
-        tree = tree.withColumn("prefix", F.concat("prefix", F.coalesce(F.concat(F.lit("/"), "named"), F.lit("")))).drop("part", "named")
+        named = both.select("host", "prefix", "part", "seen", "bad", F.when(variable, F.lit("*")).when((F.col("p_parts") > 1) & alike, F.lit("~")).otherwise(F.col("part")).alias("named"))
+        node = named.groupBy("host", "prefix", "named").agg(F.sum("seen").alias("node_seen"), F.sum("bad").alias("node_bad"))
+        named = named.drop("seen", "bad").join(node, ["host", "prefix", "named"])
+        tree = tree.join(named, ["host", "prefix", "part"], "left")
+        below = F.col("named").isNotNull()
+        tree = tree.withColumns(
+            {
+                "prefix": F.concat("prefix", F.coalesce(F.concat(F.lit("/"), "named"), F.lit(""))),
+                "prior": F.when(below, F.col("rate")).otherwise(F.col("prior")),
+                "rate": F.when(below, smoothed(F.col("node_bad"), F.col("node_seen"), F.col("rate"))).otherwise(F.col("rate")),
+            }
+        )
+        tree = tree.drop("part", "named", "node_seen", "node_bad")
         level += 1
     tree = closed.withColumn("template", F.concat("prefix", F.when(F.col("rest"), F.lit("/**")).otherwise(F.lit(""))))
     of = tree.groupBy("host", "template").agg(F.sum("seen").alias("labelled"), F.sum("bad").alias("blocked"))
-    of = of.withColumn("purity", (F.col("blocked") + 1.0) / (F.col("labelled") + 2.0))
-    return tree.select("host", "masked", "template").join(of, ["host", "template"])
+    return tree.select("host", "masked", "template", "prior").join(of, ["host", "template"]).select("host", "masked", "template", "labelled", "blocked", smoothed(F.col("blocked"), F.col("labelled"), F.col("prior")).alias("purity"))
 
 
 def judge(pages: DataFrame, id: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:

@@ -222,19 +222,39 @@ def test_url_templates_go_on_where_deep_branches_differ(spark):
     rows += [("k", f"/a/b/c/{i}/{j}", 1) for i in "pq" for j in "st"]
     got = {(r.host, r.masked): (r.template, r.purity) for r in urls.templates(spark.createDataFrame(rows, "host string, masked string, blocked int")).collect()}
     assert len(got) == len(rows)
-    assert got["h", "/a/b/c/d/bad/y"] == ("/a/b/c/d/bad/**", 10 / 11) and got["h", "/a/b/c/d/good/y"] == ("/a/b/c/d/good/**", 1 / 11)
-    assert got["h", "/a/b/c/d"] == ("/a/b/c/d", 0.5) and got["k", "/a/b/c/p/s"] == ("/a/b/c/**", 5 / 6)
+    mix = lambda bad, seen, above: (bad + urls.PRIOR * above) / (seen + urls.PRIOR)
+    prior = 0.5
+    for _ in range(7):  # last label, last two, host, /a, /a/b, /a/b/c, /a/b/c/d
+        before, prior = prior, mix(9, 18, prior)
+    assert got["h", "/a/b/c/d/bad/y"] == ("/a/b/c/d/bad/**", pytest.approx(mix(9, 9, prior))) and got["h", "/a/b/c/d/good/y"] == ("/a/b/c/d/good/**", pytest.approx(mix(0, 9, prior)))
+    assert got["h", "/a/b/c/d"] == ("/a/b/c/d", pytest.approx(before))
+    prior = 0.5
+    for _ in range(5):
+        prior = mix(4, 4, prior)
+    assert got["k", "/a/b/c/p/s"] == ("/a/b/c/**", pytest.approx(mix(4, 4, prior)))
+    assert got["h", "/a/b/c/d/bad/y"][1] > urls.LEAST > 0.5 > got["h", "/a/b/c/d/good/y"][1]
+
+
+def test_url_branches_without_labels_go_where_their_host_goes(spark):
+    rows = [("bad.net", f"/es/{i}", 1) for i in "abc"] + [("bad.net", "/de/x", None), ("sub.bad.net", "/en/x", None), ("good.net", "/en/x", 0), ("good.net", "/en/y", 0), ("good.net", "/fr/y", None), ("mixed.org", "/q", None)]
+    rows += [("two.org", "/bad/" + i, 1) for i in "abcdefgh"] + [("two.org", "/good/" + i, 0) for i in "abcdefgh"] + [("two.org", "/bad/x", None), ("two.org", "/good/x", None), ("two.org", "/new/x", None)]
+    got = {(r.host, r.masked): r for r in urls.templates(spark.createDataFrame(rows, "host string, masked string, blocked int")).collect()}
+    assert got["bad.net", "/de/x"].template.startswith("/~") and got["bad.net", "/de/x"].purity > urls.LEAST
+    assert got["bad.net", "/de/x"].template.split("/")[1] == got["bad.net", "/es/a"].template.split("/")[1]
+    assert got["sub.bad.net", "/en/x"].purity > 0.7 and got["good.net", "/fr/y"].purity < 0.5
+    assert got["two.org", "/bad/x"].purity > urls.LEAST > got["two.org", "/new/x"].purity > got["two.org", "/good/x"].purity
 
 
 def test_url_rules_and_templates(spark):
     some = ["http://EXAMPLE.com/en/1", "http://www.example.com/en/2?x", "https://a.b.net/es/3#y", "http://net/fr/", "http://x.org", "http://com", "http://example.com?q=/en/", None, "", "no url", "http://ünï.COM/é/1", "ftp://h.net/de/1"]
+    some += ["http://spam.net/de/7", "http://x.org/en/" + "s/" * 3000, None, "http://Spam.net/fr/9"]
     some += [f"http://spam.net/es/{i}" for i in range(9)] + [f"http://spam.net/fr/{i}" for i in range(9)] + [f"http://spam.net/es/p{i}q/x" for i in range(40)]
-    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(list(enumerate(some)), "page_id bigint, url string")).collect()}
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame([(i, u, "h", 0.0) for i, u in enumerate(some)], "page_id bigint, url string, host string, purity double")).collect()}
     assert len(got) == len(some)
     action = {h + p: a for a, h, p in urls.RULES}
     for i, u in enumerate(some):
         assert (got[i].host, got[i].path, got[i].rule) == brute_rule(u)
-        assert got[i].verdict == (action[got[i].rule] if got[i].rule else "allow")
+        assert got[i].verdict == (action[got[i].rule] if got[i].rule else "block" if got[i].host.endswith(".net") else "allow")
     assert urls.judge(spark.createDataFrame([], "page_id bigint, url string")).collect() == []
 
 
