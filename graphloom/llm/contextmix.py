@@ -52,7 +52,7 @@ from graphloom.llm.common import _BYTE, _power_tables, _splitmix, merged, text_b
 CONTEXTS = 5
 LEAST_BITS, MOST_BITS = 18, 19
 #: Bytes of text in a block, and of text whose hashes meet in a partition.
-BLOCK, PART = 6 << 20, 4 << 20
+BLOCK, PART = 5 << 20, 4 << 20
 #: Words that other texts have more often aren't spelled.
 SPELLED = 3
 #: Tokens of a batch of the chain, and words of one of the spelling model, over which weights stay.
@@ -677,7 +677,8 @@ def frequencies(known: Tokens, given: list[np.ndarray], training: np.ndarray, n:
     context[TRIPLE, known.first], context[PAIR, known.first] = 0, rest[0][np.flatnonzero(known.word < 0)]  # as many starts as ends
     context[TEXT], context[WORD] = np.arange(size) - known.first[known.row], n - np.where(learns, per[known.row], 0)
     p = np.stack([rest[2], rest[1], before, rest[0]]) / np.maximum(context, 1)
-    return Frequencies(np.where(context > 0, np.minimum(p, 1), 0), context, total, rest[0], of, first)
+    p = np.where(context > 0, np.minimum(p, 1), 0)
+    return Frequencies(p, context.astype(_F), total, rest[0], of, first)
 
 
 def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", training: Column | None = None) -> DataFrame:
