@@ -20,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,28 +85,36 @@ def _frame_head(kbps: int) -> tuple[bytes, int]:
 
 _FRAMES = [_frame_head(k) for k in _V1[3][1:]]
 _WIDE, _ROOM = _FRAMES[-1]
+#: Frames for bytes of up to PLAIN kinds, at 192 kbit/s.
+_LESS, PLAIN = _FRAMES[-4], 24
 
 
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 127 for s in (21, 14, 7, 0))
 
 
+def seek_points(offsets: list[int], start: int, total: int) -> bytes:
+    """Where each hundredth of the frames begins, in 1/256 of the bytes from `start` on."""
+    n = len(offsets)
+    return bytes(min(255, 256 * (offsets[min(i * n // 100, n - 1)] - start) // total) for i in range(100)) if n and total else bytes(100)
+
+
 def write(payload: bytes) -> bytes:
     """An MPEG audio file that carries the payload, with an ID3v2 tag and a Xing table."""
     frames, at = [], 0
     while at < len(payload):
-        head, room = (_WIDE, _ROOM) if len(payload) - at >= _ROOM else next(f for f in _FRAMES if f[1] >= len(payload) - at)
+        head, room = (_WIDE, _ROOM) if len(set(payload[at : at + _ROOM])) > PLAIN else _LESS
+        if len(payload) - at < room:
+            head, room = next(f for f in _FRAMES if f[1] >= len(payload) - at)
         frames.append(head + payload[at : at + room].ljust(room, b"\0"))
         at += room
     info = OWNER + struct.pack(">QI", len(payload), zlib.crc32(payload))
     tag = b"PRIV" + struct.pack(">IH", len(info), 0) + info
     tag = b"ID3\x03\0\0" + _syncsafe(len(tag)) + tag
-    head, room = _WIDE, _ROOM
-    total, n = len(head) + room + sum(map(len, frames)), len(frames)
-    wide = len(_WIDE) + _ROOM
-    toc = bytes(min(255, 256 * (wide + min(i * n // 100, n) * wide) // total) for i in range(100))
-    xing = b"Xing" + struct.pack(">III", 7, n, total) + toc
-    return tag + head + xing.ljust(room, b"\0") + b"".join(frames)
+    offsets = list(accumulate((len(f) for f in frames[:-1]), initial=len(_WIDE) + _ROOM))
+    total = offsets[-1] + len(frames[-1])
+    xing = b"Xing" + struct.pack(">III", 7, len(frames), total) + seek_points(offsets, 0, total)
+    return tag + _WIDE + xing.ljust(_ROOM, b"\0") + b"".join(frames)
 
 
 @dataclass
@@ -127,6 +136,19 @@ class Audio:
     crc_bad: int = 0
     skipped: int = 0
     resyncs: int = 0
+    table_at: int = 0
+    stop: int = 0
+    points: list[int] = field(default_factory=list)  # VBRI's: where each group of frames begins
+
+    @property
+    def table_agrees(self) -> bool | None:
+        """Whether the table's frames, bytes and seek points are those of the frames found; None without a table."""
+        if not self.table:
+            return None
+        right = self.table_frames in (None, len(self.offsets)) and self.table_bytes in (None, self.stop - self.table_at)
+        if self.toc:
+            right &= self.toc == seek_points(self.offsets, self.table_at, self.stop - self.table_at)
+        return right and set(self.points) <= {*self.offsets, self.table_at, self.stop}
 
     @property
     def seconds(self) -> float:
@@ -177,7 +199,7 @@ def read(data: bytes) -> Audio:
             out.crc_good += good
             out.crc_bad += not good
         if not out.offsets and not out.table and data[body : body + 4] in (b"Xing", b"Info"):
-            out.table, flags, p = data[body : body + 4].decode(), int.from_bytes(data[body + 4 : body + 8]), body + 8
+            out.table, flags, p, out.table_at = data[body : body + 4].decode(), int.from_bytes(data[body + 4 : body + 8]), body + 8, at
             if flags & 1:
                 out.table_frames, p = int.from_bytes(data[p : p + 4]), p + 4
             if flags & 2:
@@ -185,7 +207,10 @@ def read(data: bytes) -> Audio:
             if flags & 4:
                 out.toc = data[p : p + 100]
         elif not out.offsets and not out.table and data[at + 36 : at + 40] == b"VBRI":
-            out.table, out.table_bytes, out.table_frames = "VBRI", int.from_bytes(data[at + 46 : at + 50]), int.from_bytes(data[at + 50 : at + 54])
+            out.table, out.table_at = "VBRI", at
+            out.table_bytes, out.table_frames, entries, scale, width, _ = struct.unpack(">IIHHHH", data[at + 46 : at + 62].ljust(16, b"\0"))
+            steps = data[at + 62 : min(at + 62 + entries * width, at + h.size)]
+            out.points = list(accumulate((int.from_bytes(steps[i : i + width]) * scale for i in range(0, len(steps), max(width, 1))), initial=at))
         else:
             out.offsets.append(at)
             out.bodies.append(data[body : at + h.size])
@@ -194,6 +219,7 @@ def read(data: bytes) -> Audio:
             out.hz, out.channels = h.hz, h.channels
         at += h.size
     out.skipped += max(0, stop - at)
+    out.stop = stop
     return out
 
 
@@ -202,6 +228,8 @@ def payload_of(audio: Audio) -> bytes:
     info = audio.tags.get("PRIV", b"")
     if not info.startswith(OWNER):
         raise ValueError("no payload tag")
+    if len(info) < len(OWNER) + 12:
+        raise ValueError("damaged payload tag")
     size, crc = struct.unpack(">QI", info[len(OWNER) : len(OWNER) + 12])
     payload = b"".join(audio.bodies)[:size]
     if len(payload) != size or zlib.crc32(payload) != crc or audio.crc_bad:
@@ -227,7 +255,7 @@ def store(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, n_bytes bigint, media binary")
 
 
-FEATURES = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, duration_samples bigint, sample_rate int, n_frames bigint, seek_offsets array<bigint>"
+FEATURES = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, duration_samples bigint, sample_rate int, n_frames bigint, seek_offsets array<bigint>, reason string"
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -239,13 +267,19 @@ def features(media: DataFrame) -> DataFrame:
         if data is None:
             return (None,) * len(names)
         a = read(data)
-        p = payload_of(a)
-        toc = sum(a.toc) if a.toc else -1
-        text = f"mp3;hz={a.hz};ch={a.channels};frames={len(a.offsets)};samples={a.samples};kbps={min(a.rates)}-{max(a.rates)};table={a.table};table_frames={a.table_frames};toc={toc};crc_ok={a.crc_good};skipped={a.skipped}"
-        return len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(data), hashlib.sha256(data).hexdigest(), text, a.samples, a.hz, len(a.offsets), a.offsets
+        payload, reason = (None, None, None), None
+        try:
+            p = payload_of(a)
+            payload = len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])
+        except ValueError as why:
+            reason = str(why)
+        rates = f"{min(a.rates)}-{max(a.rates)}" if a.rates else ""
+        agrees = "" if a.table_agrees is None else int(a.table_agrees)
+        text = f"mp3;hz={a.hz};ch={a.channels};frames={len(a.offsets)};samples={a.samples};kbps={rates};table={a.table};table_frames={a.table_frames};table_agrees={agrees};crc_ok={a.crc_good};crc_bad={a.crc_bad};skipped={a.skipped};resyncs={a.resyncs}"
+        return *payload, len(data), hashlib.sha256(data).hexdigest(), text, a.samples, a.hz, len(a.offsets), a.offsets, reason
 
     def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string()]
         for batch in batches(data):
             found = [one(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True))], names=["doc_id", "n_bytes", *names])

@@ -51,8 +51,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mpeg.features(mpeg.store(table(spark, sf_dir, "documents")))
-    return found.drop("seek_offsets")
+    return mpeg.features(mpeg.store(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

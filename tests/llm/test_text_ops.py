@@ -335,10 +335,52 @@ def test_audio_round_trip_and_features(spark):
         x = got[i]
         assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
         assert x.duration_samples == 1152 * x.n_frames and len(x.seek_offsets) == x.n_frames
+        assert x.reason is None and "table_agrees=1" in x.feature
+        media = [r.media for r in mpeg.store(df.where(F.col("doc_id") == i)).collect()][0] if i in (2, 4, 6) else None
+        assert media is None or plain_frames(media) == (p, x.seek_offsets)
     assert got[4].media_sha256 == got[7].media_sha256 and got[4].feature == got[7].feature
     assert mpeg.features(mpeg.store(df.limit(0))).collect() == []
 
 
+def plain_frames(file):
+    """The bytes after side information of MPEG-1 Layer III mono frames behind an ID3v2 tag and a Xing frame, and where they begin."""
+    kbps = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+    at = 10 + (file[6] << 21 | file[7] << 14 | file[8] << 7 | file[9])
+    bodies, offsets = [], []
+    while at < len(file):
+        assert file[at] == 0xFF and file[at + 1] == 0xFA and file[at + 3] >> 6 == 3
+        size = 144000 * kbps[file[at + 2] >> 4] // 44100 + (file[at + 2] >> 1 & 1)
+        bodies.append(file[at + 23 : at + size])
+        offsets.append(at)
+        at += size
+    n = int.from_bytes(file[10 + 10 + 8 : 10 + 10 + 16])
+    return b"".join(bodies[1:])[:n], offsets[1:]
+
+
+def test_audio_features_of_foreign_and_damaged_files(spark):
+    good = mpeg.write(b"some words " * 500)
+    foreign = b"".join(h + b"\x55" * room for h, room in [mpeg._frame_head(k) for k in (64, 128, 320) * 4])
+    hurt = bytearray(good)
+    hurt[2000] ^= 255
+    files = [(1, 5500, good), (2, 0, foreign), (3, 5500, bytes(hurt)), (4, 0, b""), (5, 0, None), (6, 0, b"\xff\xfb" * 300), (7, 0, b"ID3"), (8, 5500, good[:2500])]
+    got = {r.doc_id: r for r in mpeg.features(spark.createDataFrame(files, "doc_id bigint, n_bytes bigint, media binary")).collect()}
+    assert got[1].reason is None and got[1].payload_bytes == 5500 and len(set(got[1].feature.split("kbps=")[1].split(";")[0].split("-"))) == 2
+    assert got[2].reason == "no payload tag" and got[2].payload_bytes is None and got[2].n_frames == 12 and got[2].duration_samples == 12 * 1152
+    assert got[3].reason == got[8].reason == "damaged payload" and "table_agrees=0" in got[8].feature
+    assert got[4].n_frames == got[7].n_frames == 0 and got[5].feature is None and got[6].reason
+
+
+def test_audio_reads_vbri_tables():
+    heads = [mpeg._frame_head(k) for k in (128, 64, 128, 320, 64)]
+    sizes = [len(h) + room for h, room in heads]
+    body = b"VBRI" + bytes(6) + (sum(sizes)).to_bytes(4) + (4).to_bytes(4) + (4).to_bytes(2) + (1).to_bytes(2) + (2).to_bytes(2) + (1).to_bytes(2) + b"".join(n.to_bytes(2) for n in sizes[:4])
+    head, room = heads[0]
+    file = (head + bytes(36 - len(head)) + body).ljust(sizes[0], b"\0") + b"".join(h + bytes(r) for h, r in heads[1:])
+    a = mpeg.read(file)
+    assert a.table == "VBRI" and a.table_frames == 4 == len(a.offsets) and a.points[1:] == a.offsets and a.table_agrees
+    assert not mpeg.read(file[: -sizes[-1]]).table_agrees
+
+
 def test_audio_reader_resynchronises_and_checks():
     for n in (64, 1021, 1022, 5000, 100000):
         p = bytes(i * 7 % 251 for i in range(n))
