@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import urls
+from graphloom.llm import pii, urls
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = urls.UPPER, urls.LOWER
@@ -46,8 +46,8 @@ def _sum(parts: str, upto: str) -> str:
 def _spans(kind: str, order: int, pattern: str, check: str) -> str:
     """Spans of one kind: parts between matches and the matches give offsets."""
     return (
-        f"select doc_id, unnest(list_filter(list_transform(hits, lambda h, i: {{'s': cast({_sum('parts', 'i')} + {_sum('hits', '(i - 1)')} as bigint), 'o': {order}, 'k': '{kind}', 'v': h}}), lambda q: {check})) as q "
-        f"from (select doc_id, regexp_extract_all(text, '{pattern}') as hits, string_split_regex(text, '{pattern}') as parts from t)"
+        f"select doc_id, text, unnest(list_filter(list_transform(hits, lambda h, i: {{'s': cast({_sum('parts', 'i')} + {_sum('hits', '(i - 1)')} as bigint), 'o': {order}, 'k': '{kind}', 'v': h}}), lambda q: {check})) as q "
+        f"from (select doc_id, text, regexp_extract_all(text, '{pattern}') as hits, string_split_regex(text, '{pattern}') as parts from t)"
     )
 
 
@@ -66,9 +66,11 @@ _KINDS = (
 _TEXT = "k || ':' || s || ':' || (s + length(v))"
 PII = (
     "with t as (select doc_id, coalesce(text, '') as text from documents), a as (" + " union all ".join(_spans(k, i, p, c) for i, (k, p, c) in enumerate(_KINDS)) + "), "
-    "b as (select doc_id, q.s as s, q.o as o, q.k as k, q.v as v from a), "
-    f"g as (select doc_id, count(*) filter (k = 'email') as n_email, count(*) filter (k = 'ip') as n_ip, count(*) filter (k = 'card') as n_card, count(*) filter (k = 'phone') as n_phone, string_agg({_TEXT}, ',' order by s, o) filter (o < 4) as base, string_agg({_TEXT}, ',' order by s, o) as spans from b group by doc_id) "
-    "select t.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from t left join g on t.doc_id = g.doc_id"
+    "b as (select doc_id, q.s as s, q.o as o, q.k as k, q.v as v, "
+    f"translate(substr(text, greatest(q.s - {pii.WINDOW}, 0) + 1, q.s - greatest(q.s - {pii.WINDOW}, 0)) || ' ' || substr(text, q.s + length(q.v) + 1, {pii.WINDOW}), '{UPPER}', '{LOWER}') as around from a), "
+    f"c as (select *, least(10, case when k in ('card', 'iban') then 9 else 6 end + case {' '.join(f"when k = '{k}' and regexp_matches(around, '{pii._near(w)}') then 3" for k, w in pii.NEAR.items())} else 0 end - case when regexp_matches(around, '{pii._near(pii.AGAINST)}') then 1 else 0 end) / 10.0 as score from b), "
+    f"g as (select doc_id, count(*) filter (k = 'email') as n_email, count(*) filter (k = 'ip') as n_ip, count(*) filter (k = 'card') as n_card, count(*) filter (k = 'phone') as n_phone, string_agg({_TEXT}, ',' order by s, o) filter (o < 4) as base, string_agg({_TEXT}, ',' order by s, o) as spans, string_agg(printf('%.1f', score), ',' order by s, o) as scores from c group by doc_id) "
+    "select t.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(scores, '') as scores from t left join g on t.doc_id = g.doc_id"
 )
 
 

@@ -101,10 +101,25 @@ def test_pii_base_equals_plain_regexes(spark):
 
 
 def test_redact_and_scores(spark):
-    df = spark.createDataFrame([(1, "visa card 4111 1111 1111 1111 now", 3), (2, None, 4)], DOCS + ", spans int")
+    df = spark.createDataFrame([(1, "visa card 4111 1111 1111 1111 now", 3), (2, None, 4), (3, "a@b.co 1.2.3.4", 5), (4, "", 6), (5, "invoice 4111111111111111", 7)], DOCS + ", spans int")
     got = {r.doc_id: r for r in pii.redact(df).collect()}
-    assert got[1].text == "visa card [card] now" and got[2].text is None
-    assert pii.report(df).where("doc_id = 1").first().scores == "1.0"
+    assert got[1].text == "visa card [card] now" and got[2].text is None and got[3].text == "[email] [ip]" and got[4].text == "" and got[1].spans == 3
+    assert {r.doc_id: r.scores for r in pii.report(df).collect()} == {1: "1.0", 2: "", 3: "0.6,0.6", 4: "", 5: "0.8"}
+    assert {r.doc_id: r.text for r in pii.redact(df, least=0.85).collect()}[3] == "a@b.co 1.2.3.4"
+    over = pii.redact(spark.createDataFrame([(1, "é x+1 (743) 555-3824@b.co, tel 😀 1.1.1.1")], DOCS)).first().text
+    assert over == "é x[phone], tel 😀 [ip]"
+
+
+def test_many_spans_in_one_text(spark):
+    n = 20000
+    text = " ".join(f"user{i}@host{i}.org" if i % 2 else f"😀{i % 256}.1.1.1" for i in range(n))
+    df = spark.createDataFrame([(1, text)], DOCS)
+    began = __import__("time").time()
+    got = pii.report(df).first()
+    assert __import__("time").time() - began < 30
+    want = brute_spans(text)
+    assert got.n_email == got.n_ip == n // 2 and got.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in want).encode()).hexdigest()
+    assert pii.redact(df).first().text == " ".join("[email]" if i % 2 else "😀[ip]" for i in range(n))
 
 
 # exact search
