@@ -47,6 +47,8 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 AROUND = 4
 #: Bits of the bitmap of repeated chunks (64 MB at most), and buckets that tell which documents may lose some.
 LEAST_FILTER, MOST_FILTER, BUCKETS = 22, 29, 1 << 20
+#: Bytes of text whose chunk hashes meet in a partition.
+PART = 64 << 20
 
 
 @dataclass
@@ -111,22 +113,46 @@ def _numbers(c: Chunks) -> np.ndarray:
     return np.arange(len(c.row)) - np.repeat(new, np.diff(np.append(new, len(c.row))))
 
 
-def _bits(df: DataFrame, h: Column, size: int) -> np.ndarray:
-    """A bitmap of `size` bits of the hashes h, made of partial bitmaps of the tasks."""
-    at = F.pmod(h, F.lit(size))
-    parts = df.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    out = np.zeros(size // 8 + 4096, np.uint8)
-    for r in parts.toLocalIterator():  # size / 32768 rows of 4 kB at most
-        # bucket b holds positions (b - 1) * 32768 + 1 to b * 32768, at bits 0 to 32767
-        out[(r.b) * 4096 : (r.b + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+def _repeated(rows: DataFrame, total: int) -> np.ndarray:
+    """A bitmap of the chunk hashes that stand more than once, by their first bits; `rows` has the texts, `total` their bytes.
+
+    Tasks send sorted hashes by range; a range finds what it has twice and gives its slice of the bitmap.
+    """
+    bits = min(MOST_FILTER, max(LEAST_FILTER, (total // 8).bit_length()))
+    parts = 1 << max(0, min(bits - 3, (total // PART).bit_length()))
+    edges = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
+
+    def send(held: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.sort(np.concatenate(held))
+        at = [0, *np.searchsorted(h, edges).tolist(), len(h)]
+        some = [p for p in range(parts) if at[p] < at[p + 1]]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([h[at[p] : at[p + 1]].tobytes() for p in some], pa.binary())], names=["part", "hashes"])
+
+    def hashes(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches(data):
+            held.append(chunks(*text_buffer(batch.column(0))).hash.view(np.uint64))
+            if sum(len(h) for h in held) >= 1 << 20:
+                yield send(held)
+                held = []
+        if held:
+            yield send(held)
+
+    def twice(t: pa.Table) -> pa.Table:
+        h = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t["hashes"]]))
+        out = np.zeros((1 << bits) // parts, bool)
+        out[((h[1:][h[1:] == h[:-1]] >> np.uint64(64 - bits)) & np.uint64(len(out) - 1)).astype(np.int64)] = True
+        return pa.table({"part": t["part"][:1], "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows.mapInArrow(hashes, "part int, hashes binary").groupBy("part").applyInArrow(twice, "part int, bits binary").toLocalIterator():  # the bitmap, in slices
+        out[r.part * len(r.bits) : (r.part + 1) * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
-def _within(bits: np.ndarray, size: int, h: np.ndarray) -> np.ndarray:
-    at = np.mod(h, size)
-    bucket = np.where(at > 0, 1 + (at - 1) // 32768, at // 32768)
-    bit = np.where(at > 0, (at - 1) % 32768, (-at) % 32768)
-    return bits[bucket * 4096 + bit // 8] >> (bit % 8).astype(np.uint8) & 1 > 0
+def _within(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h.view(np.uint64) >> np.uint64(65 - (8 * len(bits)).bit_length())
+    return bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
 
 
 def _in_runs(found: np.ndarray, c: Chunks) -> np.ndarray:
@@ -149,14 +175,8 @@ def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     rows = _keyed(docs, id, text)
     kind = rows.schema["d"].dataType.simpleString()
 
-    def hashes(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(data):
-            yield pa.RecordBatch.from_arrays([pa.array(chunks(*text_buffer(batch.column(0))).hash)], names=["h"])
-
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    size = 1 << min(MOST_FILTER, max(LEAST_FILTER, (total // 8).bit_length()))
-    counted = rows.select("text").mapInArrow(hashes, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    bits = spark.sparkContext.broadcast(_bits(counted.where("n > 1"), F.col("h"), size))
+    bits = spark.sparkContext.broadcast(_repeated(rows.select("text"), total))
 
     def bodies(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(data):
@@ -164,7 +184,7 @@ def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
             c = chunks(raw, at)
             if not len(c.row):
                 continue
-            found, same = _in_runs(_within(bits.value, size, c.hash), c), c.row[1:] == c.row[:-1]
+            found, same = _in_runs(_within(bits.value, c.hash), c), c.row[1:] == c.row[:-1]
             sent = found.copy()
             for _ in range(2):  # a run goes on into two chunks at most: cuts are more than AROUND words apart
                 before = sent.copy()
