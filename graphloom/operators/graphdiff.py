@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,9 +75,9 @@ def imports_removed(base: Graph, head: Graph) -> DataFrame:
     return base.imports.subtract(head.imports)
 
 
-def findings_delta(base: Graph, head: Graph, rules=smells.RULES) -> DataFrame:
-    """Findings that head introduces and those that it fixes; each side is found once, as pairing reads it four times."""
-    return smells.delta(smells.union(base, rules).persist(), smells.union(head, rules).persist())
+def findings_delta(base: Graph, head: Graph, rules: Sequence[str] = smells.RULES) -> DataFrame:
+    """Findings that head introduces and those that it fixes."""
+    return smells.delta(smells.union(base, rules), smells.union(head, rules))
 
 
 def between(base: Graph, head: Graph) -> dict[str, DataFrame]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,45 +19,37 @@ INFO, WARN, HIGH = 0, 1, 2
 COLUMNS = ("rule", "severity", "package", "file", "line", "decl", "subject", "target", "measure", "limit_value", "detail")
 
 
-def _finding(df: DataFrame, rule: str, severity: Column | int, detail: Column | str, measure: Column | int = 0, limit: Column | int = 0, target: Column | str = "") -> DataFrame:
-    """Findings about declarations."""
-    return _row(df, rule, severity, F.col("pkg"), F.col("path"), F.col("start_line"), F.col("id"), F.col("name"), target, measure, limit, detail)
-
-
-def _row(df: DataFrame, rule, severity, package, file, line, decl, subject, target, measure, limit, detail) -> DataFrame:
-    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    values = dict(zip(COLUMNS, (rule, severity, package, file, line, decl, subject, target, measure, limit, detail), strict=True))
+def _values(**values: Column | str | int) -> list[Column]:
+    """The columns of a finding, with their types."""
     kinds = {"severity": "bigint", "line": "bigint", "measure": "bigint", "limit_value": "bigint"}
-    return df.select(*(lit(v).cast(kinds.get(n, "string")).alias(n) for n, v in values.items()))
-
-
-def eligible(g: Graph) -> DataFrame:
-    return g.decls.where("not test and not generated")
-
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return [lit(values[n]).cast(kinds.get(n, "string")).alias(n) for n in COLUMNS]
 
-def funcs(g: Graph) -> DataFrame:
-    return eligible(g).where(F.col("kind").isin("func", "method"))
 
+def _row(df: DataFrame, *values: Column | str | int) -> DataFrame:
+    return df.select(*_values(**dict(zip(COLUMNS, values, strict=True))))
 
-def _tiered(df: DataFrame, rule: str, value: str, limits: tuple[int, int], text: str) -> DataFrame:
-    severity, limit, word = tier(F.col(value), *limits)
-    return _finding(df.where(F.col(value) > limits[0]), rule, severity, F.format_string(text + ", %s %d", F.col(value), word, limit), F.col(value), limit)
 
+@dataclass(frozen=True)
+class Rule:
+    """What a rule says of a declaration outside tests and generated files; `needs` names what is joined to it first."""
 
-def long_func(g: Graph) -> DataFrame:
-    return _tiered(funcs(g), "long-func", "lines", LONG_FUNC, "%d lines")
+    when: Column
+    finding: Column
+    needs: tuple[str, ...] = ()
 
 
-def complex_func(g: Graph) -> DataFrame:
-    return _tiered(funcs(g), "complex-func", "complexity", COMPLEX_FUNC, "complexity %d")
+def _rule(rule: str, severity: Column | int, when: Column | str, detail: Column | str, measure: Column | int = 0, limit: Column | int = 0, target: Column | str = "", needs: tuple[str, ...] = ()) -> Rule:
+    values = _values(rule=rule, severity=severity, package=F.col("pkg"), file=F.col("path"), line=F.col("start_line"), decl=F.col("id"), subject=F.col("name"), target=target, measure=measure, limit_value=limit, detail=detail)
+    return Rule(F.expr(when) if isinstance(when, str) else when, F.struct(*values), needs)
 
 
-def deep_nesting(g: Graph) -> DataFrame:
-    return _finding(funcs(g).where(F.col("nesting") > DEEP_NESTING), "deep-nesting", WARN, F.format_string(f"nesting %d, limit {DEEP_NESTING}", "nesting"), F.col("nesting"), DEEP_NESTING)
+def eligible(g: Graph) -> DataFrame:
+    return g.decls.where("not test and not generated")
 
 
-def many_params(g: Graph) -> DataFrame:
-    return _finding(funcs(g).where(F.col("params") > MANY_PARAMS), "many-params", WARN, F.format_string(f"%d params, limit {MANY_PARAMS}", "params"), F.col("params"), MANY_PARAMS)
+def funcs(g: Graph) -> DataFrame:
+    return eligible(g).where(F.col("kind").isin("func", "method"))
 
 
 def large_file(g: Graph) -> DataFrame:
@@ -72,28 +66,36 @@ def used_outside(g: Graph) -> DataFrame:
     return direct.union(consts.join(direct.withColumnRenamed("id", "type_id"), "type_id", "left_semi").select("id")).distinct()
 
 
-def unused_export(g: Graph) -> DataFrame:
-    d = eligible(g).where("exported and kind <> 'method' and pkg_name <> 'main'").where(~importable(F.col("pkg"), F.col("pkg_name")))
-    return _finding(d.join(used_outside(g), "id", "left_anti"), "unused-export", INFO, "no use outside its package")
+def called(g: Graph) -> DataFrame:
+    return g.edges.where("kind = 'caller'").select(F.col("dst").alias("id")).distinct()
 
 
-def dead_code(g: Graph) -> DataFrame:
-    main = F.col("pkg_name") == "main"
-    alive = (F.col("kind") == "method") | ((F.col("kind") == "func") & ((F.col("name") == "init") | ((F.col("name") == "main") & main))) | (F.col("exported") & ~main)
-    called = g.edges.where("kind = 'caller'").select(F.col("dst").alias("id"))
-    return _finding(eligible(g).where(~alive).join(called, "id", "left_anti"), "dead-code", F.when(F.col("kind") == "func", WARN).otherwise(INFO), "no references")
-
-
-def envious_func(g: Graph) -> DataFrame:
+def envied(g: Graph) -> DataFrame:
+    """id of a function that refers more to another package than to its own: that package, references to it and to its own."""
     d = funcs(g).where("pkg_name <> 'main'")
     r = g.refs.join(d.select(F.col("id").alias("decl"), F.col("pkg").alias("home")), "decl")
     own = F.coalesce(F.sum(F.when(F.col("pkg") == F.col("home"), F.col("n"))), F.lit(0))
     # the largest count, then the least package: a struct's order with the sign turned
     best = F.min(F.when(F.col("pkg") != F.col("home"), F.struct((-F.col("n")).alias("n"), "pkg")))
-    top = r.groupBy("decl").agg(own.alias("own"), best.alias("best")).select(F.col("decl").alias("id"), "own", (-F.col("best.n")).alias("n"), F.col("best.pkg").alias("other"))
-    top = top.where((F.col("n") > F.col("own")) & (F.col("n") >= ENVY_REFS))
-    detail = F.format_string("%d refs to %s, %d to own package", "n", rel_of(F.col("other")), "own")
-    return _finding(d.join(top, "id"), "envious-func", INFO, detail, F.col("n"), F.col("own"), F.col("other"))
+    top = r.groupBy("decl").agg(own.alias("envy_own"), best.alias("best")).select(F.col("decl").alias("id"), "envy_own", (-F.col("best.n")).alias("envy_n"), F.col("best.pkg").alias("envy_of"))
+    return top.where((F.col("envy_n") > F.col("envy_own")) & (F.col("envy_n") >= ENVY_REFS))
+
+
+def judged(g: Graph, rules: Sequence[Rule]) -> DataFrame:
+    """Findings of rules about declarations, which are read once, whatever the number of rules."""
+    needs = {n for r in rules for n in r.needs}
+    d = eligible(g)
+    if "used" in needs:
+        d = d.join(used_outside(g).withColumn("used", F.lit(True)), "id", "left")
+    if "called" in needs:
+        d = d.join(called(g).withColumn("called", F.lit(True)), "id", "left")
+    if "envied" in needs:
+        d = d.join(envied(g), "id", "left")
+    if "middle" in needs:
+        t = middle_tally(g).where((F.col("methods") >= MIDDLE_METHODS) & (2 * F.col("n") >= F.col("methods")))
+        d = d.join(t.select("pkg", F.col("recv").alias("name"), "methods", "field", F.col("n").alias("middle_n")), ["pkg", "name"], "left")
+    found = F.array_compact(F.array(*(F.when(r.when, r.finding) for r in rules)))
+    return d.select(F.explode(found).alias("f")).select("f.*")
 
 
 def instability(g: Graph) -> DataFrame:
@@ -119,17 +121,6 @@ def untested_package(g: Graph) -> DataFrame:
     return _row(p, "untested-package", INFO, F.col("pkg"), "", 0, "", F.col("rel"), "", 0, 0, "no tests reach it")
 
 
-def pass_through(g: Graph) -> DataFrame:
-    d = funcs(g).where("forwards <> '' and name <> 'init' and not (pkg_name = 'main' and name = 'main')")
-    return _finding(d, "pass-through", INFO, F.format_string("only calls %s with its own arguments", "forwards"))
-
-
-def fixed_arg(g: Graph) -> DataFrame:
-    open_ = F.col("exported") & importable(F.col("pkg"), F.col("pkg_name"))
-    d = funcs(g).where("fixed_param <> '' and not escapes").where((F.col("calls") >= FIXED_CALLS) & ~open_)
-    return _finding(d, "fixed-arg", INFO, F.format_string("%s is %s at all %d production call sites", "fixed_param", "fixed_value", "calls"), F.col("calls"), FIXED_CALLS)
-
-
 def middle_tally(g: Graph) -> DataFrame:
     """pkg, receiver, methods, field delegated to most (ties to the least name) and how often."""
     m = g.decls.where("kind = 'method' and not test and not generated").withColumn("recv", F.split_part("name", F.lit("."), F.lit(1)))
@@ -138,21 +129,62 @@ def middle_tally(g: Graph) -> DataFrame:
     return per.groupBy("pkg", "recv").agg(F.sum("n").alias("methods"), best.alias("best")).select("pkg", "recv", "methods", F.coalesce("best.delegates", F.lit("")).alias("field"), F.coalesce(-F.col("best.n"), F.lit(0)).alias("n"))
 
 
-def middle_man(g: Graph) -> DataFrame:
-    t = middle_tally(g).where((F.col("methods") >= MIDDLE_METHODS) & (2 * F.col("n") >= F.col("methods")))
-    d = eligible(g).where("kind = 'type' and not deprecated")
-    return _finding(d.join(t.withColumnRenamed("recv", "name"), ["pkg", "name"]), "middle-man", INFO, F.format_string("%d of %d methods only call %s's", "n", "methods", "field"))
+def _tiered(rule: str, value: str, limits: tuple[int, int], text: str) -> Rule:
+    severity, limit, word = tier(F.col(value), *limits)
+    return _rule(rule, severity, _func() & (F.col(value) > limits[0]), F.format_string(text + ", %s %d", F.col(value), word, limit), F.col(value), limit)
+
 
+def _func() -> Column:
+    return F.col("kind").isin("func", "method")
 
-RULES = (long_func, complex_func, deep_nesting, many_params, large_file, unused_export, dead_code, envious_func, unstable_dep, untested_package, pass_through, fixed_arg, middle_man)
+
+@cache
+def decl_rules() -> dict[str, Rule]:
+    """Columns need a session, so these are made when first asked for."""
+    main, public = F.col("pkg_name") == "main", importable(F.col("pkg"), F.col("pkg_name"))
+    alive = (F.col("kind") == "method") | ((F.col("kind") == "func") & ((F.col("name") == "init") | ((F.col("name") == "main") & main))) | (F.col("exported") & ~main)
+    unused = F.col("exported") & (F.col("kind") != "method") & ~main & ~public & F.col("used").isNull()
+    entry = (F.col("name") == "init") | (main & (F.col("name") == "main"))
+    fixed = _func() & (F.col("fixed_param") != "") & ~F.col("escapes") & (F.col("calls") >= FIXED_CALLS) & ~(F.col("exported") & public)
+    envy = F.format_string("%d refs to %s, %d to own package", "envy_n", rel_of(F.col("envy_of")), "envy_own")
+    return {
+        "long_func": _tiered("long-func", "lines", LONG_FUNC, "%d lines"),
+        "complex_func": _tiered("complex-func", "complexity", COMPLEX_FUNC, "complexity %d"),
+        "deep_nesting": _rule("deep-nesting", WARN, _func() & (F.col("nesting") > DEEP_NESTING), F.format_string(f"nesting %d, limit {DEEP_NESTING}", "nesting"), F.col("nesting"), DEEP_NESTING),
+        "many_params": _rule("many-params", WARN, _func() & (F.col("params") > MANY_PARAMS), F.format_string(f"%d params, limit {MANY_PARAMS}", "params"), F.col("params"), MANY_PARAMS),
+        "unused_export": _rule("unused-export", INFO, unused, "no use outside its package", needs=("used",)),
+        "dead_code": _rule("dead-code", F.when(F.col("kind") == "func", WARN).otherwise(INFO), ~alive & F.col("called").isNull(), "no references", needs=("called",)),
+        "envious_func": _rule("envious-func", INFO, F.col("envy_n").isNotNull(), envy, F.col("envy_n"), F.col("envy_own"), F.col("envy_of"), needs=("envied",)),
+        "pass_through": _rule("pass-through", INFO, _func() & (F.col("forwards") != "") & ~entry, F.format_string("only calls %s with its own arguments", "forwards")),
+        "fixed_arg": _rule("fixed-arg", INFO, fixed, F.format_string("%s is %s at all %d production call sites", "fixed_param", "fixed_value", "calls"), F.col("calls"), FIXED_CALLS),
+        "middle_man": _rule("middle-man", INFO, (F.col("kind") == "type") & ~F.col("deprecated") & F.col("methods").isNotNull(), F.format_string("%d of %d methods only call %s's", "middle_n", "methods", "field"), needs=("middle",)),
+    }
 
 
+#: The rules by name; those of `decl_rules` are about declarations, the others have functions of their own.
+RULES = ("long_func", "complex_func", "deep_nesting", "many_params", "large_file", "unused_export", "dead_code", "envious_func", "unstable_dep", "untested_package", "pass_through", "fixed_arg", "middle_man")
+OTHERS = {"large_file": large_file, "unstable_dep": unstable_dep, "untested_package": untested_package}
 
-def union(g: Graph, rules=RULES) -> DataFrame:
-    return reduce(DataFrame.unionByName, (r(g) for r in rules))
 
+def union(g: Graph, rules: Sequence[str] = RULES) -> DataFrame:
+    """Findings of the named rules."""
+    known = decl_rules()
+    parts = [OTHERS[r](g) for r in rules if r in OTHERS]
+    if own := [known[r] for r in rules if r in known]:
+        parts.append(judged(g, own))
+    return reduce(DataFrame.unionByName, parts)
 
-def find(g: Graph, rules=RULES) -> DataFrame:
+
+def _one(rule: str) -> Callable[[Graph], DataFrame]:
+    return lambda g: union(g, (rule,))
+
+
+long_func, complex_func, deep_nesting, many_params = _one("long_func"), _one("complex_func"), _one("deep_nesting"), _one("many_params")
+unused_export, dead_code, envious_func = _one("unused_export"), _one("dead_code"), _one("envious_func")
+pass_through, fixed_arg, middle_man = _one("pass_through"), _one("fixed_arg"), _one("middle_man")
+
+
+def find(g: Graph, rules: Sequence[str] = RULES) -> DataFrame:
     """All findings, worst first, then by package, file, line, rule and declaration."""
     return union(g, rules).orderBy(F.desc("severity"), "package", "file", "line", "rule", "decl", "target")
 
@@ -166,15 +198,9 @@ def delta(base: DataFrame, head: DataFrame) -> DataFrame:
     moved = F.col("decl") != ""
     identity = F.concat_ws("|", "rule", F.when(moved, F.lit("")).otherwise(F.col("package")), F.when(moved, F.lit("")).otherwise(F.col("file")), "subject", "target")
     order = [F.desc("severity"), "package", "file", "line", "rule", "decl", "target"]
-
-    def numbered(df: DataFrame, side: str) -> DataFrame:
-        df = df.withColumn("identity", identity)
-        return df.withColumn("rn", F.row_number().over(Window.partitionBy("identity", "decl").orderBy(*order))).withColumn("side", F.lit(side))
-
-    def unpaired(b: DataFrame, h: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-        return b.join(h.select(*keys, "rn"), [*keys, "rn"], "left_anti"), h.join(b.select(*keys, "rn"), [*keys, "rn"], "left_anti")
-
-    b, h = unpaired(numbered(base, "fixed"), numbered(head, "introduced"), ["identity", "decl"])
-    again = F.row_number().over(Window.partitionBy("identity").orderBy(*order))
-    b, h = unpaired(b.withColumn("rn", again), h.withColumn("rn", again), ["identity"])
-    return b.unionByName(h).select(F.col("side").alias("change"), *COLUMNS)
+    both = base.withColumn("change", F.lit("fixed")).unionByName(head.withColumn("change", F.lit("introduced"))).withColumn("identity", identity)
+    for keys in (["identity", "decl"], ["identity"]):
+        group, place = Window.partitionBy(*keys), Window.partitionBy(*keys, "change").orderBy(*order)
+        pairs = F.least(F.count_if(F.col("change") == "fixed").over(group), F.count_if(F.col("change") == "introduced").over(group))
+        both = both.withColumns({"pairs": pairs, "place": F.row_number().over(place)}).where("place > pairs").drop("pairs", "place")
+    return both.select("change", *COLUMNS)

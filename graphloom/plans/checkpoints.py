@@ -1,15 +1,32 @@
-"""Where iterative plans cut their lineage."""
+"""Where plans cut their lineage, and where tables stand that they read many times."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder (spark.checkpoint.dir); one of our own only where none is set and executors are local."""
+    ctx = spark.sparkContext
+    if not ctx.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not ctx.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
+        ctx.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
+    return ctx.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder (spark.checkpoint.dir); a folder of our own only where none is set."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    """`df` written to the shared checkpoint folder."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as Parquet in the shared checkpoint folder, so that readers prune columns and know its size."""
+    at = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -36,14 +36,14 @@ def _units(base: Graph, head: Graph) -> DataFrame:
     return review.units(base, head, review.touched_lines(base.decls, hunks(base, 19)), review.touched_lines(head.decls, hunks(head, 17)))
 
 
-SMELL_IDS = {r.__name__: f"sm{i:02d}_{r.__name__}" for i, r in enumerate(smells.RULES, 1)}
+SMELL_IDS = {r: f"sm{i:02d}_{r}" for i, r in enumerate(smells.RULES, 1)}
 PROGNOSIS_IDS = {k.__name__.rstrip("_"): f"pg{i:02d}_{k.__name__.rstrip('_')}" for i, k in zip((1, 2, 3, 4, 5, 6, 7, 8, 10, 11), prognoses.KINDS, strict=True)}
 DIFF_IDS = {"added": "gd01_added", "removed": "gd01_removed", "moved": "gd02_moved", "changed": "gd03_changed", "edges_added": "gd04_edges_added", "edges_removed": "gd04_edges_removed", "imports_added": "gd05_imports_added", "imports_removed": "gd05_imports_removed", "findings_delta": "gd06_findings_delta"}
 
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {"set04_findings": _all(smells.union), "win03_prognoses": _all(prognoses.find)}
-    out |= {SMELL_IDS[r.__name__]: _one(r) for r in smells.RULES}
+    out |= {SMELL_IDS[r]: _one(lambda g, r=r: smells.union(g, (r,))) for r in smells.RULES}
     out |= {PROGNOSIS_IDS[k.__name__.rstrip("_")]: _one(k) for k in prognoses.KINDS}
     out |= {DIFF_IDS[n]: _two(getattr(graphdiff, n)) for n in DIFF_IDS if n != "findings_delta"}
     out |= {DIFF_IDS["findings_delta"]: _two(lambda b, h: graphdiff.findings_delta(b.kept(), h.kept()))}

@@ -12,6 +12,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.plans.checkpoints import stored
+
 MODULE = "shop"
 
 RAW = """
@@ -104,10 +106,11 @@ class Graph:
         return self.spark.sql(text, **known, **more)
 
     def kept(self) -> Graph:
-        """The same graph with its tables persisted: for plans that read them many times."""
-        for name in ("decls", "edges", "files", "imports", "refs"):
-            self.given.setdefault(name, self._table(name).persist())
-            self.__dict__.pop(name, None)
+        """The same graph with its declarations and edges stored: for plans that read them many times."""
+        for name in ("decls", "edges"):
+            if name not in self.given:
+                self.given[name] = stored(self._table(name))
+                self.__dict__.pop(name, None)
         return self
 
     def _table(self, name: str) -> DataFrame:
