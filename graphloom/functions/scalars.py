@@ -35,3 +35,14 @@ def plural(n: Column, word: str) -> Column:
 def band(v: Column, *thresholds: int) -> Column:
     """How many thresholds a value reaches, at most 5."""
     return F.least(sum((F.when(v >= t, 1).otherwise(0) for t in thresholds), F.lit(0)), F.lit(5)).cast("bigint")
+
+
+def join_path(*parts: Column) -> Column:
+    """Parts of a path in one text: `~` between them, `%` and `~` within them escaped."""
+    escaped = [F.replace(F.replace(p, F.lit("%"), F.lit("%25")), F.lit("~"), F.lit("%7E")) for p in parts]
+    return F.concat_ws("~", *escaped)
+
+
+def split_path(joined: Column) -> Column:
+    """The parts that `join_path` joined."""
+    return F.transform(F.split(joined, "~"), lambda p: F.replace(F.replace(p, F.lit("%7E"), F.lit("~")), F.lit("%25"), F.lit("%")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,10 +20,14 @@ COLUMNS = ("key", "lens", "level", "target", "name", "file", "line", "title", "s
 LEVEL_WORD = {3: "fix first", 2: "fix soon", 1: "when convenient"}
 
 
-def _row(df: DataFrame, key: Column, lens: str, level, target: Column, name: Column, file, line, title: str, summary: Column) -> DataFrame:
+def _values(*values: Column | str | int) -> list[Column]:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     kinds = {"level": "bigint", "line": "bigint"}
-    return df.select(*(lit(v).cast(kinds.get(n, "string")).alias(n) for n, v in zip(COLUMNS, (key, lens, level, target, name, file, line, title, summary), strict=True)))
+    return [lit(v).cast(kinds.get(n, "string")).alias(n) for n, v in zip(COLUMNS, values, strict=True)]
+
+
+def _row(df: DataFrame, *values: Column | str | int) -> DataFrame:
+    return df.select(*_values(*values))
 
 
 def hot_churn(g: Graph) -> DataFrame:
@@ -48,26 +53,33 @@ def measured(g: Graph) -> DataFrame:
     return d.crossJoin(F.broadcast(hot_churn(g))).withColumn("busy", F.col("churn") >= F.col("hot"))  # one row
 
 
-def _complex(g: Graph) -> DataFrame:
-    return measured(g).where(F.col("complexity") > smells.COMPLEX_FUNC[0])
+def _of_decl(kind: str, lens: str, level: Column | int, title: str, summary: Column) -> Column:
+    return F.struct(*_values(F.concat(F.lit(f"{kind}:"), "id"), lens, level, F.col("id"), F.col("name"), F.col("path"), F.col("start_line"), title, summary))
 
 
-def hotspot(g: Graph) -> DataFrame:
+def complex_kinds(g: Graph, kinds: Sequence[str]) -> DataFrame:
+    """Prognoses of declarations with many paths, which are read once: hotspot, complex and untested."""
     cx = F.col("complexity")
-    level = 1 + (cx > HOT).cast("int") + (cx > smells.COMPLEX_FUNC[1]).cast("int")
-    text = F.concat(F.format_string("%s has %d paths through it and its file changed in ", "name", cx), plural(F.col("churn"), "commit"), F.lit(" lately."))
-    return _row(_complex(g).where("busy"), F.concat(F.lit("hotspot:"), "id"), "health", level, F.col("id"), F.col("name"), F.col("path"), F.col("start_line"), "Hard to follow, and it keeps changing", text)
+    keeps = F.concat(F.format_string("%s has %d paths through it and its file changed in ", "name", cx), plural(F.col("churn"), "commit"), F.lit(" lately."))
+    made = {
+        "hotspot": (F.col("busy"), _of_decl("hotspot", "health", 1 + (cx > HOT).cast("int") + (cx > smells.COMPLEX_FUNC[1]).cast("int"), "Hard to follow, and it keeps changing", keeps)),
+        "complex": (~F.col("busy"), _of_decl("complex", "health", 1, "Hard to follow", F.format_string(f"%s has %d paths through it, past the limit of {smells.COMPLEX_FUNC[0]}.", "name", cx))),
+        "untested": (F.col("tests") == 0, _of_decl("untested", "tests", 1 + (F.col("busy") & (cx > HOT)).cast("int"), "Complex, and no test calls it", F.format_string("%s has %d paths and no test calls it directly.", "name", cx))),
+    }
+    found = F.array_compact(F.array(*(F.when(made[k][0], made[k][1]) for k in kinds)))
+    return measured(g).where(cx > smells.COMPLEX_FUNC[0]).select(F.explode(found).alias("p")).select("p.*")
+
+
+def hotspot(g: Graph) -> DataFrame:
+    return complex_kinds(g, ["hotspot"])
 
 
 def complex_(g: Graph) -> DataFrame:
-    text = F.format_string(f"%s has %d paths through it, past the limit of {smells.COMPLEX_FUNC[0]}.", "name", "complexity")
-    return _row(_complex(g).where("not busy"), F.concat(F.lit("complex:"), "id"), "health", 1, F.col("id"), F.col("name"), F.col("path"), F.col("start_line"), "Hard to follow", text)
+    return complex_kinds(g, ["complex"])
 
 
 def untested(g: Graph) -> DataFrame:
-    level = 1 + (F.col("busy") & (F.col("complexity") > HOT)).cast("int")
-    text = F.format_string("%s has %d paths and no test calls it directly.", "name", "complexity")
-    return _row(_complex(g).where("tests = 0"), F.concat(F.lit("untested:"), "id"), "tests", level, F.col("id"), F.col("name"), F.col("path"), F.col("start_line"), "Complex, and no test calls it", text)
+    return complex_kinds(g, ["untested"])
 
 
 def calling_packages(g: Graph) -> DataFrame:
@@ -153,7 +165,7 @@ KINDS = (hotspot, complex_, untested, reach, dominant, wide, unstable, params, l
 
 
 def union(g: Graph) -> DataFrame:
-    return reduce(DataFrame.unionByName, (k(g) for k in KINDS))
+    return reduce(DataFrame.unionByName, (k(g) for k in KINDS if k not in (hotspot, complex_, untested)), complex_kinds(g, ["hotspot", "complex", "untested"]))
 
 
 def find(g: Graph) -> DataFrame:

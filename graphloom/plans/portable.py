@@ -33,30 +33,27 @@ SQL: dict[str, str] = {
     "src08_nested_modules": """select distinct substr(a.path, 1, length(a.path) - 7) as dir from {tree} a where a.path like '%/go.mod' and not exists (select 1 from {tree} b where b.path like '%/go.mod' and b.path <> a.path and a.path like substr(b.path, 1, length(b.path) - 6) || '%')""",
     "src22_churn": "select pkg, path, churn from {files} where churn > 0",
     "src11_fixed_args": "select pkg, fixed_param as param, count(distinct fixed_value) as n_values, min(fixed_value) as first_value, count(*) as sites from {decls} where fixed_param <> '' group by pkg, fixed_param having count(distinct fixed_value) = 1",
-    "snk02_prune": "select pkg, path, churn from (select *, row_number() over (partition by pkg order by churn desc, path) as r from {files}) x where r > 4",
     "snk03_reviewed_units": "select u.id, u.lane from {units} u where exists (select 1 from {reviewed} r where r.id = u.id)",
-    "snk06_basket_move": "select id, cast(row_number() over (order by case when pos = 3 then 7.5 else pos end) as bigint) as pos from (select id, row_number() over (order by k) as pos from {decls} where k < 40) b",
     "flt01_production": "select e.dst as id, e.src from {edges} e join {decls} d on e.src = d.id where not d.test and e.kind = 'caller'",
     "flt02_surface": "select d.id, d.exported from {decls} d join {files} f on d.pkg = f.pkg and d.path = f.path where not f.test",
     "flt03_importable": "select pkg, case when substr(pkg, 5) || '/' like '%/internal/%' or name = 'main' then false else true end as importable from {packages}",
     "flt04_has_tests": "select pkg, bool_or(test) as has_tests from {files} group by pkg",
     "flt06_dead_candidates": "select id from {decls} where kind <> 'method' and not (kind = 'func' and (name = 'init' or (name = 'main' and pkg_name = 'main'))) and (not exported or pkg_name = 'main')",
-    "flt07_span_hits": "select d.id, h.start, h.n from {head_decls} d join {head_hunks} h on d.path = h.path and ((h.n = 0 and d.start_line <= h.start and h.start + 1 <= d.end_line) or (h.n > 0 and h.start <= d.end_line and h.start + h.n - 1 >= d.start_line)) where d.k % 29 = 0",
+    "flt07_span_hits": "select d.id, h.start, h.n from {head_decls} d join {head_hunks} h on d.path = h.path and ((h.n = 0 and d.start_line <= h.start and h.start + 1 <= d.end_line) or (h.n > 0 and h.start <= d.end_line and h.start + h.n - 1 >= d.start_line))",
     "flt08_loose_lines": "select h.path, h.start from {base_hunks} h where not exists (select 1 from {head_decls} d where d.path = h.path and d.start_line <= h.start and h.start <= d.end_line)",
     "flt09_scope_files": "select f.pkg, substr(f.path, length(r.dir) + 2) as path from {files} f join (select distinct split_part(path, '/', 1) as dir from {files} where churn > 2) r on f.path like r.dir || '/%' where f.path not like r.dir || '/promo%'",
     "flt10_fixtures": "select path from {tree} where path like 'testdata/%' or path like '%/testdata/%'",
-    "flt11_map_scope": "select d.id, coalesce(p.pkg, q.pkg, f.pkg) as pkg from (select id, case k % 3 when 0 then pkg when 1 then substr(pkg, 6) else path end as wanted from {decls} where k < 300) d left join {packages} p on d.wanted = p.pkg left join {packages} q on d.wanted = q.rel left join (select path, min(pkg) as pkg from {files} group by path) f on d.wanted = f.path",
+    "flt11_map_scope": "select d.id, coalesce(p.pkg, q.pkg, f.pkg) as pkg from (select id, case k % 3 when 0 then pkg when 1 then substr(pkg, 6) else path end as wanted from {decls}) d left join {packages} p on d.wanted = p.pkg left join {packages} q on d.wanted = q.rel left join (select path, min(pkg) as pkg from {files} group by path) f on d.wanted = f.path",
     "flt12_structure_findings": "select rule, package, target, decl from {findings} where rule in ('unstable-dep', 'envious-func', 'untested-package')",
     "flt13_needs_reading": "select u.id from {units} u where u.lane <= 1 and not exists (select 1 from {reviewed} r where r.id = u.id)",
     "flt14_outdated_notes": "select n.id, n.scope, split_part(n.scope, '@', 1) as same_change from {notes} n where not n.resolved and not exists (select 1 from {units} u where u.id = n.id and u.lane < 4)",
     "flt15_watched": "select path from {tree} where (path like '%.go' or path like '%.toml' or path like '%.json' or path like '%go.mod') and path not like 'vendor/%' and path not like '!_%' escape '!'",
-    "flt16_generated_header": "select doc_id, substr(text, 1, 512) like '%generated%' as generated from {documents}",
     "jn01_decl_lookup": "select e.src, e.dst, d.path, f.lines from {edges} e join {decls} d on e.dst = d.id join {files} f on d.pkg = f.pkg and d.path = f.path",
     "jn04_imported_by": "select p.pkg, i.src from {packages} p join {imports} i on i.dst = p.pkg",
     "jn05_full_outer": "select coalesce(h.id, b.id) as id, case when b.id is null then 'added' when h.id is null then 'removed' when h.shape <> b.shape or h.signature <> b.signature then 'changed' else 'same' end as change from {head_decls} h full outer join {base_decls} b on h.id = b.id",
     "jn06_pair_moves": "select o.id as from_id, n.id as to_id from (select name, kind, shape, min(id) as id from {gone} where shape <> '' group by name, kind, shape having count(*) = 1) o join (select name, kind, shape, min(id) as id from {come} where shape <> '' group by name, kind, shape having count(*) = 1) n on o.name = n.name and o.kind = n.kind and o.shape = n.shape",
     "jn07_named_links": """select ref, id from (select r.ref, d.id, d.pref, min(d.pref) over (partition by r.ref) as best, count(*) over (partition by r.ref) as n, r.member from
-        (select id as ref, path, pkg, name, kind = 'method' as member from {decls} where k % 11 = 0) r join
+        (select id as ref, path, pkg, name, kind = 'method' as member from {decls}) r join
         (select id, path, pkg, name, exported, case when k % 2 = 0 then 0 else 1 end as pref from {decls}) d on r.name = d.name and (r.pkg = d.pkg or d.exported) and r.ref <> d.id) x where pref = best and not (member and n > 1)""",
     "jn09_apply_churn": "select d.id, coalesce(f.churn, 0) as churn from {decls} d left join {files} f on d.pkg = f.pkg and d.path = f.path",
     "jn10_attach_smells": "select f.rule, coalesce(u.id, v.id) as unit from {head_findings} f left join {units} u on f.decl = u.id left join (select file, min(id) as id from {units} group by file) v on f.file = v.file and f.decl = '' where coalesce(u.id, v.id) is not null",
@@ -82,11 +79,10 @@ SQL: dict[str, str] = {
     "win01_duplicate_ids": "select id, k, row_number() over (partition by pkg, name order by path, k) as ordinal from {decls}",
     "win02_findings_order": "select rule, decl, target, file, package, row_number() over (order by severity desc, package, file, line, rule, decl, target) as pos from {findings}",
     "win04_units_order": "select id, row_number() over (order by lane, risk desc, file, name, id) as pos from {units}",
-    "win05_candidates": "select x.dst, x.src as id, row_number() over (partition by x.dst order by d.test, coalesce(c.n, 0) desc, x.src) as pos from (select distinct src, dst from {edges} where dst in (select id from {decls} where k < 5)) x join {decls} d on x.src = d.id left join (select dst, count(*) as n from {edges} where kind = 'caller' group by dst) c on c.dst = x.src",
     "win06_inbox_order": "select repo, row_number() over (order by case when sum(case when lane <= 1 and not reviewed then 1 else 0 end) > 0 then 0 else 1 end, max(risk) desc, repo) as pos from {repo_units} group by repo",
     "win08_lane_cap": "select id, lane from (select id, lane, row_number() over (partition by lane order by risk desc, file, name, id) as r from {units}) x where r <= 60",
     "win09_render_budget": "select id from (select id, sum(added + deleted) over (order by lane, risk desc, file, name, id rows between unbounded preceding and 1 preceding) as before_it from {repo_units} where lane <= 1 and not reviewed) x where coalesce(before_it, 0) < 3000",
-    "win11_basket_groups": "select pkg, kind, id, row_number() over (partition by pkg order by case kind when 'type' then 0 when 'func' then 1 when 'method' then 2 else 3 end, kind, k) as pos from {decls} where k < 200",
+    "win11_basket_groups": "select pkg, kind, id, row_number() over (partition by pkg order by case kind when 'type' then 0 when 'func' then 1 when 'method' then 2 else 3 end, kind, k) as pos from {decls}",
     "win12_fold_rows": """select key, seq, kept from (select key, seq, len, pos, changed, first_run, last_run, case when changed or len <= 7 then true when first_run then pos > len - 3 when last_run then pos <= 3 else pos <= 3 or pos > len - 3 end as kept
       from (select key, seq, changed, run, count(*) over (partition by key, run) as len, row_number() over (partition by key, run order by seq) as pos, run = min(run) over (partition by key) as first_run, run = max(run) over (partition by key) as last_run
         from (select key, seq, changed, sum(case when changed then 1 else 0 end) over (partition by key order by seq) * 2 + case when changed then 0 else 1 end as run
@@ -94,10 +90,6 @@ SQL: dict[str, str] = {
     "win13_lru_evict": "select pkg, path from (select pkg, path, test, row_number() over (order by churn desc, pkg, path) as r from {files}) x where r > 32 and not test",
     "set03_touched_union": "select id, min(pos) as pos from (select id, 0 as pos from {new_lines} union all select id, 1 as pos from {old_lines}) x group by id",
     "set05_roots_union": "select distinct path from {head_files} union select distinct path from {base_files}",
-    "gr01_next": "select e.dst, e.src, min(e.kind) as via from {edges} e where e.dst in (select id from {decls} where k < 5) and e.src not in (select id from {decls} where k < 5) group by e.dst, e.src",
-    "gr02_follow": "select a.dst as first_id, a.src as second_id, b.src as third_id from {edges} a join {edges} b on b.dst = a.src where a.kind = 'caller' and b.kind = 'caller' and b.src <> a.dst and a.dst in (select id from {decls} where k < 2)",
-    "gr03_resolve": "select b.id, case when h.id is not null then 'current' when m.to_id is not null then 'moved' else 'gone' end as status, coalesce(h.id, m.to_id, '') as now_id from {base_decls} b left join {head_decls} h on b.id = h.id left join {moved} m on b.id = m.from_id",
-    "gr06_closure": "with i as (select src, dst from {imports}), two as (select a.src, b.dst from i a join i b on a.dst = b.src) select src, dst from i union select src, dst from two where src <> dst union select t.src, c.dst from two t join i c on t.dst = c.src where t.src <> c.dst",
     "gr07_owner": "select d.id, max(f.prefix) as owner from {decls} d join (select distinct substr(path, 1, 2) as prefix from {files} union select distinct split_part(path, '/', 1) from {files}) f on d.path like f.prefix || '%' group by d.id",
     "sc01_tier": "select id, case when lines > 120 then 2 when lines > 60 then 1 else 0 end as severity, case when lines > 120 then 'high limit' else 'limit' end as word from {decls}",
     "sc02_percent": "select pkg, cast(round(i * 100) as bigint) as pct from {instability}",
@@ -108,7 +100,6 @@ SQL: dict[str, str] = {
     "sc08_complexity_reason": "select h.id, case when b.id is not null and h.complexity <> b.complexity then 'complexity ' || cast(h.complexity as string) || ' (' || case when h.complexity > b.complexity then '+' else '' end || cast(h.complexity - b.complexity as string) || ')' when h.complexity > 10 then 'complexity ' || cast(h.complexity as string) else '' end as reason from {head_decls} h left join {base_decls} b on h.id = b.id",
     "sc15_plural": "select pkg, cast(count(*) as string) || case when count(*) = 1 then ' file' else ' files' end as text from {files} group by pkg",
     "sc16_keys": "select rule || '|' || package || '|' || file || '|' || decl || '|' || subject || '|' || target as key, severity from {findings}",
-    "sc17_path_codec": "select id, replace(replace(id, '%', '%25'), '~', '%7E') || '~' || replace(name, '~', '%7E') as joined from {decls} where k < 500",
     "sc20_scope": "select id, case when kind = 'type' then 'type ' || name when kind = 'method' then 'method ' || name else kind || ' ' || name end as scope from {decls}",
     "ui01_finding_items": "select rule || ': ' || subject as title, case when line = 0 then file else file || ':' || cast(line as string) end as place, detail as body, 'smell|' || rule || '|' || decl || '|' || file as key, package, target from {findings}",
     "ui04_notes_by_line": "select file, side, line, count(*) as n from {notes} where not resolved group by file, side, line",
@@ -121,9 +112,7 @@ SQL: dict[str, str] = {
     "ui11_atlas_base": "select id from {units} where change <> 'added'",
     "rv01_routes": "select path, case when path not like '%.go' and path not like '%.py' and path not like '%.ts' then 'file' when path like '%gen%' then 'file' else 'decls' end as route from {tree}",
     "rv11_merged_moves": "select m.from_id, m.to_id, case when o.lines = n.lines and o.signature = n.signature then 'moved' else 'modified' end as change, 'moved from ' || m.from_path as reason from {moved} m join {base_decls} o on o.id = m.from_id join {head_decls} n on n.id = m.to_id",
-    "rv04_loose_units": "select h.path || '#file' as id, cast(sum(h.n) as bigint) as n, 4 as lane from {base_hunks} h where not exists (select 1 from {head_decls} d where d.path = h.path) group by h.path",
     "rv05_file_units": "select path as id, cast(floor(least(sum(n), 40) / 4) as bigint) as risk from {head_hunks} group by path",
-    "rv06_file_lanes": "select path, case when path like '%go.sum' then 4 when path in ('go.mod', 'Project.toml') then 0 when path like '%Manifest.toml' then 4 when path like 'testdata/%' or path like '%/testdata/%' then 2 when path like '%/go.mod' then 3 when path like '%_test.go' then 2 when path like '%.go' then 1 else 3 end as lane from {tree}",
     "rv07_lanes": "select id, lane from {units}",
     "rv08_risks": "select id, risk from {units}",
     "rv10_removed_callers": "select g.id, e.src from {gone} g join {base_edges} e on e.dst = g.id and e.kind = 'caller' join {head_decls} h on h.id = e.src",
@@ -132,7 +121,6 @@ SQL: dict[str, str] = {
     "tm05_dsm": "select a.pkg as row_pkg, r.pkg as col_pkg, cast(sum(r.n) as bigint) as n, max(case when u.target is not null then 1 else 0 end) as bad from {refs} r join {decls} a on r.decl = a.id join {imports} i on i.src = a.pkg and i.dst = r.pkg left join {unstable} u on u.package = a.pkg and u.target = r.pkg where not a.test group by a.pkg, r.pkg",
     "tm02_inset": "select pkg, cast(10 + 2 as double) as x, cast(20 + 14 as double) as y, cast(greatest(0, 1000 - 4) as double) as w, cast(greatest(0, 600 - 16) as double) as h from {packages}",
     "tm04_marks": "select p.key, d.k as tile from {prognoses} p join {decls} d on p.target = d.id where d.lines > 0",
-    "gd07_missing_root": "select h.id, 'added' as change from {head_decls} h left join (select * from {base_decls} where false) b on h.id = b.id where b.id is null",
 }
 
 
@@ -190,26 +178,8 @@ def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-#: Conditions on keys in SQL, and what stands for them in the queries, which run over all declarations.
-KEYS = {
-    "jn07_named_links": (" where k % 11 = 0", ""),
-    "flt07_span_hits": (" where d.k % 29 = 0", ""),
-    "flt11_map_scope": (" where k < 300", ""),
-    "sc17_path_codec": (" where k < 500", ""),
-    "win11_basket_groups": (" where k < 200", ""),
-    "win05_candidates": (" where dst in (select id from {decls} where k < 5)", " where src <> dst"),
-    "gr01_next": ("e.dst in (select id from {decls} where k < 5) and e.src not in (select id from {decls} where k < 5)", "e.src <> e.dst"),
-    "gr02_follow": (" and a.dst in (select id from {decls} where k < 2)", ""),
-}
-
-
-def whole(name: str) -> str:
-    """The text of a query without conditions on keys."""
-    return SQL[name].replace(*KEYS[name]) if name in KEYS else SQL[name]
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: _query(whole(n)) for n in SQL}
+    return {n: _query(t) for n, t in SQL.items()}
 
 
 EXTRA = {

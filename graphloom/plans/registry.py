@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import graphdiff, prognoses, review, smells, walks
-from graphloom.plans import oracle, portable, texts
+from graphloom.plans import oracle, portable, texts, walked
 from graphloom.sources.binding import Graph, bound, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,11 +60,9 @@ def queries() -> dict[str, Query]:
         "jn02_touched": _two(lambda b, h: review.touched(h.decls, hunks(h, 17))),
         "jn03_decl_lines": _two(lambda b, h: review.touched_lines(h.decls, hunks(h, 17))),
         "rv02_units": _two(_units),
-        "gr04_ring": _one(lambda g: walks.ring(g, g.decls.where("k < 5"))),
         "gr05_layers": _one(walks.layers),
     }
-    # the text of gr06 stops at three imports
-    return out | portable.queries() | texts.QUERIES | {"gr06_closure": _one(walks.closure)}
+    return out | portable.queries() | texts.QUERIES | walked.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
@@ -86,9 +84,8 @@ def oracle_sql() -> dict[str, str]:
         "jn02_touched": sql(oracle.TOUCHED),
         "jn03_decl_lines": sql("select * from {new_lines}"),
         "rv02_units": sql(oracle.UNITS),
-        "gr04_ring": sql("select start, id, cast(min(hop) as bigint) as hop from (with recursive r as (select id as start, id, 0 as hop from {decls} where k < 5 union select r.start, e.src, r.hop + 1 from r join {edges} e on e.dst = r.id and e.kind = 'caller' where r.hop < 3) select * from r) where id <> start group by start, id"),
     }
-    return out | portable.oracle_sql() | texts.oracle_sql()
+    return out | portable.oracle_sql() | texts.oracle_sql() | walked.oracle_sql()
 
 
 def entry(spark: SparkSession) -> DataFrame:

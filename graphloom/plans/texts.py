@@ -125,12 +125,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES = {
+    # the first 512 bytes: as many code points as their bytes fit in, and more do no harm behind the last whole one
+    "flt16_generated_header": r"select doc_id, regexp_matches(array_to_string(string_split(h, chr(10))[1:5], chr(10)), '(?i)@generated|code generated|do not edit|auto-?generated') as generated from (select doc_id, list_reduce(list_prepend('', list_filter(list_transform(range(1, 513), lambda n: substr(text, 1, n)), lambda x: strlen(x) <= 512)), lambda a, x: x) as h from {documents})",
     "sc09_unit_keys": "select id, id || '@' || substr(sha256(signature || chr(10) || shape), 1, 12) as key from {decls}",
     "sc14_norm": "select doc_id, trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) as norm from {documents}",
     "sc18_fingerprints": "select pkg, sha256(string_agg(path || '|' || lines || '|' || churn, chr(10) order by path || '|' || lines || '|' || churn)) as fingerprint from {files} group by pkg",
     "sc19_call_sites": "select doc_id, min(i) as line from (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as i from {documents}) where regexp_matches(t, '(^|[^A-Za-z])the($|[^A-Za-z])') group by doc_id",
     "ui02_excerpts": "select doc_id, case when len(t) > 40 then array_to_string(t[1:40], chr(10)) || chr(10) || '… ' || (len(t) - 40) || ' more lines' else array_to_string(t, chr(10)) end as code from (select doc_id, string_split(text, chr(10)) as t from {documents})",
-    "ui03_thread_text": "select dst, string_agg(src || ' · ' || path || ':' || start_line, ' ← ' order by src) as text from (select distinct e.dst, e.src, d.path, d.start_line from {edges} e join {decls} d on e.src = d.id where e.dst in (select id from {decls} where k < 5)) group by dst",
+    "ui03_thread_text": "select dst, string_agg(src || ' · ' || path || ':' || start_line, ' ← ' order by src) as text from (select distinct e.dst, e.src, d.path, d.start_line from {edges} e join {decls} d on e.src = d.id) group by dst",
     "rv09_complexity_points": "select h.id, cast(h.complexity // 2 + greatest(coalesce(h.complexity - b.complexity, 0), 0) * 2 as bigint) as points from {head_decls} h left join {base_decls} b on h.id = b.id where h.kind in ('func', 'method')",
 }
 

@@ -50,15 +50,26 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def move_each(items: DataFrame, moves: DataFrame) -> DataFrame:
+    """Ordered tables (basket, pos, key, …) with one row of each at another place: moves are (basket, key, to), a basket once.
+
+    Places are counted from 1; one beyond the basket is its nearest.
+    """
+    names = items.columns
+    to = moves.select("basket", F.col("key").alias("moved_key"), F.col("to").alias("moved_to"))
+    in_basket = Window.partitionBy("basket")
+    rows = items.join(to, "basket", "left").withColumn("is_moved", F.coalesce(F.col("key") == F.col("moved_key"), F.lit(False)))
+    others = F.sum((~F.col("is_moved")).cast("int")).over(in_basket.orderBy("pos"))  # the place among the rows that stay
+    at = F.least(F.greatest("moved_to", F.lit(1)), F.count(F.lit(1)).over(in_basket))
+    rows = rows.withColumn("place", F.when(F.col("is_moved"), at - 0.5).otherwise(others.cast("double")))
+    return rows.withColumn("pos", F.row_number().over(in_basket.orderBy("place")).cast("bigint")).select(names)
+
+
 def move(basket: DataFrame, key: str, to: int) -> DataFrame:
-    """An ordered table (pos, key) with one row at another place, places counted from 1 and clamped to the table."""
-    rest = Window.orderBy("pos")
-    moved = F.col("key") == key
-    others = basket.where(~moved).withColumn("pos", F.row_number().over(rest))
-    at = F.least(F.greatest(F.lit(to), F.lit(1)), F.count(F.lit(1)).over(Window.partitionBy()))
-    own = basket.withColumn("at", at).where(moved).select((F.col("at") - 0.5).alias("p"), *[c for c in basket.columns if c != "pos"])
-    all_ = others.select(F.col("pos").cast("double").alias("p"), *own.columns[1:]).unionByName(own)
-    return all_.withColumn("pos", F.row_number().over(Window.orderBy("p")).cast("bigint")).select(basket.columns)
+    """One ordered table (pos, key, …) with one row at another place."""
+    items = basket.withColumn("basket", F.lit(0))
+    moves = basket.sparkSession.range(1).select(F.lit(0).alias("basket"), F.lit(key).alias("key"), F.lit(to).alias("to"))
+    return move_each(items, moves).drop("basket")
 
 
 def snapshot_json(spark: SparkSession, path: str) -> DataFrame:

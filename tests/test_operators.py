@@ -156,6 +156,45 @@ def test_walks(spark):
     assert [r.pos for r in walks.replay(steps, g).orderBy("pos").collect()] == [1, 2]
 
 
+def test_layers_on_and_above_cycles(spark):
+    import random
+
+    def plain(imports, packages):
+        layer = {}
+
+        def depth(p, seen):
+            if p in layer:
+                return layer[p]
+            if p not in packages or p in seen:
+                return 0
+            seen.add(p)
+            deepest = 0
+            for q in sorted(d for s, d in imports if s == p):
+                deepest = max(deepest, depth(q, seen) + 1)
+            layer[p] = deepest
+            return deepest
+
+        return {p: depth(p, set()) for p in sorted(packages)}
+
+    r = random.Random(3)
+    for n in (4, 9, 14):
+        packages = [f"p{i:02d}" for i in range(n)]
+        imports = {tuple(r.sample(packages, 2)) for _ in range(n + 4)} | {("p00", "elsewhere")}
+        g = Graph(spark, None)
+        g.given["imports"] = spark.createDataFrame(sorted(imports), "src string, dst string")
+        g.given["packages"] = spark.createDataFrame([(p, p, p) for p in packages], "pkg string, name string, rel string")
+        assert {x.pkg: x.layer for x in walks.layers(g).collect()} == plain(imports, set(packages))
+
+
+def test_path_codec(spark):
+    from graphloom.functions.scalars import join_path, split_path
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("a~b", "%7E%25", ""), ("", "~~", "%")], "a string, b string, c string")
+    got = rows.withColumn("j", join_path(F.col("a"), F.col("b"), F.col("c"))).withColumn("p", split_path(F.col("j"))).collect()
+    assert all(x.p == [x.a, x.b, x.c] for x in got) and got[0].j == "a%7Eb~%257E%2525~"
+
+
 def test_closure_follows_imports_to_the_end(spark):
     g = Graph(spark, None)
     chain = [(f"p{i}", f"p{i + 1}") for i in range(7)] + [("p7", "p5"), ("p0", "p1")]
