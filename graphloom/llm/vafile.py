@@ -11,7 +11,8 @@ of 256 cells of equal width that cover what all but a WIDE share of the vectors
    their exact vectors read. The k-th result is certain then.
 
 What is shuffled for a pair of blocks is a byte a component of the rows and the queries' exact vectors.
-Rows are dealt by a number of their own, so no block grows with a frequent vector or id.
+Of equal vectors only the rows that can be among the k best are in the file, and rows are dealt by a
+number of their own, so nothing grows with a frequent vector or id.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and rows without
 vec_id, take no part; vectors of different lengths are not compared; a query given by several equal
@@ -88,17 +89,34 @@ def candidates(own: np.ndarray, q: np.ndarray, ids: np.ndarray, near: np.ndarray
         yield i + at, j, low[i, j], high[i, j]
 
 
-def approximated(vectors: DataFrame, id: str, vector: str, scale: float) -> DataFrame:
-    """The file: uid, vec_id, d, v (floors of the scaled components) and cells (null outside the cells), reach."""
-    tune(vectors.sparkSession)
+def usable(vectors: DataFrame, id: str, vector: str, scale: float) -> DataFrame:
+    """vec_id, d and v (floors of the scaled components) of the vectors that take part."""
     v = F.col(vector).cast("array<double>")
     floor = lambda y: F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)  # noqa: E731  greater doubles are whole
     whole = vectors.select(F.col(id).cast("bigint").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     whole = whole.where(F.size("v") > 0).where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
-    whole = whole.select("vec_id", F.size("v").alias("d"), F.transform("v", lambda x: floor(x * scale)).alias("v"))
+    return whole.select("vec_id", F.size("v").alias("d"), F.transform("v", lambda x: floor(x * scale)).alias("v"))
+
+
+def reaches(whole: DataFrame) -> dict[int, float]:
+    """How far the cells of each length of vectors reach."""
     greatest = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    # a number for each length of vectors
-    reach = {r.d: r.reach for r in whole.groupBy("d").agg(F.percentile_approx(greatest, 1 - WIDE, 10000).alias("reach")).collect()}
+    return {r.d: r.reach for r in whole.groupBy("d").agg(F.percentile_approx(greatest, 1 - WIDE, 10000).alias("reach")).collect()}
+
+
+def of_use(whole: DataFrame, k: int) -> DataFrame:
+    """Rows that any query may have among its k best: of equal vectors, which score alike, those of the k + 1 least ids, k of each.
+
+    Both limits are applied before rows are shuffled, so a frequent vector is few rows.
+    """
+    again, place = Window.partitionBy("v", "vec_id").orderBy("d"), Window.partitionBy("v").orderBy("vec_id")
+    few = whole.withColumn("again", F.row_number().over(again)).where(F.col("again") <= k).drop("again")
+    return few.withColumn("place", F.dense_rank().over(place)).where(F.col("place") <= k + 1).drop("place")
+
+
+def approximated(rows: DataFrame, reach: dict[int, float]) -> DataFrame:
+    """The file: uid, vec_id, d, v, cells (null for what is outside them) and reach of rows (vec_id, d, v)."""
+    tune(rows.sparkSession)
 
     def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in data:
@@ -110,7 +128,7 @@ def approximated(vectors: DataFrame, id: str, vector: str, scale: float) -> Data
                 packed = [c.tobytes() if ok else None for c, ok in zip(cells(x, reach[d]), inside, strict=True)]
                 yield pa.RecordBatch.from_arrays([mine["vec_id"].combine_chunks(), mine["d"].combine_chunks(), mine["v"].combine_chunks(), pa.array(packed, pa.binary()), pa.array(np.full(len(x), reach[d]))], names=["vec_id", "d", "v", "cells", "reach"])
 
-    file = whole.mapInArrow(run, "vec_id bigint, d int, v array<double>, cells binary, reach double")
+    file = rows.select("vec_id", "d", "v").mapInArrow(run, "vec_id bigint, d int, v array<double>, cells binary, reach double")
     return written(file.select(F.monotonically_increasing_id().alias("uid"), "*"))
 
 
@@ -151,8 +169,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id: str = "vec_id", v
 
     Scores are inner products of floor(scale * x); one beyond 64 bits is given as the nearest that fits.
     """
-    file = approximated(vectors, id, vector, scale)
-    asked = file.where(F.col("vec_id") % every == 0).groupBy("vec_id", "v").agg(F.min("uid").alias("uid"), F.first("d").alias("d"), F.first("reach").alias("reach"))
+    whole = usable(vectors, id, vector, scale)
+    reach = reaches(whole)
+    file = approximated(of_use(whole, k), reach)
+    asked = approximated(whole.where(F.col("vec_id") % every == 0).distinct(), reach)
     pairs = survivors(file, asked, k)
     pairs = pairs.join(asked.select(F.col("uid").alias("quid"), F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "quid").join(file.select("uid", "vec_id", "v"), "uid")
 
