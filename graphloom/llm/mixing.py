@@ -5,8 +5,8 @@ of all rows costs no more than others; only one row per source meets in a task.
 
 Defined cases: a null text has size 0; the null source is a source like others and comes last; a
 source of size 0 has target 0 and rate 0; an empty table mixes to an empty one; rows that repeat
-count and are drawn each alike, as the draw depends on doc_id (a null doc_id draws like the word
-"null"); further columns are kept by `mix` and ignored by `rates`.
+count and are drawn each alike, as the draw depends on doc_id, or on the text where that is null;
+further columns, whatever their names, are kept by `mix` and ignored by `rates`.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import unused
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -53,29 +55,29 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     return per.select("source", "source_size", target.alias("target"))
 
 
-def draw(id: Column, seed: str) -> Column:
-    """A number in [0, 1) that depends on the id and the seed alone: 52 bits of an MD5."""
-    hex13 = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id.cast("string"), F.lit("null")))), 1, 13)
+def draw(id: Column, text: Column, seed: str) -> Column:
+    """A number in [0, 1) that depends on the seed and the id alone, on the text where there is no id: 52 bits of an MD5."""
+    alone = F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit(""))))
+    hex13 = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id.cast("string"), alone))), 1, 13)
     return F.conv(hex13, 16, 10).cast("double") / float(1 << 52)
 
 
 def rates(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target, copies and taken of every document."""
-    sized = docs.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    sized = docs.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), word_count(F.col(text)).alias("size"))
     targets = source_targets(sized).withColumnRenamed("source", "of")
     joined = sized.join(targets, sized["source"].eqNullSafe(targets["of"]))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = (F.floor(rate) + (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("bigint")).cast("bigint")
+    copies = (F.floor(rate) + (draw(F.col("doc_id"), F.col("text"), seed) < rate - F.floor(rate)).cast("bigint")).cast("bigint")
     out = joined.withColumn("copies", copies)
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
     """Each document as often as the mix takes it, with the columns of `docs`."""
-    names = docs.columns
-    sized = docs.withColumn("__size", word_count(F.col(text)))
-    targets = source_targets(sized.select(F.col(source).alias("source"), F.col("__size").alias("size")))
-    targets = targets.select(F.col("source").alias("__of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"))
-    joined = docs.join(targets, docs[source].eqNullSafe(targets["__of"]))
-    copies = (F.floor("__rate") + (draw(F.col(id), seed) < F.col("__rate") - F.floor("__rate")).cast("bigint")).cast("int")
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(names)
+    of, rate, copy = (unused(docs.columns, n) for n in ("of", "rate", "copy"))
+    targets = source_targets(docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
+    targets = targets.select(F.col("source").alias(of), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias(rate))
+    joined = docs.join(targets, docs[source].eqNullSafe(targets[of]))
+    copies = (F.floor(rate) + (draw(F.col(id), F.col(text), seed) < F.col(rate) - F.floor(rate)).cast("bigint")).cast("int")
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).select([F.col(f"`{c}`") for c in docs.columns])

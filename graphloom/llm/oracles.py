@@ -8,14 +8,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = urls.UPPER, urls.LOWER
 
 MIXING = rf"""
-with s as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as size from documents),
+with s as (select doc_id, source, text, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as size from documents),
 p as (select source, cast(sum(size) as bigint) as source_size from s group by source),
 w as (select source, source_size, cast([3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as double) as weight, 2.0::double * source_size as cap from p),
 l as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level,
   row_number() over (order by cap / weight, source nulls last) as place from w),
 f as (select arg_min(level, place) filter (level * weight <= cap) as water from l),
 t as (select source, source_size, case when water is null then cap else least(cap, water * weight) end as target from l, f),
-r as (select s.doc_id, s.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0 end as rate, cast('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), 'null')), 1, 13) as bigint) / 4503599627370496.0::double as u
+r as (select s.doc_id, s.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0 end as rate, cast('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), 'null:' || md5(coalesce(text, '')))), 1, 13) as bigint) / 4503599627370496.0::double as u
   from s join t on s.source is not distinct from t.source),
 c as (select *, cast(floor(rate) as bigint) + cast(u < rate - floor(rate) as bigint) as copies from r)
 select doc_id, size, source_size, target, copies, size * copies as taken from c
