@@ -18,6 +18,8 @@ def components(links: DataFrame) -> DataFrame:
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = checkpointed(e)
     state = None
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import batches, checkpointed, text_buffer, tune
+from graphloom.llm.common import batches, checkpointed, text_buffer, tune, unused
 from graphloom.llm.components import components
 from graphloom.llm.shingles import overlap, shingle_sets
 
@@ -239,7 +239,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     links = checkpointed(pairs.where("sure").select("a", "b").unionByName(_verified(both, percent)))
     labels = components(links)
     rest = checkpointed(_rest(large, labels, whole, percent))
-    joined = components(links.unionByName(rest))
+    if not rest.isEmpty():  # links between components, by their labels
+        at = lambda c: F.coalesce(f"{c}_label", c)
+        for c in ("a", "b"):
+            rest = rest.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left")
+        top = components(rest.select(at("a").alias("a"), at("b").alias("b")))
+        labels = labels.unionByName(top.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
+        labels = labels.join(top.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+    joined = labels
 
     named = classes.select("nid", "sig", "doc_id").join(joined.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     ids = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -250,8 +257,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
 
 
 def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one document of each component, with its own columns. Rows that repeat an id and text count once."""
-    kept = near_duplicates(docs, id, text, size, percent).where("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    own = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = own.join(kept, own[id].eqNullSafe(kept["__id"]) & (own["__own"] == kept["__th"]))
-    return joined.dropDuplicates([id, "__own"]).select(docs.columns)
+    """`docs` with one document of each component, with its own columns. Of rows that repeat an id and text, the one with the least hash of its columns stays."""
+    kid, kth, th, row = (unused(docs.columns, n) for n in ("kept_id", "kept_th", "th", "row"))
+    kept = near_duplicates(docs, id, text, size, percent).where("kept").select(F.col("doc_id").alias(kid), F.col("th").alias(kth)).distinct()
+    own = docs.withColumn(th, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = own.join(kept, own[id].eqNullSafe(kept[kid]) & (own[th] == kept[kth]))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    one = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*plain))
+    return joined.groupBy(F.col(id).alias(kid), F.col(th).alias(kth)).agg(one.alias(row)).select(f"{row}.*")

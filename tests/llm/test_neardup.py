@@ -97,6 +97,32 @@ def test_drop_copies_keeps_columns(spark):
     assert sorted(r.doc_id for r in got.collect()) == [1, 4, 5]
 
 
+def test_drop_copies_is_the_same_each_time(spark):
+    text = " ".join(f"a{i}" for i in range(50))
+    rows = [(i % 3, text if i % 2 else None, f"s{i}", {"k": i}, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, th string, m map<string, int>, row int")
+    one, two = neardup.drop_copies(df.repartition(5)), neardup.drop_copies(df.repartition(3, "th"))
+    assert one.columns == df.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.count() == 4
+
+
+def test_words_that_a_plain_polynomial_confuses(spark):
+    say = lambda n: "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    a = say(4096)
+    b = a.translate(str.maketrans("ab", "ba"))
+    got = run(spark, [(1, " ".join([a] * 3 + ["x"])), (2, " ".join([b] * 3 + ["x"])), (3, a), (4, b), (5, a)], size=4)
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
+def test_long_texts(spark):
+    r = random.Random(2)
+    words = [f"w{r.randrange(10**6)}" for _ in range(200_000)]
+    other = words.copy()
+    for i in range(0, len(other), 500):
+        other[i] = "changed"
+    got = run(spark, [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:100_000]))], size=5)
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (5, 5)]
     got = {(r.node, r.label) for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

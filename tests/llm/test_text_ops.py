@@ -53,6 +53,11 @@ def test_mix_copies_follow_rates_and_reruns_agree(spark):
     once, again = mixing.mix(df).collect(), mixing.mix(df).collect()
     assert sorted(map(str, once)) == sorted(map(str, again)) and mixing.mix(df).columns == df.columns
     want = {r.source: r.target for r in mixing.source_targets(df.select("source", mixing.word_count(F.col("text")).alias("size"))).collect()}
+    odd = spark.createDataFrame([(None, f"w{i} a b c", "s", i) for i in range(3000)] + [(None, "x " * 3000, "t", 0)], DOCS + ", source string, rate int").withColumns({"copy": F.lit("c"), "of": F.lit(1)})
+    mixed = mixing.mix(odd)
+    assert mixed.columns == odd.columns and mixed.where("copy = 'c' and of = 1").count() == mixed.count()
+    target = mixing.source_targets(odd.select("source", mixing.word_count(F.col("text")).alias("size"))).where("source = 's'").first().target
+    assert 4 * mixed.where("source = 's'").count() == pytest.approx(target, rel=0.1) and 1.1 < target / 12000 < 1.9
     for s in ("s0", "s1", "s2"):
         assert 4 * sum(r.source == s for r in once) == pytest.approx(want[s], rel=0.1)
 
@@ -130,6 +135,7 @@ def test_top_k_equals_all_products(spark, scale):
     r = np.random.default_rng(3)
     rows = [(i, [float(x) for x in np.round(r.normal(size=8), 1) * scale]) for i in range(400)] + [(400, None), (401, [1.0, None] * 4), (402, [float("nan")] * 8), (403, []), (None, [1.0] * 8), (450, [1.0, 2.0])]
     rows += [(1000 + i, rows[7][1]) for i in range(30)] + [(50, rows[50][1])]
+    rows += [(50, rows[50][1])] * 20 + [(3000 + i // 7, rows[50][1]) for i in range(60)]
     rows += [(100, rows[77][1]), (2001, [9e4 * scale] * 8)]
     df = spark.createDataFrame([(*x, 1, 2.0) for x in rows], "vec_id bigint, embedding array<double>, uid int, score double")
     got = {}
@@ -146,7 +152,8 @@ def test_few_exact_vectors_are_read(spark, monkeypatch):
     monkeypatch.setattr(vafile, "BLOCK", 512)
     r = np.random.default_rng(8)
     df = spark.createDataFrame([(i, [float(x) for x in v / np.linalg.norm(v)]) for i, v in enumerate(r.normal(size=(4000, 32)))], "vec_id bigint, embedding array<double>")
-    file = vafile.approximated(df, "vec_id", "embedding", 256.0)
+    whole = vafile.usable(df, "vec_id", "embedding", 256.0)
+    file = vafile.approximated(whole, vafile.reaches(whole))
     asked = file.where("vec_id % 50 = 0")
     assert 5 * 80 <= vafile.survivors(file, asked, 5).count() < 0.02 * 80 * 4000
 
