@@ -25,7 +25,7 @@ def importable(pkg: Column, name: Column, module: str = MODULE) -> Column:
 
 
 def rel_of(pkg: Column, module: str = MODULE) -> Column:
-    return F.when(pkg == module, F.lit(module)).otherwise(F.regexp_replace(pkg, f"^{module}/", ""))
+    return F.when(F.startswith(pkg, F.lit(module + "/")), F.substr(pkg, F.lit(len(module) + 2))).otherwise(pkg)
 
 
 def plural(n: Column, word: str) -> Column:

@@ -110,8 +110,8 @@ def package_lines(g: Graph) -> DataFrame:
 def dominant(g: Graph, share: int = DOMINANT_SHARE, least: int = DOMINANT_LINES) -> DataFrame:
     p = package_lines(g).withColumn("all", F.sum("lines").over(Window.partitionBy()))
     p = p.where((F.col("all") >= least) & (F.col("lines") * 100 >= F.col("all") * share))
-    text = F.concat(F.format_string("%s holds %d%% of the module's code, in ", rel_of(F.col("pkg")), F.floor(F.col("lines") * 100 / F.col("all"))), plural(F.col("n_files"), "file"), F.lit("."))
-    return _row(p, F.concat(F.lit("dominant:"), "pkg"), "structure", 2, F.col("pkg"), rel_of(F.col("pkg")), "", 0, "One package holds most of the code", text)
+    text = F.concat(F.format_string("%s holds %d%% of the module's code, in ", rel_of(F.col("pkg"), g.module), F.floor(F.col("lines") * 100 / F.col("all"))), plural(F.col("n_files"), "file"), F.lit("."))
+    return _row(p, F.concat(F.lit("dominant:"), "pkg"), "structure", 2, F.col("pkg"), rel_of(F.col("pkg"), g.module), "", 0, "One package holds most of the code", text)
 
 
 def surface(g: Graph) -> DataFrame:
@@ -122,8 +122,8 @@ def surface(g: Graph) -> DataFrame:
 def wide(g: Graph) -> DataFrame:
     s = surface(g).groupBy("pkg").agg(F.count(F.lit(1)).alias("n"), F.count_if("exported").alias("exp"))
     s = s.join(g.imports.select(F.col("dst").alias("pkg")), "pkg", "left_semi").where((F.col("n") >= WIDE_MIN) & (F.col("exp") * 100 > F.col("n") * WIDE_SHARE))
-    text = F.format_string("%s exports %d of its %d declarations.", rel_of(F.col("pkg")), "exp", "n")
-    return _row(s, F.concat(F.lit("wide:"), "pkg"), "structure", 1, F.col("pkg"), rel_of(F.col("pkg")), "", 0, "Exports most of what it holds", text)
+    text = F.format_string("%s exports %d of its %d declarations.", rel_of(F.col("pkg"), g.module), "exp", "n")
+    return _row(s, F.concat(F.lit("wide:"), "pkg"), "structure", 1, F.col("pkg"), rel_of(F.col("pkg"), g.module), "", 0, "Exports most of what it holds", text)
 
 
 def outside_calls(g: Graph) -> DataFrame:
@@ -134,8 +134,8 @@ def outside_calls(g: Graph) -> DataFrame:
 
 def unstable(g: Graph) -> DataFrame:
     f = smells.unstable_dep(g)
-    text = F.format_string("%s imports %s, which is less stable.", rel_of(F.col("package")), rel_of(F.col("target")))
-    return _row(f, F.concat(F.lit("unstable:"), "package", F.lit(">"), "target"), "structure", 2, F.col("package"), rel_of(F.col("package")), "", 0, "Depends on something that changes more than it does", text)
+    text = F.format_string("%s imports %s, which is less stable.", rel_of(F.col("package"), g.module), rel_of(F.col("target"), g.module))
+    return _row(f, F.concat(F.lit("unstable:"), "package", F.lit(">"), "target"), "structure", 2, F.col("package"), rel_of(F.col("package"), g.module), "", 0, "Depends on something that changes more than it does", text)
 
 
 def params(g: Graph) -> DataFrame:
@@ -144,7 +144,7 @@ def params(g: Graph) -> DataFrame:
     in_pkg = Window.partitionBy("pkg")
     d = d.withColumn("n", F.count(F.lit(1)).over(in_pkg)).withColumn("pos", F.row_number().over(in_pkg.orderBy(F.desc("params"), "id"))).where((F.col("n") < CLUSTER) | (F.col("pos") == 1))
     many = F.col("n") >= CLUSTER
-    text = F.when(many, F.format_string(f"%d functions in %s take more than {smells.MANY_PARAMS} parameters, up to %d in %s.", "n", rel_of(F.col("pkg")), "params", "name")).otherwise(F.format_string("%s takes %d parameters.", "name", "params"))
+    text = F.when(many, F.format_string(f"%d functions in %s take more than {smells.MANY_PARAMS} parameters, up to %d in %s.", "n", rel_of(F.col("pkg"), g.module), "params", "name")).otherwise(F.format_string("%s takes %d parameters.", "name", "params"))
     out = _row(d, F.concat(F.lit("params:"), F.when(many, F.col("pkg")).otherwise(F.col("id"))), "tests", F.when(many, 2).otherwise(1), F.col("id"), F.col("name"), F.col("path"), F.col("start_line"), "", text)
     return out.withColumn("title", F.when(F.col("level") == 2, "The same data passed around by hand").otherwise("Too many parameters"))
 
@@ -158,7 +158,7 @@ def large_file(g: Graph) -> DataFrame:
 
 def untested_package(g: Graph) -> DataFrame:
     f = smells.untested_package(g).withColumnRenamed("package", "pkg").join(package_lines(g), "pkg")
-    return _row(f, F.concat(F.lit("untested-pkg:"), "pkg"), "tests", 1 + (F.col("lines") >= UNTESTED_LINES).cast("int"), F.col("pkg"), rel_of(F.col("pkg")), "", 0, "No tests at all", F.format_string("Nothing tests %s (%d lines).", rel_of(F.col("pkg")), "lines"))
+    return _row(f, F.concat(F.lit("untested-pkg:"), "pkg"), "tests", 1 + (F.col("lines") >= UNTESTED_LINES).cast("int"), F.col("pkg"), rel_of(F.col("pkg"), g.module), "", 0, "No tests at all", F.format_string("Nothing tests %s (%d lines).", rel_of(F.col("pkg"), g.module), "lines"))
 
 
 KINDS = (hotspot, complex_, untested, reach, dominant, wide, unstable, params, large_file, untested_package)

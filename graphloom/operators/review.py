@@ -77,7 +77,7 @@ def units(base: Graph, head: Graph, old_lines: DataFrame, new_lines: DataFrame)
     same = was & here & (F.col("o_shape") == F.col("n_shape"))
     change = F.when(~was, "added").when(~here, "removed").when(same & (F.col("o_path") != F.col("n_path")), "moved").otherwise("modified")
     resigned = was & here & (F.col("o_signature") != F.col("n_signature"))
-    public = importable(cur("pkg"), cur("pkg_name"))
+    public = importable(cur("pkg"), cur("pkg_name"), head.module)
     lane = F.when(same, NOISE).when(cur("test"), TESTS).when(cur("exported") & public & ((change != "modified") | resigned), CONTRACT).when(cur("data"), OTHER).otherwise(LOGIC)
     prod, tests = F.when(here, F.col("n_prod")).otherwise(F.col("o_prod")), F.when(here, F.col("n_tests")).otherwise(F.col("o_tests"))
     cx, delta = F.col("n_complexity"), F.col("n_complexity") - F.col("o_complexity")

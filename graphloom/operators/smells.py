@@ -139,14 +139,14 @@ def _func() -> Column:
 
 
 @cache
-def decl_rules() -> dict[str, Rule]:
+def decl_rules(module: str) -> dict[str, Rule]:
     """Columns need a session, so these are made when first asked for."""
-    main, public = F.col("pkg_name") == "main", importable(F.col("pkg"), F.col("pkg_name"))
+    main, public = F.col("pkg_name") == "main", importable(F.col("pkg"), F.col("pkg_name"), module)
     alive = (F.col("kind") == "method") | ((F.col("kind") == "func") & ((F.col("name") == "init") | ((F.col("name") == "main") & main))) | (F.col("exported") & ~main)
     unused = F.col("exported") & (F.col("kind") != "method") & ~main & ~public & F.col("used").isNull()
     entry = (F.col("name") == "init") | (main & (F.col("name") == "main"))
     fixed = _func() & (F.col("fixed_param") != "") & ~F.col("escapes") & (F.col("calls") >= FIXED_CALLS) & ~(F.col("exported") & public)
-    envy = F.format_string("%d refs to %s, %d to own package", "envy_n", rel_of(F.col("envy_of")), "envy_own")
+    envy = F.format_string("%d refs to %s, %d to own package", "envy_n", rel_of(F.col("envy_of"), module), "envy_own")
     return {
         "long_func": _tiered("long-func", "lines", LONG_FUNC, "%d lines"),
         "complex_func": _tiered("complex-func", "complexity", COMPLEX_FUNC, "complexity %d"),
@@ -168,7 +168,7 @@ OTHERS = {"large_file": large_file, "unstable_dep": unstable_dep, "untested_pack
 
 def union(g: Graph, rules: Sequence[str] = RULES) -> DataFrame:
     """Findings of the named rules."""
-    known = decl_rules()
+    known = decl_rules(g.module)
     parts = [OTHERS[r](g) for r in rules if r in OTHERS]
     if own := [known[r] for r in rules if r in known]:
         parts.append(judged(g, own))

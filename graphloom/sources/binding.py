@@ -95,9 +95,10 @@ class Graph:
     """The tables of a snapshot as DataFrames, each planned when first asked for."""
 
     spark: SparkSession
-    raw: DataFrame
+    raw: DataFrame | None
     sources: dict[str, DataFrame] = field(default_factory=dict)
     given: dict[str, DataFrame] = field(default_factory=dict)
+    module: str = MODULE
 
     def sql(self, text: str, **more: DataFrame) -> DataFrame:
         known = {**{n: getattr(self, n) for n in TABLES if "{" + n + "}" in text}, **{n: d for n, d in self.sources.items() if "{" + n + "}" in text}}

@@ -14,17 +14,27 @@ SCHEMA = "diff_id string, old_path string, new_path string, status string, binar
 HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 
+def unquoted(path: str) -> str:
+    """A path as git quotes it, with its escapes read: octal bytes of UTF-8, and those of C."""
+    known = {"n": 10, "t": 9, "r": 13, "a": 7, "b": 8, "f": 12, "v": 11, '"': 34, "\\": 92}
+    one = lambda m: bytes([int(m[1], 8) if m[1][0].isdigit() else known.get(m[1], ord(m[1]))]).decode("latin1")
+    return re.sub(r"\\([0-7]{3}|.)", one, path.encode().decode("latin1")).encode("latin1").decode(errors="replace")
+
+
+_HEAD = re.compile(r'diff --git (?:"a/((?:\\.|[^"\\])*)"|a/(.*?)) (?:"b/((?:\\.|[^"\\])*)"|b/(.*?))\n')
+
+
 def parse(text: str) -> Iterator[tuple[str, str, str, bool, list[dict[str, int]]]]:
     """(old path, new path, status, binary, hunks) of each file of a diff as git prints it; a missing side's path is empty."""
     for part in re.split(r"(?m)^(?=diff --git )", text):
         if not part.startswith("diff --git "):
             continue
-        head = re.match(r"diff --git (?:\"?a/)(.*?)\"? \"?b/(.*?)\"?\n", part)
-        old, new = (head.group(1), head.group(2)) if head else ("", "")
+        head = _HEAD.match(part)
+        old, new = (unquoted(head[1]) if head[1] is not None else head[2], unquoted(head[3]) if head[3] is not None else head[4]) if head else ("", "")
         status, binary, hunks = "modified", False, []
         for line in part.split("\n")[1:]:
-            if line.startswith("@@"):
-                a, b, c, d = HUNK.match(line).groups()
+            if (found := HUNK.match(line)) and not line.startswith("@@@"):
+                a, b, c, d = found.groups()
                 hunks.append({"old_start": int(a), "old_lines": int(b or 1), "new_start": int(c), "new_lines": int(d or 1)})
             elif hunks:
                 continue
@@ -33,14 +43,18 @@ def parse(text: str) -> Iterator[tuple[str, str, str, bool, list[dict[str, int]]
             elif line.startswith("deleted file"):
                 status, new = "deleted", ""
             elif line.startswith("rename from "):
-                status, old = "renamed", line[12:]
+                status, old = "renamed", _path(line[12:])
             elif line.startswith("rename to "):
-                new = line[10:]
+                new = _path(line[10:])
             elif line.startswith(("Binary files", "GIT binary patch")):
                 binary = True
         yield old, new, status, binary, hunks
 
 
+def _path(said: str) -> str:
+    return unquoted(said[1:-1]) if said.startswith('"') else said
+
+
 def file_diffs(diffs: DataFrame) -> DataFrame:
     """Files of rows (diff_id, text)."""
 

@@ -181,4 +181,4 @@ def read_tree(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFram
     """path (below the root) and text of every file of a pattern under a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     at = F.instr("path", root.rstrip("/") + "/") + len(root.rstrip("/")) + 1
-    return files.select(F.substr("path", at).alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select(F.substr("path", at).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))

@@ -19,14 +19,14 @@ from pyspark.sql.types import StructType
 
 # What is watched, and folders that are not.
 EXTENSIONS = (".go", ".jl", ".ts", ".tsx", ".js", ".py", ".rs")
-PROJECT_FILES = ("go.mod", "go.sum", "Project.toml", "Manifest.toml", "package.json", "tsconfig.json", "pyproject.toml", "setup.py", "Cargo.toml")
+PROJECT_FILES = ("go.mod", "go.sum", "Project.toml", "Manifest.toml", "package.json", "tsconfig.json", "pyproject.toml", "setup.py", "Cargo.toml", "Cargo.lock")
 SKIPPED = ("vendor", "node_modules", "testdata")
 
 
 def watched(root: str) -> Iterator[tuple[str, int, int]]:
     """(path, size, modification time in ns) of watched files, by path."""
     for folder, dirs, files in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if d not in SKIPPED and d[0] not in "._")
+        dirs[:] = sorted(d for d in dirs if d not in SKIPPED and d[0] != ".")
         for name in sorted(files):
             if name.endswith(EXTENSIONS) or name in PROJECT_FILES:
                 s = os.stat(os.path.join(folder, name))
@@ -96,9 +96,10 @@ def watch(spark: SparkSession, root: str, load: Callable[[str], DataFrame], comm
     def batch(changes: DataFrame, _: int) -> None:
         if not changes.take(1):
             return
-        began = epochs.bump(root)
+        began, seen = epochs.bump(root), fingerprint(root)
         result = load(root)
-        if epochs.current(root) == began:
+        # a save during the load makes another change, whose batch comes next
+        if epochs.current(root) == began and fingerprint(root) == seen:
             commit(root, result)
 
     stream = spark.readStream.format("fingerprint").option("root", root).load()
