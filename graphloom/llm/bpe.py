@@ -1,9 +1,11 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Null texts encode like empty ones: no ids, and no bytes when decoded. Row order, repeated rows and
-further columns play no part; `encode` replaces columns of the names that it adds. Long texts are
+further columns play no part. Where there is a column of a name that is added, it stays, and the new one
+has underscores behind its name. Long texts are
 cut where the pre-splitting pattern starts a new match whatever stands around, so that a worker
-never holds the pieces of a whole long text.
+doesn't hold the pieces of a whole long text; what stays whole is a run of letters, of digits or of marks,
+which the pattern takes as one match (or a few) itself.
 """
 
 from __future__ import annotations
@@ -18,13 +20,18 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from graphloom.llm.common import batches, tune
+from graphloom.llm.common import batches, tune, unused
 
 #: Characters after which a long text is cut at the next safe boundary.
 PIECE = 1 << 16
-#: A space between ASCII letters: the pattern's match before it ends there, and the next one starts with it.
-SAFE = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+#: Fixed value: the pre-splitting pattern whose matches are known to end where SAFE says.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Places where that pattern's match before ends and the next one starts, whatever stands around: white space after
+#: something else, a letter before a digit or mark, a digit before a letter or mark. No match goes from one to the
+#: other there, and no look-ahead from before reaches beyond.
+SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r])|(?<=[A-Za-z\u4e00-\u9fff])(?=[0-9!-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])|(?<=[0-9])(?=[A-Za-z!-/:-@\[-`{-~])")
 _encodings: dict[bytes, tiktoken.Encoding] = {}
 
 
@@ -37,10 +44,10 @@ def encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
     return _encodings[key]
 
 
-def pieces(text: str, size: int = PIECE) -> Iterator[str]:
-    """The text in parts of about `size` characters that encode independently."""
+def pieces(text: str, size: int = PIECE, pattern: str = SPLIT) -> Iterator[str]:
+    """The text in parts of about `size` characters that encode independently; whole under a pattern other than SPLIT."""
     at = 0
-    while len(text) - at > size:
+    while pattern == SPLIT and len(text) - at > size:
         cut = SAFE.search(text, at + size)
         if not cut:
             break
@@ -54,7 +61,7 @@ def encode_text(enc: tiktoken.Encoding, text: str | None, size: int = PIECE) ->
         return np.zeros(0, np.uint32)
     if len(text) <= size:
         return np.array(enc.encode_ordinary(text), np.uint32)
-    return np.concatenate([np.array(enc.encode_ordinary(p), np.uint32) for p in pieces(text, size)])
+    return np.concatenate([np.array(enc.encode_ordinary(p), np.uint32) for p in pieces(text, size, enc._pat_str)])
 
 
 def rank_file(path: str) -> bytes:
@@ -65,7 +72,7 @@ def rank_file(path: str) -> bytes:
 def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
     """`docs` with token_ids array<int> and n_tokens long."""
     tune(docs.sparkSession)
-    docs = docs.select([c for c in docs.columns if c not in ("token_ids", "n_tokens")])
+    ids_, n_ = unused(docs.columns, "token_ids"), unused(docs.columns, "n_tokens")
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # about 1 MB, the size of the vocabulary
 
     def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,27 +83,25 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> D
             flat = np.concatenate(ids).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(np.diff(offsets).astype(np.int64))],
-                names=[*batch.schema.names, "token_ids", "n_tokens"],
+                names=[*batch.schema.names, ids_, n_],
             )
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "token_ids array<int>", "n_tokens bigint"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids_, ArrayType(IntegerType())), StructField(n_, LongType())]))
 
 
 def decode(encoded: DataFrame, ranks: bytes, pattern: str, ids: str = "token_ids") -> DataFrame:
     """`encoded` with the raw bytes of its ids (decoded binary); null ids decode to no bytes."""
     tune(encoded.sparkSession)
-    encoded = encoded.select([c for c in encoded.columns if c != "decoded"])
+    decoded = unused(encoded.columns, "decoded")
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def run(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(shared.value, pattern)
         for batch in batches(data):
             raw = [enc.decode_bytes(x.as_py() or []) for x in batch.column(ids)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, decoded])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields), "decoded binary"])
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(decoded, BinaryType())]))
 
 
 def digests(docs: DataFrame, ranks: bytes, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:

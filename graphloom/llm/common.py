@@ -42,6 +42,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not ctx.getCheckpointDir():
             ctx.setCheckpointDir(named)
     elif not ctx.getCheckpointDir():
+        if not ctx.master.startswith("local") or ctx.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
         ctx.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-ckpt-"))
     return ctx.getCheckpointDir()
 

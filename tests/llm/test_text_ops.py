@@ -322,7 +322,7 @@ def test_bpe_equals_the_library_and_round_trips(spark):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     df = spark.createDataFrame([(1, "a b", 7), (2, None, 8)], DOCS + ", n_tokens int")
     back = {r.doc_id: r for r in bpe.decode(bpe.encode(df, ranks, pattern), ranks, pattern).collect()}
-    assert bytes(back[1].decoded) == b"a b" and back[1].n_tokens == 2 and bytes(back[2].decoded) == b""
+    assert bytes(back[1].decoded) == b"a b" and back[1].n_tokens == 7 and back[1].n_tokens_ == 2 and bytes(back[2].decoded) == b""
     assert bpe.digests(spark.createDataFrame([], DOCS), ranks, pattern).collect() == []
 
 
@@ -332,6 +332,23 @@ def test_bpe_cuts_are_safe(size):
     for t in ("it's a  test of'll the cut 's at 12 places, é word x y\x1c z a b c d e f " * 30, "nospaces" * 50):
         assert "".join(bpe.pieces(t, size)) == t
         assert bpe.encode_text(enc, t, size).tolist() == enc.encode_ordinary(t)
+        assert len(list(bpe.pieces(t, size))) > 3 or " " not in t
+
+
+def test_bpe_cuts_of_any_text_are_safe():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    enc = bpe.encoding(bpe.rank_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    assert public_tokenizers.PATTERN == bpe.SPLIT
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.text("ab're'llsS 1\u0662\n\t\r\u3000\x1c\x85\xa0\u4e2d\u6587\uff0c\u3002.!-_\u00e9\u0301\U0001f600", max_size=60), st.integers(1, 6))
+    def check(t, size):
+        assert "".join(bpe.pieces(t, size)) == t and bpe.encode_text(enc, t, size).tolist() == enc.encode_ordinary(t)
+
+    check()
+    assert max(map(len, bpe.pieces("\u4e2d\u6587\uff0c" * 5000 + "12ab" * 5000 + "a,b" * 5000, 100))) < 200
 
 
 # toxicity
