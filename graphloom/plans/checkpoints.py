@@ -13,7 +13,7 @@ def folder(spark: SparkSession) -> str:
     ctx = spark.sparkContext
     if not ctx.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not ctx.master.startswith("local"):
+        if not named and (not ctx.master.startswith("local") or ctx.master.startswith("local-cluster")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
         ctx.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
     return ctx.getCheckpointDir()
