@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; what it returns is
 written as Parquet and read again. All but the last return the columns of documents.
+
+Defined cases: an empty table goes through all stages. A null text is never toxic, loses no passage, is like no
+other, counts as no words, and has no tokens; an empty one likewise. Rows that repeat are judged alike by
+toxicity, are one document to line dedup, and of those that repeat an id and text near-duplicates keep one. A
+document without an id gives way to one that has one; it is drawn by its text. Ties go to the lesser id.
+Further columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,7 +58,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("near_duplicates", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
 
-#: The first and third stages can't be told in SQL; tests hold the stages against brute-force versions.
+#: Toxicity and line dedup can't be told in SQL; tests/llm/test_brute.py holds each stage against a plain version of its rule.
 ORACLE_SQL = None
 
 

@@ -81,4 +81,49 @@ def snapshot_json(spark: SparkSession, path: str) -> DataFrame:
 def repo_id(name: str, key: str):
     """A slug and six hexadecimal digits of the key's hash, as a column expression of literals."""
     slug = F.trim(F.regexp_replace(F.lower(F.lit(name)), "[^a-z0-9]+", "-"), F.lit("-"))
-    return F.concat(slug, F.lit("-"), F.substring(F.sha2(F.lit(key), 256), 1, 6))
+    return F.concat(F.when(slug == "", F.lit("repo")).otherwise(slug), F.lit("-"), F.substring(F.sha2(F.lit(key), 256), 1, 6))
+
+
+def julia_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """decls, edges, files and imports of what a Julia extractor prints: one JSON value for each project, which is its module.
+
+    A reference is a declaration's name, or one behind a module's (`Mod.name`); it is linked to the same module's first,
+    else to an imported one's; a name of several methods links to the first.
+    """
+    schema = (
+        "Module string, Aliases map<string,string>, Modules array<struct<Path:string,Exports:array<string>,Imports:array<string>,Errors:array<string>>>, Files array<struct<Path:string,Module:string,Test:boolean,Lines:bigint>>, "
+        "Decls array<struct<Name:string,Kind:string,Module:string,File:string,Test:boolean,Lines:bigint,Start:bigint,End:bigint,Params:bigint,Complexity:bigint,Nesting:bigint,Sig:string,Args:string,Shape:string,Refs:array<string>>>"
+    )
+    whole = spark.read.schema(schema).option("multiLine", "true").json(path)
+    modules = whole.select(F.explode("Modules").alias("m")).select("m.*")
+    files = whole.select(F.explode("Files").alias("f")).select("f.*")
+    owners = files.select(F.col("Module").alias("owner")).distinct()
+    d = whole.select(F.posexplode("Decls").alias("ord", "d")).select("ord", "d.*")
+    # a submodule of another module's file stays in that module's package, its names qualified
+    up = F.transform(F.sequence(F.lit(1), F.size(F.split("Module", r"\."))), lambda n: F.array_join(F.slice(F.split("Module", r"\."), 1, n), "."))
+    near = d.select("ord", F.explode(up).alias("owner")).join(owners, "owner").groupBy("ord").agg(F.max_by("owner", F.length("owner")).alias("pkg"))
+    d = d.join(near, "ord", "left").withColumn("pkg", F.coalesce("pkg", "Module"))
+    name = F.when(F.col("Module") == F.col("pkg"), F.col("Name")).otherwise(F.concat(F.substr("Module", F.length("pkg") + 2), F.lit("."), F.col("Name")))
+    again = F.row_number().over(Window.partitionBy("pkg", "qualified").orderBy("File", "Start", "ord"))
+    d = d.withColumn("qualified", name).withColumn("n", again)
+    exports = modules.select(F.col("Path").alias("Module"), F.explode("Exports").alias("Name")).distinct().withColumn("exported", F.lit(True))
+    d = d.join(exports, ["Module", "Name"], "left").withColumn("id", F.concat("pkg", F.lit("."), "qualified", F.when(F.col("n") > 1, F.concat(F.lit("#"), "n")).otherwise("")))
+    decls = d.select(
+        "id", F.col("qualified").alias("name"), F.col("Kind").alias("kind"), "pkg", F.col("File").alias("path"), F.col("Test").alias("test"), F.coalesce("exported", F.lit(False)).alias("exported"), F.col("Start").alias("start_line"), F.col("End").alias("end_line"),
+        F.col("Lines").alias("lines"), F.col("Complexity").alias("complexity"), F.col("Nesting").alias("nesting"), F.col("Params").alias("params"), F.col("Sig").alias("signature"), F.col("Shape").alias("shape"), F.col("ord").cast("bigint").alias("ord"),
+    )
+    imports = modules.select(F.col("Path").alias("src"), F.explode("Imports").alias("dst")).distinct().join(owners.withColumnRenamed("owner", "dst"), "dst").where("src <> dst").select("src", "dst")
+    refs = d.select(F.col("id").alias("src"), "pkg", F.explode("Refs").alias("ref")).withColumn("short", F.element_at(F.split("ref", r"\."), -1))
+    target = d.where("n = 1").select(F.col("id").alias("dst"), F.col("pkg").alias("to"), F.col("Name").alias("short"))
+    seen = imports.select(F.col("src").alias("pkg"), F.col("dst").alias("to")).unionByName(owners.select(F.col("owner").alias("pkg"), F.col("owner").alias("to")))
+    hits = refs.join(target, "short").join(seen, ["pkg", "to"]).where("src <> dst")
+    best = Window.partitionBy("src", "ref").orderBy((F.col("pkg") != F.col("to")).cast("int"), "to", "dst")
+    edges = hits.withColumn("r", F.row_number().over(best)).where("r = 1").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).select("src", "dst", F.lit("caller").alias("kind"), "n")
+    return decls, edges, files.select(F.col("Module").alias("pkg"), F.col("Path").alias("path"), F.col("Test").alias("test"), F.col("Lines").alias("lines")), imports
+
+
+def pull_requests(spark: SparkSession, path: str) -> DataFrame:
+    """Pull requests as `gh pr list --json` prints them, under the names that pages use."""
+    schema = "number bigint, title string, author struct<login:string>, headRefName string, baseRefName string, headRefOid string, baseRefOid string, isDraft boolean, updatedAt timestamp, url string, additions bigint, deletions bigint"
+    p = spark.read.schema(schema).option("multiLine", "true").json(path)
+    return p.select("number", "title", F.col("author.login").alias("author"), F.col("headRefName").alias("head"), F.col("baseRefName").alias("base"), F.col("headRefOid").alias("head_sha"), F.col("baseRefOid").alias("base_sha"), F.col("isDraft").alias("draft"), F.col("updatedAt").alias("updated"), "url", F.col("additions").alias("added"), F.col("deletions").alias("deleted"))
