@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import graphdiff, prognoses, review, smells
+from graphloom.operators import build, graphdiff, prognoses, smells
 from graphloom.plans.checkpoints import stored
 from graphloom.plans.engine import Engine
 from graphloom.sources import diffs, frontends, git, store
@@ -96,9 +96,10 @@ class Project:
             nothing = Snapshot(other, smells.union(other), "")
             b, h = b or nothing, h or nothing
         files = stored(self._below(git.diff(self.spark, self.repo, base, head), root))
-        old, new = (review.touched_lines(s.graph.decls, diffs.hunks(files, side)) for s, side in ((b, "old"), (h, "new")))
+        paths = {s: sorted({r[0] for r in files.select(f"{s}_path").collect()} - {""}) for s in ("old", "new")}  # of a diff that was read on the driver
+        texts = [git.texts(self.spark, self.repo, rev, paths[s], root) for s, rev in (("old", base), ("new", head))]
         changes = graphdiff.between(b.graph, h.graph) | {"findings_delta": smells.delta(b.findings, h.findings)}
-        return Comparison(b, h, files, changes, review.units(b.graph, h.graph, old, new))
+        return Comparison(b, h, files, changes, build.build(b.graph, h.graph, files, *texts, h.graph.lang in ("go", "")))
 
     def review(self, base: str = "", root: str = ".") -> Comparison:
         """The working tree against where it left the default branch, or a base."""
@@ -127,16 +128,17 @@ class Project:
         made = self.produce(rev, root)
         if self.store:
             for name, table in [*((n, getattr(made.graph, n)) for n in TABLES), ("findings", made.findings)]:
-                store.save(table.withColumn("module", F.lit(made.graph.module)), f"{self.store}/{name}", self.repo, root, rev or "worktree", made.basis, 0)
+                store.save(table.withColumns({"module": F.lit(made.graph.module), "lang": F.lit(made.graph.lang)}), f"{self.store}/{name}", self.repo, root, rev or "worktree", made.basis, 0)
         return made
 
     def _restored(self, rev: str, root: str, basis: str) -> Snapshot | None:
         tables = {n: store.load(self.spark, f"{self.store}/{n}", self.repo, root, rev or "worktree", basis) for n in (*TABLES, "findings")}
         if tables["decls"] is None:
             return None
-        g = Graph(self.spark, None, module=tables["decls"].first().module)
+        first = tables["decls"].first()
+        g = Graph(self.spark, None, module=first.module, lang=first.lang)
         for n in TABLES:
             # a table without rows isn't stored
-            g.given[n] = tables[n].drop("module") if tables[n] is not None else self.spark.createDataFrame([], frontends.SCHEMAS[n])
-        found = tables["findings"].drop("module") if tables["findings"] is not None else smells.union(g)
+            g.given[n] = tables[n].drop("module", "lang") if tables[n] is not None else self.spark.createDataFrame([], frontends.SCHEMAS[n])
+        found = tables["findings"].drop("module", "lang") if tables["findings"] is not None else smells.union(g)
         return Snapshot(g, found, basis, True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graphdiff, prognoses, review, smells, walks
 from graphloom.plans import oracle, portable, texts, walked
-from graphloom.sources.binding import Graph, bound, versions
+from graphloom.sources.binding import Graph, both_kept, bound, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,7 +32,7 @@ def hunks(g: Graph, removed: int) -> DataFrame:
 
 
 def _units(base: Graph, head: Graph) -> DataFrame:
-    base, head = base.kept(), head.kept()
+    base, head = both_kept(base, head, "decls", "edges")
     return review.units(base, head, review.touched_lines(base.decls, hunks(base, 19)), review.touched_lines(head.decls, hunks(head, 17)))
 
 
@@ -46,7 +46,7 @@ def queries() -> dict[str, Query]:
     out |= {SMELL_IDS[r]: _one(lambda g, r=r: smells.union(g, (r,))) for r in smells.RULES}
     out |= {PROGNOSIS_IDS[k.__name__.rstrip("_")]: _one(k) for k in prognoses.KINDS}
     out |= {DIFF_IDS[n]: _two(getattr(graphdiff, n)) for n in DIFF_IDS if n != "findings_delta"}
-    out |= {DIFF_IDS["findings_delta"]: _two(lambda b, h: graphdiff.findings_delta(b.kept(), h.kept()))}
+    out |= {DIFF_IDS["findings_delta"]: _two(lambda b, h: graphdiff.findings_delta(*both_kept(b, h)))}
     out |= {
         "pg12_heats": _one(prognoses.heats),
         "snk09_cli_lines": _all(lambda g: prognoses.lines(prognoses.union(g))),

@@ -7,6 +7,7 @@ Braces hold the names of tables; `Graph` fills them with DataFrames and `ctes` w
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -99,6 +100,7 @@ class Graph:
     sources: dict[str, DataFrame] = field(default_factory=dict)
     given: dict[str, DataFrame] = field(default_factory=dict)
     module: str = MODULE
+    lang: str = ""
 
     def sql(self, text: str, **more: DataFrame) -> DataFrame:
         known = {**{n: getattr(self, n) for n in TABLES if "{" + n + "}" in text}, **{n: d for n, d in self.sources.items() if "{" + n + "}" in text}}
@@ -106,12 +108,19 @@ class Graph:
             known["raw"] = self.raw
         return self.spark.sql(text, **known, **more)
 
-    def kept(self) -> Graph:
-        """The same graph with its declarations and edges stored: for plans that read them many times."""
-        for name in ("decls", "edges"):
+    def kept(self, *names: str) -> Graph:
+        """The same graph with its tables (or some of them) stored, those that need no other at once: for plans that read them many times."""
+
+        def keep(name: str) -> None:
             if name not in self.given:
                 self.given[name] = stored(self._table(name))
                 self.__dict__.pop(name, None)
+
+        wanted = names or ("decls", "edges", "files", "imports", "refs")
+        for name in wanted[:2]:
+            keep(name)
+        with ThreadPoolExecutor(3) as pool:
+            list(pool.map(keep, wanted[2:]))
         return self
 
     def _table(self, name: str) -> DataFrame:
@@ -125,6 +134,12 @@ class Graph:
     refs = cached_property(lambda self: self._table("refs"))
 
 
+def both_kept(base: Graph, head: Graph, *names: str) -> tuple[Graph, Graph]:
+    """Two graphs with their tables stored at the same time."""
+    with ThreadPoolExecutor(2) as pool:
+        return tuple(pool.map(lambda g: g.kept(*names), (base, head)))
+
+
 def sources_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in SOURCES}
 

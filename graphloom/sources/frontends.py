@@ -137,7 +137,7 @@ def snapshot(spark: SparkSession, module: str, lang: str, texts: DataFrame, decl
     """A graph of linked declarations, stored; files without a declaration are files still."""
     kinds = {"calls": "bigint", "params": "bigint"}
     d = decls.withColumns({"k": F.col("ord"), "b": F.lit(0)})
-    g = Graph(spark, None, module=module)
+    g = Graph(spark, None, module=module, lang=lang)
     g.given["decls"] = stored(d.select(*(F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in COLUMNS.split(", "))))
     g.given["edges"] = stored(edges.select("src", "dst", "kind", "n"))
     g.given["imports"] = stored(imports.select("src", "dst").distinct())
@@ -161,7 +161,7 @@ SCHEMAS = {"edges": "src string, dst string, kind string, n bigint", "imports":
 
 def empty(other: Graph) -> Graph:
     """A snapshot without declarations: how a side of a comparison reads that lacks a root."""
-    g = Graph(other.spark, None, module=other.module)
+    g = Graph(other.spark, None, module=other.module, lang=other.lang)
     for n in ("decls", "edges", "files", "packages", "imports", "refs"):
         g.given[n] = getattr(other, n).limit(0)
     return g

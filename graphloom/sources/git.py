@@ -99,6 +99,14 @@ def tree(spark: SparkSession, repo: str, rev: str = WORKTREE, below: str = "") -
     return spark.createDataFrame(rows, "path string, content binary")
 
 
+def texts(spark: SparkSession, repo: str, rev: str, paths: list[str], below: str = "") -> DataFrame:
+    """path (below a folder) and text of some files of a revision; those that aren't there, or aren't text, have none."""
+    lead = f"{below}/" if below not in ("", ".") else ""
+    there = set(files(repo, rev)) if rev else None
+    rows = [(p[len(lead) :], data.decode(errors="replace").removesuffix("\n")) for p, data in _blobs(repo, rev, [lead + p for p in paths if there is None or lead + p in there]) if b"\0" not in data[:SNIFFED]]
+    return spark.createDataFrame(rows, "path string, text string")
+
+
 def untracked(repo: str) -> Iterator[tuple[str, str, str, bool, list[dict[str, int]]]]:
     """Files that git neither has nor ignores, as added; links have no hunks, and neither have binary or empty files."""
     for p in run(repo, "ls-files", "--others", "--exclude-standard", "-z").decode(errors="surrogateescape").split("\0"):

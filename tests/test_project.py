@@ -160,6 +160,8 @@ def test_compare_and_store(spark, repo, tmp_path):
     assert {r.id for r in w.changes["added"].collect()} == {"m/store.Extra"} and {r.new_path for r in w.files.where("status = 'added'").collect()} == {"store/extra.go"}
     assert ("introduced", "many-params") in {(r.change, r.rule) for r in w.changes["findings_delta"].collect()}
     assert {r.id: r.lane for r in w.units.collect()}["m/store.Extra"] == 0
+    loose = [r for r in w.units.collect() if r.kind == ""]
+    assert loose == []
     n = p.compare(first, second, "new")
     assert [r.id for r in n.changes["added"].collect()] == ["n.N"] and n.base.graph.decls.count() == 0
     p.close()
@@ -174,6 +176,39 @@ def test_compare_and_store(spark, repo, tmp_path):
     again.close()
 
 
+def test_units_of_files_lines_and_moves(spark, repo):
+    first = git.head(str(repo))
+    moved = "func made(" + GO["store/store.go"].split("func made(")[1].split("\n\nfunc unused")[0]
+    edited = moved.replace("made(", "built(").replace("return &Store{Name: x}", "y := x\n\treturn &Store{Name: y}")
+    second = commit(repo, {
+        "store/store.go": GO["store/store.go"].replace(moved + "\n", "").replace("package store\n", 'package store\n\nimport "os"\n') + "\nfunc help2() { os.Exit(1) }\n",
+        "other/made.go": "package other\n\n" + moved + "\n", "other/gen.go": "// Code generated by x. DO NOT EDIT.\npackage other\n\nfunc G() {}\n",
+        "go.mod": GO["go.mod"] + "// x\n", "go.sum": "x\n", "testdata/in.txt": "a\n", "pic.bin": "a\0b", "sub/x.go": "package x\n\n// more\nfunc X() {}\n", "sub/y_test.go": "package x\n", "README.md": "text\n" * 50, "sub/go.mod": "module other2\n",
+    }, "second", "2026-01-05T10:00:00Z")
+    p = Project(spark, str(repo))
+    u = {r.id: r for r in p.compare(first, second).units.collect()}
+    p.close()
+    assert (u["m/other.made"].change, u["m/other.made"].lane, u["m/other.made"].risk, u["m/other.made"].reasons) == ("moved", 4, 0, "moved from store/store.go") and "m/store.made" not in u
+    assert (u["store/store.go#file"].lane, u["store/store.go#file"].reasons, u["store/store.go#file"].added, u["store/store.go#file"].deleted) == (4, "imports and file-level lines", 1, 0)
+    lanes = {"other/gen.go": (4, "generated"), "go.mod": (0, "dependencies"), "go.sum": (4, "checksums"), "testdata/in.txt": (2, "test fixture"), "sub/x.go": (4, "comments or layout only"), "sub/y_test.go": (2, "in another module"), "README.md": (3, ""), "sub/go.mod": (3, "dependencies; in another module")}
+    assert {k: (u[k].lane, u[k].reasons) for k in lanes} == lanes
+    assert (u["pic.bin"].reasons, u["pic.bin"].change, u["README.md"].risk, u["README.md"].added) == ("binary", "added", 10, 50)
+    third = commit(repo, {"other/made.go": "package other\n", "store/built.go": "package store\n\n" + edited.replace("built(", "made(") + "\n"}, "third", "2026-01-06T10:00:00Z")
+    q = Project(spark, str(repo))
+    v = {r.id: r for r in q.compare(second, third).units.collect()}
+    q.close()
+    assert v["m/store.made"].change == "modified" and v["m/store.made"].reasons.startswith("moved from other/made.go") and (v["m/store.made"].added, v["m/store.made"].deleted) == (2, 1) and "m/other.made" not in v
+
+
+def test_top_level_statements(spark, repo):
+    first = git.head(str(repo))
+    second = commit(repo, {"tools/lib.py": "import os\nprint(1)\n" + GO["tools/lib.py"], "tools/more.py": "# only\nfrom lib import (\n    helper,\n)\n\n\ndef more():\n    return 1\n"}, "second", "2026-01-05T10:00:00Z")
+    p = Project(spark, str(repo))
+    u = {r.id: r for r in p.compare(first, second, "tools").units.collect()}
+    p.close()
+    assert (u["lib.py#file"].lane, u["lib.py#file"].reasons, u["lib.py#file"].added) == (1, "top-level statements", 2) and u["more.py#file"].lane == 4
+
+
 def test_git_reads_trees_and_untracked_files(spark, repo):
     (repo / "bin").write_bytes(b"a\0b")
     (repo / "link").symlink_to("main.go")
