@@ -64,11 +64,11 @@ def draw(id: Column, text: Column, seed: str) -> Column:
 
 def rates(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target, copies and taken of every document."""
-    sized = docs.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), word_count(F.col(text)).alias("size"))
+    sized = docs.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), draw(F.col(id), F.col(text), seed).alias("drawn"))  # no text is shuffled
     targets = source_targets(sized).withColumnRenamed("source", "of")
     joined = sized.join(targets, sized["source"].eqNullSafe(targets["of"]))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = (F.floor(rate) + (draw(F.col("doc_id"), F.col("text"), seed) < rate - F.floor(rate)).cast("bigint")).cast("bigint")
+    copies = (F.floor(rate) + (F.col("drawn") < rate - F.floor(rate)).cast("bigint")).cast("bigint")
     out = joined.withColumn("copies", copies)
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
