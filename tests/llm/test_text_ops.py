@@ -47,6 +47,14 @@ def test_mixing_levels_equal_resharing(spark):
     assert mixing.rates(spark.createDataFrame([], DOCS + ", source string")).collect() == []
 
 
+def test_many_sources_mix_like_few(spark, monkeypatch):
+    rows = [(i, "a " * (i % 7), f"s{i % 40}" if i % 41 else None, 1) for i in range(600)]
+    df = spark.createDataFrame(rows, DOCS + ", source string, salt int")
+    few = sorted(map(str, mixing.rates(df).collect())), sorted(map(str, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "FEW", 3)
+    assert (sorted(map(str, mixing.rates(df).collect())), sorted(map(str, mixing.mix(df).collect()))) == few and mixing.mix(df).columns == df.columns
+
+
 def test_mix_copies_follow_rates_and_reruns_agree(spark):
     rows = [(i, "a b c d", f"s{i % 3}", 9) for i in range(3000)] + [(None, None, None, 1)]
     df = spark.createDataFrame(rows, DOCS + ", source string, size int")
