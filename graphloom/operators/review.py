@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,13 +123,17 @@ def line_diff(a: list[str], b: list[str], a_start: int = 1, b_start: int = 1) ->
     """(op, old, new, text) of a longest-common-subsequence diff, deletions before insertions; 0 on a missing side."""
     if len(a) * len(b) > MAX_CELLS:
         return [("-", a_start + i, 0, t) for i, t in enumerate(a)] + [("+", 0, b_start + j, t) for j, t in enumerate(b)]
-    best = [[0] * (len(b) + 1)]
-    for x in reversed(a):
-        below, row = best[-1], [0] * (len(b) + 1)
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x == b[j] else max(below[j], row[j + 1])
-        best.append(row)
-    best.reverse()
+    lead = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    if lead:  # equal lines at the front pair off in any case
+        front = [(" ", a_start + k, b_start + k, t) for k, t in enumerate(a[:lead])]
+        return front + line_diff(a[lead:], b[lead:], a_start + lead, b_start + lead)
+    names = {t: k for k, t in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = np.array([names[t] for t in a], np.int64), np.array([names[t] for t in b], np.int64)
+    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i in range(len(a) - 1, -1, -1):
+        # from the right: where lines are the same one more than diagonally below, else the better of below and right
+        best[i, :-1] = np.where(y == x[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
+        best[i] = np.maximum.accumulate(best[i, ::-1])[::-1]
     out, i, j = [], 0, 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i] == b[j]:
@@ -148,8 +153,9 @@ def diff_texts(pairs: DataFrame) -> DataFrame:
 
     def run(data: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in data:
-            rows = [(k, i, *r) for k, a, b in zip(t["key"], t["old_text"], t["new_text"], strict=True) for i, r in enumerate(line_diff((a or "").split("\n"), (b or "").split("\n")))]
-            yield pd.DataFrame(rows, columns=["key", "seq", "op", "old", "new", "text"])
+            for k, a, b in zip(t["key"], t["old_text"], t["new_text"], strict=True):  # a pair at a time, as texts are long
+                rows = [(k, i, *r) for i, r in enumerate(line_diff((a or "").split("\n"), (b or "").split("\n")))]
+                yield pd.DataFrame(rows, columns=["key", "seq", "op", "old", "new", "text"])
 
     kind = pairs.schema["key"].dataType.simpleString()
     return pairs.select("key", "old_text", "new_text").mapInPandas(run, f"key {kind}, seq bigint, op string, old bigint, new bigint, text string")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import handoff, layout, prognoses, review, smells, walks
+from graphloom.operators import handoff, layout, prognoses, review, smells
 from graphloom.plans import oracle
 from graphloom.sources.binding import bound, versions
 
@@ -85,12 +85,6 @@ def atlas(spark, sf_dir):
     return layout.atlas(bound(spark, sf_dir).decls)
 
 
-def dsm_order(spark, sf_dir):
-    g = bound(spark, sf_dir)
-    pos = F.row_number().over(Window.orderBy(F.desc("layer"), "pkg"))
-    return walks.layers(g).select("pkg", "layer", pos.cast("bigint").alias("pos"))
-
-
 def handoffs(spark, sf_dir):
     """A text for each package's findings of the highest severity."""
     g = bound(spark, sf_dir).kept()
@@ -120,7 +114,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rv09_complexity_points": complexity_points,
     "tm01_treemap": treemap,
     "tm03_atlas": atlas,
-    "win10_dsm_order": dsm_order,
     "snk07_handoff": handoffs,
 }
 

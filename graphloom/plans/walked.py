@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.ordered import numbered, prefixes
 from graphloom.functions.scalars import join_path, split_path
 from graphloom.operators import graphdiff, handoff, prognoses, review, smells, walks
 from graphloom.plans import oracle
@@ -126,6 +127,74 @@ def _fewer_tests(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(spark, spark.sql(FEWER, raw=g.raw), g.sources)
 
 
+def _repo_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.plans import portable
+
+    return portable._tables(spark, sf_dir)["repo_units"]()
+
+
+def _unit_order() -> list:
+    return [F.col("lane"), F.desc("risk"), F.col("file"), F.col("name"), F.col("id")]
+
+
+def findings_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = smells.union(bound(spark, sf_dir).kept())
+    order = [F.desc("severity"), *map(F.col, ("package", "file", "line", "rule", "decl", "target"))]
+    return numbered(found, order).select("rule", "decl", "target", "file", "package", "pos")
+
+
+def units_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(_repo_units(spark, sf_dir).drop("repo", "reviewed"), _unit_order()).select("id", "pos")
+
+
+def render_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units that need reading, as long as fewer than 3,000 lines stand before them."""
+    u = _repo_units(spark, sf_dir).where("lane <= 1 and not reviewed")
+    return numbered(u, _unit_order(), running=F.col("added") + F.col("deleted")).where("before < 3000").select("id")
+
+
+def evicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = numbered(bound(spark, sf_dir).files, [F.desc("churn"), F.col("pkg"), F.col("path")], "r")
+    return f.where("r > 32 and not test").select("pkg", "path")
+
+
+def dsm_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(walks.layers(bound(spark, sf_dir)), [F.desc("layer"), F.col("pkg")]).select("pkg", "layer", "pos")
+
+
+def heat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = bound(spark, sf_dir)
+    v = g.decls.join(g.files.select("pkg", "path", "churn"), ["pkg", "path"]).select("id", (F.col("complexity") * F.col("churn")).alias("v"))
+    top = F.broadcast(v.agg(F.max("v").alias("top")))  # one row
+    share = 1 + F.floor(F.lit(4.999) * F.col("v") / F.col("top"))
+    return v.crossJoin(top).select("id", F.when(F.col("v") <= 0, 0).otherwise(F.least(F.lit(5), share)).cast("bigint").alias("heat"))
+
+
+def nested_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders with a go.mod that lie in no other such folder: an equi-join on a path's folders."""
+    dirs = bound(spark, sf_dir).sql(TREE).where("path like '%/go.mod'").select(F.expr("substr(path, 1, length(path) - 7)").alias("dir")).distinct()
+    above = dirs.select("dir", F.explode(prefixes(F.col("dir"))).alias("up"))
+    inner = above.join(dirs.select(F.col("dir").alias("up")), "up", "left_semi").select("dir")
+    return dirs.join(inner, "dir", "left_anti")
+
+
+def scope_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in a root that changes, by its folder, and in none of the roots nested in it."""
+    f = bound(spark, sf_dir).files
+    tops = f.where("churn > 2").select(F.split_part("path", F.lit("/"), F.lit(1)).alias("dir")).distinct()
+    own = f.select("pkg", "path", F.split_part("path", F.lit("/"), F.lit(1)).alias("dir")).join(tops, "dir").where(F.contains("path", F.lit("/")))
+    rel = F.substr("path", F.length("dir") + F.lit(2))
+    return own.where(~F.startswith(rel, F.lit("promo"))).select("pkg", rel.alias("path"))
+
+
+def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest of the known prefixes that a declaration's path begins with, by an equi-join on its own prefixes."""
+    g = bound(spark, sf_dir)
+    known = g.files.select(F.substring("path", 1, 2).alias("owner")).union(g.files.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("owner"))).distinct()
+    each = g.decls.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("path")), lambda n: F.substr("path", F.lit(1), n))).alias("owner"))
+    return each.join(known, "owner").groupBy("id").agg(F.max("owner").alias("owner"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gr01_next": next_steps,
     "win05_candidates": candidates,
@@ -143,6 +212,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pg05_dominant_twentieth": dominant,
     "sm10_untested_few_tests": untested,
     "pg11_untested_few_tests": untested_prognoses,
+    "win02_findings_order": findings_order,
+    "win04_units_order": units_order,
+    "win09_render_budget": render_budget,
+    "win10_dsm_order": dsm_order,
+    "win13_lru_evict": evicted,
+    "sc07_heat": heat,
+    "src08_nested_modules": nested_modules,
+    "flt09_scope_files": scope_files,
+    "gr07_owner": owners,
 }
 
 _CODE = "replace(replace({0}, '%', '%25'), '~', '%7E')"

@@ -111,6 +111,13 @@ def test_diff_texts(spark):
     assert [(r.op, r.old, r.new, r.text) for r in got] == [(" ", 1, 1, "a"), ("-", 2, 0, "b"), ("+", 0, 2, "c")]
 
 
+def test_treemap_of_extreme_weights():
+    for weights in ([1e308, 1e308], [1e308, 1e-308, 5e-324], [1.0] * 3000):
+        tiles = layout.squarify([(f"n{i}", w) for i, w in enumerate(weights)], 0, 0, 100, 50)
+        assert len(tiles) == len(weights) and abs(sum(w * h for *_, w, h in tiles) - 5000) < 1e-6
+    assert layout.squarify([("a", 1.0)], 0, 0, float("inf"), 1) == []
+
+
 def test_treemap_invariants():
     import random
 
@@ -217,3 +224,46 @@ def test_live_folder(spark, tmp_path):
         q.stop()
     e = Epochs()
     assert e.bump("x") == 1 and e.current("x") == 1 and e.current("y") == 0
+
+
+def test_line_diff_equals_a_plain_table():
+    import random
+
+    from graphloom.operators.review import line_diff
+
+    def plain(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in reversed(range(len(a))):
+            for j in reversed(range(len(b))):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        out, i, j = [], 0, 0
+        while i < len(a) or j < len(b):
+            if i < len(a) and j < len(b) and a[i] == b[j]:
+                out.append((" ", 1 + i, 1 + j, a[i]))
+                i, j = i + 1, j + 1
+            elif i < len(a) and (j == len(b) or best[i + 1][j] >= best[i][j + 1]):
+                out.append(("-", 1 + i, 0, a[i]))
+                i += 1
+            else:
+                out.append(("+", 0, 1 + j, b[j]))
+                j += 1
+        return out
+
+    r = random.Random(1)
+    for _ in range(300):
+        a, b = (r.choices("abcd", k=r.randint(0, 9)) for _ in range(2))
+        assert line_diff(a, b) == plain(a, b)
+
+
+def test_numbers_over_ranges(spark):
+    from graphloom.functions.ordered import numbered
+    from pyspark.sql import functions as F
+
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), (F.col("id") % 5).alias("g")).repartition(7)
+    got = {r.k: (r.pos, r.before) for r in numbered(df, [F.desc("g"), F.col("k")], running=F.col("k")).collect()}
+    want, total = {}, 0
+    for i, (g, k) in enumerate(sorted(((r.g, r.k) for r in df.collect()), key=lambda x: (-x[0], x[1])), 1):
+        want[k] = (i, total)
+        total += k
+    assert got == want
+    assert numbered(df.limit(0), [F.col("k")]).collect() == []
