@@ -190,3 +190,30 @@ def heats(g: Graph) -> DataFrame:
     tests = F.when(F.col("params") > smells.MANY_PARAMS, F.greatest(untested, F.lit(3))).otherwise(untested)
     made = (("health", health), ("reach", band(F.col("prod"), 1, 3, 10, 30, 100)), ("structure", 1 + F.round(F.col("i") * 4)), ("tests", tests))
     return d.select("id", *(c.cast("bigint").alias(n) for n, c in made))
+
+
+def _facts(df: DataFrame, key: Column, *facts: tuple[str, Column, int]) -> DataFrame:
+    each = F.array(*(F.struct(F.lit(label).alias("label"), value.cast("bigint").alias("value"), F.lit(limit).cast("bigint").alias("limit_value")) for label, value, limit in facts))
+    return df.select(key.alias("key"), F.posexplode(each).alias("pos", "f")).select("key", F.col("pos").cast("bigint").alias("pos"), "f.*")
+
+
+def facts(g: Graph, least: int = REACH_CALLERS) -> DataFrame:
+    """key, pos, label, value and limit_value (0 where there is none): the measures behind prognoses of declarations, packages and imports."""
+    m = measured(g).where(F.col("complexity") > smells.COMPLEX_FUNC[0])
+    keys = F.array_compact(F.array(F.concat(F.when(F.col("busy"), "hotspot:").otherwise("complex:"), F.col("id")), F.when(F.col("tests") == 0, F.concat(F.lit("untested:"), "id"))))
+    hard = _facts(m.withColumn("key", F.explode(keys)), F.col("key"), ("paths through it (complexity)", F.col("complexity"), smells.COMPLEX_FUNC[0]), ("commits to its file lately", F.col("churn"), 0), ("lines", F.col("lines"), smells.LONG_FUNC[0]), ("tests that call it", F.col("tests"), 0))
+    c = calling_packages(g).groupBy("id").agg(F.sum("n").alias("users"), F.count(F.lit(1)).alias("pkgs")).where(F.col("users") >= least)
+    c = c.join(g.decls.where("not test").select("id"), "id", "left_semi").join(callers(g).select("id", "tests"), "id", "left").na.fill(0, ["tests"])
+    wide_ = _facts(c, F.concat(F.lit("reach:"), "id"), ("declarations that use it", F.col("users"), REACH_CALLERS), ("packages that use it", F.col("pkgs"), 0), ("tests that call it", F.col("tests"), 0))
+    u = smells.unstable_dep(g)
+    less = _facts(u, F.concat(F.lit("unstable:"), "package", F.lit(">"), "target"), ("instability of the imported package, %", F.col("measure"), 0), ("instability of this package, %", F.col("limit_value"), 0))
+    return hard.unionByName(wide_).unionByName(less)
+
+
+def related(g: Graph) -> DataFrame:
+    """key, pos and id of the first production callers of declarations with many paths, eight at most."""
+    m = measured(g).where(F.col("complexity") > smells.COMPLEX_FUNC[0])
+    c = g.edges.where("kind = 'caller'").join(g.decls.where("not test").select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"), F.col("src").alias("caller"))
+    pos = F.row_number().over(Window.partitionBy("id").orderBy("caller"))
+    first = c.join(m.select("id", "busy"), "id").withColumn("pos", pos.cast("bigint")).where(F.col("pos") <= RELATED)
+    return first.select(F.concat(F.when(F.col("busy"), "hotspot:").otherwise("complex:"), F.col("id")).alias("key"), "pos", F.col("caller").alias("id"))

@@ -195,6 +195,14 @@ def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.join(known, "owner").groupBy("id").agg(F.max("owner").alias("owner"))
 
 
+def prognosis_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prognoses.facts(bound(spark, sf_dir).kept(), least=20)
+
+
+def prognosis_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prognoses.related(bound(spark, sf_dir).kept("decls", "edges", "files"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gr01_next": next_steps,
     "win05_candidates": candidates,
@@ -212,6 +220,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pg05_dominant_twentieth": dominant,
     "sm10_untested_few_tests": untested,
     "pg11_untested_few_tests": untested_prognoses,
+    "pg13_facts": prognosis_facts,
+    "pg14_related": prognosis_related,
     "win02_findings_order": findings_order,
     "win04_units_order": units_order,
     "win09_render_budget": render_budget,
@@ -239,6 +249,14 @@ ORACLES = {
     "ui02_decl_lines": "select id, case when n > 40 then array_to_string(t[1:40], chr(10)) || chr(10) || '… ' || (n - 40) || ' more lines' else array_to_string(t, chr(10)) end as code from (select d.id, count(*) as n, list(l.text order by l.line) as t from {decls} d join {file_lines} l on l.path = d.path and l.line between d.start_line and d.end_line group by d.id)",
     "sc17_path_codec": f"select id, {_CODE.format('id')} || '~' || {_CODE.format('(name || chr(126) || chr(37) || chr(120))')} as joined, id || '|' || name || '~%x' as parts from {{decls}}",
     "gd07_missing_root": oracle.DIFFS["added"],
+    "pg13_facts": """with c as (select m.*, case when busy then 'hotspot:' else 'complex:' end || id as own_key from {measured} m where not test and complexity > 10),
+        k as (select own_key as key, * from c union all select 'untested:' || id as key, * from c where tests = 0),
+        r as (select x.id, x.users, x.pkgs, coalesce(t.tests, 0) as tests from (select id, sum(n) as users, count(*) as pkgs from {calling} group by id having sum(n) >= 20) x join {decls} d on x.id = d.id left join {callers} t on x.id = t.id where not d.test),
+        u as (select 'unstable:' || package || '>' || target as key, measure, limit_value from {unstable})
+        select key, 0::bigint as pos, 'paths through it (complexity)' as label, complexity::bigint as value, 10::bigint as limit_value from k union all select key, 1, 'commits to its file lately', churn, 0 from k union all select key, 2, 'lines', lines, 60 from k union all select key, 3, 'tests that call it', tests, 0 from k
+        union all select 'reach:' || id, 0, 'declarations that use it', users::bigint, 50 from r union all select 'reach:' || id, 1, 'packages that use it', pkgs, 0 from r union all select 'reach:' || id, 2, 'tests that call it', tests, 0 from r
+        union all select key, 0, 'instability of the imported package, %', measure, 0 from u union all select key, 1, 'instability of this package, %', limit_value, 0 from u""",
+    "pg14_related": "select case when busy then 'hotspot:' else 'complex:' end || id as key, pos, caller as id from (select m.id, m.busy, e.src as caller, row_number() over (partition by m.id order by e.src) as pos from {measured} m join {edges} e on e.dst = m.id and e.kind = 'caller' join {decls} d on e.src = d.id where not m.test and m.complexity > 10 and not d.test) where pos <= 8",
     "pg05_dominant_twentieth": oracle.PROGNOSES["dominant"].replace("total * 50", "total * 5"),
     "sm10_untested_few_tests": oracle.SMELLS["untested_package"],
     "pg11_untested_few_tests": oracle.PROGNOSES["untested_package"],
@@ -246,7 +264,7 @@ ORACLES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    more = {"steps": STEPS, "file_lines": DUCK_LINES, "items": ITEMS, "moves": MOVES, "tree": TREE}
+    more = {"steps": STEPS, "file_lines": DUCK_LINES, "items": ITEMS, "moves": MOVES, "tree": TREE, "unstable": oracle.SMELLS["unstable_dep"]}
     own = {"gd07_missing_root": {"base_raw": BASE + LACKING}}
     out = {n: oracle.ctes(t, **oracle.SHARED, **more, **own.get(n, {})) for n, t in ORACLES.items()}
     # the graph with fewer tests: its tables are those of the others, over other rows
