@@ -130,5 +130,12 @@ ORACLES = {
 }
 
 
+_ITEM = "chr(10) || '#### ' || rule || ': ' || subject || chr(10) || chr(10) || 'Where: `' || file || ':' || line || '`' || chr(10) || 'Scope: working tree' || chr(10) || case when detail <> '' then chr(10) || detail || chr(10) else '' end"
+ORACLES["snk07_handoff"] = (
+    "select package as basket, '# Handoff' || chr(10) || chr(10) || 'Goal: resolve each item below.' || chr(10) || chr(10) || count(*) || ' item' || case when count(*) = 1 then '' else 's' end || ', in the order to work through.' || chr(10) || chr(10) || '- Repos: ' || substr(package, 6) || chr(10) || chr(10) || '## ' || substr(package, 6) || chr(10) || chr(10) || '### Findings' || chr(10) || "
+    f"string_agg({_ITEM}, '' order by file, line, rule, decl) as text from ({oracle.FINDINGS}) where severity = 2 group by package"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {n: oracle.sql(t) for n, t in ORACLES.items()}
