@@ -146,7 +146,7 @@ class Words:
     end: np.ndarray
     row: np.ndarray
     hash: np.ndarray
-    lower: np.ndarray  # the bytes, A-Z lower-cased
+    lower: np.ndarray  # the bytes, folded (A-Z lower-cased)
 
     def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Which words have more bytes than `size`, and hashes of their first `size`."""
@@ -157,12 +157,12 @@ class Words:
         return np.bincount(self.row, minlength=rows).astype(np.int64)
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of texts laid end to end, with a 64-bit hash of each; `space` marks other separators.
+def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE, fold: np.ndarray = _LOWER) -> Words:
+    """Words `[^\\x20\\x09-\\x0D]+` of texts laid end to end, with a 64-bit hash of each; `space` marks other separators, `fold` maps bytes first.
 
     Words never span two texts. No Python loop runs over words, but over those of more than LONG bytes.
     """
-    lower = _LOWER[raw]
+    lower = fold[raw]
     n = len(raw)
     if n == 0:
         none = np.zeros(0, np.int64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from graphloom.llm import pii, urls
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -109,5 +111,22 @@ def url_filter() -> str:
     return "with " + ",\n".join(ctes) + "\n" + last
 
 
+_ORDERS = ", ".join("('" + "".join(p) + "')" for p in permutations("ABCDE"))
+FILTERS = rf"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '{WORD}') as w, min(doc_id) over (partition by text) as least from d),
+f as (select doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > least, false)] as fails from w),
+l as (select doc_id, coalesce(max(cast(quality = 1 as int)), 0) as good, coalesce(max(cast(toxic = 1 as int)), 0) as toxic from labels where doc_id is not null group by doc_id),
+j as (select f.part, f.fails, count(*) as n, sum(coalesce(l.good, 0)) as good, sum(coalesce(l.toxic, 0)) as toxic from f left join l on f.doc_id = l.doc_id group by all),
+o as (select unnest([1, 2, 3, 4, 5]) as step, o as filter_order from (values {_ORDERS}) t(o)),
+s as (select j.*, filter_order, step, list_transform(string_split(filter_order, ''), lambda x: fails[ascii(x) - 64]) as in_order from j, o),
+m as (select *, in_order[step] as hit, list_contains(in_order[1:step - 1], true) as early from s),
+r as (select part, filter_order, step, sum(n) filter (not hit and not early) as kept, sum(n) filter (hit and not early) as removed, sum(n) filter (hit and early) as redundant,
+  sum(n) filter (hit and len(list_filter(fails, lambda x: x)) = 1) as unique_fails, sum(good) filter (hit and not early) as good_lost, sum(toxic) filter (hit and not early) as toxic_lost from m group by all),
+z as (select *, sum(coalesce(removed, 0)) over (partition by part, filter_order[step:step]) as shapley from r)
+select part, filter_order, step, {', '.join(f'cast(coalesce({c}, 0) as bigint) as {c}' for c in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost', 'shapley'))} from z
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": MIXING, "op3_pii": PII, "op4_top_k": TOP_K, "op6_url_filter": url_filter(), "op9_near_duplicates": NEAR}
+    return {"op2_mixing": MIXING, "op3_pii": PII, "op4_top_k": TOP_K, "op6_url_filter": url_filter(), "op9_near_duplicates": NEAR, "op13_filter_audit": FILTERS}

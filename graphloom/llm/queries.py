@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, contextmix, linededup, mixing, mpeg, neardup, oracles, pii, toxicity, urls, vafile
+from graphloom.llm import bpe, contextmix, filteraudit, linededup, mixing, mpeg, neardup, oracles, pii, tokencount, toxicity, turns, urls, vafile
 from graphloom.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+MODEL = "piece_bpe_32k.model"
 
 
 def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +55,25 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.features(mpeg.store(table(spark, sf_dir, "documents")))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count(docs, tokencount.model_file(public_tokenizers.path(MODEL))).drop("text")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.report(turns.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_context_mixing, op2_mixing, op3_pii, op4_top_k, op5_line_dedup, op6_url_filter, op7_bpe, op8_toxicity, op9_near_duplicates, op10_mpeg_audio)}
+    every = (
+        op1_context_mixing, op2_mixing, op3_pii, op4_top_k, op5_line_dedup, op6_url_filter, op7_bpe, op8_toxicity, op9_near_duplicates, op10_mpeg_audio,
+        op11_token_counts, op12_turn_repair, op13_filter_audit,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
