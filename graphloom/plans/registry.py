@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,4 +91,4 @@ def oracle_sql() -> dict[str, str]:
 
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship query: all findings of the smallest tables, worst first."""
-    return smells.find(bound(spark, "/root/testdata/sf0.001"))
+    return smells.find(bound(spark, os.environ.get("ENTRY_SF_DIR", "/root/testdata/sf0.001")).kept())
