@@ -52,9 +52,6 @@ SQL: dict[str, str] = {
     "jn04_imported_by": "select p.pkg, i.src from {packages} p join {imports} i on i.dst = p.pkg",
     "jn05_full_outer": "select coalesce(h.id, b.id) as id, case when b.id is null then 'added' when h.id is null then 'removed' when h.shape <> b.shape or h.signature <> b.signature then 'changed' else 'same' end as change from {head_decls} h full outer join {base_decls} b on h.id = b.id",
     "jn06_pair_moves": "select o.id as from_id, n.id as to_id from (select name, kind, shape, min(id) as id from {gone} where shape <> '' group by name, kind, shape having count(*) = 1) o join (select name, kind, shape, min(id) as id from {come} where shape <> '' group by name, kind, shape having count(*) = 1) n on o.name = n.name and o.kind = n.kind and o.shape = n.shape",
-    "jn07_named_links": """select ref, id from (select r.ref, d.id, d.pref, min(d.pref) over (partition by r.ref) as best, count(*) over (partition by r.ref) as n, r.member from
-        (select id as ref, path, pkg, name, kind = 'method' as member from {decls}) r join
-        (select id, path, pkg, name, exported, case when k % 2 = 0 then 0 else 1 end as pref from {decls}) d on r.name = d.name and (r.pkg = d.pkg or d.exported) and r.ref <> d.id) x where pref = best and not (member and n > 1)""",
     "jn09_apply_churn": "select d.id, coalesce(f.churn, 0) as churn from {decls} d left join {files} f on d.pkg = f.pkg and d.path = f.path",
     "jn10_attach_smells": "select f.rule, coalesce(u.id, v.id) as unit from {head_findings} f left join {units} u on f.decl = u.id left join (select file, min(id) as id from {units} group by file) v on f.file = v.file and f.decl = '' where coalesce(u.id, v.id) is not null",
     "jn11_second_pairs": "select o.id as from_id, n.id as to_id from (select name, kind, min(id) as id from {gone} where id not in (select from_id from {moved}) and lines > 0 group by name, kind having count(*) = 1) o join (select name, kind, min(id) as id from {come} where id not in (select to_id from {moved}) and lines > 0 group by name, kind having count(*) = 1) n on o.name = n.name and o.kind = n.kind",

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.plans.checkpoints import stored
-from graphloom.sources import golang, lexical, python_code
+from graphloom.sources import golang, lexical, modules, python_code
 from graphloom.sources.binding import Graph
 
 
@@ -34,7 +34,7 @@ class Frontend:
 FRONTENDS = (
     Frontend("go", ("go.mod",), (), (".go",)),
     Frontend("julia", ("Project.toml",), ("go.mod",), (".jl",)),
-    Frontend("typescript", ("package.json", "tsconfig.json"), (), (".ts", ".tsx", ".js", ".jsx")),
+    Frontend("typescript", ("package.json", "tsconfig.json"), (), (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")),
     Frontend("python", ("pyproject.toml", "setup.py"), (), (".py",)),
     Frontend("rust", ("Cargo.toml",), (), (".rs",)),
 )
@@ -111,7 +111,7 @@ def load(files: DataFrame, name: str = "module", lang: str = "", churn: DataFram
     if not front or lang == "julia":
         raise NoProject(f"no project that can be read in {name}")
     module = module_of(lang, next((top[p] for p in front.projects if p in top), ""), name)
-    sources = files.where(F.array_contains(F.array(*map(F.lit, front.extensions)), F.regexp_extract(base(F.col("path")), r"\.[^.]+$", 0)) & open_path(F.col("path")))
+    sources = files.where(F.array_contains(F.array(*map(F.lit, front.extensions)), F.regexp_extract(base(F.col("path")), r"\.[^.]+$", 0)) & open_path(F.col("path")) & ~F.col("path").rlike(r"\.d\.[cm]?ts$"))
     if lang == "go":  # folders with a go.mod of their own are other modules
         others = files.where((base(F.col("path")) == "go.mod") & (F.col("path") != "go.mod")).select(F.concat(folder(F.col("path")), F.lit("/")).alias("other"))
         ahead = F.transform(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - F.lit(1)), lambda d, i: F.concat(F.array_join(F.slice(F.split("path", "/"), 1, i + 1), "/"), F.lit("/")))
@@ -123,13 +123,20 @@ def load(files: DataFrame, name: str = "module", lang: str = "", churn: DataFram
         decls, edges, imports = golang.link(found)
     else:
         found = stored(python_code.extract(texts, module) if lang == "python" else lexical.extract(texts, module, lang))
-        decls, edges, imports = python_code.link(found)
+        decls, edges, imports = python_code.link(found, _typescript_seen(files, texts, module) if lang == "typescript" else None)
         head = F.substring_index(F.substring(F.col("text").cast("binary"), 1, 512).cast("string"), "\n", 5)
         decls = decls.join(texts.select("path", head.rlike(GENERATED).alias("generated")), "path")
         decls = decls.withColumns({"pkg_name": F.regexp_extract("pkg", r"[^./:]+$", 0), "data": F.lit(False), "forwards": F.lit(""), "delegates": F.lit(""), "calls": F.lit(0), "escapes": F.lit(True), "fixed_param": F.lit(""), "fixed_value": F.lit("")})
     return snapshot(spark, module, lang, texts, decls, edges, imports, churn)
 
 
+def _typescript_seen(files: DataFrame, texts: DataFrame, module: str) -> DataFrame:
+    """path, pkg, test, and each package that a source imports, itself or through what it imports."""
+    project = files.where(base(F.col("path")).isin("package.json", "tsconfig.json") & open_path(F.col("path"))).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    pkg = lambda path: F.when(folder(path) == ".", F.lit(module)).otherwise(F.concat(F.lit(module + "/"), folder(path)))
+    return stored(modules.resolve(project, texts).select("path", pkg(F.col("path")).alias("pkg"), pkg(F.col("file")).alias("to"), F.col("path").rlike(lexical.TESTS).alias("test")).distinct())
+
+
 COLUMNS = "k, b, id, name, kind, pkg, pkg_name, path, test, generated, exported, data, start_line, end_line, lines, complexity, nesting, params, signature, shape, forwards, delegates, deprecated, calls, escapes, fixed_param, fixed_value, ord"
 
 

@@ -231,8 +231,10 @@ def _typescript_package(path: str, module: str) -> str:
     return f"{module}/{folder}" if folder else module
 
 
+#: Paths of TypeScript's tests.
+TESTS = r"\.(?:test|spec)\.[cm]?[jt]sx?$|(?:^|/)__tests__(?:/|$)"
 LANGUAGES = {
-    "typescript": Language(typescript, _TS_BRANCH, _TS_NEST, True, _typescript_package, lambda p: bool(re.search(r"\.(?:test|spec)\.[jt]sx?$", p)) or "__tests__" in p.split("/"), lambda raw, path, own: _typescript_imports(raw, path), lambda path, own: [re.sub(r"(?:/index)?\.[jt]sx?$", "", path)]),
+    "typescript": Language(typescript, _TS_BRANCH, _TS_NEST, True, _typescript_package, lambda p: bool(re.search(TESTS, p)), lambda raw, path, own: _typescript_imports(raw, path), lambda path, own: [re.sub(r"(?:/index)?\.[jt]sx?$", "", path)]),
     "rust": Language(rust, _RS_BRANCH, _RS_NEST, False, _rust_package, lambda p: p.startswith("tests/"), lambda raw, path, own: _rust_imports(raw, own), lambda path, own: [own]),
 }
 

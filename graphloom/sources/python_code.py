@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import linking
+
 BRANCH = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.Match)
 NEST = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.TryStar, ast.Match)
 DECLS = (
@@ -157,23 +159,22 @@ def extract(files: DataFrame, module: str) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, DECLS)
 
 
-def link(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """decls, edges and imports: references meet declarations of their short name in the same or an imported package."""
+def link(found: DataFrame, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """decls, edges and imports: references meet declarations of their short name in the same or an imported package.
+
+    `seen` (path, pkg, to, test) tells which packages files import, where that isn't by the modules that rows name.
+    """
     same = Window.partitionBy("pkg", "name").orderBy("path", "ord")
     d = found.where("error = ''").withColumn("n", F.row_number().over(same))
     d = d.withColumn("id", F.concat("pkg", F.lit("."), "name", F.when(F.col("n") > 1, F.concat(F.lit("#"), "n")).otherwise("")))
-    modules = d.select("pkg", F.explode("mods").alias("mod")).distinct()
-    seen = d.select("path", "pkg", F.explode("imports").alias("mod")).distinct().join(modules.withColumnRenamed("pkg", "to"), "mod").select("path", "pkg", "to").distinct()
-    visible = seen.select("path", "to").union(d.select("path", F.col("pkg").alias("to"))).distinct()
-    refs = d.select(F.col("id").alias("src"), "path", "pkg", F.explode("refs").alias("r")).select("src", "path", "pkg", F.col("r.name").alias("short"), F.col("r.kind").alias("kind"))
-    target = d.select("short", F.col("id").alias("dst"), F.col("pkg").alias("to"), F.col("path").alias("t_path"), "exported", F.col("kind").alias("t_kind"))
-    hits = refs.join(target, "short").join(visible, ["path", "to"]).where((F.col("src") != F.col("dst")) & ((F.col("pkg") == F.col("to")) | F.col("exported")))
-    # a member that several could be links to none; otherwise the same file comes first
-    hits = hits.withColumn("choices", F.count(F.lit(1)).over(Window.partitionBy("src", "short", "kind"))).where((F.col("t_kind") != "method") | (F.col("choices") == 1))
-    near = F.when(F.col("path") == F.col("t_path"), 0).otherwise(1)
-    hits = hits.withColumn("near", near).withColumn("best", F.min("near").over(Window.partitionBy("src", "short", "kind"))).where("near = best")
-    edges = hits.groupBy("src", "dst", "kind").agg(F.count(F.lit(1)).alias("n"))
-    imports = seen.join(d.where("not test").select("path").distinct(), "path", "left_semi").where(F.col("pkg") != F.col("to")).select(F.col("pkg").alias("src"), F.col("to").alias("dst")).distinct()
+    if seen is None:
+        modules = d.select("pkg", F.explode("mods").alias("mod")).distinct()
+        seen = d.select("path", "pkg", F.explode("imports").alias("mod")).distinct().join(modules.withColumnRenamed("pkg", "to"), "mod").select("path", "pkg", "to").distinct()
+        seen = seen.join(d.groupBy("path").agg(F.bool_and("test").alias("test")), "path")
+    refs = d.select(F.col("id").alias("src"), F.col("short").alias("own"), (F.col("kind") == "method").alias("own_member"), "path", "pkg", F.explode("refs").alias("r")).select("src", "own", "own_member", "path", "pkg", F.col("r.name").alias("short"), F.col("r.kind").alias("kind"))
+    target = d.select("short", F.col("id").alias("dst"), F.col("pkg").alias("to"), F.col("path").alias("at"), "exported", (F.col("kind") == "method").alias("member"))
+    edges = linking.named(refs, target, seen.select("path", "to")).groupBy("src", "dst", "kind").agg(F.count(F.lit(1)).alias("n"))
+    imports = seen.where(~F.col("test") & (F.col("pkg") != F.col("to"))).select(F.col("pkg").alias("src"), F.col("to").alias("dst")).distinct()
     return d, edges, imports
 
 
