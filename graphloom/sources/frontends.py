@@ -124,12 +124,29 @@ def load(files: DataFrame, name: str = "module", lang: str = "", churn: DataFram
     else:
         found = stored(python_code.extract(texts, module) if lang == "python" else lexical.extract(texts, module, lang))
         decls, edges, imports = python_code.link(found, _typescript_seen(files, texts, module) if lang == "typescript" else None)
-        head = F.substring_index(F.substring(F.col("text").cast("binary"), 1, 512).cast("string"), "\n", 5)
-        decls = decls.join(texts.select("path", head.rlike(GENERATED).alias("generated")), "path")
-        decls = decls.withColumns({"pkg_name": F.regexp_extract("pkg", r"[^./:]+$", 0), "data": F.lit(False), "forwards": F.lit(""), "delegates": F.lit(""), "calls": F.lit(0), "escapes": F.lit(True), "fixed_param": F.lit(""), "fixed_value": F.lit("")})
+        decls = completed(decls.join(texts.select("path", generated(F.col("text")).alias("generated")), "path"))
     return snapshot(spark, module, lang, texts, decls, edges, imports, churn)
 
 
+def generated(text: Column) -> Column:
+    """Whether the head of a source says that it is generated."""
+    return F.substring_index(F.substring(text.cast("binary"), 1, 512).cast("string"), "\n", 5).rlike(GENERATED)
+
+
+def full_lines(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")).cast("bigint")
+
+
+def completed(decls: DataFrame) -> DataFrame:
+    """Declarations with the columns that only typed frontends tell, and their package's name."""
+    return decls.withColumns({"pkg_name": F.regexp_extract("pkg", r"[^./:]+$", 0), "data": F.lit(False), "forwards": F.lit(""), "delegates": F.lit(""), "calls": F.lit(0), "escapes": F.lit(True), "fixed_param": F.lit(""), "fixed_value": F.lit("")})
+
+
+def relative(pkg: Column, module: str) -> Column:
+    """A package's path below the module's."""
+    return F.when(F.startswith(pkg, F.lit(module + "/")), F.substr(pkg, F.lit(len(module) + 2))).otherwise(pkg)
+
+
 def _typescript_seen(files: DataFrame, texts: DataFrame, module: str) -> DataFrame:
     """path, pkg, test, and each package that a source imports, itself or through what it imports."""
     project = files.where(base(F.col("path")).isin("package.json", "tsconfig.json") & open_path(F.col("path"))).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
@@ -148,7 +165,7 @@ def snapshot(spark: SparkSession, module: str, lang: str, texts: DataFrame, decl
     g.given["decls"] = stored(d.select(*(F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in COLUMNS.split(", "))))
     g.given["edges"] = stored(edges.select("src", "dst", "kind", "n"))
     g.given["imports"] = stored(imports.select("src", "dst").distinct())
-    lines = texts.select("path", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("bigint").alias("whole"))
+    lines = texts.select("path", full_lines(F.col("text")).alias("whole"))
     per = g.decls.groupBy("path").agg(F.min("pkg").alias("pkg"), F.bool_and("test").alias("test"), F.bool_or("generated").alias("generated"))
     if lang == "go":
         per = per.join(decls.groupBy("path").agg(F.max("file_lines").alias("code")), "path", "left")
@@ -157,8 +174,7 @@ def snapshot(spark: SparkSession, module: str, lang: str, texts: DataFrame, decl
     files = lines.join(per, "path")
     files = files.join(churn, "path", "left") if churn is not None else files.withColumn("churn", F.lit(0))
     g.given["files"] = stored(files.select("pkg", "path", "test", "generated", F.coalesce("code", "whole").alias("lines"), F.coalesce("churn", F.lit(0)).cast("bigint").alias("churn")))
-    rel = F.when(F.col("pkg") == module, F.lit(module)).when(F.startswith("pkg", F.lit(module + "/")), F.substr("pkg", F.lit(len(module) + 2))).otherwise(F.col("pkg"))
-    g.given["packages"] = stored(g.decls.groupBy("pkg").agg(F.max("pkg_name").alias("name")).select("pkg", "name", rel.alias("rel")))
+    g.given["packages"] = stored(g.decls.groupBy("pkg").agg(F.max("pkg_name").alias("name")).select("pkg", "name", relative(F.col("pkg"), module).alias("rel")))
     return g
 
 

@@ -159,14 +159,18 @@ def extract(files: DataFrame, module: str) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, DECLS)
 
 
+def identified(decls: DataFrame) -> DataFrame:
+    """Declarations with ids: package and name, and a number where several have both."""
+    d = decls.withColumn("n", F.row_number().over(Window.partitionBy("pkg", "name").orderBy("path", "ord")))
+    return d.withColumn("id", F.concat("pkg", F.lit("."), "name", F.when(F.col("n") > 1, F.concat(F.lit("#"), "n")).otherwise("")))
+
+
 def link(found: DataFrame, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """decls, edges and imports: references meet declarations of their short name in the same or an imported package.
 
     `seen` (path, pkg, to, test) tells which packages files import, where that isn't by the modules that rows name.
     """
-    same = Window.partitionBy("pkg", "name").orderBy("path", "ord")
-    d = found.where("error = ''").withColumn("n", F.row_number().over(same))
-    d = d.withColumn("id", F.concat("pkg", F.lit("."), "name", F.when(F.col("n") > 1, F.concat(F.lit("#"), "n")).otherwise("")))
+    d = identified(found.where("error = ''"))
     if seen is None:
         modules = d.select("pkg", F.explode("mods").alias("mod")).distinct()
         seen = d.select("path", "pkg", F.explode("imports").alias("mod")).distinct().join(modules.withColumnRenamed("pkg", "to"), "mod").select("path", "pkg", "to").distinct()
