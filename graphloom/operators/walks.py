@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.plans.checkpoints import cut
+from graphloom.operators import strong
+from graphloom.plans.checkpoints import Rounds, cut
 from graphloom.sources.binding import Graph
 
 
@@ -56,67 +56,31 @@ def ring(g: Graph, starts: DataFrame, hops: int = 3) -> DataFrame:
 def closure(g: Graph) -> DataFrame:
     """src and each dst that it imports, itself or through others; a round joins one more import until nothing new comes."""
     imports = cut(g.imports.select("src", "dst").distinct())
-    seen = front = imports
-    while not front.isEmpty():
-        far = front.join(imports.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
-        front = cut(far.where("src <> dst").distinct().join(seen, ["src", "dst"], "left_anti"))
-        seen = seen.unionByName(front)
-    return seen
-
-
-def _on_cycles(t: pa.Table) -> pa.Table:
-    """Layers of packages on cycles or above them, by a walk in the order of names.
-
-    What is met again while it is being walked counts as 0, and a layer once found stays, so they depend on the
-    order. Rows are (pkg, imports in order, layers of those that are settled, null for others).
-    """
-    imports = dict(zip(t["pkg"].to_pylist(), t["imports"].to_pylist(), strict=True))
-    layer: dict[str, int] = {}
-    for first in sorted(imports):
-        if first in layer:
-            continue
-        walked, stack = {first}, [[first, 0, 0]]  # package, next import, layer so far
-        while stack:
-            top = stack[-1]
-            pkg, at, high = top
-            if at == len(imports[pkg]):
-                layer[pkg] = high
-                stack.pop()
-                if stack:
-                    stack[-1][2] = max(stack[-1][2], high + 1)
-                continue
-            top[1] += 1
-            to = imports[pkg][at]
-            if to["layer"] is not None or to["dst"] in layer or to["dst"] in walked:
-                found = to["layer"] if to["layer"] is not None else layer.get(to["dst"], 0)
-                top[2] = max(top[2], found + 1)
-            else:
-                walked.add(to["dst"])
-                stack.append([to["dst"], 0, 0])
-    return pa.table({"pkg": pa.array(imports, pa.string()), "layer": pa.array([layer[p] for p in imports], pa.int64())})
+    seen = Rounds(imports)
+    while not seen.last.isEmpty():
+        far = seen.last.join(imports.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
+        seen.add(far.where("src <> dst").distinct().join(seen.all(), ["src", "dst"], "left_anti"))
+    return seen.all()
 
 
 def layers(g: Graph) -> DataFrame:
     """pkg and its layer: 0 without imports, else one more than the highest that it imports.
 
     A round settles packages whose imports are all settled, so there are as many as layers. Packages on
-    a cycle, or above one, never settle; only those meet in one task, as their layers depend on the order of a walk.
+    a cycle, or above one, never settle: their layers depend on the order of a walk, which is followed a component at a time.
     """
     known = g.packages.select(F.col("pkg").alias("dst"))
     every = cut(g.imports.select("src", "dst").distinct().join(known.withColumn("here", F.lit(True)), "dst", "left"))
     # a package that isn't known counts as one of layer 0
     outside = every.where("here is null").select(F.col("dst").alias("pkg")).distinct()
     own = g.packages.select("pkg").join(every.select(F.col("src").alias("pkg")), "pkg", "left_anti")
-    settled = cut(own.unionByName(outside).withColumn("layer", F.lit(0).cast("bigint")))
+    settled = Rounds(own.unionByName(outside).withColumn("layer", F.lit(0).cast("bigint")))
     layer = 0
-    while True:
+    while not settled.last.isEmpty():
         layer += 1
-        left = every.join(settled.select(F.col("pkg").alias("src")), "src", "left_anti")
-        ready = left.join(settled.select(F.col("pkg").alias("dst"), F.lit(True).alias("done")), "dst", "left").groupBy(F.col("src").alias("pkg")).agg(F.bool_and(F.coalesce("done", F.lit(False))).alias("all")).where("all")
-        more = cut(ready.select("pkg", F.lit(layer).cast("bigint").alias("layer")))
-        if more.isEmpty():
-            break
-        settled = settled.unionByName(more)
-    above = left.join(settled.withColumnRenamed("pkg", "dst"), "dst", "left").groupBy(F.col("src").alias("pkg")).agg(F.sort_array(F.collect_list(F.struct("dst", "layer"))).alias("imports"))
-    above = above.groupBy(F.lit(1).alias("one")).applyInArrow(lambda t: _on_cycles(t.select(["pkg", "imports"])), "pkg string, layer bigint")
-    return settled.join(outside, "pkg", "left_anti").unionByName(above)
+        left = every.join(settled.all().select(F.col("pkg").alias("src")), "src", "left_anti")
+        ready = left.join(settled.all().select(F.col("pkg").alias("dst"), F.lit(True).alias("done")), "dst", "left").groupBy(F.col("src").alias("pkg")).agg(F.bool_and(F.coalesce("done", F.lit(False))).alias("all")).where("all")
+        settled.add(ready.select("pkg", F.lit(layer).cast("bigint").alias("layer")))
+    nodes = cut(every.join(settled.all().select(F.col("pkg").alias("src")), "src", "left_anti").select(F.col("src").alias("node")).distinct())
+    found = settled.all().join(outside, "pkg", "left_anti")
+    return found if nodes.isEmpty() else found.unionByName(strong.layers(every, nodes, settled.all()))

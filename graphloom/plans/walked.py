@@ -234,7 +234,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _CODE = "replace(replace({0}, '%', '%25'), '~', '%7E')"
+#: A walk in the order of names, a row a step: its stack of (package, next import, layer so far), layers (-1 while there is none) and what has been met.
+LAYERS = """
+with recursive p as (select row_number() over (order by pkg) as i, pkg from {packages}),
+  m as (select p.i, list(q.i order by q.i) as to from p join {imports} x on x.src = p.pkg join p q on q.pkg = x.dst group by p.i),
+  c as (select list(coalesce(m.to, []) order by p.i) as to from p left join m on p.i = m.i),
+  w as (select 0 as step, cast([] as struct(i bigint, n bigint, high bigint)[]) as stack, list_transform(range(0, (select count(*) from p)), lambda x: -1::bigint) as layer, list_transform(range(0, (select count(*) from p)), lambda x: false) as met
+    union all select step + 1,
+      case when len(stack) = 0 then [{{'i': list_position(met, false)::bigint, 'n': 0::bigint, 'high': 0::bigint}}]
+        when t.n = len(c.to[t.i]) then case when len(stack) = 1 then [] else list_append(stack[:-3], {{'i': stack[-2].i, 'n': stack[-2].n, 'high': greatest(stack[-2].high, t.high + 1)}}) end
+        when met[c.to[t.i][t.n + 1]] then list_append(stack[:-2], {{'i': t.i, 'n': t.n + 1, 'high': greatest(t.high, greatest(layer[c.to[t.i][t.n + 1]], 0) + 1)}})
+        else list_concat(stack[:-2], [{{'i': t.i, 'n': t.n + 1, 'high': t.high}}, {{'i': c.to[t.i][t.n + 1], 'n': 0::bigint, 'high': 0::bigint}}]) end,
+      case when len(stack) > 0 and t.n = len(c.to[t.i]) then list_transform(layer, lambda x, k: case when k = t.i then t.high else x end) else layer end,
+      case when len(stack) = 0 then list_transform(met, lambda x, k: x or k = list_position(met, false)) when t.n < len(c.to[t.i]) then list_transform(met, lambda x, k: x or k = c.to[t.i][t.n + 1]) else met end
+    from (select *, stack[-1] as t from w) w, c where len(stack) > 0 or list_contains(met, false))
+select p.pkg, l.layer[p.i] as layer from p, (select arg_max(layer, step) as layer from w) l
+"""
+
 ORACLES = {
+    "gr05_layers": "select pkg, layer from {layers}",
+    "win10_dsm_order": "select pkg, layer, row_number() over (order by layer desc, pkg) as pos from {layers}",
     "gr01_next": "select dst as thread, src as id, min(kind) as via from {edges} where src <> dst group by dst, src",
     "win05_candidates": "select x.dst as thread, x.src as id, row_number() over (partition by x.dst order by d.test, coalesce(c.n, 0) desc, x.src) as pos from (select distinct src, dst from {edges} where src <> dst) x join {decls} d on x.src = d.id left join (select dst, count(*) as n from {edges} where kind = 'caller' group by dst) c on c.dst = x.src",
     # a step stays if none up to it is missing, repeated, or without an edge to the one before
@@ -264,7 +283,7 @@ ORACLES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    more = {"steps": STEPS, "file_lines": DUCK_LINES, "items": ITEMS, "moves": MOVES, "tree": TREE, "unstable": oracle.SMELLS["unstable_dep"]}
+    more = {"steps": STEPS, "file_lines": DUCK_LINES, "items": ITEMS, "moves": MOVES, "tree": TREE, "unstable": oracle.SMELLS["unstable_dep"], "layers": LAYERS}
     own = {"gd07_missing_root": {"base_raw": BASE + LACKING}}
     out = {n: oracle.ctes(t, **oracle.SHARED, **more, **own.get(n, {})) for n, t in ORACLES.items()}
     # the graph with fewer tests: its tables are those of the others, over other rows

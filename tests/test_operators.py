@@ -248,3 +248,22 @@ def test_queries_run_over_all_declarations(spark):
 def test_entry_point(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_strong_components(spark):
+    import random
+
+    from graphloom.operators import strong
+
+    rng = random.Random(9)
+    nodes = [f"n{i:02d}" for i in range(26)]
+    edges = {tuple(rng.sample(nodes[:22], 2)) for _ in range(30)} | {(f"n{i:02d}", f"n{i + 1:02d}") for i in range(22, 25)} | {("n00", "n00")}
+    reach = {a: {a} for a in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            for x in nodes:
+                if a in reach[x]:
+                    reach[x].add(b)
+    want = {a: min(b for b in nodes if b in reach[a] and a in reach[b]) for a in nodes}
+    got = strong.components(spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(sorted(edges), "src string, dst string"))
+    assert {r.node: r.component for r in got.collect()} == want and len(set(want.values())) < len(nodes)
