@@ -20,11 +20,12 @@ def kind_rank(kind: Column) -> Column:
 
 def scope_text(scope: Column) -> Column:
     """How a scope (wt, commit:sha or pr:n@sha) reads."""
-    rest = F.substring_index(F.substr(scope, F.lit(4)), "@", 1)
+    rest = F.substr(scope, F.lit(4))
+    number = F.substring_index(rest, "@", 1)
     return (
         F.when(scope == "wt", "working tree")
         .when(F.startswith(scope, F.lit("commit:")), F.concat(F.lit("commit "), F.substr(scope, F.lit(8))))
-        .when(F.startswith(scope, F.lit("pr:")), F.concat(F.lit("PR #"), rest, F.lit(" at "), F.substring_index(scope, "@", -1)))
+        .when(F.startswith(scope, F.lit("pr:")), F.concat(F.lit("PR #"), number, F.lit(" at "), F.substr(rest, F.length(number) + 2)))
         .otherwise(scope)
     )
 

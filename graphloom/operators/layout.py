@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STRIP = {"package": 14.0, "file": 12.0}
@@ -57,6 +57,17 @@ def squarify(items: list[tuple[str, float]], x: float, y: float, w: float, h: fl
     return out
 
 
+def inset(x: Column, y: Column, w: Column, h: Column, d: Column) -> tuple[Column, Column, Column, Column]:
+    """A rectangle with every side moved in by d; a side of up to 2d becomes none, at its midpoint."""
+
+    def side(at: Column, size: Column) -> tuple[Column, Column]:
+        gone = size <= 2 * d
+        return F.when(gone, at + size / 2).otherwise(at + d), F.when(gone, 0.0).otherwise(size - 2 * d)
+
+    (x, w), (y, h) = side(x, w), side(y, h)
+    return x, y, w, h
+
+
 def place(items: DataFrame) -> DataFrame:
     """parent, id, x, y, w, h of rows (parent, id, weight, px, py, pw, ph): the last four are the parent's rectangle."""
 

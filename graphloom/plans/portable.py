@@ -26,12 +26,13 @@ REVIEWED = "select id from {head_decls} where k % 4 = 0"
 #: A repository for every ten packages, to roll units up.
 REPO_UNITS = "select u.*, 'repo' || cast(length(u.file) % 5 as string) as repo, r.id is not null as reviewed from {units} u left join {reviewed} r on u.id = r.id"
 
-SQL: dict[str, str] = {
-    "src03_roots": """select dir, lang from (select distinct substr(path, 1, length(path) - length(base) - 1) as dir, case base when 'go.mod' then 'go' when 'Project.toml' then 'julia' when 'package.json' then 'typescript' when 'pyproject.toml' then 'python' when 'Cargo.toml' then 'rust' end as lang
+#: Roots of projects by patterns on paths.
+ROOTS = """select dir, lang from (select distinct substr(path, 1, length(path) - length(base) - 1) as dir, case base when 'go.mod' then 'go' when 'Project.toml' then 'julia' when 'package.json' then 'typescript' when 'pyproject.toml' then 'python' when 'Cargo.toml' then 'rust' end as lang
       from (select path, case when path like '%/go.mod' then 'go.mod' when path like '%/Project.toml' then 'Project.toml' when path like '%/package.json' then 'package.json' when path like '%/pyproject.toml' then 'pyproject.toml' when path like '%/Cargo.toml' then 'Cargo.toml' end as base from {tree}
-        where not (path like '.%' or path like '%/.%' or path like '!_%' escape '!' or path like '%/!_%' escape '!' or path like 'vendor/%' or path like '%/vendor/%' or path like 'testdata/%' or path like '%/testdata/%' or path like 'node_modules/%' or path like '%/node_modules/%')) x where base is not null) y""",
+        where not (path like '.%' or path like '%/.%' or path like '!_%' escape '!' or path like '%/!_%' escape '!' or path like 'vendor/%' or path like '%/vendor/%' or path like 'testdata/%' or path like '%/testdata/%' or path like 'node_modules/%' or path like '%/node_modules/%')) x where base is not null) y"""
+
+SQL: dict[str, str] = {
     "src08_nested_modules": """select distinct substr(a.path, 1, length(a.path) - 7) as dir from {tree} a where a.path like '%/go.mod' and not exists (select 1 from {tree} b where b.path like '%/go.mod' and b.path <> a.path and a.path like substr(b.path, 1, length(b.path) - 6) || '%')""",
-    "src22_churn": "select pkg, path, churn from {files} where churn > 0",
     "src11_fixed_args": "select pkg, fixed_param as param, count(distinct fixed_value) as n_values, min(fixed_value) as first_value, count(*) as sites from {decls} where fixed_param <> '' group by pkg, fixed_param having count(distinct fixed_value) = 1",
     "snk03_reviewed_units": "select u.id, u.lane from {units} u where exists (select 1 from {reviewed} r where r.id = u.id)",
     "flt01_production": "select e.dst as id, e.src from {edges} e join {decls} d on e.src = d.id where not d.test and e.kind = 'caller'",
@@ -47,7 +48,6 @@ SQL: dict[str, str] = {
     "flt12_structure_findings": "select rule, package, target, decl from {findings} where rule in ('unstable-dep', 'envious-func', 'untested-package')",
     "flt13_needs_reading": "select u.id from {units} u where u.lane <= 1 and not exists (select 1 from {reviewed} r where r.id = u.id)",
     "flt14_outdated_notes": "select n.id, n.scope, split_part(n.scope, '@', 1) as same_change from {notes} n where not n.resolved and not exists (select 1 from {units} u where u.id = n.id and u.lane < 4)",
-    "flt15_watched": "select path from {tree} where (path like '%.go' or path like '%.toml' or path like '%.json' or path like '%go.mod') and path not like 'vendor/%' and path not like '!_%' escape '!'",
     "jn01_decl_lookup": "select e.src, e.dst, d.path, f.lines from {edges} e join {decls} d on e.dst = d.id join {files} f on d.pkg = f.pkg and d.path = f.path",
     "jn04_imported_by": "select p.pkg, i.src from {packages} p join {imports} i on i.dst = p.pkg",
     "jn05_full_outer": "select coalesce(h.id, b.id) as id, case when b.id is null then 'added' when h.id is null then 'removed' when h.shape <> b.shape or h.signature <> b.signature then 'changed' else 'same' end as change from {head_decls} h full outer join {base_decls} b on h.id = b.id",
@@ -86,7 +86,6 @@ SQL: dict[str, str] = {
           from (select path as key, k as seq, k % 29 = 0 as changed from {decls}) a) b) c) d""",
     "win13_lru_evict": "select pkg, path from (select pkg, path, test, row_number() over (order by churn desc, pkg, path) as r from {files}) x where r > 32 and not test",
     "set03_touched_union": "select id, min(pos) as pos from (select id, 0 as pos from {new_lines} union all select id, 1 as pos from {old_lines}) x group by id",
-    "set05_roots_union": "select distinct path from {head_files} union select distinct path from {base_files}",
     "gr07_owner": "select d.id, max(f.prefix) as owner from {decls} d join (select distinct substr(path, 1, 2) as prefix from {files} union select distinct split_part(path, '/', 1) from {files}) f on d.path like f.prefix || '%' group by d.id",
     "sc01_tier": "select id, case when lines > 120 then 2 when lines > 60 then 1 else 0 end as severity, case when lines > 120 then 'high limit' else 'limit' end as word from {decls}",
     "sc02_percent": "select pkg, cast(round(i * 100) as bigint) as pct from {instability}",
@@ -97,26 +96,21 @@ SQL: dict[str, str] = {
     "sc08_complexity_reason": "select h.id, case when b.id is not null and h.complexity <> b.complexity then 'complexity ' || cast(h.complexity as string) || ' (' || case when h.complexity > b.complexity then '+' else '' end || cast(h.complexity - b.complexity as string) || ')' when h.complexity > 10 then 'complexity ' || cast(h.complexity as string) else '' end as reason from {head_decls} h left join {base_decls} b on h.id = b.id",
     "sc15_plural": "select pkg, cast(count(*) as string) || case when count(*) = 1 then ' file' else ' files' end as text from {files} group by pkg",
     "sc16_keys": "select rule || '|' || package || '|' || file || '|' || decl || '|' || subject || '|' || target as key, severity from {findings}",
-    "sc20_scope": "select id, case when kind = 'type' then 'type ' || name when kind = 'method' then 'method ' || name else kind || ' ' || name end as scope from {decls}",
     "ui01_finding_items": "select rule || ': ' || subject as title, case when line = 0 then file else file || ':' || cast(line as string) end as place, detail as body, 'smell|' || rule || '|' || decl || '|' || file as key, package, target from {findings}",
     "ui04_notes_by_line": "select file, side, line, count(*) as n from {notes} where not resolved group by file, side, line",
     "ui05_first_line": "select path, coalesce(min(case when test then null else start_line end), min(start_line)) as first_line from {decls} group by path",
     "ui06_change_lines": "select id, case when added + deleted > 0 then added else 0 end as added, case when added + deleted > 0 then deleted else 0 end as deleted from {units}",
     "ui07_accept_noise": "select id from {units} where lane = 4 union select id from {reviewed}",
-    "ui08_related_refs": "select p.key, q.key as own_key from {prognoses} p join {prognoses} q on p.file = q.target and q.lens = 'tests' where p.lens = 'health'",
     "ui09_inbox_split": "select repo, case when sum(case when lane <= 1 and not reviewed then 1 else 0 end) > 0 then 'Needs reading' else 'Skim' end as part from {repo_units} group by repo",
     "ui10_unit_cards": "select id, lane, risk, change || ' ' || kind as label from {units}",
     "ui11_atlas_base": "select id from {units} where change <> 'added'",
-    "rv01_routes": "select path, case when path not like '%.go' and path not like '%.py' and path not like '%.ts' then 'file' when path like '%gen%' then 'file' else 'decls' end as route from {tree}",
     "rv11_merged_moves": "select m.from_id, m.to_id, case when o.lines = n.lines and o.signature = n.signature then 'moved' else 'modified' end as change, 'moved from ' || m.from_path as reason from {moved} m join {base_decls} o on o.id = m.from_id join {head_decls} n on n.id = m.to_id",
-    "rv05_file_units": "select path as id, cast(floor(least(sum(n), 40) / 4) as bigint) as risk from {head_hunks} group by path",
     "rv07_lanes": "select id, lane from {units}",
     "rv08_risks": "select id, risk from {units}",
     "rv10_removed_callers": "select g.id, e.src from {gone} g join {base_edges} e on e.dst = g.id and e.kind = 'caller' join {head_decls} h on h.id = e.src",
     "rv12_line_counts": "select id, added, deleted from {units}",
     "rv14_chips": "select u.id, count(f.rule) as smells, coalesce(max(g.n), 0) as new_callers, max(case when u.reasons like '%signature changed%' then 1 else 0 end) as resigned from {units} u left join {head_findings} f on f.decl = u.id left join (select x.dst as id, count(distinct x.src) as n from {edges_added} x where x.kind = 'caller' group by x.dst) g on g.id = u.id group by u.id",
     "tm05_dsm": "select a.pkg as row_pkg, r.pkg as col_pkg, cast(sum(r.n) as bigint) as n, max(case when u.target is not null then 1 else 0 end) as bad from {refs} r join {decls} a on r.decl = a.id join {imports} i on i.src = a.pkg and i.dst = r.pkg left join {unstable} u on u.package = a.pkg and u.target = r.pkg where not a.test group by a.pkg, r.pkg",
-    "tm02_inset": "select pkg, cast(10 + 2 as double) as x, cast(20 + 14 as double) as y, cast(greatest(0, 1000 - 4) as double) as w, cast(greatest(0, 600 - 16) as double) as h from {packages}",
     "tm04_marks": "select p.key, d.k as tile from {prognoses} p join {decls} d on p.target = d.id where d.lines > 0",
 }
 

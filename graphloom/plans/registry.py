@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import graphdiff, prognoses, review, smells, walks
-from graphloom.plans import linked, oracle, portable, texts, walked
+from graphloom.plans import linked, oracle, portable, ruled, texts, walked
 from graphloom.sources.binding import Graph, both_kept, bound, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +63,7 @@ def queries() -> dict[str, Query]:
         "rv02_units": _two(_units),
         "gr05_layers": _one(walks.layers),
     }
-    return out | portable.queries() | texts.QUERIES | walked.QUERIES | linked.QUERIES
+    return out | portable.queries() | texts.QUERIES | walked.QUERIES | linked.QUERIES | ruled.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
@@ -86,7 +86,7 @@ def oracle_sql() -> dict[str, str]:
         "jn03_decl_lines": sql("select * from {new_lines}"),
         "rv02_units": sql(oracle.UNITS),
     }
-    return out | portable.oracle_sql() | texts.oracle_sql() | walked.oracle_sql() | linked.oracle_sql()
+    return out | portable.oracle_sql() | texts.oracle_sql() | walked.oracle_sql() | linked.oracle_sql() | ruled.oracle_sql()
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -77,6 +77,17 @@ def from_git(spark: SparkSession, repo: str, base: str, head: str) -> DataFrame:
     return file_diffs(spark.createDataFrame([(f"{base}..{head}", text)], "diff_id string, text string"))
 
 
+def windowed(log: DataFrame, days: int) -> DataFrame:
+    """repo, path and churn: commits of a log (repo, sha, ts, path) in the days up to their repository's last one.
+
+    Commits are counted once a repository, path and time before repositories' ends are joined, a row each.
+    """
+    last = log.groupBy("repo").agg(F.max("ts").alias("last"))
+    own = log.select("repo", "path", "ts", "sha").distinct().groupBy("repo", "path", "ts").agg(F.count(F.lit(1)).alias("n"))
+    inside = own.join(last, "repo").where(F.col("ts") >= F.col("last") - F.expr(f"interval {days} days"))
+    return inside.groupBy("repo", "path").agg(F.sum("n").alias("churn"))
+
+
 def commits(spark: SparkSession, repo: str, rev: str = "HEAD", days: int = 90) -> DataFrame:
     """path and commits that touched it in the days up to the last commit."""
     out = subprocess.run(["git", "-C", repo, "log", "--no-renames", "--format=%x00%H%x00%cI", "--name-only", rev], check=True, capture_output=True, text=True).stdout
@@ -88,5 +99,4 @@ def commits(spark: SparkSession, repo: str, rev: str = "HEAD", days: int = 90) -
         elif line:
             rows.append((*now, line))
     log = spark.createDataFrame(rows, "sha string, ts string, path string").withColumn("ts", F.to_timestamp("ts"))
-    last = log.agg(F.max("ts").alias("last"))
-    return log.crossJoin(F.broadcast(last)).where(F.col("ts") >= F.col("last") - F.expr(f"interval {days} days")).groupBy("path").agg(F.countDistinct("sha").alias("churn"))  # one row
+    return windowed(log.withColumn("repo", F.lit(repo)), days).drop("repo")

@@ -59,6 +59,20 @@ def open_path(path: Column) -> Column:
     return ~F.exists(dirs, lambda d: F.startswith(d, F.lit(".")) | F.startswith(d, F.lit("_")) | d.isin(*SKIPPED))
 
 
+# Files that name dependencies, and folders whose files aren't watched besides hidden ones.
+PROJECT_FILES = ("go.mod", "go.sum", "Project.toml", "Manifest.toml", "package.json", "tsconfig.json", "pyproject.toml", "setup.py", "Cargo.toml", "Cargo.lock")
+
+
+def watched(path: Column) -> Column:
+    """Whether an edit of a file changes the analysis: a source or a file that names dependencies, in no folder that is hidden or one of SKIPPED."""
+    dirs = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - F.lit(1))
+    known = base(path).isin(*PROJECT_FILES)
+    for f in FRONTENDS:
+        for e in f.extensions:
+            known = known | F.endswith(path, F.lit(e))
+    return known & ~F.exists(dirs, lambda d: F.startswith(d, F.lit(".")) | d.isin(*SKIPPED))
+
+
 def roots(files: DataFrame) -> DataFrame:
     """dir and lang of every project among the paths of a tree, by dir and the order of frontends."""
     names = sorted({p for f in FRONTENDS for p in f.projects})

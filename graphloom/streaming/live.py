@@ -13,14 +13,16 @@ import threading
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-# What is watched, and folders that are not.
-EXTENSIONS = (".go", ".jl", ".ts", ".tsx", ".js", ".py", ".rs")
-PROJECT_FILES = ("go.mod", "go.sum", "Project.toml", "Manifest.toml", "package.json", "tsconfig.json", "pyproject.toml", "setup.py", "Cargo.toml", "Cargo.lock")
-SKIPPED = ("vendor", "node_modules", "testdata")
+from graphloom.sources import diffs
+from graphloom.sources.frontends import FRONTENDS, PROJECT_FILES, SKIPPED
+
+#: Endings of sources that are watched.
+EXTENSIONS = tuple(x for f in FRONTENDS for x in f.extensions)
 
 
 def watched(root: str) -> Iterator[tuple[str, int, int]]:
@@ -106,8 +108,34 @@ def watch(spark: SparkSession, root: str, load: Callable[[str], DataFrame], comm
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
-def churn(commits: DataFrame, days: int = 7) -> DataFrame:
-    """Commits (ts, path) per path in windows of event time, for streams and tables alike."""
-    from pyspark.sql import functions as F
+class Churn:
+    """Commits per path in the window that ends at each repository's last commit, kept from a stream of commits (repo, sha, ts, path).
+
+    Commits stand by day in a shared folder, a file for each batch that had some, and a batch that is run again writes its own
+    anew. A late commit goes to its day; the window moves when a repository's last commit does. Reading takes the days that the oldest window can reach alone, and
+    `expire` drops those that none can.
+    """
+
+    SCHEMA = "repo string, sha string, ts timestamp, path string, day date"
+
+    def __init__(self, spark: SparkSession, at: str, days: int = 90) -> None:
+        self.spark, self.at, self.days = spark, at, days
+
+    def apply(self, batch: int, commits: DataFrame) -> None:
+        rows = commits.select("repo", "sha", F.col("ts").cast("timestamp").alias("ts"), "path").distinct().withColumn("day", F.to_date("ts"))
+        rows.write.mode("overwrite").partitionBy("day").option("compression", "zstd").parquet(f"{self.at}/batch={batch}")
+
+    def _all(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.SCHEMA}, batch int").parquet(self.at)
+
+    def now(self) -> DataFrame:
+        """repo, path and churn after the batches so far."""
+        last = self._all().groupBy("repo").agg(F.max("ts").alias("last"))
+        oldest = last.agg(F.to_date(F.min("last") - F.expr(f"interval {self.days} days"))).first()[0]  # one date, so that older days aren't read
+        rows = self._all() if oldest is None else self._all().where(F.col("day") >= F.lit(oldest))
+        return diffs.windowed(rows, self.days)
 
-    return commits.withWatermark("ts", f"{days} days").groupBy(F.window("ts", f"{days} days").alias("w"), "path").agg(F.count(F.lit(1)).alias("churn")).select(F.col("w.start").alias("start"), "path", "churn")
+    def follow(self, commits: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
+        """Follows a stream; without a trigger's time, what is there now."""
+        out = commits.writeStream.foreachBatch(lambda rows, n: self.apply(n, rows)).option("checkpointLocation", checkpoint)
+        return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
