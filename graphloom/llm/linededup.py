@@ -116,7 +116,7 @@ def _numbers(c: Chunks) -> np.ndarray:
 def _repeated(rows: DataFrame, total: int) -> np.ndarray:
     """A bitmap of the chunk hashes that stand more than once, by their first bits; `rows` has the texts, `total` their bytes.
 
-    Tasks send sorted hashes by range; a range finds what it has twice and gives its slice of the bitmap.
+    Tasks send sorted hashes by range, two of each at most from what they hold; a range finds what it has twice and gives its slice of the bitmap.
     """
     bits = min(MOST_FILTER, max(LEAST_FILTER, (total // 8).bit_length()))
     parts = 1 << max(0, min(bits - 3, (total // PART).bit_length()))
@@ -124,6 +124,9 @@ def _repeated(rows: DataFrame, total: int) -> np.ndarray:
 
     def send(held: list[np.ndarray]) -> pa.RecordBatch:
         h = np.sort(np.concatenate(held))
+        some = np.ones(len(h), bool)
+        some[2:] = h[2:] != h[:-2]  # two of a hash tell that it stands more than once, however often a stock line does
+        h = h[some]
         at = [0, *np.searchsorted(h, edges).tolist(), len(h)]
         some = [p for p in range(parts) if at[p] < at[p + 1]]
         return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([h[at[p] : at[p + 1]].tobytes() for p in some], pa.binary())], names=["part", "hashes"])

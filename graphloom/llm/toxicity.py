@@ -7,12 +7,12 @@ bytes above 127, A-Z lower-cased) and their prefixes of 4, 5, 6 and 8 bytes, pre
 The labels say only whether a document is toxic. Of those that are, the ones whose share of features
 that favour toxicity is above the median have grade 2, the others grade 1; documents that are not have
 grade 0. The model is fit on at most `bound` labelled documents of either kind (those of the least
-hashes of their ids) and at most FEATURES features of those that are associated with the label; scoring
+hashes of their ids, of ids that documents have) and at most FEATURES features of those that are associated with the label; scoring
 reads every whole text.
 
 Defined cases: labels without id or value take no part, and several of one id count as toxic where one
 does; without labels of both kinds every severity is 0 and nothing is rejected; null and empty texts
-have no features; rows that repeat are scored alike, and one of them is used to fit; an empty table
+have no features; rows that repeat are scored alike, and one of them is used to fit, of several texts of an id the least; an empty table
 gives an empty one; further columns are kept by `keep_clean` and ignored by `score`.
 """
 
@@ -132,10 +132,11 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     """Fits in one task, as what it reads is bounded; the model is at most FEATURES numbers."""
     tune(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = known.join(docs.select(F.col(id).alias("doc_id")), "doc_id", "left_semi")  # a label without a document doesn't use up the bound
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.where("toxic > 0").orderBy(*order).limit(bound).unionByName(known.where("toxic <= 0").orderBy(*order).limit(bound))
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(some), "doc_id")  # 2 * bound rows of 12 bytes
-    rows = rows.dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))  # of several texts of an id, the least
 
     def distinct(data: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(data):
