@@ -118,7 +118,7 @@ def untested_package(g: Graph) -> DataFrame:
     tests = g.decls.where("test").select(F.col("id").alias("decl"), F.col("pkg").alias("home"))
     outside = g.refs.join(tests, "decl").where(F.col("pkg") != F.col("home")).select("pkg")
     p = g.packages.where("name <> 'main'").join(tested, "pkg", "left_anti").join(outside, "pkg", "left_anti")
-    return _row(p, "untested-package", INFO, F.col("pkg"), "", 0, "", F.col("rel"), "", 0, 0, "no tests reach it")
+    return _row(p, "untested-package", INFO, F.col("pkg"), "", 0, "", F.col("rel"), "", 0, 0, "no test refers to it")
 
 
 def middle_tally(g: Graph) -> DataFrame:

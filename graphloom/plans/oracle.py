@@ -50,7 +50,7 @@ SMELLS = {
     "dead_code": finding(f"{{decls}} where {ELIGIBLE} and kind <> 'method' and not (kind = 'func' and (name = 'init' or name = 'main' and pkg_name = 'main')) and not (exported and pkg_name <> 'main') and id not in (select dst from {{edges}} where kind = 'caller')", "dead-code", "case when kind = 'func' then 1 else 0 end", "'no references'"),
     "envious_func": finding(f"(select * from {{decls}} where {FUNCS} and pkg_name <> 'main') d join {{envy}} v on d.id = v.decl", "envious-func", "0", "v.n || ' refs to ' || substr(other, 6) || ', ' || own || ' to own package'", "v.n", "own", "other"),
     "unstable_dep": row("{imports} m join {instability} p on m.src = p.pkg join {instability} q on m.dst = q.pkg where q.name <> 'main' and q.i > p.i", "unstable-dep", "1", "m.src", "''", "0", "''", "p.rel", "m.dst", "round(q.i * 100)", "round(p.i * 100)", "format('imports {{}} (I={{:.2f}}) from I={{:.2f}}', q.rel, q.i, p.i)"),
-    "untested_package": row("{packages} where name <> 'main' and pkg not in (select pkg from {files} where test) and pkg not in (select r.pkg from {refs} r join {decls} d on r.decl = d.id where d.test and d.pkg <> r.pkg)", "untested-package", "0", "pkg", "''", "0", "''", "rel", "''", "0", "0", "'no tests reach it'"),
+    "untested_package": row("{packages} where name <> 'main' and pkg not in (select pkg from {files} where test) and pkg not in (select r.pkg from {refs} r join {decls} d on r.decl = d.id where d.test and d.pkg <> r.pkg)", "untested-package", "0", "pkg", "''", "0", "''", "rel", "''", "0", "0", "'no test refers to it'"),
     "pass_through": finding(f"{{decls}} where {FUNCS} and forwards <> '' and name <> 'init' and not (pkg_name = 'main' and name = 'main')", "pass-through", "0", "'only calls ' || forwards || ' with its own arguments'"),
     "fixed_arg": finding(f"{{decls}} where {FUNCS} and fixed_param <> '' and not escapes and calls >= 3 and not (exported and {PUBLIC})", "fixed-arg", "0", "fixed_param || ' is ' || fixed_value || ' at all ' || calls || ' production call sites'", "calls", "3"),
     "middle_man": finding(f"(select d.*, t.n, t.methods, t.field from {{decls}} d join {{tally}} t on d.pkg = t.pkg and d.name = t.recv where {ELIGIBLE} and kind = 'type' and not deprecated and t.methods >= 3 and 2 * t.n >= t.methods)", "middle-man", "0", "n || ' of ' || methods || ' methods only call ' || field || '''s'"),

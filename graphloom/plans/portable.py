@@ -65,7 +65,6 @@ SQL: dict[str, str] = {
     "agg11_gained": "select x.dst as id, count(*) as n from {edges_added} x left join {head_decls} c on x.src = c.id where not coalesce(c.test, false) group by x.dst",
     "agg12_new_callers": "select x.dst as id, count(distinct x.src) as n from {edges_added} x join {head_decls} c on x.src = c.id where x.kind = 'caller' and not c.test group by x.dst",
     "agg13_changed_lines": "select path, cast(sum(n) as bigint) as n from {head_hunks} group by path",
-    "agg14_summary": "select repo, count(*) as units, cast(max(added) as bigint) as added, cast(max(deleted) as bigint) as deleted from {repo_units} group by repo",
     "agg15_reading": "select repo, count(*) as units, count(case when reviewed then 1 end) as done, count(case when not reviewed and lane = 0 then 1 end) as contract, count(case when not reviewed and lane = 1 then 1 end) as logic, coalesce(max(case when not reviewed then risk end), 0) as risk from {repo_units} group by repo",
     "agg16_census": "select level, count(*) as n from {prognoses} group by level",
     "agg17_sections": "select lane, count(*) as n, count(case when reviewed then 1 end) as reviewed from {repo_units} group by lane",
@@ -79,7 +78,6 @@ SQL: dict[str, str] = {
     "win06_inbox_order": "select repo, row_number() over (order by case when sum(case when lane <= 1 and not reviewed then 1 else 0 end) > 0 then 0 else 1 end, max(risk) desc, repo) as pos from {repo_units} group by repo",
     "win08_lane_cap": "select id, lane from (select id, lane, row_number() over (partition by lane order by risk desc, file, name, id) as r from {units}) x where r <= 60",
     "win09_render_budget": "select id from (select id, sum(added + deleted) over (order by lane, risk desc, file, name, id rows between unbounded preceding and 1 preceding) as before_it from {repo_units} where lane <= 1 and not reviewed) x where coalesce(before_it, 0) < 3000",
-    "win11_basket_groups": "select pkg, kind, id, row_number() over (partition by pkg order by case kind when 'type' then 0 when 'func' then 1 when 'method' then 2 else 3 end, kind, k) as pos from {decls}",
     "win12_fold_rows": """select key, seq, kept from (select key, seq, len, pos, changed, first_run, last_run, case when changed or len <= 7 then true when first_run then pos > len - 3 when last_run then pos <= 3 else pos <= 3 or pos > len - 3 end as kept
       from (select key, seq, changed, run, count(*) over (partition by key, run) as len, row_number() over (partition by key, run order by seq) as pos, run = min(run) over (partition by key) as first_run, run = max(run) over (partition by key) as last_run
         from (select key, seq, changed, sum(case when changed then 1 else 0 end) over (partition by key order by seq) * 2 + case when changed then 0 else 1 end as run
@@ -95,11 +93,8 @@ SQL: dict[str, str] = {
     "sc07_heat": "select id, case when v <= 0 then 0 else least(5, 1 + cast(floor(cast(4.999 as double) * v / top) as bigint)) end as heat from (select d.id, d.complexity * f.churn as v, max(d.complexity * f.churn) over () as top from {decls} d join {files} f on d.pkg = f.pkg and d.path = f.path) x",
     "sc08_complexity_reason": "select h.id, case when b.id is not null and h.complexity <> b.complexity then 'complexity ' || cast(h.complexity as string) || ' (' || case when h.complexity > b.complexity then '+' else '' end || cast(h.complexity - b.complexity as string) || ')' when h.complexity > 10 then 'complexity ' || cast(h.complexity as string) else '' end as reason from {head_decls} h left join {base_decls} b on h.id = b.id",
     "sc15_plural": "select pkg, cast(count(*) as string) || case when count(*) = 1 then ' file' else ' files' end as text from {files} group by pkg",
-    "sc16_keys": "select rule || '|' || package || '|' || file || '|' || decl || '|' || subject || '|' || target as key, severity from {findings}",
-    "ui01_finding_items": "select rule || ': ' || subject as title, case when line = 0 then file else file || ':' || cast(line as string) end as place, detail as body, 'smell|' || rule || '|' || decl || '|' || file as key, package, target from {findings}",
     "ui04_notes_by_line": "select file, side, line, count(*) as n from {notes} where not resolved group by file, side, line",
     "ui05_first_line": "select path, coalesce(min(case when test then null else start_line end), min(start_line)) as first_line from {decls} group by path",
-    "ui06_change_lines": "select id, case when added + deleted > 0 then added else 0 end as added, case when added + deleted > 0 then deleted else 0 end as deleted from {units}",
     "ui07_accept_noise": "select id from {units} where lane = 4 union select id from {reviewed}",
     "ui09_inbox_split": "select repo, case when sum(case when lane <= 1 and not reviewed then 1 else 0 end) > 0 then 'Needs reading' else 'Skim' end as part from {repo_units} group by repo",
     "ui10_unit_cards": "select id, lane, risk, change || ' ' || kind as label from {units}",

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.hashes import LEVELS, changed_leaves, digest_tree, fnv1a64
-from graphloom.operators import build, handoff, layout, prognoses, sites
+from graphloom.operators import build, graphdiff, handoff, items, layout, prognoses, sites, smells
 from graphloom.plans import oracle, portable, walked
 from graphloom.plans.checkpoints import folder, stored
 from graphloom.plans.portable import TREE
 from graphloom.sources import diffs, frontends
-from graphloom.sources.binding import Graph, bound, versions
+from graphloom.sources.binding import Graph, both_kept, bound, versions
 from graphloom.streaming import live
 
 #: Scopes of all kinds, some without their parts.
@@ -177,6 +177,59 @@ def file_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.file_units(files, old, new).select("id", "change", "lane", "risk", "reasons", "added", "deleted")
 
 
+def finding_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _graph(spark, sf_dir, "decls", "edges", "files", "imports", "refs")
+    excerpts = handoff.excerpt(g.sql(walked.LINES), g.decls)
+    made = items.finding_items(smells.union(g), "wt", "tools", excerpts)
+    return made.select("key", "title", "place", "body", "check", F.array_join("code", "\n").alias("code"))
+
+
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of findings (two kinds), of threads of two steps, and of lines."""
+    g = _graph(spark, sf_dir, "decls", "edges", "files", "imports", "refs")
+    found = stored(smells.union(g))
+    lines = g.decls.select(F.lit("line").alias("of"), items.line_key(F.col("path"), F.when(F.col("test"), "-").otherwise("+"), F.col("start_line")).alias("key"))
+    threads = g.sql(CALLS).select(F.lit("thread").alias("of"), items.thread_key(F.array("dst", "src")).alias("key"))
+    return found.select(F.lit("finding").alias("of"), items.finding_key().alias("key")).unionByName(found.select(F.lit("smell").alias("of"), items.smell_key().alias("key"))).unionByName(lines).unionByName(threads)
+
+
+#: Changes of three kinds over two roots, and what their pull requests say of them.
+CHANGED = "select id, path as file, k, 'c' || cast(k % 3 as string) as change, case when b % 2 = 0 then '.' else 'tools' end as root from {head_decls} where k % 17 = 0 or k % 29 = 0"
+PULLS = "select 'c' || cast(k % 40 as string) as change, k % 3 = 0 as ready, lines as added, complexity as deleted, case when k % 4 <> 0 then k % 90 end as pr_added, case when k % 4 <> 0 then k % 70 end as pr_deleted, k from {decls}"
+
+
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, head = both_kept(*versions(spark, sf_dir))
+    units = spark.sql(CHANGED, head_decls=head.decls)
+    delta = graphdiff.findings_delta(base, head).where("change = 'introduced'").drop("change")
+    introduced = delta.join(units.select(F.col("id").alias("decl"), "change", "root"), "decl").select("change", "root")
+    return items.summaries(units, introduced, units.select("change", "root", (F.col("k") % 50).alias("added"), (F.col("k") % 31).alias("deleted")))
+
+
+def shown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items.change_lines(_graph(spark, sf_dir).sql(PULLS)).select("k", "shown_added", "shown_deleted")
+
+
+def lens_heats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heat of every declaration through each lens."""
+    g = _graph(spark, sf_dir, "decls", "edges", "files", "imports", "refs")
+    found = smells.union(g).where("decl <> ''").groupBy(F.col("decl").alias("id")).agg(F.sum(F.get(F.array(*map(F.lit, items.WEIGHTS)), F.col("severity").cast("int"))).alias("weight"), F.max("severity").alias("worst"))
+    d = stored(g.decls.join(g.files.select("pkg", "path", "churn"), ["pkg", "path"]).join(found, "id", "left").select("id", "churn", "complexity", "worst", (100 * F.coalesce("weight", F.lit(0)) / F.greatest("lines", F.lit(1))).alias("smells"), (F.col("churn") * F.col("complexity")).alias("hotspot")))
+    tops = F.broadcast(d.agg(F.max("churn").alias("top_churn"), F.max("hotspot").alias("top_hotspot")))  # one row
+    none = F.lit(0)
+    values = {"smells": none, "complexity": none, "churn": F.col("top_churn"), "hotspot": F.col("top_hotspot")}
+    heats = [F.struct(F.lit(n).alias("lens"), items.heat(n, F.col(n), top, F.col("worst") if n == "smells" else None).alias("heat")) for n, top in values.items()]
+    return d.crossJoin(tops).select("id", F.explode(F.array(*heats)).alias("h")).select("id", "h.*")
+
+
+#: Items of baskets: two repositories, kinds that are known and one that isn't.
+BASKET = "select pkg as basket, k as pos, 'r' || cast(k % 2 as string) as repo, case when k % 2 = 0 then 'zeta' else 'alpha' end as repo_name, case k % 6 when 0 then 'thread' when 1 then 'note' when 2 then 'prognosis' when 3 then 'finding' when 4 then 'introduced' else 'extra' end as kind, id from {decls}"
+
+
+def basket_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handoff.grouped(_graph(spark, sf_dir).sql(BASKET)).select("basket", "kind", "id", "place")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sc20_scope": scopes,
     "flt15_watched": watched_files,
@@ -193,6 +246,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ui04_margin_notes": margin_notes,
     "rv01_routes": routes,
     "rv05_file_units": file_units,
+    "ui01_finding_items": finding_items,
+    "sc16_keys": keys,
+    "agg14_summary": summary,
+    "ui06_change_lines": shown_lines,
+    "sc07_lens_heats": lens_heats,
+    "win11_basket_groups": basket_groups,
 }
 
 _WINDOW = "select c.repo, c.path, count(distinct c.sha) as churn from {commits} c where c.ts >= (select max(l.ts) from {commits} l where l.repo = c.repo) - interval 7 days group by c.repo, c.path"
@@ -231,6 +290,23 @@ ORACLES = {
           case when generated then 'generated' when name = 'go.sum' then 'checksums' when path in ('go.mod', 'Project.toml') then 'dependencies' when name = 'Manifest.toml' then 'resolved versions' when path like '%/testdata/%' then 'test fixture' when name = 'go.mod' then 'dependencies; in another module' when go and same then 'comments or layout only' when go then 'in another module' end], lambda x: x is not null), '; ') as reasons, added, deleted
         from (select *, split_part(path, '/', -1) as name, path like '%.go' as go, path like '%.go' and old_n between 1 and 1999 and k % 2 = 1 as same, case when path like '%.go' and old_n between 1 and 1999 then old_n + 1 - k % 2 else new_n end as now_n from {whole_files})""",
 }
+_LABEL = "case rule " + " ".join(f"when '{k}' then '{v}'" for k, v in items.LABELS.items()) + " end"
+_WHY = "case rule " + " ".join(f"when '{k}' then '" + v.replace("'", "''") + "'" for k, v in items.WHY.items()) + " end"
+ORACLES |= {
+    "ui01_finding_items": f"""select f.rule || ':' || coalesce(nullif(f.decl, ''), nullif(f.file, ''), f.package) || case when f.target <> '' then '->' || f.target else '' end as key, {_LABEL} || ': ' || subject as title, case when f.file = '' then subject else 'tools/' || f.file || case when f.line > 0 then ':' || f.line else '' end end as place,
+        case when detail <> '' then detail || '. ' else '' end || {_WHY} || case when f.target <> '' then ' Other package: ' || f.target || '.' else '' end as body, 'Re-read the code: the ' || lower({_LABEL}) || ' no longer applies to ' || subject || ', and the build and tests still pass.' as "check", coalesce(c.code, '') as code
+        from {{findings}} f left join ({walked.ORACLES['ui02_decl_lines']}) c on c.id = f.decl""",
+    "sc16_keys": "select 'finding' as of, rule || ':' || case when decl <> '' then decl when file <> '' then file else package end || case when target = '' then '' else '->' || target end as key from {findings} union all select 'smell', array_to_string([rule, decl, file, subject], '|') from {findings} union all select 'line', path || '|' || case when test then '-' else '+' end || '|' || start_line from {decls} union all select 'thread', dst || ' > ' || src from {calls}",
+    "agg14_summary": "with u as (select change, count(*) as units, count(distinct root) as roots from {changed} group by change), i as (select c.change, count(*) as introduced from {delta} d join {changed} c on c.id = d.decl where d.change = 'introduced' group by c.change), f as (select change, root, sum(k % 50) as added, sum(k % 31) as deleted from {changed} group by change, root) select u.change, units, roots, coalesce(introduced, 0) as introduced, (select max(added) from f where f.change = u.change)::bigint as added, (select max(deleted) from f where f.change = u.change)::bigint as deleted from u left join i on u.change = i.change",
+    "ui06_change_lines": "select k, case when ready or pr_added is null then added else pr_added end as shown_added, case when ready or pr_deleted is null then deleted else pr_deleted end as shown_deleted from {pulls}",
+    "sc07_lens_heats": """with w as (select decl as id, sum([1, 3, 9][severity + 1]) as weight, max(severity) as worst from {findings} where decl <> '' group by decl),
+        d as (select d.id, f.churn, d.complexity, w.worst, 100 * coalesce(w.weight, 0)::double / greatest(d.lines, 1) as smells, f.churn * d.complexity as hotspot from {decls} d join {files} f on d.pkg = f.pkg and d.path = f.path left join w on w.id = d.id)
+        select id, 'smells' as lens, cast(least(case when smells <= 0 then 0 when smells <= 1 then 1 when smells <= 3 then 2 when smells <= 6 then 3 when smells <= 12 then 4 else 5 end, coalesce([2, 4, 5][worst + 1], 5)) as bigint) as heat from d
+        union all select id, 'complexity', case when complexity <= 0 then 0 when complexity <= 5 then 1 when complexity <= 10 then 2 when complexity <= 15 then 3 when complexity <= 20 then 4 else 5 end from d
+        union all select id, 'churn', case when churn <= 0 then 0 else least(5, 1 + floor(4.999 * churn / (select max(churn) from d))) end from d
+        union all select id, 'hotspot', case when hotspot <= 0 then 0 else least(5, 1 + floor(4.999 * hotspot / (select max(hotspot) from d))) end from d""",
+    "win11_basket_groups": "select basket, kind, id, row_number() over (partition by basket order by repo_name, repo, coalesce(list_position(['finding', 'prognosis', 'introduced', 'note', 'thread'], kind), 6), kind, pos) as place from {basket}",
+}
 _BYTES = "list_reduce(list_prepend(14695981039346656037::uhugeint, list_transform(range(0, octet_length(encode({0})) ), lambda i: ('0x' || substr(hex({0}), (2 * i + 1)::int, 2))::uhugeint)), lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)"
 _HEX = "ltrim(printf('%08x', ({0} // 4294967296)::bigint) || printf('%08x', ({0} % 4294967296)::bigint), '0')"
 ORACLES["ui10_unit_ids"] = f"with t as (select id, '' as parent, 'u' as kind, id || '@' || shape as t from {{decls}} union all select src, dst, 'h', dst || chr(0) || src from {{calls}}), f as (select *, {_BYTES.format('t')} as f from t) select id, parent, kind || {_HEX.format('f')} as block from f"
@@ -239,7 +315,7 @@ ORACLES["ui10_unit_ids"] = f"with t as (select id, '' as parent, 'u' as kind, id
 def oracle_sql() -> dict[str, str]:
     more = {
         "scopes": SCOPES, "listing": LISTING, "later": LATER, "commits": COMMITS, "source": SOURCE, "calls": CALLS, "margin": MARGIN, "margin_units": MARGIN_UNITS, "margin_lines": MARGIN_LINES, "margin_shown": MARGIN_SHOWN,
-        "diff_files": DIFF_FILES, "whole_files": WHOLE_FILES, "tree": TREE, "base_tree": TREE.replace("{decls}", "{base_decls}"), "head_tree": TREE.replace("{decls}", "{head_decls}"), "all_prognoses": oracle.ALL_PROGNOSES,
+        "diff_files": DIFF_FILES, "whole_files": WHOLE_FILES, "tree": TREE, "base_tree": TREE.replace("{decls}", "{base_decls}"), "head_tree": TREE.replace("{decls}", "{head_decls}"), "all_prognoses": oracle.ALL_PROGNOSES, "file_lines": walked.DUCK_LINES, "findings": oracle.FINDINGS, "delta": oracle.DIFFS["findings_delta"], "changed": CHANGED, "pulls": PULLS, "basket": BASKET,
     }
     more["related"] = walked.ORACLES["pg14_related"]
     return {n: oracle.ctes(t, **oracle.SHARED, **more) for n, t in ORACLES.items()}

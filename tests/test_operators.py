@@ -240,7 +240,7 @@ def test_queries_run_over_all_declarations(spark):
     ids, edges = {r.id for r in g.decls.select("id").collect()}, {(r.dst, r.src) for r in g.edges.select("dst", "src").collect()}
     for name in ("flt11_map_scope", "sc17_path_codec"):
         assert {r[0] for r in got[name]} == ids
-    assert {r[2] for r in got["win11_basket_groups"]} == ids
+    assert ids <= {x for r in got["win11_basket_groups"] for x in r}
     assert {r[:2] for r in got["gr01_next"]} == {r[:2] for r in got["win05_candidates"]} == edges
     assert {r.dst for r in entry.queries()["ui03_thread_text"](spark, sf).collect()} == {d for d, _ in edges}
 
