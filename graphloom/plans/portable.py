@@ -99,7 +99,6 @@ SQL: dict[str, str] = {
     "ui09_inbox_split": "select repo, case when sum(case when lane <= 1 and not reviewed then 1 else 0 end) > 0 then 'Needs reading' else 'Skim' end as part from {repo_units} group by repo",
     "ui10_unit_cards": "select id, lane, risk, change || ' ' || kind as label from {units}",
     "ui11_atlas_base": "select id from {units} where change <> 'added'",
-    "rv11_merged_moves": "select m.from_id, m.to_id, case when o.lines = n.lines and o.signature = n.signature then 'moved' else 'modified' end as change, 'moved from ' || m.from_path as reason from {moved} m join {base_decls} o on o.id = m.from_id join {head_decls} n on n.id = m.to_id",
     "rv07_lanes": "select id, lane from {units}",
     "rv08_risks": "select id, risk from {units}",
     "rv10_removed_callers": "select g.id, e.src from {gone} g join {base_edges} e on e.dst = g.id and e.kind = 'caller' join {head_decls} h on h.id = e.src",

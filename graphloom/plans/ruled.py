@@ -222,6 +222,25 @@ def lens_heats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.crossJoin(tops).select("id", F.explode(F.array(*heats)).alias("h")).select("id", "h.*")
 
 
+def _source_texts(decls: DataFrame, edited: bool) -> DataFrame:
+    """path and text of files whose lines tell their declaration; some are other in the later version."""
+    mark = F.when(F.lit(edited) & (F.col("k") % 46 == 0), "!").otherwise("")
+    lines = decls.select("path", F.explode(F.sequence("start_line", "end_line")).alias("line"), F.concat("name", mark).alias("said"), "start_line")
+    lines = lines.select("path", "line", F.concat("said", F.lit(":"), (F.col("line") - F.col("start_line")).cast("string")).alias("t"))
+    ends = lines.groupBy("path").agg(F.max("line").alias("n")).select("path", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("line"))
+    every = ends.join(lines, ["path", "line"], "left").select("path", F.struct("line", F.coalesce("t", F.lit("")).alias("t")).alias("x"))
+    return every.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n").alias("text"))  # a file's text
+
+
+def merged_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of a change in which a declaration that has moved is one."""
+    from graphloom.plans.registry import _units
+
+    base, head = both_kept(*versions(spark, sf_dir), "decls", "edges")
+    made = build.merged_moves(stored(_units(base, head)), base, head, stored(_source_texts(base.decls, False)), stored(_source_texts(head.decls, True)))
+    return made.select("id", "file", "change", "lane", "risk", "reasons")
+
+
 #: Items of baskets: two repositories, kinds that are known and one that isn't.
 BASKET = "select pkg as basket, k as pos, 'r' || cast(k % 2 as string) as repo, case when k % 2 = 0 then 'zeta' else 'alpha' end as repo_name, case k % 6 when 0 then 'thread' when 1 then 'note' when 2 then 'prognosis' when 3 then 'finding' when 4 then 'introduced' else 'extra' end as kind, id from {decls}"
 
@@ -252,6 +271,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ui06_change_lines": shown_lines,
     "sc07_lens_heats": lens_heats,
     "win11_basket_groups": basket_groups,
+    "rv11_merged_moves": merged_moves,
 }
 
 _WINDOW = "select c.repo, c.path, count(distinct c.sha) as churn from {commits} c where c.ts >= (select max(l.ts) from {commits} l where l.repo = c.repo) - interval 7 days group by c.repo, c.path"
@@ -298,6 +318,12 @@ ORACLES |= {
         from {{findings}} f left join ({walked.ORACLES['ui02_decl_lines']}) c on c.id = f.decl""",
     "sc16_keys": "select 'finding' as of, rule || ':' || case when decl <> '' then decl when file <> '' then file else package end || case when target = '' then '' else '->' || target end as key from {findings} union all select 'smell', array_to_string([rule, decl, file, subject], '|') from {findings} union all select 'line', path || '|' || case when test then '-' else '+' end || '|' || start_line from {decls} union all select 'thread', dst || ' > ' || src from {calls}",
     "agg14_summary": "with u as (select change, count(*) as units, count(distinct root) as roots from {changed} group by change), i as (select c.change, count(*) as introduced from {delta} d join {changed} c on c.id = d.decl where d.change = 'introduced' group by c.change), f as (select change, root, sum(k % 50) as added, sum(k % 31) as deleted from {changed} group by change, root) select u.change, units, roots, coalesce(introduced, 0) as introduced, (select max(added) from f where f.change = u.change)::bigint as added, (select max(deleted) from f where f.change = u.change)::bigint as deleted from u left join i on u.change = i.change",
+    "rv11_merged_moves": """with r as (select * from {units} where change = 'removed' and kind <> ''), a as (select * from {units} where change = 'added' and kind <> ''),
+        p1 as (select m.from_id as r, m.to_id as u from {moved} m where m.from_id in (select id from r) and m.to_id in (select id from a)),
+        p2 as (select x.r, y.u from (select name, kind, min(id) as r from r where id not in (select r from p1) group by name, kind having count(*) = 1) x join (select name, kind, min(id) as u from a where id not in (select u from p1) group by name, kind having count(*) = 1) y on x.name = y.name and x.kind = y.kind),
+        p as (select p.*, b.path as from_file, greatest(b.lines, 1) = greatest(h.lines, 1) and h.k % 46 <> 0 as same from (select * from p1 union all select * from p2) p join {base_decls} b on b.id = p.r join {head_decls} h on h.id = p.u)
+        select u.id, u.file, case when p.same then 'moved' when not p.same then 'modified' else u.change end as change, case when p.same then 4 else u.lane end as lane, case when p.same then 0 else u.risk end as risk,
+          case when p.u is null then u.reasons when p.same or u.reasons = '' then 'moved from ' || p.from_file else 'moved from ' || p.from_file || '; ' || u.reasons end as reasons from {units} u left join p on p.u = u.id where u.id not in (select r from p)""",
     "ui06_change_lines": "select k, case when ready or pr_added is null then added else pr_added end as shown_added, case when ready or pr_deleted is null then deleted else pr_deleted end as shown_deleted from {pulls}",
     "sc07_lens_heats": """with w as (select decl as id, sum([1, 3, 9][severity + 1]) as weight, max(severity) as worst from {findings} where decl <> '' group by decl),
         d as (select d.id, f.churn, d.complexity, w.worst, 100 * coalesce(w.weight, 0)::double / greatest(d.lines, 1) as smells, f.churn * d.complexity as hotspot from {decls} d join {files} f on d.pkg = f.pkg and d.path = f.path left join w on w.id = d.id)
@@ -315,7 +341,7 @@ ORACLES["ui10_unit_ids"] = f"with t as (select id, '' as parent, 'u' as kind, id
 def oracle_sql() -> dict[str, str]:
     more = {
         "scopes": SCOPES, "listing": LISTING, "later": LATER, "commits": COMMITS, "source": SOURCE, "calls": CALLS, "margin": MARGIN, "margin_units": MARGIN_UNITS, "margin_lines": MARGIN_LINES, "margin_shown": MARGIN_SHOWN,
-        "diff_files": DIFF_FILES, "whole_files": WHOLE_FILES, "tree": TREE, "base_tree": TREE.replace("{decls}", "{base_decls}"), "head_tree": TREE.replace("{decls}", "{head_decls}"), "all_prognoses": oracle.ALL_PROGNOSES, "file_lines": walked.DUCK_LINES, "findings": oracle.FINDINGS, "delta": oracle.DIFFS["findings_delta"], "changed": CHANGED, "pulls": PULLS, "basket": BASKET,
+        "diff_files": DIFF_FILES, "whole_files": WHOLE_FILES, "tree": TREE, "base_tree": TREE.replace("{decls}", "{base_decls}"), "head_tree": TREE.replace("{decls}", "{head_decls}"), "all_prognoses": oracle.ALL_PROGNOSES, "file_lines": walked.DUCK_LINES, "findings": oracle.FINDINGS, "delta": oracle.DIFFS["findings_delta"], "changed": CHANGED, "pulls": PULLS, "basket": BASKET, "units": oracle.UNITS,
     }
     more["related"] = walked.ORACLES["pg14_related"]
     return {n: oracle.ctes(t, **oracle.SHARED, **more) for n, t in ORACLES.items()}
