@@ -107,9 +107,14 @@ def package_lines(g: Graph) -> DataFrame:
     return g.files.groupBy("pkg").agg(F.sum(F.when(~F.col("test"), F.col("lines")).otherwise(0)).alias("lines"), F.count_if(~F.col("test")).alias("n_files"))
 
 
+def dominating(packages: DataFrame, share: int = DOMINANT_SHARE, least: int = DOMINANT_LINES) -> DataFrame:
+    """Packages that hold so much of the module's lines (`all`)."""
+    of_all = packages.crossJoin(F.broadcast(packages.agg(F.sum("lines").alias("all"))))  # one row
+    return of_all.where((F.col("all") >= least) & (F.col("lines") * 100 >= F.col("all") * share))
+
+
 def dominant(g: Graph, share: int = DOMINANT_SHARE, least: int = DOMINANT_LINES) -> DataFrame:
-    p = package_lines(g).withColumn("all", F.sum("lines").over(Window.partitionBy()))
-    p = p.where((F.col("all") >= least) & (F.col("lines") * 100 >= F.col("all") * share))
+    p = dominating(package_lines(g), share, least)
     text = F.concat(F.format_string("%s holds %d%% of the module's code, in ", rel_of(F.col("pkg"), g.module), F.floor(F.col("lines") * 100 / F.col("all"))), plural(F.col("n_files"), "file"), F.lit("."))
     return _row(p, F.concat(F.lit("dominant:"), "pkg"), "structure", 2, F.col("pkg"), rel_of(F.col("pkg"), g.module), "", 0, "One package holds most of the code", text)
 
@@ -119,9 +124,14 @@ def surface(g: Graph) -> DataFrame:
     return g.decls.join(g.files.where("not test").select("pkg", "path"), ["pkg", "path"], "left_semi")
 
 
-def wide(g: Graph) -> DataFrame:
+def surfaces(g: Graph) -> DataFrame:
+    """Imported packages that export most of what they hold: pkg, n declarations and exp of them exported."""
     s = surface(g).groupBy("pkg").agg(F.count(F.lit(1)).alias("n"), F.count_if("exported").alias("exp"))
-    s = s.join(g.imports.select(F.col("dst").alias("pkg")), "pkg", "left_semi").where((F.col("n") >= WIDE_MIN) & (F.col("exp") * 100 > F.col("n") * WIDE_SHARE))
+    return s.join(g.imports.select(F.col("dst").alias("pkg")), "pkg", "left_semi").where((F.col("n") >= WIDE_MIN) & (F.col("exp") * 100 > F.col("n") * WIDE_SHARE))
+
+
+def wide(g: Graph) -> DataFrame:
+    s = surfaces(g)
     text = F.format_string("%s exports %d of its %d declarations.", rel_of(F.col("pkg"), g.module), "exp", "n")
     return _row(s, F.concat(F.lit("wide:"), "pkg"), "structure", 1, F.col("pkg"), rel_of(F.col("pkg"), g.module), "", 0, "Exports most of what it holds", text)
 
@@ -138,11 +148,16 @@ def unstable(g: Graph) -> DataFrame:
     return _row(f, F.concat(F.lit("unstable:"), "package", F.lit(">"), "target"), "structure", 2, F.col("package"), rel_of(F.col("package"), g.module), "", 0, "Depends on something that changes more than it does", text)
 
 
-def params(g: Graph) -> DataFrame:
-    """One prognosis for three or more functions of a package with many parameters, else one for each."""
+def crowded(g: Graph) -> DataFrame:
+    """Functions with many parameters, numbered (`pos`) in their package, which has `n` of them."""
     d = smells.funcs(g).where(F.col("params") > smells.MANY_PARAMS)
     in_pkg = Window.partitionBy("pkg")
-    d = d.withColumn("n", F.count(F.lit(1)).over(in_pkg)).withColumn("pos", F.row_number().over(in_pkg.orderBy(F.desc("params"), "id"))).where((F.col("n") < CLUSTER) | (F.col("pos") == 1))
+    return d.withColumn("n", F.count(F.lit(1)).over(in_pkg)).withColumn("pos", F.row_number().over(in_pkg.orderBy(F.desc("params"), "id")))
+
+
+def params(g: Graph) -> DataFrame:
+    """One prognosis for three or more functions of a package with many parameters, else one for each."""
+    d = crowded(g).where((F.col("n") < CLUSTER) | (F.col("pos") == 1))
     many = F.col("n") >= CLUSTER
     text = F.when(many, F.format_string(f"%d functions in %s take more than {smells.MANY_PARAMS} parameters, up to %d in %s.", "n", rel_of(F.col("pkg"), g.module), "params", "name")).otherwise(F.format_string("%s takes %d parameters.", "name", "params"))
     out = _row(d, F.concat(F.lit("params:"), F.when(many, F.col("pkg")).otherwise(F.col("id"))), "tests", F.when(many, 2).otherwise(1), F.col("id"), F.col("name"), F.col("path"), F.col("start_line"), "", text)
@@ -192,28 +207,21 @@ def heats(g: Graph) -> DataFrame:
     return d.select("id", *(c.cast("bigint").alias(n) for n, c in made))
 
 
-def _facts(df: DataFrame, key: Column, *facts: tuple[str, Column, int]) -> DataFrame:
-    each = F.array(*(F.struct(F.lit(label).alias("label"), value.cast("bigint").alias("value"), F.lit(limit).cast("bigint").alias("limit_value")) for label, value, limit in facts))
+def listed(df: DataFrame, key: Column, *facts: tuple[str, Column, Column | int]) -> DataFrame:
+    """key, pos, label, value and limit_value of measures that stand in columns."""
+    limit_of = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("bigint").alias("limit_value")
+    each = F.array(*(F.struct(F.lit(label).alias("label"), value.cast("bigint").alias("value"), limit_of(limit)) for label, value, limit in facts))
     return df.select(key.alias("key"), F.posexplode(each).alias("pos", "f")).select("key", F.col("pos").cast("bigint").alias("pos"), "f.*")
 
 
 def facts(g: Graph, least: int = REACH_CALLERS) -> DataFrame:
-    """key, pos, label, value and limit_value (0 where there is none): the measures behind prognoses of declarations, packages and imports."""
+    """key, pos, label, value and limit_value (0 where there is none): the measures behind prognoses of hard, widely used and unstable code; `evidence.facts` has all."""
     m = measured(g).where(F.col("complexity") > smells.COMPLEX_FUNC[0])
     keys = F.array_compact(F.array(F.concat(F.when(F.col("busy"), "hotspot:").otherwise("complex:"), F.col("id")), F.when(F.col("tests") == 0, F.concat(F.lit("untested:"), "id"))))
-    hard = _facts(m.withColumn("key", F.explode(keys)), F.col("key"), ("paths through it (complexity)", F.col("complexity"), smells.COMPLEX_FUNC[0]), ("commits to its file lately", F.col("churn"), 0), ("lines", F.col("lines"), smells.LONG_FUNC[0]), ("tests that call it", F.col("tests"), 0))
+    hard = listed(m.withColumn("key", F.explode(keys)), F.col("key"), ("paths through it (complexity)", F.col("complexity"), smells.COMPLEX_FUNC[0]), ("commits to its file lately", F.col("churn"), 0), ("lines", F.col("lines"), smells.LONG_FUNC[0]), ("tests that call it", F.col("tests"), 0))
     c = calling_packages(g).groupBy("id").agg(F.sum("n").alias("users"), F.count(F.lit(1)).alias("pkgs")).where(F.col("users") >= least)
     c = c.join(g.decls.where("not test").select("id"), "id", "left_semi").join(callers(g).select("id", "tests"), "id", "left").na.fill(0, ["tests"])
-    wide_ = _facts(c, F.concat(F.lit("reach:"), "id"), ("declarations that use it", F.col("users"), REACH_CALLERS), ("packages that use it", F.col("pkgs"), 0), ("tests that call it", F.col("tests"), 0))
+    wide_ = listed(c, F.concat(F.lit("reach:"), "id"), ("declarations that use it", F.col("users"), REACH_CALLERS), ("packages that use it", F.col("pkgs"), 0), ("tests that call it", F.col("tests"), 0))
     u = smells.unstable_dep(g)
-    less = _facts(u, F.concat(F.lit("unstable:"), "package", F.lit(">"), "target"), ("instability of the imported package, %", F.col("measure"), 0), ("instability of this package, %", F.col("limit_value"), 0))
+    less = listed(u, F.concat(F.lit("unstable:"), "package", F.lit(">"), "target"), ("instability of the imported package, %", F.col("measure"), 0), ("instability of this package, %", F.col("limit_value"), 0))
     return hard.unionByName(wide_).unionByName(less)
-
-
-def related(g: Graph) -> DataFrame:
-    """key, pos and id of the first production callers of declarations with many paths, eight at most."""
-    m = measured(g).where(F.col("complexity") > smells.COMPLEX_FUNC[0])
-    c = g.edges.where("kind = 'caller'").join(g.decls.where("not test").select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"), F.col("src").alias("caller"))
-    pos = F.row_number().over(Window.partitionBy("id").orderBy("caller"))
-    first = c.join(m.select("id", "busy"), "id").withColumn("pos", pos.cast("bigint")).where(F.col("pos") <= RELATED)
-    return first.select(F.concat(F.when(F.col("busy"), "hotspot:").otherwise("complex:"), F.col("id")).alias("key"), "pos", F.col("caller").alias("id"))

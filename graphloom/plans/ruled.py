@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.hashes import LEVELS, changed_leaves, digest_tree, fnv1a64
-from graphloom.operators import build, graphdiff, handoff, items, layout, prognoses, sites, smells
+from graphloom.operators import build, evidence, graphdiff, handoff, items, layout, prognoses, sites, smells
 from graphloom.plans import oracle, portable, walked
 from graphloom.plans.checkpoints import folder, stored
 from graphloom.plans.portable import TREE
@@ -113,7 +113,7 @@ def related_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _graph(spark, sf_dir, "decls", "edges", "files", "imports", "refs")
     every = stored(prognoses.union(g))
     own = every.select(F.col("target").alias("id"), F.struct(F.lit(0) - F.col("level"), "lens", F.col("key")).alias("rank"))
-    rel = prognoses.related(g)
+    rel = stored(evidence.related(g, least=20, share=5))
     first = rel.join(own, "id").where(F.col("rank.key") != F.col("key")).groupBy("key", "pos").agg(F.min("rank").alias("rank"))
     return rel.join(first, ["key", "pos"], "left").select("key", "pos", "id", F.coalesce("rank.key", F.lit("")).alias("own_key"))
 
@@ -343,5 +343,5 @@ def oracle_sql() -> dict[str, str]:
         "scopes": SCOPES, "listing": LISTING, "later": LATER, "commits": COMMITS, "source": SOURCE, "calls": CALLS, "margin": MARGIN, "margin_units": MARGIN_UNITS, "margin_lines": MARGIN_LINES, "margin_shown": MARGIN_SHOWN,
         "diff_files": DIFF_FILES, "whole_files": WHOLE_FILES, "tree": TREE, "base_tree": TREE.replace("{decls}", "{base_decls}"), "head_tree": TREE.replace("{decls}", "{head_decls}"), "all_prognoses": oracle.ALL_PROGNOSES, "file_lines": walked.DUCK_LINES, "findings": oracle.FINDINGS, "delta": oracle.DIFFS["findings_delta"], "changed": CHANGED, "pulls": PULLS, "basket": BASKET, "units": oracle.UNITS,
     }
-    more["related"] = walked.ORACLES["pg14_related"]
+    more |= walked.EVIDENCE | {"related": walked.ORACLES["pg14_related"]}
     return {n: oracle.ctes(t, **oracle.SHARED, **more) for n, t in ORACLES.items()}

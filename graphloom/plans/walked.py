@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.ordered import numbered, prefixes
 from graphloom.functions.scalars import join_path, split_path
-from graphloom.operators import graphdiff, handoff, prognoses, review, smells, walks
+from graphloom.operators import evidence, graphdiff, handoff, prognoses, review, smells, walks
 from graphloom.plans import oracle
 from graphloom.plans.portable import TREE
 from graphloom.sources import store
@@ -196,11 +196,11 @@ def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prognosis_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prognoses.facts(bound(spark, sf_dir).kept(), least=20)
+    return evidence.facts(bound(spark, sf_dir).kept(), least=20, share=5)
 
 
 def prognosis_related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prognoses.related(bound(spark, sf_dir).kept("decls", "edges", "files"))
+    return evidence.related(bound(spark, sf_dir).kept(), least=20, share=5)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -251,6 +251,17 @@ with recursive p as (select row_number() over (order by pkg) as i, pkg from {pac
 select p.pkg, l.layer[p.i] as layer from p, (select arg_max(layer, step) as layer from w) l
 """
 
+#: What DuckDB's texts of facts and related places share; packages that hold a twentieth stand in for those that hold half.
+EVIDENCE = {
+    "unstable": oracle.SMELLS["unstable_dep"], "large": oracle.SMELLS["large_file"], "bare": oracle.SMELLS["untested_package"],
+    "most": "select * from (select *, sum(lines) over () as total from {pkg_lines}) where total >= 1000 and lines * 100 >= total * 5",
+    "exporting": "select d.pkg, count(*) as n, count(*) filter (d.exported) as exp from {decls} d join {files} f on d.pkg = f.pkg and d.path = f.path where not f.test and d.pkg in (select dst from {imports}) group by d.pkg having count(*) >= 8 and count(*) filter (d.exported) * 100 > count(*) * 60",
+    "crowd": f"select *, count(*) over (partition by pkg) as n, row_number() over (partition by pkg order by params desc, id) as pos from {{decls}} where params > 5 and {oracle.FUNCS}",
+}
+_LABEL = "case when starts_with(d.id, d.pkg || '.' || d.name || '(') then d.name || substr(d.id, length(d.pkg || '.' || d.name) + 1) else d.name end"
+_CALLED = """select case when busy then 'hotspot:' else 'complex:' end || id as key, id, 'calls it, so a change in behaviour reaches it' as why from {measured} where not test and complexity > 10
+          union all select 'untested:' || id, id, 'calls it; its own tests may reach it indirectly' from {measured} where not test and complexity > 10 and tests = 0
+          union all select 'params:' || id, id, 'calls it, and would change with its parameters' from {crowd} where n < 3"""
 ORACLES = {
     "gr05_layers": "select pkg, layer from {layers}",
     "win10_dsm_order": "select pkg, layer, row_number() over (order by layer desc, pkg) as pos from {layers}",
@@ -274,8 +285,22 @@ ORACLES = {
         u as (select 'unstable:' || package || '>' || target as key, measure, limit_value from {unstable})
         select key, 0::bigint as pos, 'paths through it (complexity)' as label, complexity::bigint as value, 10::bigint as limit_value from k union all select key, 1, 'commits to its file lately', churn, 0 from k union all select key, 2, 'lines', lines, 60 from k union all select key, 3, 'tests that call it', tests, 0 from k
         union all select 'reach:' || id, 0, 'declarations that use it', users::bigint, 50 from r union all select 'reach:' || id, 1, 'packages that use it', pkgs, 0 from r union all select 'reach:' || id, 2, 'tests that call it', tests, 0 from r
-        union all select key, 0, 'instability of the imported package, %', measure, 0 from u union all select key, 1, 'instability of this package, %', limit_value, 0 from u""",
-    "pg14_related": "select case when busy then 'hotspot:' else 'complex:' end || id as key, pos, caller as id from (select m.id, m.busy, e.src as caller, row_number() over (partition by m.id order by e.src) as pos from {measured} m join {edges} e on e.dst = m.id and e.kind = 'caller' join {decls} d on e.src = d.id where not m.test and m.complexity > 10 and not d.test) where pos <= 8",
+        union all select key, 0, 'instability of the imported package, %', measure, 0 from u union all select key, 1, 'instability of this package, %', limit_value, 0 from u
+        union all select 'dominant:' || pkg, unnest([0, 1, 2]), unnest(['share of the module''s lines, %', 'lines', 'files']), unnest([lines * 100 // total, lines, n_files])::bigint, unnest([50, 0, 0]) from {most}
+        union all select 'wide:' || pkg, unnest([0, 1, 2]), unnest(['declarations exported, %', 'exported', 'declarations']), unnest([exp * 100 // n, exp, n])::bigint, unnest([60, 0, 0]) from {exporting}
+        union all select 'params:' || pkg, unnest([0, 1]), unnest(['functions with too many parameters', 'most parameters in one']), unnest([count(*), max(params)])::bigint, unnest([3, 5]) from {crowd} where n >= 3 group by pkg
+        union all select 'params:' || id, 0, 'parameters', params, 5 from {crowd} where n < 3
+        union all select 'large-file:' || l.file, unnest([0, 1]), unnest(['lines of code', 'commits lately']), unnest([l.measure, f.churn])::bigint, unnest([l.limit_value, 0]) from {large} l join {files} f on l.package = f.pkg and l.file = f.path
+        union all select 'untested-pkg:' || l.pkg, unnest([0, 1]), unnest(['lines', 'test files']), unnest([l.lines, 0])::bigint, 0 from {bare} u join {pkg_lines} l on u.package = l.pkg""",
+    "pg14_related": f"""select key, pos, id, name, why from (select *, row_number() over (partition by key order by rank, id) as pos from (
+        select t.key, row((0)::bigint, '', (0)::bigint) as rank, d.id, {_LABEL} as name, t.why from ({_CALLED}) t join {{edges}} e on e.dst = t.id and e.kind = 'caller' join {{decls}} d on e.src = d.id where not d.test
+        union all select 'reach:' || id, row((-n)::bigint, "from", (0)::bigint), "from", substr("from", 6), {oracle.plural('n', 'declaration')} || ' here call it' from (select *, sum(n) over (partition by id) as callers from {{calling}}) c where callers >= 20 and id in (select id from {{decls}} where not test)
+        union all select 'dominant:' || f.pkg, row((-f.lines)::bigint, f.path, (0)::bigint), f.path, split_part(f.path, '/', -1), f.lines || ' lines, ' || {oracle.plural('f.churn', 'commit')} || ' lately' from {{most}} m join {{files}} f on f.pkg = m.pkg where not f.test
+        union all select 'wide:' || d.pkg, row((coalesce(o.n, 0))::bigint, d.path, (d.start_line)::bigint), d.id, {_LABEL}, case when o.n is null then 'no caller in other packages of the module' else 'used ' || {oracle.plural('o.n', 'time')} || ' from other packages' end
+          from {{exporting}} x join {{decls}} d on d.pkg = x.pkg join {{files}} f on f.pkg = d.pkg and f.path = d.path left join (select c.id, sum(c.n)::bigint as n from {{calling}} c join {{decls}} t on c.id = t.id where c."from" <> t.pkg group by c.id) o on o.id = d.id where d.exported and not f.test
+        union all select 'unstable:' || package || '>' || target, row((0)::bigint, '', (0)::bigint), target, substr(target, 6), 'the less stable package it imports' from {{unstable}}
+        union all select 'params:' || pkg, row((-params)::bigint, id, (0)::bigint), id, {_LABEL}, 'takes ' || params || ' parameters' from {{crowd}} d where n >= 3 and pos > 1
+        union all select 'large-file:' || l.file, row((-d.lines)::bigint, '', (d.start_line)::bigint), d.id, {_LABEL}, d.lines || ' lines' from {{large}} l join {{decls}} d on d.pkg = l.package and d.path = l.file)) where pos <= 8""",
     "pg05_dominant_twentieth": oracle.PROGNOSES["dominant"].replace("total * 50", "total * 5"),
     "sm10_untested_few_tests": oracle.SMELLS["untested_package"],
     "pg11_untested_few_tests": oracle.PROGNOSES["untested_package"],
@@ -283,7 +308,7 @@ ORACLES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    more = {"steps": STEPS, "file_lines": DUCK_LINES, "items": ITEMS, "moves": MOVES, "tree": TREE, "unstable": oracle.SMELLS["unstable_dep"], "layers": LAYERS}
+    more = {"steps": STEPS, "file_lines": DUCK_LINES, "items": ITEMS, "moves": MOVES, "tree": TREE, "layers": LAYERS, **EVIDENCE}
     own = {"gd07_missing_root": {"base_raw": BASE + LACKING}}
     out = {n: oracle.ctes(t, **oracle.SHARED, **more, **own.get(n, {})) for n, t in ORACLES.items()}
     # the graph with fewer tests: its tables are those of the others, over other rows
