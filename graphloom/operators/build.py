@@ -39,7 +39,8 @@ def _side(files: DataFrame, side: str) -> DataFrame:
     return h.select("path", F.col(f"h.{side}_start").alias("start"), F.col(f"h.{side}_lines").alias("n"))
 
 
-def _counts(files: DataFrame) -> dict[str, Column]:
+def counts() -> dict[str, Column]:
+    """Lines that the hunks of a file add and delete."""
     total = lambda side: F.aggregate("hunks", F.lit(0).cast("bigint"), lambda a, h: a + h[f"{side}_lines"])
     return {"added": total("new"), "deleted": total("old")}
 
@@ -95,7 +96,7 @@ def file_units(files: DataFrame, old_texts: DataFrame, new_texts: DataFrame) ->
     large = F.col("old_n") * F.col("new_n") > review.MAX_CELLS
     reasons = F.array_compact(F.array(F.when(F.col("status") == "renamed", F.concat(F.lit("renamed from "), "old_path")), F.when(F.col("binary"), "binary").when(large, "too large to show"), why))
     change = F.when(F.col("status") == "added", "added").when(F.col("status") == "deleted", "removed").when(F.col("status") == "renamed", "moved").otherwise("modified")
-    f = f.withColumns(_counts(f))
+    f = f.withColumns(counts())
     risk = F.floor(F.least(F.col("added") + F.col("deleted"), F.lit(40)) / 4).cast("bigint")
     return f.select(path.alias("id"), path.alias("name"), path.alias("file"), F.lit("").alias("kind"), change.alias("change"), lane.alias("lane"), risk.alias("risk"), F.array_join(reasons, "; ").alias("reasons"), "added", "deleted")
 

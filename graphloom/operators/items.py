@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,16 +70,16 @@ def finding_items(findings: DataFrame, scope: str, root: str = ".", excerpts: Da
     return f.select(finding_key().alias("key"), F.lit(scope).alias("scope"), F.concat(label, F.lit(": "), "subject").alias("title"), place.alias("place"), body.alias("body"), check.alias("check"), "code")
 
 
-def summaries(units: DataFrame, introduced: DataFrame, files: DataFrame) -> DataFrame:
-    """change, units, roots, introduced, added and deleted: sums over the roots of each change.
+def summaries(units: DataFrame, introduced: DataFrame, files: DataFrame, keys: Sequence[str] = ("change",)) -> DataFrame:
+    """change, units, roots, introduced, added and deleted: sums over the roots of each change, which `keys` tell apart.
 
     units are (change, root, …), introduced (change, root), files (change, root, added, deleted). Units and introduced findings
     add up; every root reads the same diff, so lines don't, and the root with most counts.
     """
-    u = units.groupBy("change", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("change").agg(F.sum("n").alias("units"), F.count(F.lit(1)).alias("roots"))
-    i = introduced.groupBy("change").agg(F.count(F.lit(1)).alias("introduced"))
-    f = files.groupBy("change", "root").agg(F.sum("added").alias("added"), F.sum("deleted").alias("deleted")).groupBy("change").agg(F.max("added").alias("added"), F.max("deleted").alias("deleted"))
-    return u.join(i, "change", "full").join(f, "change", "full").na.fill(0)
+    u = units.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.sum("n").alias("units"), F.count(F.lit(1)).alias("roots"))
+    i = introduced.groupBy(*keys).agg(F.count(F.lit(1)).alias("introduced"))
+    f = files.groupBy(*keys, "root").agg(F.sum("added").alias("added"), F.sum("deleted").alias("deleted")).groupBy(*keys).agg(F.max("added").alias("added"), F.max("deleted").alias("deleted"))
+    return u.join(i, list(keys), "full").join(f, list(keys), "full").na.fill(0)
 
 
 def change_lines(changes: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ SQL: dict[str, str] = {
     "agg11_gained": "select x.dst as id, count(*) as n from {edges_added} x left join {head_decls} c on x.src = c.id where not coalesce(c.test, false) group by x.dst",
     "agg12_new_callers": "select x.dst as id, count(distinct x.src) as n from {edges_added} x join {head_decls} c on x.src = c.id where x.kind = 'caller' and not c.test group by x.dst",
     "agg13_changed_lines": "select path, cast(sum(n) as bigint) as n from {head_hunks} group by path",
-    "agg15_reading": "select repo, count(*) as units, count(case when reviewed then 1 end) as done, count(case when not reviewed and lane = 0 then 1 end) as contract, count(case when not reviewed and lane = 1 then 1 end) as logic, coalesce(max(case when not reviewed then risk end), 0) as risk from {repo_units} group by repo",
+    "agg15_reading": "select repo, count(*) as units, count(case when reviewed then 1 end) as done, count(case when not reviewed and lane = 0 then 1 end) as contract, count(case when not reviewed and lane = 1 then 1 end) as logic, max(risk) as risk from {repo_units} group by repo",
     "agg16_census": "select level, count(*) as n from {prognoses} group by level",
     "agg17_sections": "select lane, count(*) as n, count(case when reviewed then 1 end) as reviewed from {repo_units} group by lane",
     "agg18_shared_names": "select id, count(*) over (partition by lower(name)) > 1 as shared from {units}",

@@ -10,11 +10,12 @@ from __future__ import annotations
 import os
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import build, graphdiff, prognoses, smells
+from graphloom.operators import build, graphdiff, inbox, prognoses, smells
 from graphloom.plans.checkpoints import stored
 from graphloom.plans.engine import Engine
 from graphloom.sources import diffs, frontends, git, store
@@ -84,8 +85,8 @@ class Project:
     def prognoses(self, rev: str = git.WORKTREE, root: str = ".") -> DataFrame:
         return prognoses.find(self.snapshot(rev, root).graph)
 
-    def compare(self, base: str, head: str = git.WORKTREE, root: str = ".") -> Comparison:
-        """Both sides are loaded at once; one that lacks the root reads as empty."""
+    def compare(self, base: str, head: str = git.WORKTREE, root: str = ".", roots: list[str] | None = None) -> Comparison:
+        """Both sides are loaded at once; one that lacks the root reads as empty. Files of other `roots` within it are left out."""
         with ThreadPoolExecutor(2) as pool:
             sides = [pool.submit(self._settled, rev, root) for rev in (base, head)]
         b, h = (s.result() for s in sides)
@@ -95,7 +96,7 @@ class Project:
             other = frontends.empty((b or h).graph)
             nothing = Snapshot(other, smells.union(other), "")
             b, h = b or nothing, h or nothing
-        files = stored(self._below(git.diff(self.spark, self.repo, base, head), root))
+        files = stored(self._below(git.diff(self.spark, self.repo, base, head), root, roots))
         paths = {s: sorted({r[0] for r in files.select(f"{s}_path").collect()} - {""}) for s in ("old", "new")}  # of a diff that was read on the driver
         texts = [git.texts(self.spark, self.repo, rev, paths[s], root) for s, rev in (("old", base), ("new", head))]
         changes = graphdiff.between(b.graph, h.graph) | {"findings_delta": smells.delta(b.findings, h.findings)}
@@ -105,6 +106,26 @@ class Project:
         """The working tree against where it left the default branch, or a base."""
         return self.compare(base or git.merge_base(self.repo, git.default_base(self.repo)), git.WORKTREE, root)
 
+    def folders(self, base: str, head: str = git.WORKTREE) -> list[str]:
+        """Folders of the roots of either revision, so one that a change adds or removes is among them."""
+        return sorted({d for rev in (base, head) for d, _ in self.roots(rev)})
+
+    def reading(self, base: str = "", head: str = git.WORKTREE, change: str = "worktree", reviewed: DataFrame | None = None) -> DataFrame:
+        """What an inbox says of a change, summed over the roots of both sides; `reviewed` are (key), ids of units."""
+        base = base or git.merge_base(self.repo, git.default_base(self.repo))
+        found: dict[str, list[DataFrame]] = {"units": [], "introduced": [], "files": []}
+        folders = self.folders(base, head)
+        for root in folders:
+            c = self.compare(base, head, root, folders)
+            at = [F.lit(self.repo).alias("repo"), F.lit(change).alias("change"), F.lit(root).alias("root")]
+            found["units"].append(stored(c.units.select(*at, F.col("id").alias("key"), "lane", "risk")))
+            found["introduced"].append(c.changes["findings_delta"].where("change = 'introduced'").select(*at))
+            # every root counts the whole diff
+            found["files"].append(git.diff(self.spark, self.repo, base, head).select(*at, *(n.alias(c) for c, n in build.counts().items())))
+        units, introduced, files = (reduce(DataFrame.unionByName, parts) for parts in found.values())
+        marks = reviewed if reviewed is not None else self.spark.createDataFrame([], "key string")
+        return inbox.readings(units, introduced, files, marks.select(F.lit(self.repo).alias("repo"), "key"))
+
     def close(self) -> None:
         self.engine.close()
 
@@ -114,7 +135,10 @@ class Project:
         except frontends.NoProject:
             return None
 
-    def _below(self, files: DataFrame, root: str) -> DataFrame:
+    def _below(self, files: DataFrame, root: str, roots: list[str] | None) -> DataFrame:
+        if roots is not None:
+            known = self.spark.createDataFrame([(d,) for d in sorted({*roots, root or "."})], "dir string")
+            return inbox.scoped(files, known).where(F.col("root") == (root or ".")).drop("root")
         if root in ("", "."):
             return files
         cut = lambda c: F.when(F.startswith(c, F.lit(root + "/")), F.substr(c, F.lit(len(root) + 2))).otherwise(F.lit(""))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.hashes import LEVELS, changed_leaves, digest_tree, fnv1a64
-from graphloom.operators import build, evidence, graphdiff, handoff, items, layout, prognoses, sites, smells
+from graphloom.operators import build, evidence, graphdiff, handoff, inbox, items, layout, prognoses, sites, smells
 from graphloom.plans import oracle, portable, walked
 from graphloom.plans.checkpoints import folder, stored
 from graphloom.plans.portable import TREE
@@ -249,6 +249,52 @@ def basket_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handoff.grouped(_graph(spark, sf_dir).sql(BASKET)).select("basket", "kind", "id", "place")
 
 
+#: Roots of projects in a tree, some within others.
+NESTED = "select '.' as dir union select split_part(path, '/', 1) as dir from {head_decls} where k % 3 = 0 and path like '%/%' union select split_part(path, '/', 1) || '/' || split_part(path, '/', 2) as dir from {head_decls} where k % 5 = 0 and path like '%/%/%'"
+#: Units of changes in five repositories, over two roots; c0 is a working tree, the others are pull requests, and one isn't read yet.
+INBOX_UNITS = "select id as key, lane, risk, added, deleted, 'r' || cast(length(file) % 5 as string) as repo, 'c' || cast(length(name) % 4 as string) as change, case when length(id) % 3 = 0 then 'tools' else '.' end as root from {units}"
+INBOX_CHANGES = "select distinct repo, change, case when change <> 'c0' then cast(substr(change, 2) as bigint) end as number from {inbox_units} union select distinct repo, 'c9' as change, cast(9 as bigint) as number from {inbox_units}"
+INBOX_REPOS = "select distinct repo, case repo when 'r0' then 'zeta' when 'r1' then 'beta' else 'alpha' end as name from {inbox_units} union select 'r9' as repo, 'empty' as name from {inbox_units}"
+INBOX_FILES = "select repo, change, root, added, deleted from {inbox_units}"
+INBOX_MARKS = "select repo, key from {inbox_units} where length(key) % 4 = 0"
+CARD_ROOTS = "select 'r' || cast(length(path) % 5 as string) as repo, pkg as dir, case length(pkg) % 3 when 0 then 'go' when 1 then 'python' else 'rust' end as lang, churn > 3 as ready from {files}"
+CARD_PROGNOSES = "select 'r' || cast(length(key) % 5 as string) as repo, level from {all_prognoses}"
+
+
+def scoped_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both paths of every changed file by the root that holds them, below it."""
+    base, head = versions(spark, sf_dir)
+    files = spark.sql(DIFF_FILES, base_decls=base.decls, head_decls=head.decls)
+    return inbox.scoped(files, spark.sql(NESTED, head_decls=head.decls)).select("root", "old_path", "new_path")
+
+
+def _inbox(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Units of the inbox's changes, and what each change asks of a reader."""
+    base, head = both_kept(*versions(spark, sf_dir))
+    units = stored(spark.sql(INBOX_UNITS, units=portable._units(spark, base, head)))
+    delta = graphdiff.findings_delta(base, head).where("change = 'introduced'")
+    introduced = delta.select(F.col("decl").alias("key")).join(units, "key").select("repo", "change", "root")
+    of_units = lambda sql: spark.sql(sql, inbox_units=units)
+    return units, inbox.readings(units, introduced, of_units(INBOX_FILES), of_units(INBOX_MARKS))
+
+
+def inbox_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units, read = _inbox(spark, sf_dir)
+    made = inbox.inbox(spark.sql(INBOX_CHANGES, inbox_units=units), spark.sql(INBOX_REPOS, inbox_units=units), read)
+    roots = F.array_join(F.transform("roots", lambda r: F.concat(r["dir"], F.lit(":"), r["units"].cast("string"))), ",")
+    return made.withColumn("roots", F.coalesce(roots, F.lit("")))
+
+
+def repo_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, head = versions(spark, sf_dir)
+    units = stored(spark.sql(INBOX_UNITS, units=portable._units(spark, base, head)))
+    g = _graph(spark, sf_dir, "decls", "edges", "files", "imports", "refs")
+    levels = spark.sql(CARD_PROGNOSES, all_prognoses=prognoses.union(g))
+    pulls = spark.sql(INBOX_CHANGES, inbox_units=units).where("number is not null")
+    made = inbox.cards(spark.sql(INBOX_REPOS, inbox_units=units), g.sql(CARD_ROOTS), levels, pulls)
+    return made.withColumn("langs", F.array_join("langs", ", "))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sc20_scope": scopes,
     "flt15_watched": watched_files,
@@ -271,6 +317,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ui06_change_lines": shown_lines,
     "sc07_lens_heats": lens_heats,
     "win11_basket_groups": basket_groups,
+    "flt09_scoped_diffs": scoped_diffs,
+    "en10_inbox": inbox_rows,
+    "en10_cards": repo_cards,
     "rv11_merged_moves": merged_moves,
 }
 
@@ -332,6 +381,21 @@ ORACLES |= {
         union all select id, 'churn', case when churn <= 0 then 0 else least(5, 1 + floor(4.999 * churn / (select max(churn) from d))) end from d
         union all select id, 'hotspot', case when hotspot <= 0 then 0 else least(5, 1 + floor(4.999 * hotspot / (select max(hotspot) from d))) end from d""",
     "win11_basket_groups": "select basket, kind, id, row_number() over (partition by basket order by repo_name, repo, coalesce(list_position(['finding', 'prognosis', 'introduced', 'note', 'thread'], kind), 6), kind, pos) as place from {basket}",
+    "flt09_scoped_diffs": """select r.dir as root, case when o then case when r.dir = '.' then old_path else substr(old_path, length(r.dir) + 2) end else '' end as old_path, case when n then case when r.dir = '.' then new_path else substr(new_path, length(r.dir) + 2) end else '' end as new_path
+        from (select f.old_path, f.new_path, r.dir, f.old_path <> '' and (r.dir = '.' or starts_with(f.old_path, r.dir || '/')) and not exists (select 1 from {nested} z where z.dir <> '.' and z.dir <> r.dir and (r.dir = '.' or starts_with(z.dir, r.dir || '/')) and starts_with(f.old_path, z.dir || '/')) as o,
+          f.new_path <> '' and (r.dir = '.' or starts_with(f.new_path, r.dir || '/')) and not exists (select 1 from {nested} z where z.dir <> '.' and z.dir <> r.dir and (r.dir = '.' or starts_with(z.dir, r.dir || '/')) and starts_with(f.new_path, z.dir || '/')) as n from {diff_files} f, {nested} r) r where o or n""",
+    "en10_inbox": """select c.repo, c.change, c.number, coalesce(u.units, 0)::bigint as units, coalesce(i.n, 0)::bigint as introduced, coalesce(l.added, 0)::bigint as added, coalesce(l.deleted, 0)::bigint as deleted, coalesce(u.done, 0)::bigint as done, coalesce(u.contract, 0)::bigint as contract, coalesce(u.logic, 0)::bigint as logic,
+          coalesce(u.max_risk, 0)::bigint as max_risk, coalesce(u.roots, '') as roots, u.units is not null as ready, p.name as repo_name, coalesce(u.contract + u.logic, 0) > 0 as needs_reading,
+          row_number() over (order by coalesce(u.contract + u.logic, 0) > 0 desc, coalesce(u.max_risk, 0) desc, p.name, c.repo, c.number nulls first) as pos
+        from {inbox_changes} c join {inbox_repos} p on c.repo = p.repo
+        left join (select repo, change, sum(n) as units, sum(done) as done, sum(contract) as contract, sum(logic) as logic, max(risk) as max_risk, string_agg(root || ':' || n, ',' order by root) as roots from (
+          select repo, change, root, count(*) as n, count(*) filter (marked) as done, count(*) filter (not marked and lane = 0) as contract, count(*) filter (not marked and lane = 1) as logic, max(risk) as risk from (select u.*, (u.repo, u.key) in (select (repo, key) from {inbox_marks}) as marked from {inbox_units} u) group by repo, change, root) group by repo, change) u on u.repo = c.repo and u.change = c.change
+        left join (select u.repo, u.change, count(*) as n from {delta} d join {inbox_units} u on u.key = d.decl where d.change = 'introduced' group by u.repo, u.change) i on i.repo = c.repo and i.change = c.change
+        left join (select repo, change, max(added) as added, max(deleted) as deleted from (select repo, change, root, sum(added) as added, sum(deleted) as deleted from {inbox_units} group by repo, change, root) group by repo, change) l on l.repo = c.repo and l.change = c.change
+        where c.number is not null or u.units > 0""",
+    "en10_cards": """select p.repo, p.name, coalesce((select string_agg(lang || case lang when 'go' then ' (typed)' else ' (named)' end, ', ' order by dir, lang) from (select lang, min(dir) as dir from {card_roots} c where c.repo = p.repo group by lang)), '') as langs,
+          coalesce((select bool_or(ready) from {card_roots} c where c.repo = p.repo), false) as ready, (select count(*) from {card_prognoses} g where g.repo = p.repo and level = 3) as fix_first, (select count(*) from {card_prognoses} g where g.repo = p.repo and level = 2) as fix_soon,
+          (select count(*) from {card_prognoses} g where g.repo = p.repo and level = 1) as convenient, (select count(*) from {inbox_changes} c where c.repo = p.repo and c.number is not null) as pulls from {inbox_repos} p""",
 }
 _BYTES = "list_reduce(list_prepend(14695981039346656037::uhugeint, list_transform(range(0, octet_length(encode({0})) ), lambda i: ('0x' || substr(hex({0}), (2 * i + 1)::int, 2))::uhugeint)), lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)"
 _HEX = "ltrim(printf('%08x', ({0} // 4294967296)::bigint) || printf('%08x', ({0} % 4294967296)::bigint), '0')"
@@ -343,5 +407,6 @@ def oracle_sql() -> dict[str, str]:
         "scopes": SCOPES, "listing": LISTING, "later": LATER, "commits": COMMITS, "source": SOURCE, "calls": CALLS, "margin": MARGIN, "margin_units": MARGIN_UNITS, "margin_lines": MARGIN_LINES, "margin_shown": MARGIN_SHOWN,
         "diff_files": DIFF_FILES, "whole_files": WHOLE_FILES, "tree": TREE, "base_tree": TREE.replace("{decls}", "{base_decls}"), "head_tree": TREE.replace("{decls}", "{head_decls}"), "all_prognoses": oracle.ALL_PROGNOSES, "file_lines": walked.DUCK_LINES, "findings": oracle.FINDINGS, "delta": oracle.DIFFS["findings_delta"], "changed": CHANGED, "pulls": PULLS, "basket": BASKET, "units": oracle.UNITS,
     }
+    more |= {"nested": NESTED, "inbox_units": INBOX_UNITS, "inbox_changes": INBOX_CHANGES, "inbox_repos": INBOX_REPOS, "inbox_marks": INBOX_MARKS, "card_roots": CARD_ROOTS, "card_prognoses": CARD_PROGNOSES}
     more |= walked.EVIDENCE | {"related": walked.ORACLES["pg14_related"]}
     return {n: oracle.ctes(t, **oracle.SHARED, **more) for n, t in ORACLES.items()}
