@@ -20,9 +20,12 @@ def scoped(files: DataFrame, roots: DataFrame) -> DataFrame:
     rest = [c for c in files.columns if c not in ("old_path", "new_path")]
     sides = F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_path").alias("path")) for s in ("old", "new")))
     paths = files.select("old_path", "new_path", F.explode(sides).alias("s")).select("old_path", "new_path", "s.*").where("path <> ''")
-    within = paths.withColumn("dir", F.explode(F.concat(prefixes(F.col("path")), F.array(F.lit("."))))).join(roots.select("dir").distinct(), "dir")
-    depth = F.when(F.col("dir") == ".", 0).otherwise(F.length("dir"))
-    held = within.groupBy("old_path", "new_path", "side", "path").agg(F.max_by("dir", depth).alias("root"))
+    # the top folder holds every path, so it is no key of the join
+    known = roots.where("dir <> '.'").select("dir", F.lit(True).alias("known")).distinct()
+    within = paths.withColumn("dir", F.explode_outer(prefixes(F.col("path")))).join(known, "dir", "left")
+    deepest = within.groupBy("old_path", "new_path", "side", "path").agg(F.max_by("dir", F.when(F.col("known"), F.length("dir"))).alias("dir"))
+    top = roots.agg(F.coalesce(F.bool_or(F.col("dir") == "."), F.lit(False)).alias("top"))  # one row
+    held = deepest.crossJoin(F.broadcast(top)).withColumn("root", F.coalesce("dir", F.when(F.col("top"), "."))).where("root is not null")
     below = F.when(F.col("root") == ".", F.col("path")).otherwise(F.substr("path", F.length("root") + 2))
     relative = {s: F.coalesce(F.max(F.when(F.col("side") == s, below)), F.lit("")).alias(f"{s}_below") for s in ("old", "new")}
     at = held.groupBy("old_path", "new_path", "root").agg(*relative.values())
