@@ -53,3 +53,10 @@ def test_label_keeps_argument_types(spark):
     rows = [("M.f(::Int)", "M", "f"), ("M.f", "M", "f"), ("M.fg(x)", "M", "f")]
     df = spark.createDataFrame(rows, "id string, pkg string, name string")
     assert [r.x for r in df.select(evidence.label(F.col("id"), F.col("pkg"), F.col("name")).alias("x")).collect()] == ["f(::Int)", "f", "f"]
+
+
+def test_an_empty_graph_has_nothing_behind_it(spark):
+    g = graph(spark, [{"name": "f"}])
+    for n in ("decls", "files"):
+        g.given[n] = g.given[n].limit(0)
+    assert evidence.facts(g).count() == 0 and evidence.related(g).count() == 0
