@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import spans
+
 # Kinds in the order that they are shown, with their headings.
 KINDS = {"finding": "Findings", "prognosis": "Prognoses", "introduced": "Introduced by this change", "note": "Notes", "thread": "Threads"}
 
@@ -80,9 +82,9 @@ def render(items: DataFrame, goal: str = "") -> DataFrame:
 
 def excerpt(lines: DataFrame, decls: DataFrame, most: int = 40) -> DataFrame:
     """id and the first lines of a declaration's source (path, line, text), with a last one that counts the rest."""
-    inside = (F.col("path") == F.col("d_path")) & F.col("line").between(F.col("start_line"), F.col("end_line"))
-    d = decls.select("id", F.col("path").alias("d_path"), "start_line", "end_line")
-    own = F.sort_array(F.collect_list(F.struct("line", "text")))
-    found = lines.join(d, inside).groupBy("id").agg(own.alias("l")).withColumn("t", F.transform("l", lambda x: x["text"]))
-    more = F.size("t") - most
-    return found.select("id", F.when(more > 0, F.concat(F.slice("t", 1, most), F.array(F.concat(F.lit("… "), more.cast("string"), F.lit(" more lines"))))).otherwise(F.col("t")).alias("code"))
+    met = spans.inside(lines, decls.select("id", "path", "start_line", "end_line"))
+    # of a block, too, no more than the first lines are kept
+    cut = met.select("id", F.size("own").alias("n"), F.slice("own", 1, most).alias("own"))
+    found = cut.groupBy("id").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("own"))), 1, most).alias("l")).withColumn("t", F.transform("l", lambda x: x["text"]))
+    more = F.col("n") - most
+    return found.select("id", F.when(more > 0, F.concat("t", F.array(F.concat(F.lit("… "), more.cast("string"), F.lit(" more lines"))))).otherwise(F.col("t")).alias("code"))
