@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import spans
 from graphloom.operators import graphdiff, review
 from graphloom.sources import golang
 from graphloom.sources.binding import Graph
@@ -101,16 +102,23 @@ def file_units(files: DataFrame, old_texts: DataFrame, new_texts: DataFrame) ->
     return f.select(path.alias("id"), path.alias("name"), path.alias("file"), F.lit("").alias("kind"), change.alias("change"), lane.alias("lane"), risk.alias("risk"), F.array_join(reasons, "; ").alias("reasons"), "added", "deleted")
 
 
-def _texts_of(units: DataFrame, g: Graph, texts: DataFrame) -> DataFrame:
+def lines_of(texts: DataFrame) -> DataFrame:
+    """path, line (from 1) and text of whole texts (path, text)."""
+    return texts.select("path", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line").cast("bigint") + 1)
+
+
+def _texts_of(units: DataFrame, g: Graph, lines: DataFrame) -> DataFrame:
     """id and the source lines of units' declarations, joined."""
-    d = units.select("id").join(g.decls.select("id", "path", "start_line", "end_line"), "id").join(texts, "path")
-    t = F.split("text", "\n")
-    own = F.slice(t, F.col("start_line").cast("int"), (F.col("end_line") - F.col("start_line") + 1).cast("int"))
-    return d.where(F.col("end_line") <= F.size(t)).select("id", F.array_join(own, "\n").alias("own"))
+    d = g.decls.select("id", "path", "start_line", "end_line").hint("merge").join(units.select("id"), "id", "left_semi")
+    own = spans.inside(lines, d).groupBy("id", "start_line", "end_line").agg(F.sort_array(F.flatten(F.collect_list("own"))).alias("l"))  # a declaration's
+    return own.where(F.size("l") == F.col("end_line") - F.col("start_line") + 1).select("id", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("own"))
+
 
+def merged_moves(units: DataFrame, old: Graph, new: Graph, old_lines: DataFrame, new_lines: DataFrame) -> DataFrame:
+    """`units` with a removed and an added one that are one declaration as one: those the graphs pair, then those whose name and kind stand once on each side.
 
-def merged_moves(units: DataFrame, old: Graph, new: Graph, old_texts: DataFrame, new_texts: DataFrame) -> DataFrame:
-    """`units` with a removed and an added one that are one declaration as one: those the graphs pair, then those whose name and kind stand once on each side."""
+    old_lines and new_lines are the lines (path, line, text) of both versions' files.
+    """
     gone, come = units.where("change = 'removed' and kind <> ''"), units.where("change = 'added' and kind <> ''")
     first = graphdiff.moved(old, new).select(F.col("from_id").alias("r"), F.col("to_id").alias("u")).join(gone.select(F.col("id").alias("r")), "r", "left_semi").join(come.select(F.col("id").alias("u")), "u", "left_semi")
 
@@ -119,9 +127,9 @@ def merged_moves(units: DataFrame, old: Graph, new: Graph, old_texts: DataFrame,
         return left.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias(to)).where("n = 1").select("name", "kind", to)
 
     pairs = first.select("r", "u").unionByName(lone(gone, "r", "r").join(lone(come, "u", "u"), ["name", "kind"]).select("r", "u"))
-    a = _texts_of(gone, old, old_texts).select(F.col("id").alias("r"), F.col("own").alias("old_text"))
-    b = _texts_of(come, new, new_texts).select(F.col("id").alias("u"), F.col("own").alias("new_text"))
-    pairs = pairs.join(a, "r").join(b, "u").join(gone.select(F.col("id").alias("r"), F.col("file").alias("from_file")), "r")
+    a = _texts_of(gone, old, old_lines).select(F.col("id").alias("r"), F.col("own").alias("old_text"))
+    b = _texts_of(come, new, new_lines).select(F.col("id").alias("u"), F.col("own").alias("new_text"))
+    pairs = pairs.hint("merge").join(a, "r").hint("merge").join(b, "u").hint("merge").join(gone.select(F.col("id").alias("r"), F.col("file").alias("from_file")), "r")
     ops = review.diff_texts(pairs.select(F.col("u").alias("key"), "old_text", "new_text")).groupBy(F.col("key").alias("u")).agg(F.count_if(F.col("op") == "+").alias("plus"), F.count_if(F.col("op") == "-").alias("minus"))
     pairs = pairs.join(ops, "u").select("r", F.col("u").alias("id"), "from_file", (F.col("old_text") == F.col("new_text")).alias("same"), "plus", "minus")
     rest = units.join(pairs.select(F.col("r").alias("id")), "id", "left_anti").join(pairs.drop("r"), "id", "left")
@@ -141,7 +149,7 @@ def build(old: Graph, new: Graph, files: DataFrame, old_texts: DataFrame, new_te
     known = routed(files, old, new)
     whole, some = known.where("whole"), known.where("not whole")
     of_decls = review.units(old, new, touched(old, _side(some, "old")), touched(new, _side(some, "new")))
-    made = merged_moves(of_decls, old, new, old_texts, new_texts)
+    made = merged_moves(of_decls, old, new, lines_of(old_texts), lines_of(new_texts))
     for more in (loose_units(some, old, new, old_texts, new_texts, go), file_units(whole, old_texts, new_texts)):
         made = made.unionByName(more.select(COLUMNS))
     return made
