@@ -37,16 +37,17 @@ def call_sites(lines: DataFrame, decls: DataFrame, calls: DataFrame) -> DataFram
     words = kept.select("path", "line", "declares", F.when(F.col("declares"), F.col("t")).alias("t"), F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\w+"), F.lit(0)))).alias("callee"))
     ends = lines.groupBy("path").agg(F.max("line").alias("length"))
     d = decls.select("id", short_name(F.col("name")).alias("short"), "path", "start_line", "end_line")
-    pairs = calls.select("src", "dst").distinct().join(d.withColumnRenamed("id", "src").withColumnRenamed("short", "own"), "src").join(d.select(F.col("id").alias("dst"), F.col("short").alias("callee")), "dst")
+    # words and declarations grow with the sources, whatever size Spark expects of them
+    pairs = calls.select("src", "dst").distinct().hint("merge").join(d.withColumnRenamed("id", "src").withColumnRenamed("short", "own"), "src").hint("merge").join(d.select(F.col("id").alias("dst"), F.col("short").alias("callee")), "dst")
     pairs = pairs.join(ends, "path", "left").withColumn("inside", (F.col("start_line") >= 1) & (F.col("end_line") <= F.coalesce("length", F.lit(0))))
-    met = pairs.where("inside").join(words, ["path", "callee"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    met = pairs.where("inside").hint("merge").join(words, ["path", "callee"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
     # a declaration counts if the name is there besides the caller's own, whose first place goes
     own = F.concat("own", F.lit("("))
     at = F.instr("t", own)
     rest = F.when(at > 0, F.concat(F.substr("t", F.lit(1), at - 1), F.lit("("), F.substr("t", at + F.length(own)))).otherwise(F.col("t"))
     names = ~F.col("declares") | F.array_contains(F.regexp_extract_all(rest, F.lit(r"\w+"), F.lit(0)), F.col("callee"))
     best = met.where(names).groupBy("src", "dst").agg(F.min(F.struct("declares", "line")).alias("x")).select("src", "dst", F.col("x.line").alias("line"))
-    out = pairs.join(best, ["src", "dst"], "left").withColumn("found", F.col("line").isNotNull())
+    out = pairs.hint("merge").join(best, ["src", "dst"], "left").withColumn("found", F.col("line").isNotNull())
     at = F.coalesce("line", "start_line")
     # nothing is shown of a caller that goes beyond its file
     first = F.when(F.col("inside"), F.when(F.col("found"), F.greatest(at - CONTEXT, F.col("start_line"))).otherwise(F.col("start_line")))
