@@ -17,9 +17,9 @@ def named(refs: DataFrame, decls: DataFrame, visible: DataFrame) -> DataFrame:
     name. How many could be meant, and how many in the file, are counted there; what isn't meant is gone before references are joined, so no row
     is made but links and, for each file and name, what they are chosen from.
     """
-    asked = refs.select("path", "pkg", "short").distinct().join(decls.select("short").distinct(), "short", "left_semi")
+    asked = refs.select("path", "pkg", "short").distinct().join(decls.select("short").distinct().hint("merge"), "short", "left_semi")
     scope = visible.select("path", "to").union(asked.select("path", F.col("pkg").alias("to"))).distinct()
-    met = asked.join(scope, "path").join(decls, ["to", "short"]).where((F.col("pkg") == F.col("to")) | F.col("exported"))
+    met = asked.join(scope, "path").join(decls.hint("merge"), ["to", "short"]).where((F.col("pkg") == F.col("to")) | F.col("exported"))
     met = met.withColumn("near", F.col("at") == F.col("path"))
     counts = met.groupBy("path", "pkg", "short").agg(F.count(F.lit(1)).alias("many"), F.count_if(F.col("near") & ~F.col("member")).alias("in_file"))
     # of three, one at most is the reference's own declaration, so no member is meant; of two in the file, one is left for sure

@@ -62,7 +62,10 @@ def barrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def named_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = bound(spark, sf_dir).kept("decls", "edges", "imports")
-    return linking.named(g.sql(NAMED_REFS), g.sql(NAMED_DECLS), g.sql(NAMED_VISIBLE))
+    # stored declarations are packed, so that Spark takes them for small; all stay with the tasks
+    decls = g.decls.hint("merge")
+    refs, target = spark.sql(NAMED_REFS, decls=decls, edges=g.edges), g.sql(NAMED_DECLS)
+    return linking.named(refs, target, spark.sql(NAMED_VISIBLE, decls=decls, edges=g.edges, imports=g.imports))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"src15_import_files": import_files, "gr06_barrels": barrels, "jn07_named_links": named_links}
