@@ -13,7 +13,7 @@ from graphloom.operators import linking
 from graphloom.plans import oracle
 from graphloom.plans.checkpoints import cut
 from graphloom.sources import modules
-from graphloom.sources.binding import bound
+from graphloom.sources.binding import Graph, bound
 
 #: A package a brand, a source a file, and a barrel in each.
 TS_FILES = "select distinct 'packages/' || split_part(path, '/', 1) || '/src/' || replace(split_part(path, '/', 2), '.src', '.ts') as path from {decls} union select distinct 'packages/' || split_part(path, '/', 1) || '/src/index.ts' as path from {decls}"
@@ -44,10 +44,15 @@ NAMED_REFS = f"select distinct a.id as src, {SHORT.format('a')} as own, a.kind =
 NAMED_VISIBLE = "select distinct a.path, z.pkg as to from {edges} x join {decls} a on x.src = a.id join {decls} z on x.dst = z.id join {imports} i on i.src = a.pkg and i.dst = z.pkg where x.kind = 'caller'"
 
 
+def _specs(g: Graph) -> DataFrame:
+    return g.spark.sql(TS_SPECS, decls=g.decls.hint("merge"), edges=g.edges)
+
+
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = bound(spark, sf_dir).kept("decls", "edges")
     project = g.sql(TS_PROJECT)
-    return modules.resolved(g.sql(TS_FILES), g.sql(TS_SPECS), cut(modules.configs(project)), cut(modules.packages(project)))
+    # specifiers are read many times, so edges meet declarations once
+    return modules.resolved(g.sql(TS_FILES), cut(_specs(g)), cut(modules.configs(project)), cut(modules.packages(project)))
 
 
 def import_files(spark: SparkSession, sf_dir: str) -> DataFrame:
